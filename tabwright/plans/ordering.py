@@ -10,7 +10,11 @@ A window with no ``partitionBy`` runs in a single task.  Whole-table positions
    turned into exclusive offsets and broadcast back (its size is bounded by the
    partition count, not by the data).
 
-Catalyst reuses the range exchange for both branches, so the data is shuffled once.
+The range-partitioned, sorted frame is written once as a reliable checkpoint
+(the shared folder named by ``spark.checkpoint.dir``): the partitioner samples
+its bounds at random, so two separately planned range exchanges could disagree;
+after the checkpoint every branch (local positions, per-partition totals) reads
+the same materialised partitions, and a lost executor recomputes nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwright.session import cut_lineage
+
 _PID = "_tw_pid"
 _LOCAL = "_tw_local"
 
@@ -33,6 +39,17 @@ def _order_exprs(order_cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_cols]
 
 
+def _range_sorted(df: DataFrame, order_cols, num_partitions: int | None) -> DataFrame:
+    """Range partition + sort + (partition id, index within partition), checkpointed."""
+    n = _num_partitions(df, num_partitions)
+    order = _order_exprs(order_cols)
+    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .withColumn(_PID, F.spark_partition_id())
+         .withColumn(_LOCAL, F.monotonically_increasing_id()
+                     - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    return cut_lineage(s)
+
+
 def _local_running(df: DataFrame, weight_cols: list[str], out_cols: list[str]) -> DataFrame:
     """Partition-local inclusive running sums of ``weight_cols`` (rows already sorted)."""
     import numpy as np
@@ -64,10 +81,7 @@ def running_totals(df: DataFrame, order_cols, weight_cols, out_cols=None,
     """
     weight_cols = list(weight_cols)
     out_cols = list(out_cols or [f"{w}_cum" for w in weight_cols])
-    n = _num_partitions(df, num_partitions)
-    order = _order_exprs(order_cols)
-    s = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    s = s.withColumn(_PID, F.spark_partition_id())
+    s = _range_sorted(df, order_cols, num_partitions).drop(_LOCAL)
     local_names = [f"_tw_l{i}" for i in range(len(weight_cols))]
     local = _local_running(s, weight_cols, local_names)
     totals = s.groupBy(_PID).agg(*[F.sum(F.col(w).cast("double")).alias(f"_tw_t{i}")
@@ -90,12 +104,7 @@ def global_row_number(df: DataFrame, order_cols, name: str = "row_number",
     index comes from ``monotonically_increasing_id`` (partition id in the upper
     bits, record index in the lower 33 bits), so no Python is involved.
     """
-    n = _num_partitions(df, num_partitions)
-    order = _order_exprs(order_cols)
-    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn(_PID, F.spark_partition_id())
-         .withColumn(_LOCAL, F.monotonically_increasing_id()
-                     - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    s = _range_sorted(df, order_cols, num_partitions)
     counts = s.groupBy(_PID).agg(F.count(F.lit(1)).alias("_tw_n"))
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(_PID, F.coalesce(F.sum("_tw_n").over(w), F.lit(0)).alias("_tw_off"))
