@@ -68,13 +68,16 @@ def strip_non_alnum(c) -> Column:
 
 # Molecule-string alphabet used by the type detector.
 MOLECULE_ALPHABET_PATTERN = r"^[BCNOFPSIclbrnosp()=#@+\-\[\]\\/%0-9]{1,2000}$"
-MOLECULE_ATOM_PATTERN = r"[BCNOFPSIcnos]"
+MOLECULE_ATOM_PATTERN = r"[BNOFPSClrIbcnosp]"
 
 
 def looks_like_molecule(c) -> Column:
-    """F8 — text uses only the molecule alphabet (1–2000 chars) and has an atom symbol."""
+    """F8 — text uses only the molecule alphabet (1–2000 chars) and has an atom
+    symbol; like a parser-backed check, 1–2 letter words ("F", "Br") are not
+    taken as molecules."""
     x = _c(c).cast("string")
-    return x.rlike(MOLECULE_ALPHABET_PATTERN) & x.rlike(MOLECULE_ATOM_PATTERN)
+    short_word = (F.length(x) < 3) & x.rlike("^[A-Za-z]+$")
+    return x.rlike(MOLECULE_ALPHABET_PATTERN) & x.rlike(MOLECULE_ATOM_PATTERN) & ~short_word
 
 
 def has_polymer_marker(c) -> Column:
