@@ -1 +1,50 @@
-"""Registered queries (see tabwright.catalog)."""
+"""Leakage, similarity, search, explanation and molecule-table queries."""
+
+from pyspark.sql import functions as F
+
+from tabwright.catalog import r6, register, table
+from tabwright.operators import leakage as L
+
+
+def _leak_frame(spark, sf):
+    return table(spark, sf, "lineitem").select(
+        "l_quantity", "l_discount", "l_tax", "l_extendedprice",
+        (F.col("l_extendedprice") * 2 + F.col("l_discount")).alias("leak_a"),
+        (F.col("l_extendedprice") / 1000 + F.col("l_tax")).alias("extendedprice_k"),
+        (F.col("l_quantity") * 1000 + F.col("l_extendedprice") / 50).alias("qty_mix"))
+
+
+@register("check_feature_leakage", """
+WITH c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS l_quantity, abs(corr(l_discount, l_extendedprice)) AS l_discount,
+                  abs(corr(l_tax, l_extendedprice)) AS l_tax, abs(corr(l_extendedprice * 2 + l_discount, l_extendedprice)) AS leak_a,
+                  abs(corr(l_extendedprice / 1000 + l_tax, l_extendedprice)) AS extendedprice_k,
+                  abs(corr(l_quantity * 1000 + l_extendedprice / 50, l_extendedprice)) AS qty_mix FROM lineitem),
+u AS (SELECT 'l_quantity' AS feature, l_quantity AS r FROM c UNION ALL SELECT 'l_discount', l_discount FROM c
+      UNION ALL SELECT 'l_tax', l_tax FROM c UNION ALL SELECT 'leak_a', leak_a FROM c
+      UNION ALL SELECT 'extendedprice_k', extendedprice_k FROM c UNION ALL SELECT 'qty_mix', qty_mix FROM c),
+w AS (SELECT feature, CASE WHEN r >= 0.98 THEN 'high' ELSE 'medium' END AS risk, 'correlation' AS rule, r AS score FROM u WHERE r >= 0.95
+      UNION ALL
+      SELECT feature, 'medium', 'name', 0.0 FROM u WHERE feature IN ('extendedprice_k') AND r < 0.98)
+SELECT feature, risk, rule, round(score, 6) AS score,
+       row_number() OVER (ORDER BY CASE WHEN risk = 'high' THEN 0 ELSE 1 END, score DESC)::INT AS rank FROM w""")
+def q_leakage(spark, sf):
+    return r6(L.check_feature_leakage(_leak_frame(spark, sf), "l_extendedprice"))
+
+
+@register("check_feature_leakage_classes", """
+WITH d AS (SELECT l_returnflag, l_quantity, l_tax,
+                  CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END + l_tax / 1000 AS flag_code FROM lineitem),
+wv AS (SELECT avg(vq) AS q, avg(vt) AS t, avg(vf) AS f FROM (SELECT var_samp(l_quantity) AS vq, var_samp(l_tax) AS vt,
+        var_samp(flag_code) AS vf FROM d GROUP BY l_returnflag)),
+tv AS (SELECT var_samp(l_quantity) AS q, var_samp(l_tax) AS t, var_samp(flag_code) AS f FROM d),
+u AS (SELECT 'l_quantity' AS feature, wv.q / tv.q AS ratio FROM wv, tv UNION ALL SELECT 'l_tax', wv.t / tv.t FROM wv, tv
+      UNION ALL SELECT 'flag_code', wv.f / tv.f FROM wv, tv)
+SELECT feature, 'high' AS risk, 'separation' AS rule, round(1 - ratio, 6) AS score,
+       row_number() OVER (ORDER BY 1 - ratio DESC)::INT AS rank FROM u WHERE ratio < 0.01""")
+def q_leakage_cls(spark, sf):
+    li = table(spark, sf, "lineitem").select(
+        "l_returnflag", "l_quantity", "l_tax",
+        (F.expr("CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END") + F.col("l_tax") / 1000).alias("flag_code"))
+    return r6(L.check_feature_leakage(li, "l_returnflag"))
+
+
