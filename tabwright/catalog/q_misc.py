@@ -48,3 +48,80 @@ def q_leakage_cls(spark, sf):
     return r6(L.check_feature_leakage(li, "l_returnflag"))
 
 
+
+
+# --- search (O1–O3, O6, O7/J12, O9, O11) ---------------------------------------
+from tabwright.operators import search as SR  # noqa: E402
+
+
+@register("space_from_table", """
+SELECT 'p_size' AS name, 'discrete' AS var_type, floor(min(p_size) - (max(p_size) - min(p_size)) * 0.1)::DOUBLE AS lo,
+       ceil(max(p_size) + (max(p_size) - min(p_size)) * 0.1)::DOUBLE AS hi, 1.0 AS step FROM part
+UNION ALL
+SELECT 'p_retailprice', 'continuous', round(min(p_retailprice) - (max(p_retailprice) - min(p_retailprice)) * 0.1, 6),
+       round(max(p_retailprice) + (max(p_retailprice) - min(p_retailprice)) * 0.1, 6), NULL FROM part""")
+def q_space(spark, sf):
+    sp = SR.space_from_table(table(spark, sf, "part"), ["p_size", "p_retailprice"])
+    rows = [(v.name, v.var_type, v.lo, v.hi, v.step) for v in sp.variables]
+    return r6(spark.createDataFrame(rows, "name string, var_type string, lo double, hi double, step double"))
+
+
+_GRID_SQL = """(SELECT row_number() OVER (ORDER BY s, p) - 1 AS grid_index, s AS p_size, p AS p_retailprice FROM
+  (SELECT generate_series AS s FROM generate_series((SELECT floor(min(p_size) - (max(p_size) - min(p_size)) * 0.1)::BIGINT FROM part),
+                                                    (SELECT ceil(max(p_size) + (max(p_size) - min(p_size)) * 0.1)::BIGINT FROM part))),
+  (SELECT lo + (hi - lo) * i / 19 AS p FROM (SELECT round(min(p_retailprice) - (max(p_retailprice) - min(p_retailprice)) * 0.1, 6) AS lo,
+          round(max(p_retailprice) + (max(p_retailprice) - min(p_retailprice)) * 0.1, 6) AS hi FROM part), range(20) r(i)))"""
+
+
+@register("grid_candidates", f"SELECT grid_index, p_size::DOUBLE AS p_size, round(p_retailprice, 6) AS p_retailprice FROM {_GRID_SQL}")
+def q_grid(spark, sf):
+    sp = SR.space_from_table(table(spark, sf, "part"), ["p_size", "p_retailprice"])
+    return r6(SR.grid_candidates(spark, sp, 20))
+
+
+@register("inverse_search_linear", f"""
+WITH co AS (SELECT regr_slope(p_retailprice, p_size) AS b FROM part),
+g AS (SELECT grid_index, p_size, p_retailprice, p_retailprice - 2.0 * p_size * (SELECT b FROM co) AS prediction FROM {_GRID_SQL}),
+s AS (SELECT *, exp(-0.5 * power((prediction - 1200.0) / 100.0, 2)) AS score FROM g)
+SELECT grid_index, p_size::DOUBLE AS p_size, round(p_retailprice, 6) AS p_retailprice, round(prediction, 6) AS prediction,
+       round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, grid_index) AS rank
+FROM s ORDER BY score DESC, grid_index LIMIT 20""")
+def q_inverse(spark, sf):
+    part = table(spark, sf, "part")
+    sp = SR.space_from_table(part, ["p_size", "p_retailprice"])
+    b = part.agg(F.regr_slope("p_retailprice", "p_size")).first()[0]
+    pred = F.col("p_retailprice") - F.lit(2.0 * b) * F.col("p_size")
+    return r6(SR.score_candidates(SR.grid_candidates(spark, sp, 20), pred, "range", 1100.0, 1300.0, 20))
+
+
+@register("skyline", """
+WITH p AS (SELECT p_partkey, p_retailprice, p_size FROM part)
+SELECT p_partkey, p_retailprice, p_size FROM p x WHERE NOT EXISTS (
+  SELECT 1 FROM p y WHERE y.p_retailprice <= x.p_retailprice AND y.p_size >= x.p_size
+                      AND (y.p_retailprice < x.p_retailprice OR y.p_size > x.p_size))""")
+def q_skyline(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
+    return SR.skyline_2d(p, "p_retailprice", "p_size", maximize=(False, True))
+
+
+@register("parego_scalarize", """
+SELECT c_custkey, round(greatest(0.3 * c_acctbal, 0.7 * -c_nationkey) + 0.05 * (0.3 * c_acctbal + 0.7 * -c_nationkey), 6) AS parego
+FROM customer""")
+def q_parego(spark, sf):
+    c = table(spark, sf, "customer")
+    out = SR.parego_scalarize(c, {"c_acctbal": "min", "c_nationkey": "max"}, {"c_acctbal": 0.3, "c_nationkey": 0.7})
+    return r6(out.select("c_custkey", "parego"))
+
+
+@register("degeneracy_labels", """
+SELECT o_orderkey, o_orderpriority, (dense_rank() OVER (ORDER BY first_key) - 1) AS label FROM orders
+JOIN (SELECT o_orderpriority AS p, min(o_orderkey) AS first_key FROM orders GROUP BY 1) ON p = o_orderpriority""")
+def q_degeneracy(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return SR.degeneracy_labels(o, "o_orderkey", "o_orderpriority").select("o_orderkey", "o_orderpriority", "label")
+
+
+@register("random_lhs_candidates")
+def q_random_lhs(spark, sf):
+    sp = SR.space_from_table(table(spark, sf, "part"), ["p_size", "p_retailprice", "p_brand"])
+    return SR.generate_candidates(spark, sp, "random_lhs", n_max=table(spark, sf, "part").count(), seed=7)
