@@ -125,3 +125,86 @@ def q_degeneracy(spark, sf):
 def q_random_lhs(spark, sf):
     sp = SR.space_from_table(table(spark, sf, "part"), ["p_size", "p_retailprice", "p_brand"])
     return SR.generate_candidates(spark, sp, "random_lhs", n_max=table(spark, sf, "part").count(), seed=7)
+
+
+# --- explanation (I4–I7, I10) -----------------------------------------------------
+from tabwright.operators import explain as X  # noqa: E402
+
+_XF = ["l_quantity", "l_discount", "l_tax"]
+_LI_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+def _phi(spark, sf):
+    li = table(spark, sf, "lineitem")
+    co = li.agg(*[F.regr_slope("l_extendedprice", c).alias(c) for c in _XF]).first().asDict()
+    return li, X.linear_shap(li, co, keep=_LI_KEYS)
+
+
+_PHI_SQL = ("(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, " + ", ".join(
+    f"(SELECT regr_slope(l_extendedprice, {c}) FROM lineitem) * ({c} - (SELECT avg({c}) FROM lineitem)) AS phi_{c}" for c in _XF)
+    + " FROM lineitem)")
+
+
+@register("linear_shap", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, " + ", ".join(
+    f"round(phi_{c}, 6) AS phi_{c}" for c in _XF) + f" FROM {_PHI_SQL}")
+def q_linear_shap(spark, sf):
+    return r6(_phi(spark, sf)[1])
+
+
+@register("global_importance", "SELECT feature, round(importance, 6) AS importance, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM ("
+          + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(abs(phi_{c})) AS importance FROM {_PHI_SQL}" for c in _XF) + ")")
+def q_global_importance(spark, sf):
+    return r6(X.global_importance(_phi(spark, sf)[1], _XF))
+
+
+def _sri_sql(kind):
+    cov = {}
+    for i, a in enumerate(_XF):
+        for j, b in enumerate(_XF):
+            if i < j:
+                cov[(a, b)] = f"covar_pop(phi_{a}, phi_{b})"
+    v = {a: f"var_pop(phi_{a})" for a in _XF}
+    n = "count(*)"
+
+    def s(a, b):
+        return cov[(a, b)] if (a, b) in cov else cov[(b, a)]
+
+    def r(a, b):
+        den = f"({v[a]} * {n} + {v[b]} * {n})"
+        return f"(CASE WHEN {den} > 1e-12 THEN {s(a, b)} * {s(a, b)} / {den} ELSE 0 END)"
+    if kind == "pairs":
+        return " UNION ALL ".join(
+            f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, round({s(a, b)} - {r(a, b)}, 6) AS synergy, round({r(a, b)}, 6) AS redundancy FROM {_PHI_SQL}"
+            for i, a in enumerate(_XF) for b in _XF[i + 1:])
+    rows = []
+    for a in _XF:
+        others = [b for b in _XF if b != a]
+        syn = " + ".join(f"({s(a, b)} - {r(a, b)})" for b in others)
+        red = " + ".join(r(a, b) for b in others)
+        ind = f"greatest(0, {v[a]} - (" + " + ".join(f"abs({s(a, b)})" for b in others) + "))"
+        rows.append(f"SELECT '{a}' AS feature, {syn} AS synergy, {red} AS redundancy, {ind} AS independence FROM {_PHI_SQL}")
+    u = " UNION ALL ".join(rows)
+    return (f"WITH u AS ({u}), t AS (SELECT sum(abs(synergy)) + sum(abs(redundancy)) + sum(abs(independence)) AS t FROM u) "
+            "SELECT feature, round(synergy, 6) AS synergy, round(redundancy, 6) AS redundancy, round(independence, 6) AS independence, "
+            "round(synergy / t, 6) AS synergy_norm, round(redundancy / t, 6) AS redundancy_norm, round(independence / t, 6) AS independence_norm FROM u, t")
+
+
+@register("sri_summary", _sri_sql("summary"))
+def q_sri_summary(spark, sf):
+    return r6(X.sri(_phi(spark, sf)[1], _XF)[0])
+
+
+@register("sri_pairs", _sri_sql("pairs"))
+def q_sri_pairs(spark, sf):
+    return r6(X.sri(_phi(spark, sf)[1], _XF)[1])
+
+
+@register("interaction_partner", "SELECT partner, round(abs_corr, 6) AS abs_corr, row_number() OVER (ORDER BY abs_corr DESC, partner) AS rank FROM ("
+          + " UNION ALL ".join(f"SELECT '{o}' AS partner, abs(corr(l.l_quantity, p.phi_{o})) AS abs_corr FROM lineitem l JOIN {_PHI_SQL} p "
+                               "USING (l_orderkey, l_partkey, l_suppkey, l_linenumber)" for o in ["l_discount", "l_tax"]) + ")")
+def q_interaction_partner(spark, sf):
+    li = table(spark, sf, "lineitem")
+    _, phi = _phi(spark, sf)
+    li = li.withColumn("_k", F.struct(*_LI_KEYS))
+    phi = phi.withColumn("_k", F.struct(*_LI_KEYS)).drop(*_LI_KEYS)
+    return r6(X.interaction_partner(li, phi, "l_quantity", _XF, "_k"))
