@@ -208,3 +208,54 @@ def q_interaction_partner(spark, sf):
     li = li.withColumn("_k", F.struct(*_LI_KEYS))
     phi = phi.withColumn("_k", F.struct(*_LI_KEYS)).drop(*_LI_KEYS)
     return r6(X.interaction_partner(li, phi, "l_quantity", _XF, "_k"))
+
+
+# --- molecule-table / set-similarity operators (J7, J8, J9, K6) -------------------
+from tabwright.operators import molecules as M  # noqa: E402
+
+_TOK = r"""(SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS tk
+            FROM documents)"""
+_REPS = f"""(SELECT st, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(tk) AS st FROM {_TOK}) GROUP BY st)"""
+
+
+@register("near_duplicate_pairs", f"""
+WITH u AS (SELECT rep AS doc_id, st AS tk FROM {_REPS} WHERE len(st) > 0)
+SELECT id_a, id_b, round(j, 6) AS jaccard FROM (
+  SELECT a.doc_id AS id_a, b.doc_id AS id_b,
+         len(list_intersect(a.tk, b.tk))::DOUBLE / (len(a.tk) + len(b.tk) - len(list_intersect(a.tk, b.tk))) AS j
+  FROM u a JOIN u b ON a.doc_id < b.doc_id AND len(b.tk) >= 0.8 * len(a.tk) AND len(a.tk) >= 0.8 * len(b.tk)) WHERE j >= 0.8""")
+def q_near_dup(spark, sf):
+    sets = M.token_sets(table(spark, sf, "documents"), "doc_id", "text")
+    return r6(M.jaccard_threshold_pairs(sets, "doc_id", 0.8))
+
+
+@register("exact_duplicate_groups", f"""
+SELECT doc_id, rep FROM (SELECT doc_id, list_sort(tk) AS st FROM {_TOK}) JOIN {_REPS} USING (st)""")
+def q_exact_dups(spark, sf):
+    return M.exact_duplicate_groups(M.token_sets(table(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+
+
+@register("novelty_anti_join", """
+SELECT * FROM conversations WHERE text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL) AND text IS NOT NULL""")
+def q_novelty(spark, sf):
+    conv = table(spark, sf, "conversations").where(F.col("text").isNotNull())
+    return M.novelty(conv, table(spark, sf, "documents").withColumnRenamed("text", "text"), "text")
+
+
+@register("recommend_lookup", """
+WITH c AS (SELECT word AS pattern, min(p_partkey) AS pos FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part)
+           GROUP BY word),
+j AS (SELECT p_partkey, p_name, pattern, pos, row_number() OVER (PARTITION BY p_partkey ORDER BY pos, pattern) AS rn
+      FROM part JOIN c ON contains(lower(p_name), lower(pattern)))
+SELECT p_partkey, p_name, pattern, pos FROM j WHERE rn = 1""")
+def q_recommend(spark, sf):
+    part = table(spark, sf, "part")
+    cat = (part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("pattern"))
+           .groupBy("pattern").agg(F.min("p_partkey").alias("pos")))
+    return M.recommend(part.select("p_partkey", "p_name"), "p_partkey", "p_name", cat, "pattern", "pos")
+
+
+@register("catalog_categories", """
+SELECT source AS category, row_number() OVER (ORDER BY min(doc_id), source) AS position FROM documents GROUP BY source""")
+def q_catalog_categories(spark, sf):
+    return M.catalog_categories(table(spark, sf, "documents"), "doc_id", "source").withColumnRenamed("source", "category")
