@@ -259,3 +259,20 @@ def q_recommend(spark, sf):
 SELECT source AS category, row_number() OVER (ORDER BY min(doc_id), source) AS position FROM documents GROUP BY source""")
 def q_catalog_categories(spark, sf):
     return M.catalog_categories(table(spark, sf, "documents"), "doc_id", "source").withColumnRenamed("source", "category")
+
+
+# --- training (V1/V2/V12) -----------------------------------------------------------
+@register("automl_two_models")
+def q_automl(spark, sf):
+    from tabwright.plans.train import automl
+    li = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    res = automl(li, "o_totalprice", "o_orderkey", models=["linear", "decision_tree"], n_splits=3)
+    return res.leaderboard.select("model", "mean", "std", "n_folds", "rank")
+
+
+@register("read_table_parquet", """
+SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40""")
+def q_read_table(spark, sf):
+    from tabwright.sources.io import read_table
+    li = read_table(spark, f"{sf.rstrip('/')}/lineitem.parquet")
+    return li.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40)).select("l_orderkey", "l_extendedprice")
