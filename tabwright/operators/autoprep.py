@@ -83,7 +83,9 @@ class AutoPreprocessor:
     def fit(self, df: DataFrame, target: str | None = None, profile: DataFrame | None = None,
             key: str | None = None, keep=()) -> AutoPreprocessModel:
         cfg = self.config
-        profile = profile if profile is not None else detect_column_types(df, key=key)
+        skip = set(keep) | ({key} if key else set())
+        profile = profile if profile is not None else detect_column_types(
+            df, key=key, columns=[c for c in df.columns if c not in skip])
         kinds = {r["col_name"]: r["col_type"] for r in profile.collect()}
         exclude = set(cfg.passthrough_cols) | set(keep)
         if key:

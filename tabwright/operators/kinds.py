@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions import boundary as B
-from tabwright.functions.scalar import looks_like_molecule
-from tabwright.plans.ordering import exact_quantiles, stack_columns
+from tabwright.functions.scalar import MOLECULE_ALPHABET_PATTERN, MOLECULE_ATOM_PATTERN
+from tabwright.plans.ordering import exact_quantiles
 
 # Kind names, thresholds and the molecule-name hints.
 KINDS = ["binary", "category_low", "category_high", "numeric_normal", "numeric_log", "numeric_power",
@@ -25,11 +25,15 @@ OUTLIER_IQR_FACTOR = 1.5
 OUTLIER_SHARE = 0.05
 TEXT_MEAN_LENGTH = 50
 SMILES_NAME_HINTS = ["smiles", "smi", "structure", "mol", "compound"]
+EXACT_DISTINCT_LIMIT = 1000   # exact distinct counts below this estimate (kinds need ≤ 20)
 
 
 def detect_column_types(df: DataFrame, key: str | None = None, periodic_cols=(), columns=None,
                         smiles_by_name: bool = True) -> DataFrame:
-    """G11 — profile frame: col_name, col_type, n_unique, null_rate, skewness, has_outliers."""
+    """G11 — profile frame: col_name, col_type, n_unique, null_rate, skewness, has_outliers.
+
+    ``n_unique`` is exact up to ``EXACT_DISTINCT_LIMIT`` distinct values and an
+    HLL estimate (1 % error) above it; no kind rule depends on counts that large."""
     types = B.field_types(df)
     columns = [c for c in (columns or df.columns) if c != key]
     num = [c for c in columns if B.is_numeric(types[c]) or B.is_boolean(types[c])]
@@ -39,25 +43,20 @@ def detect_column_types(df: DataFrame, key: str | None = None, periodic_cols=(),
     for c in columns:
         v = B.as_double(c) if c in num else F.col(c)
         aggs.append(F.count(v).alias(f"{c}__nn"))
+        aggs.append(F.approx_count_distinct(v, 0.01).alias(f"{c}__hll"))
         if c in num:
             aggs += [F.skewness(v).alias(f"{c}__skew"), F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
         if c in strs:
             aggs.append(F.avg(F.length(v)).alias(f"{c}__len"))
     r = df.agg(*aggs).first().asDict()
-    longs = []
-    if num:
-        longs.append(stack_columns(df, num).select("col_name", F.col("value").cast("string").alias("value")))
-    other = [c for c in columns if c not in num]
-    if other:
-        longs.append(stack_columns(df, other, value_type="string"))
-    nunique = {}
-    if longs:
-        u = longs[0]
-        for x in longs[1:]:
-            u = u.unionByName(x)
-        nunique = {row["col_name"]: row["n"] for row in
-                   u.groupBy("col_name", "value").agg(F.lit(1).alias("_o")).groupBy("col_name")
-                   .agg(F.count(F.lit(1)).alias("n")).collect()}
+    # distinct counts: the kind rules only compare with 1, 2 and 20, so an HLL
+    # estimate (in the same aggregate) screens columns and the exact count is
+    # taken with a bounded set only where the estimate is small
+    small = [c for c in columns if (r.get(f"{c}__hll") or 0) <= EXACT_DISTINCT_LIMIT]
+    nunique = {c: r.get(f"{c}__hll") or 0 for c in columns}
+    if small:
+        ex = df.agg(*[F.size(F.collect_set(B.as_double(c) if c in num else F.col(c))).alias(c) for c in small]).first()
+        nunique.update({c: ex[c] for c in small})
     # numeric: quartiles then outlier share
     quart = {}
     if num:
@@ -72,14 +71,21 @@ def detect_column_types(df: DataFrame, key: str | None = None, periodic_cols=(),
             v = B.as_double(c)
             aggs2.append(F.avg(F.when(v.isNull(), None).when((v < lo) | (v > hi), 1.0).otherwise(0.0)).alias(c))
         out_share = df.agg(*aggs2).first().asDict()
-    # strings: first values in key order (distributed top-k per column)
-    firsts = {}
+    # strings: first values in key order — one job over a union of distributed top-k
+    firsts = {c: [] for c in strs}
     if strs:
+        parts = []
         for c in strs:
             base = df.where(F.col(c).isNotNull())
-            if key:
-                base = base.orderBy(key)
-            firsts[c] = [x[0] for x in base.select(F.col(c).cast("string")).limit(20).collect()]
+            base = base.orderBy(key) if key else base
+            parts.append(base.select(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v"),
+                                     *([F.col(key).alias("_k")] if key else [F.lit(0).alias("_k")])).limit(20))
+        u = parts[0]
+        for p in parts[1:]:
+            u = u.unionByName(p)
+        got = u.collect()
+        for row in sorted(got, key=lambda x: (x["_c"], x["_k"])):
+            firsts[row["_c"]].append(row["_v"])
     rows = []
     n = r["_n"]
     for c in columns:
@@ -130,22 +136,35 @@ def detect_column_types(df: DataFrame, key: str | None = None, periodic_cols=(),
                                        "skewness double, has_outliers boolean")
 
 
-def _smiles_like(name, sample, spark, by_name=True) -> bool:
+def _smiles_like(name, sample, spark=None, by_name=True) -> bool:
+    """Molecule heuristic on the ≤ 20 sampled strings (driver-side helper that
+    mirrors :func:`looks_like_molecule`)."""
+    import re
     if by_name and any(h in name.lower() for h in SMILES_NAME_HINTS):
         return True
     if not sample:
         return False
-    s = spark.createDataFrame([(x,) for x in sample], "v string")
-    share = s.agg(F.avg(looks_like_molecule(F.col("v")).cast("double"))).first()[0]
-    return (share or 0.0) > 0.8
+    alpha = re.compile(MOLECULE_ALPHABET_PATTERN)
+    atom = re.compile(MOLECULE_ATOM_PATTERN)
+    word = re.compile(r"^[A-Za-z]+$")
+    ok = [bool(alpha.search(s)) and bool(atom.search(s)) and not (len(s) < 3 and word.search(s)) for s in sample]
+    return sum(ok) / len(ok) > 0.8
 
 
-def _datetime_like(sample, spark) -> bool:
+def _datetime_like(sample, spark=None) -> bool:
+    """All of the first ≤ 10 values parse as dates (pandas parser on the driver sample)."""
     if not sample:
         return False
-    s = spark.createDataFrame([(x,) for x in sample], "v string")
-    ok = s.agg(F.min(F.try_to_timestamp(F.col("v")).isNotNull().cast("int"))).first()[0]
-    return bool(ok)
+    import warnings
+
+    import pandas as pd
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            pd.to_datetime(pd.Series(sample))
+        return True
+    except (ValueError, TypeError, OverflowError):
+        return False
 
 
 def columns_by_type(profile: DataFrame, kind: str) -> list[str]:

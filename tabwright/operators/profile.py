@@ -60,15 +60,7 @@ def column_stats(df: DataFrame, columns=None, approx: bool = False) -> DataFrame
                                  *[F.col(f"{c}__{f}").alias(f) for f in fields]) for c in columns])
     base = row.select(F.inline(structs))
     # distinct counts (all columns) through one map-side-combined groupBy
-    longs = []
-    if num:
-        longs.append(stack_columns(df, num, value_type="double").select(
-            "col_name", F.col("value").cast("string").alias("value")))
-    other = [c for c in columns if c not in num]
-    if other:
-        longs.append(stack_columns(df, other, value_type="string"))
-    distinct = (_union_all(longs).groupBy("col_name", "value").agg(F.lit(1).alias("_one"))
-                .groupBy("col_name").agg(F.count(F.lit(1)).alias("n_unique")))
+    distinct = distinct_counts(df, columns)
     out = base.join(distinct, "col_name", "left")
     if num:
         q = exact_quantiles(df, num, [0.25, 0.5, 0.75], approx=approx).select(
@@ -86,6 +78,24 @@ def column_stats(df: DataFrame, columns=None, approx: bool = False) -> DataFrame
         "mean", "std", "min", "p25", "p50", "p75", "max", "skew", "kurt")
 
 
+def distinct_counts(df: DataFrame, columns) -> DataFrame:
+    """(col_name, n_unique) — non-null distinct values per column.  Numeric
+    columns are grouped on their double value, others on their string form;
+    each ``groupBy(col_name, value)`` combines map-side, so a hot value costs
+    one row per task before the shuffle."""
+    types = B.field_types(df)
+    num = [c for c in columns if B.is_numeric(types[c]) or B.is_boolean(types[c])]
+    other = [c for c in columns if c not in num]
+    parts = []
+    for cols, vt in ((num, "double"), (other, "string")):
+        if cols:
+            parts.append(stack_columns(df, cols, value_type=vt).groupBy("col_name", "value")
+                         .agg(F.lit(1).alias("_one")).groupBy("col_name").agg(F.count(F.lit(1)).alias("n_unique")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "col_name string, n_unique long")
+    return _union_all(parts)
+
+
 def top_values(df: DataFrame, columns=None, k: int = 5) -> DataFrame:
     """T3 / G1 — the ``k`` most frequent values of each (non-numeric) column.
 

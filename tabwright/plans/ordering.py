@@ -19,6 +19,8 @@ the same materialised partitions, and a lost executor recomputes nothing.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,44 +157,158 @@ def stack_columns(df: DataFrame, columns, name_col: str = "col_name", value_col:
 
 
 def exact_quantiles(df: DataFrame, columns, probs, approx: bool = False,
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, bins: int = 1024,
+                    max_collect: int = 50_000, max_passes: int = 12) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) of many columns.
 
-    Returns one row per column: ``column`` and ``q<i>`` for each requested prob.
-    Distributed: the value ladder gives each distinct value its position range,
-    and the two order statistics around ``(n-1)·p`` are picked with a range
-    predicate — no single task ever holds a column's values.  ``approx=True``
-    uses ``percentile_approx`` (bounded-memory sketch) instead.
+    Returns one row per column: ``col_name`` and ``q<i>`` for each requested prob.
+
+    Distributed selection, no sort: the order statistics at ranks ⌊(n−1)p⌋ and
+    ⌈(n−1)p⌉ are found by histogram refinement.  Each pass is ONE scan that
+    counts, for every unresolved target, the values of its current cell in
+    ``bins`` equal-width sub-bins (map-side combined, result ≤ bins × targets
+    rows); the sub-bin holding the wanted rank becomes the next cell.  A cell
+    whose rows are few (≤ ``max_collect``) or hold one distinct value is
+    resolved by collecting its (value, count) pairs.  Cells are defined by the
+    same bin expressions in every pass, so boundaries are exact.  A hot value
+    only makes a cell resolve sooner (min = max).  ``approx=True`` uses
+    ``percentile_approx`` (bounded-memory sketch) instead.
     """
     columns, probs = list(columns), [float(p) for p in probs]
     spark = df.sparkSession
     if not columns:
-        return spark.createDataFrame([], "column string")
+        return spark.createDataFrame([], "col_name string")
+    schema = "col_name string, " + ", ".join(f"q{i} double" for i in range(len(probs)))
+    vals = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]
     if approx:
-        aggs = [F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")),
-                                    probs, 10000).alias(c) for c in columns]
-        row = df.agg(*aggs)
-        parts = [row.select(F.lit(c).alias("col_name"), *[F.col(c)[i].cast("double").alias(f"q{i}")
-                                                       for i in range(len(probs))]) for c in columns]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    long = stack_columns(df, columns)
-    lad = value_ladder(long, "col_name", "value", num_partitions=num_partitions)
-    # target positions (0-based) lo = floor((n-1)p), hi = ceil((n-1)p)
-    sel = []
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1) * F.lit(p)
-        lo, hi = F.floor(h), F.ceil(h)
-        in_lo = (F.col("cum_before") <= lo) & (lo < F.col("cum_after"))
-        in_hi = (F.col("cum_before") <= hi) & (hi < F.col("cum_after"))
-        sel += [F.max(F.when(in_lo, F.col("value"))).alias(f"_lo{i}"),
-                F.max(F.when(in_hi, F.col("value"))).alias(f"_hi{i}"),
-                F.max(h - lo).alias(f"_fr{i}")]
-    g = lad.groupBy("col_name").agg(*sel)
-    return g.select("col_name", *[(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
-                                .alias(f"q{i}") for i in range(len(probs))])
+        row = df.agg(*[F.percentile_approx(v, probs, 10000).alias(f"_a{i}") for i, v in enumerate(vals)]).first()
+        rows = [(c, *[None if row[f"_a{i}"] is None else float(row[f"_a{i}"][j]) for j in range(len(probs))])
+                for i, c in enumerate(columns)]
+        return spark.createDataFrame(rows, schema)
+    st = df.agg(*[x for i, v in enumerate(vals) for x in (F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"),
+                                                          F.max(v).alias(f"hi{i}"))]).first()
+    # targets: (column index, rank) -> value
+    want = {}
+    for i in range(len(columns)):
+        n = st[f"n{i}"]
+        if not n:
+            continue
+        for p in probs:
+            h = (n - 1) * p
+            for r in (int(math.floor(h)), int(math.ceil(h))):
+                want[(i, r)] = None
+    # cell of a target: list of (a, b) refinements; rank offset inside the cell
+    cells = {t: ([], 0) for t in want}
+    lo = {i: st[f"lo{i}"] for i in range(len(columns))}
+    hi = {i: st[f"hi{i}"] for i in range(len(columns))}
+    for t in list(want):
+        if lo[t[0]] == hi[t[0]]:
+            want[t] = lo[t[0]]
+
+    def in_cell(i, path):
+        cond = vals[i].isNotNull()
+        for (a, b, j) in path:
+            cond = cond & (_bin(vals[i], a, b, bins) == j)
+        return cond
+
+    for _ in range(max_passes):
+        todo = [t for t in want if want[t] is None]
+        if not todo:
+            break
+        # group targets that share a cell (same column, same path)
+        groups = {}
+        for t in todo:
+            path, off = cells[t]
+            groups.setdefault((t[0], tuple(path)), []).append(t)
+        meta = []
+        for g_idx, ((i, path), ts) in enumerate(groups.items()):
+            path = list(path)
+            a, b = _cell_range(path, lo[i], hi[i], bins)
+            meta.append((i, path, a, b, ts))
+        # one scan: every row contributes (cell group, sub-bin, value) for the cells it lies in
+        parts = []
+        for g, (i, path, a, b, ts) in enumerate(meta):
+            cond = in_cell(i, path)
+            parts.append(F.struct(F.when(cond, F.lit(g)).alias("g"), _bin(vals[i], a, b, bins).alias("j"),
+                                  vals[i].alias("v")))
+        # ``inline`` of a struct array (no lambda) keeps the scan in generated code
+        ex = df.select(F.inline(F.array(*parts))).where(F.col("g").isNotNull())
+        hist = (ex.groupBy("g", "j")
+                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect())
+        by_g = {}
+        for r in hist:
+            by_g.setdefault(r["g"], []).append((r["j"], r["n"], r["mn"], r["mx"]))
+        collect_req = []
+        for g, (i, path, a, b, ts) in enumerate(meta):
+            hb = sorted(by_g.get(g, []))
+            for t in ts:
+                off = cells[t][1]
+                need = t[1] - off
+                acc = 0
+                for j, n, mn, mx in hb:
+                    if need < acc + n:
+                        if mn == mx:
+                            want[t] = mn
+                        else:
+                            newpath = path + [(a, b, j)]
+                            cells[t] = (newpath, off + acc)
+                            if n <= max_collect:
+                                collect_req.append((t, i, newpath))
+                        break
+                    acc += n
+        if collect_req:
+            uniq = {}
+            for t, i, path in collect_req:
+                uniq.setdefault((i, tuple(path)), []).append(t)
+            parts = []
+            keys = list(uniq.items())
+            for g, ((i, path), ts) in enumerate(keys):
+                parts.append(F.struct(F.when(in_cell(i, list(path)), F.lit(g)).alias("g"), vals[i].alias("v")))
+            ex = df.select(F.inline(F.array(*parts))).where(F.col("g").isNotNull())
+            got = ex.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")).collect()
+            per = {}
+            for r in got:
+                per.setdefault(r["g"], []).append((r["v"], r["n"]))
+            for g, ((i, path), ts) in enumerate(keys):
+                vc = sorted(per.get(g, []))
+                for t in ts:
+                    need = t[1] - cells[t][1]
+                    acc = 0
+                    for v, n in vc:
+                        if need < acc + n:
+                            want[t] = v
+                            break
+                        acc += n
+    rows = []
+    for i, c in enumerate(columns):
+        n = st[f"n{i}"]
+        if not n:
+            rows.append((c, *[None] * len(probs)))
+            continue
+        qs = []
+        for p in probs:
+            h = (n - 1) * p
+            a_, b_ = want[(i, int(math.floor(h)))], want[(i, int(math.ceil(h)))]
+            qs.append(float(a_ + (h - math.floor(h)) * (b_ - a_)))
+        rows.append((c, *qs))
+    return spark.createDataFrame(rows, schema)
+
+
+def _bin(v, a: float, b: float, bins: int):
+    """Sub-bin index of v inside the cell [a, b] (last bin closed)."""
+    if b <= a:
+        return F.lit(0)
+    return F.least(F.greatest(F.floor((v - F.lit(a)) / F.lit(b - a) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+
+
+def _cell_range(path, lo, hi, bins):
+    """Numeric range of the cell reached by ``path`` (used only to place the
+    next sub-bins; membership is always decided by the bin expressions)."""
+    a, b = lo, hi
+    for (pa, pb, j) in path:
+        w = (pb - pa) / bins
+        a, b = pa + j * w, (pa + (j + 1) * w if j < bins - 1 else pb)
+    return a, b
 
 
 def average_ranks(df: DataFrame, columns, suffix: str = "_rank", num_partitions: int | None = None,

@@ -43,29 +43,32 @@ def _score(pred: DataFrame, task: str, label: str = "label") -> float:
 
 def cross_validate(data: DataFrame, key: str, folds: DataFrame, model_key: str, task: str,
                    label: str = "label", params: dict | None = None, return_oof: bool = False):
-    """V1 — per split fit on the training rows, score (r2 / accuracy) on the
-    test rows.  ``data`` holds key, label and ``features``; ``folds`` is (key, fold)."""
+    """V1 — per split fit on the training rows and predict the held-out rows;
+    all folds' predictions are scored in ONE grouped metric job (r2 for
+    regression, accuracy for classification).  ``data`` holds key, label and
+    ``features``; ``folds`` is (key, fold).  With ``return_oof`` the same
+    held-out predictions are returned (no refit)."""
     j = data.join(folds, key)
-    n_splits = [r[0] for r in folds.select("fold").distinct().where("fold >= 0").orderBy("fold").collect()]
-    rows, oofs = [], []
-    for k in n_splits:
-        tr = j.where(F.col("fold") != k)
-        te = j.where(F.col("fold") == k)
+    splits = [r[0] for r in folds.select("fold").distinct().where("fold >= 0").orderBy("fold").collect()]
+    preds, fit_times = [], {}
+    for k in splits:
         t0 = time.time()
-        m = get_model(model_key, task, label=label, **(params or {})).fit(tr)
-        fit_t = time.time() - t0
-        p = m.transform(te)
-        rows.append((model_key, int(k), _score(p, task, label), fit_t))
-        if return_oof:
-            oofs.append(p.select(key, F.col(label).cast("double").alias("y_true"),
-                                 F.col("prediction").cast("double").alias("y_pred"), F.lit(int(k)).alias("split_id")))
+        m = get_model(model_key, task, label=label, **(params or {})).fit(j.where(F.col("fold") != k))
+        fit_times[int(k)] = time.time() - t0
+        preds.append(m.transform(j.where(F.col("fold") == k)).select(
+            key, F.col(label).cast("double").alias("y_true"), F.col("prediction").cast("double").alias("y_pred"),
+            F.lit(int(k)).alias("split_id")))
+    oof = preds[0]
+    for p in preds[1:]:
+        oof = oof.unionByName(p)
+    if task == "regression":
+        sc = EV.regression_metrics(oof, by=["split_id"]).select("split_id", F.col("r2").alias("score"))
+    else:
+        sc = oof.groupBy("split_id").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("score"))
+    rows = [(model_key, int(r["split_id"]), float(r["score"]) if r["score"] is not None else float("nan"),
+             fit_times[int(r["split_id"])]) for r in sc.collect()]
     scores = data.sparkSession.createDataFrame(rows, "model string, split_id int, score double, fit_time double")
-    if return_oof:
-        oof = oofs[0]
-        for o in oofs[1:]:
-            oof = oof.unionByName(o)
-        return scores, oof
-    return scores
+    return (scores, oof) if return_oof else scores
 
 
 @dataclass
@@ -88,7 +91,7 @@ def automl(df: DataFrame, target: str, key: str, models=None, n_splits: int = 5,
     data_quality_check(df, target)
     df = drop_unlabelled(df, target)
     task = infer_task(df, target, "automl")
-    profile = detect_column_types(df, key=key)
+    profile = detect_column_types(df, key=key, columns=[c for c in df.columns if c not in (key, target)])
     prep = AutoPreprocessor(config).fit(df, target, profile=profile, key=key, keep=[key, target])
     x = prep.transform(df)
     feats = [c for c in x.columns if c not in (key, target)]
@@ -105,12 +108,13 @@ def automl(df: DataFrame, target: str, key: str, models=None, n_splits: int = 5,
     folds = S.kfold(data.select(key), key, n_splits, shuffle=True, seed=seed)
     models = list(models or default_models(task))
     deadline = time.time() + time_budget
-    parts = []
+    parts, oofs = [], {}
     for mk in models:
         if time.time() > deadline:
             break
         try:
-            parts.append(cross_validate(data, key, folds, mk, task, label))
+            sc, oofs[mk] = cross_validate(data, key, folds, mk, task, label, return_oof=True)
+            parts.append(sc)
         except Exception:  # noqa: BLE001 — a failing model is skipped like the reference
             continue
     if not parts:
@@ -121,7 +125,7 @@ def automl(df: DataFrame, target: str, key: str, models=None, n_splits: int = 5,
     scores = scores.cache()
     lb = EV.leaderboard(scores, fit_time="fit_time")
     best = lb.where("rank = 1").first()["model"]
-    _, oof = cross_validate(data, key, folds, best, task, label, return_oof=True)
+    oof = oofs[best]
     final = get_model(best, task, label=label).fit(data)
     return AutoMLResult(task, lb, scores, best, final, oof, feats, prep)
 

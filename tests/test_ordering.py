@@ -43,7 +43,8 @@ def test_running_totals(spark):
 
 
 def test_empty_and_single(spark):
+    # an empty column yields NULL quantiles
     empty = spark.createDataFrame([], "x double")
-    assert exact_quantiles(empty, ["x"], [0.5]).count() == 0
+    assert exact_quantiles(empty, ["x"], [0.5]).first()["q0"] is None
     one = spark.createDataFrame([(5.0,)], "x double")
     assert exact_quantiles(one, ["x"], [0.25, 0.75]).first()["q0"] == 5.0
