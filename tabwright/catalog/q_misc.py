@@ -276,3 +276,72 @@ def q_read_table(spark, sf):
     from tabwright.sources.io import read_table
     li = read_table(spark, f"{sf.rstrip('/')}/lineitem.parquet")
     return li.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40)).select("l_orderkey", "l_extendedprice")
+
+
+# --- reduction and selection (E28, E30, E31, L1) --------------------------------
+from tabwright.operators import reduce as RD  # noqa: E402
+
+_RNUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("covariance_matrix", " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(covar_samp({a}, {b}), 6) AS cov FROM lineitem"
+    for a in _RNUM for b in _RNUM))
+def q_cov(spark, sf):
+    return r6(RD.covariance_matrix(table(spark, sf, "lineitem"), _RNUM))
+
+
+@register("pca_scores")
+def q_pca(spark, sf):
+    li = table(spark, sf, "lineitem")
+    m = RD.fit_pca(li, _RNUM, 2)
+    return m.transform(li, keep=["l_orderkey", "l_linenumber"])
+
+
+@register("f_regression_select", """
+SELECT feature, round(f_score, 4) AS f_score, rank FROM (
+  SELECT feature, f_score, row_number() OVER (ORDER BY f_score DESC, feature) AS rank FROM (
+""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, l_extendedprice) ^ 2 / (1 - corr({c}, l_extendedprice) ^ 2) "
+                         f"* (count(*) - 2) AS f_score FROM lineitem" for c in ["l_quantity", "l_discount", "l_tax"]) + ")) WHERE rank <= 2")
+def q_f_select(spark, sf):
+    sc = RD.f_scores(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return RD.select_k_best(sc, k=2).select("feature", F.round("f_score", 4).alias("f_score"), "rank")
+
+
+@register("f_classif_scores", """
+WITH g AS (SELECT l_returnflag, count(*) AS n, """ + ", ".join(f"sum({c}) AS s_{c}, sum({c} * {c}) AS q_{c}" for c in ["l_quantity", "l_discount"]) + """
+           FROM lineitem GROUP BY 1),
+t AS (SELECT sum(n) AS N, count(*) AS K, """ + ", ".join(f"sum(s_{c}) AS S_{c}, sum(q_{c}) AS Q_{c}, sum(s_{c} * s_{c} / n) AS B_{c}" for c in ["l_quantity", "l_discount"]) + """ FROM g)
+""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(((B_{c} - S_{c} * S_{c} / N) / (K - 1)) / ((Q_{c} - B_{c}) / (N - K)), 4) AS f_score FROM t"
+                         for c in ["l_quantity", "l_discount"]))
+def q_f_classif(spark, sf):
+    sc = RD.f_scores(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_returnflag", task="classification")
+    return sc.select("feature", F.round("f_score", 4).alias("f_score"))
+
+
+@register("mutual_information", """
+WITH mm AS (SELECT min(l_quantity) AS lq, max(l_quantity) AS hq, min(l_discount) AS ld, max(l_discount) AS hd FROM lineitem),
+u AS (SELECT 'l_quantity' AS feature, least(floor((l_quantity - lq) / (hq - lq) * 10), 9)::INT AS bx, l_returnflag AS yb FROM lineitem, mm
+      UNION ALL SELECT 'l_discount', least(floor((l_discount - ld) / (hd - ld) * 10), 9)::INT, l_returnflag FROM lineitem, mm),
+c AS (SELECT feature, bx, yb, count(*) AS nxy FROM u GROUP BY ALL),
+c2 AS (SELECT *, sum(nxy) OVER (PARTITION BY feature) AS n, sum(nxy) OVER (PARTITION BY feature, bx) AS nx,
+              sum(nxy) OVER (PARTITION BY feature, yb) AS ny FROM c)
+SELECT feature, round(sum(nxy / n * ln(nxy * n / (nx * ny))), 6) AS mi FROM c2 GROUP BY feature""")
+def q_mi(spark, sf):
+    return r6(RD.mutual_information(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_returnflag", 10))
+
+
+@register("hat_diagonal", """
+WITH s AS (SELECT avg(c_acctbal) AS ma, stddev_pop(c_acctbal) AS sa, avg(c_nationkey) AS mn, stddev_pop(c_nationkey) AS sn FROM customer),
+z AS (SELECT c_custkey, (c_acctbal - ma) / sa AS a, (c_nationkey - mn) / sn AS b FROM customer, s),
+x AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM z)
+SELECT c_custkey, round(least(greatest(abs((bb * a * a - 2 * ab * a * b + aa * b * b) / (aa * bb - ab * ab)), 0), 1), 6) AS leverage FROM z, x""")
+def q_hat(spark, sf):
+    return r6(RD.hat_diagonal(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], keep=["c_custkey"]))
+
+
+@register("maximin_selection")
+def q_maximin(spark, sf):
+    cu = table(spark, sf, "customer")
+    ids = RD.maximin_selection(cu, "c_custkey", ["c_acctbal", "c_nationkey"], 8)
+    return cu.where(F.col("c_custkey").isin(ids)).select("c_custkey", "c_acctbal", "c_nationkey")
