@@ -345,3 +345,36 @@ def q_maximin(spark, sf):
     cu = table(spark, sf, "customer")
     ids = RD.maximin_selection(cu, "c_custkey", ["c_acctbal", "c_nationkey"], 8)
     return cu.where(F.col("c_custkey").isin(ids)).select("c_custkey", "c_acctbal", "c_nationkey")
+
+
+# --- sufficient-statistics models and pipeline grid (M9, M10, E4, V17) ----------
+@register("pls_predictions")
+def q_pls(spark, sf):
+    from tabwright.plans.linear_models import fit_pls
+    li = table(spark, sf, "lineitem")
+    m = fit_pls(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 2)
+    return m.transform(li).select("l_orderkey", "l_linenumber", "prediction")
+
+
+@register("bayesian_ridge_predictions")
+def q_bayes_ridge(spark, sf):
+    from tabwright.plans.linear_models import fit_bayesian_ridge
+    li = table(spark, sf, "lineitem")
+    return fit_bayesian_ridge(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice").transform(li) \
+        .select("l_orderkey", "l_linenumber", "prediction")
+
+
+@register("iterative_impute")
+def q_iter_impute(spark, sf):
+    from tabwright.plans.linear_models import iterative_impute
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                                             F.expr("nullif(l_discount, 0.0)").alias("l_discount"))
+    return iterative_impute(li, ["l_quantity", "l_extendedprice", "l_discount"], n_iter=3)
+
+
+@register("pipeline_grid_search")
+def q_grid_search(spark, sf):
+    from tabwright.plans.grid import PipelineGridConfig, grid_search
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice")
+    cfg = PipelineGridConfig(scalers=["standard", "robust"], estimators=["linear", "ridge"])
+    return grid_search(o, "o_totalprice", "o_orderkey", cfg, n_splits=3)

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 
-SLOW = {"automl_two_models", "near_duplicate_pairs"}
+SLOW = {"automl_two_models", "near_duplicate_pairs", "pipeline_grid_search"}
 
 
 def test_entry_runs(spark):
