@@ -378,3 +378,22 @@ def q_grid_search(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice")
     cfg = PipelineGridConfig(scalers=["standard", "robust"], estimators=["linear", "ridge"])
     return grid_search(o, "o_totalprice", "o_orderkey", cfg, n_splits=3)
+
+
+# --- RBF similarity pairs and groups (L2, L6) --------------------------------------
+@register("rbf_similarity_pairs", """
+WITH s AS (SELECT avg(c_acctbal) AS ma, stddev_pop(c_acctbal) AS sa, avg(c_nationkey) AS mn, stddev_pop(c_nationkey) AS sn FROM customer),
+z AS (SELECT c_custkey AS id, (c_acctbal - ma) / sa AS a, (c_nationkey - mn) / sn AS b FROM customer, s)
+SELECT x.id AS id_a, y.id AS id_b, round(exp(-0.5 * ((x.a - y.a) ^ 2 + (x.b - y.b) ^ 2)), 6) AS sim
+FROM z x JOIN z y ON x.id < y.id WHERE exp(-0.5 * ((x.a - y.a) ^ 2 + (x.b - y.b) ^ 2)) >= 0.9999""")
+def q_rbf_pairs(spark, sf):
+    pairs, _ = L.rbf_threshold_pairs(table(spark, sf, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"],
+                                     0.9999, gamma=0.5)
+    return r6(pairs)
+
+
+@register("similarity_groups")
+def q_sim_groups(spark, sf):
+    cu = table(spark, sf, "customer")
+    pairs, _ = L.rbf_threshold_pairs(cu, "c_custkey", ["c_acctbal", "c_nationkey"], 0.999, gamma=0.5)
+    return L.connected_components(pairs, cu.select(F.col("c_custkey").alias("id")))

@@ -185,3 +185,42 @@ def partial_dependence(df: DataFrame, feature: str, predict, grid_points: int =
     scored = predict(ex)
     pd_ = scored.groupBy("grid_id", "grid_value").agg(F.avg("prediction").alias("mean_prediction"))
     return pd_
+
+
+def tree_rules(model, feature_names, df: DataFrame | None = None) -> DataFrame:
+    """I9 — one row per leaf of a fitted Spark ML decision tree: the rule as a
+    SQL predicate over the feature columns, the leaf prediction and, with
+    ``df``, its support (share of rows) from ONE aggregate of all predicates.
+    Importance = the model's feature importances of the features used."""
+    root = model._java_obj.rootNode()
+    rules = []
+
+    def walk(node, conds):
+        if node.getClass().getSimpleName() == "LeafNode":
+            rules.append((" AND ".join(conds) if conds else "true", float(node.prediction())))
+            return
+        sp = node.split()
+        f = feature_names[sp.featureIndex()]
+        if sp.getClass().getSimpleName() == "ContinuousSplit":
+            t = sp.threshold()
+            walk(node.leftChild(), conds + [f"`{f}` <= {t!r}"])
+            walk(node.rightChild(), conds + [f"`{f}` > {t!r}"])
+        else:
+            cats = ", ".join(repr(float(c)) for c in sp.leftCategories())
+            walk(node.leftChild(), conds + [f"`{f}` IN ({cats})"])
+            walk(node.rightChild(), conds + [f"NOT (`{f}` IN ({cats}))"])
+    walk(root, [])
+    spark = (df.sparkSession if df is not None else None)
+    imp = list(model.featureImportances.toArray())
+    rows = []
+    sup = {}
+    if df is not None and rules:
+        r = df.agg(*[F.avg(F.expr(rule).cast("double")).alias(f"r{i}") for i, (rule, _) in enumerate(rules)]).first()
+        sup = {i: r[f"r{i}"] for i in range(len(rules))}
+    for i, (rule, pred) in enumerate(rules):
+        used = [j for j, f in enumerate(feature_names) if f"`{f}`" in rule]
+        rows.append((i, rule, pred, sup.get(i), float(sum(imp[j] for j in used))))
+    if spark is None:
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+    return spark.createDataFrame(rows, "rule_id int, rule string, prediction double, support double, importance double")

@@ -110,3 +110,29 @@ def test_polymer_cap(spark):
     df = spark.createDataFrame([("*CC*",), ("[*:1]CC[*]",), ("CCO",)], "s string")
     out = [r["s_capped"] for r in M.polymer_rows(df, "s").collect()]
     assert out == ["[CH3]CC[CH3]", "[CH3]CC[CH3]", "CCO"]
+
+
+def test_detect_leakage_grouped_points_a13(spark):
+    rng = np.random.default_rng(42)
+    centres = rng.normal(0, 10, size=(3, 5))
+    rows = []
+    for g in range(3):
+        for i in range(10):
+            x = centres[g] + rng.normal(0, 0.01, 5)
+            rows.append((g * 10 + i, *map(float, x), float(g)))
+    df = spark.createDataFrame(rows, "id long, x0 double, x1 double, x2 double, x3 double, x4 double, g double")
+    rep = L.detect_leakage(df, "id", ["x0", "x1", "x2", "x3", "x4"], threshold=0.95)
+    assert rep["risk_level"] == "high" and rep["n_groups"] == 3
+    grp = {r["id"]: r["group"] for r in rep["groups"].collect()}
+    assert all(grp[g * 10 + i] == grp[g * 10] for g in range(3) for i in range(10))
+
+
+def test_tree_rules_support_sums_to_one(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+    rows = [(float(i % 10), float(i % 7), float((i % 10) * 2 + (i % 7))) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    m = DecisionTreeRegressor(labelCol="y", maxDepth=3).fit(data)
+    rules = X.tree_rules(m, ["a", "b"], df).collect()
+    assert abs(sum(r["support"] for r in rules) - 1.0) < 1e-9
