@@ -397,3 +397,12 @@ def q_sim_groups(spark, sf):
     cu = table(spark, sf, "customer")
     pairs, _ = L.rbf_threshold_pairs(cu, "c_custkey", ["c_acctbal", "c_nationkey"], 0.999, gamma=0.5)
     return L.connected_components(pairs, cu.select(F.col("c_custkey").alias("id")))
+
+
+@register("append_columns", """
+SELECT o.*, c.c_nationkey, c.c_acctbal, c.c_mktsegment FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""")
+def q_append_columns(spark, sf):
+    from tabwright.operators.setops import append_columns
+    o = table(spark, sf, "orders")
+    c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey").drop("c_name")
+    return append_columns(o, c, "o_custkey")

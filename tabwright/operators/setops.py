@@ -70,3 +70,10 @@ def poisson_weights(df: DataFrame, key: str, b: int, seed: int = 42, name: str =
     for k in reversed(range(12)):
         w = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(w)
     return df.withColumn(name, w.cast("double"))
+
+
+def append_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """J4 — column-wise append of two tables aligned on ``key`` (equi-join, not
+    position); on a name clash the left table's column wins."""
+    extra = [c for c in right.columns if c != key and c not in left.columns]
+    return left.join(right.select(key, *extra), key, "left")

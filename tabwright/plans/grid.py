@@ -132,3 +132,66 @@ def automl_over_sets(df: DataFrame, target: str, key: str, column_sets: dict, **
             rows.append((name, None, None))
     return df.sparkSession.createDataFrame(rows, "column_set string, best_model string, score double") \
         .orderBy(F.desc_nulls_last("score"))
+
+
+def full_analysis(df: DataFrame, target: str, key: str, models=None, n_splits: int = 5, pca: bool = True,
+                  importances: bool = True) -> dict:
+    """V21 — profile → kinds → automl → evaluation → 2-component PCA →
+    importances; each phase may fail on its own and becomes a warning."""
+    from tabwright.operators.kinds import detect_column_types
+    from tabwright.operators.profile import column_stats, table_summary
+    from tabwright.operators.reduce import fit_pca
+    from tabwright.plans.train import automl
+    out, warnings = {}, []
+    for name, fn in (("summary", lambda: table_summary(df)), ("stats", lambda: column_stats(df)),
+                     ("kinds", lambda: detect_column_types(df, key=key))):
+        try:
+            out[name] = fn()
+        except Exception as e:  # noqa: BLE001
+            warnings.append(f"{name}: {e}")
+    try:
+        res = automl(df, target, key, models=models, n_splits=n_splits)
+        out["automl"] = res
+        from tabwright.operators import evaluate as EV
+        out["evaluation"] = (EV.regression_metrics(res.oof) if res.task == "regression"
+                             else EV.classification_metrics(res.oof))
+        if pca:
+            num = [c for c in df.columns if c not in (key, target) and dict(df.dtypes)[c] in ("double", "int", "bigint", "float")]
+            if len(num) >= 2:
+                out["pca"] = fit_pca(df, num, 2)
+        if importances and hasattr(res.best_model, "featureImportances"):
+            imp = res.best_model.featureImportances.toArray()
+            out["importances"] = sorted(zip(res.feature_names, map(float, imp)), key=lambda t: -abs(t[1]))
+        elif importances and hasattr(res.best_model, "coefficients"):
+            co = res.best_model.coefficients.toArray()
+            out["importances"] = sorted(zip(res.feature_names, map(float, co)), key=lambda t: -abs(t[1]))
+    except Exception as e:  # noqa: BLE001
+        warnings.append(f"automl: {e}")
+    out["warnings"] = warnings
+    return out
+
+
+def suggest_experiments(observed: DataFrame, features, target: str, n: int = 5, constraints=(), bounds: dict | None = None,
+                        method: str = "auto", n_max: int = 10_000, kind: str = "ptr", target_range=None,
+                        objective: str = "maximize", seed: int = 42) -> DataFrame:
+    """O12 — space from the observed table → user bounds → candidates →
+    constraints (one pass) → GP surrogate → top n.  The default target range
+    for PTR is the observed quartiles of the target."""
+    from tabwright.operators.constrain import apply_constraints
+    from tabwright.operators.search import generate_candidates, space_from_table
+    from tabwright.operators.surrogate import suggest
+    from tabwright.plans.ordering import exact_quantiles
+    space = space_from_table(observed, list(features))
+    for v in space.variables:
+        if bounds and v.name in bounds:
+            v.lo, v.hi = bounds[v.name]
+    cands = generate_candidates(observed.sparkSession, space, method, n_max=n_max, seed=seed)
+    if constraints:
+        cands, _ = apply_constraints(cands, list(constraints))
+    kw = {}
+    if kind == "ptr":
+        if target_range is None:
+            q = exact_quantiles(observed, [target], [0.25, 0.75]).first()
+            target_range = (q["q0"], q["q1"])
+        kw = {"lo": target_range[0], "hi": target_range[1]}
+    return suggest(observed, cands, list(features), target, n=n, kind=kind, objective=objective, **kw)
