@@ -213,3 +213,16 @@ SELECT round(coalesce(min(c_acctbal), 0.0),6) AS min, round(coalesce(max(c_acctb
        round(coalesce(stddev_samp(c_acctbal), 0.0),6) AS std FROM customer""")
 def q_range_stats(spark, sf):
     return r6(P.range_stats(table(spark, sf, "customer"), "c_acctbal"))
+
+
+_KCOLS = ["p_size", "p_retailprice"]
+_KSQL = """SELECT '{a}' AS col_a, '{b}' AS col_b, round(sum(sign(x.{a} - y.{a}) * sign(x.{b} - y.{b}))
+           / sqrt((count(*) - sum((x.{a} = y.{a})::INT)) * (count(*) - sum((x.{b} = y.{b})::INT))), 6) AS corr
+           FROM part x JOIN part y ON x.p_partkey < y.p_partkey"""
+
+
+@register("correlation_kendall", " UNION ALL ".join(
+    (_KSQL.format(a=a, b=b) if a != b else f"SELECT '{a}' AS col_a, '{b}' AS col_b, 1.0 AS corr")
+    for a in _KCOLS for b in _KCOLS))
+def q_corr_kendall(spark, sf):
+    return r6(P.correlation_matrix(table(spark, sf, "part"), "kendall", _KCOLS))

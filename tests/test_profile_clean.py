@@ -107,3 +107,26 @@ def test_validate_conflicts():
     res = K.validate_constraints([{"type": "range", "column": "A", "lo": 0, "hi": 1},
                                   {"type": "range", "column": "A", "lo": 2, "hi": 3}])
     assert len(res["conflicts"]) == 1
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_kendall_matches_bruteforce(spark, parts):
+    import itertools
+    import random
+    from tabwright.plans.kendall import kendall_tau_b
+    rnd = random.Random(7)
+    rows = [(float(rnd.randint(0, 12)), float(rnd.randint(0, 9))) for _ in range(150)]
+    got = kendall_tau_b(spark.createDataFrame(rows, "x double, y double"), "x", "y", parts=parts)
+    s = tx = ty = 0
+    for (a, b), (c, d) in itertools.combinations(rows, 2):
+        s += (a > c) - (a < c) if (b != d) else 0
+        s = s
+    conc = disc = 0
+    n0 = len(rows) * (len(rows) - 1) // 2
+    for (a, b), (c, d) in itertools.combinations(rows, 2):
+        sx, sy = (a > c) - (a < c), (b > d) - (b < d)
+        conc += sx * sy
+        tx += sx == 0
+        ty += sy == 0
+    exp = conc / ((n0 - tx) * (n0 - ty)) ** 0.5
+    assert got == pytest.approx(exp, abs=1e-12)
