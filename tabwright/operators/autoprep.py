@@ -84,8 +84,11 @@ class AutoPreprocessor:
             key: str | None = None, keep=()) -> AutoPreprocessModel:
         cfg = self.config
         skip = set(keep) | ({key} if key else set())
+        side = {}
         profile = profile if profile is not None else detect_column_types(
-            df, key=key, columns=[c for c in df.columns if c not in skip])
+            df, key=key, columns=[c for c in df.columns if c not in skip], stats_out=side)
+        vcounts = side.get("value_counts", {})
+        types = dict(df.dtypes)
         kinds = {r["col_name"]: r["col_type"] for r in profile.collect()}
         exclude = set(cfg.passthrough_cols) | set(keep)
         if key:
@@ -106,9 +109,13 @@ class AutoPreprocessor:
             cols = by.get(kind, [])
             if not cols:
                 continue
+            sc = scaler or cfg.numeric_scaler
+            fast = _numeric_fast_path(cur, cols, cfg, sc)
+            if fast is not None:
+                steps.append(Step(group, cols, list(fast)))
+                continue
             imp = P.Imputer(cfg.numeric_imputer, add_indicator=cfg.add_missing_indicator).fit(cur, cols)
             imputed = imp.transform(cur.select(*cols))
-            sc = scaler or cfg.numeric_scaler
             if sc == "power":
                 m2 = P.PowerTransformer(cfg.power_method).fit(imputed, cols)
             elif sc in ("quantile_normal", "quantile_uniform"):
@@ -124,14 +131,29 @@ class AutoPreprocessor:
             steps.append(Step(group, cols, [imp, m2]))
         if by.get("binary"):
             cols = by["binary"]
-            imp = P.Imputer("most_frequent").fit(df, cols)
-            enc = P.fit_ordinal(imp.transform(df.select(*cols)), cols)
+            if all(types[c] == "string" and c in vcounts for c in cols):
+                imp = P.ImputerModel({c: _mode(vcounts[c]) for c in cols}, cols)
+                enc = _inline_ordinal(cols, vcounts)
+            else:
+                imp = P.Imputer("most_frequent").fit(df, cols)
+                enc = P.fit_ordinal(imp.transform(df.select(*cols)), cols)
             steps.append(Step("binary", cols, [imp, enc]))
         for kind, group, enc_name in (("category_low", "cat_low", cfg.cat_low_encoder),
                                       ("category_high", "cat_high", cfg.cat_high_encoder)):
             cols = by.get(kind, [])
             if not cols:
                 continue
+            known = all(types[c] == "string" and c in vcounts for c in cols)
+            if known and cfg.categorical_imputer == "most_frequent" and enc_name in ("onehot", "ordinal") \
+                    and not cfg.onehot_max_categories and max(len(vcounts[c]) for c in cols) <= P.INLINE_CATEGORY_LIMIT:
+                imp = P.ImputerModel({c: _mode(vcounts[c]) for c in cols}, cols)
+                if enc_name == "onehot":
+                    enc = P.OneHotModel({c: sorted(str(v) for v, _ in vcounts[c]) for c in cols},
+                                        cfg.onehot_drop == "first", {}, cols)
+                else:
+                    enc = _inline_ordinal(cols, vcounts)
+                steps.append(Step(group, cols, [imp, enc]))
+                continue
             imp = P.Imputer(cfg.categorical_imputer).fit(df, cols)
             filled = imp.transform(df.select(*cols, *([target] if target else [])))
             if enc_name == "onehot":
@@ -157,6 +179,51 @@ class AutoPreprocessor:
         return AutoPreprocessModel(steps, passthrough, list(keep))
 
 
+def _mode(pairs):
+    """Most frequent value; ties go to the smallest value."""
+    return min(pairs, key=lambda vc: (-vc[1], vc[0]))[0] if pairs else None
+
+
+def _inline_ordinal(cols, vcounts) -> P.MapModel:
+    """Ordinal codes from already-known value counts (sorted levels, unknown −1)."""
+    inline = {c: {str(v): (float(i),) for i, v in enumerate(sorted(str(x) for x, _ in vcounts[c]))} for c in cols}
+    return P.MapModel({}, {c: [(c, "code")] for c in cols}, {c: -1.0 for c in cols}, inline, list(cols))
+
+
+def _numeric_fast_path(df: DataFrame, cols, cfg: PreprocessConfig, scaler: str):
+    """Mean imputation followed by standard / minmax / maxabs / none scaling in
+    ONE aggregate: mean imputation keeps the mean, min, max and max |x|, and
+    shrinks the population variance by the observed share."""
+    if cfg.numeric_imputer != "mean" or cfg.add_missing_indicator:
+        return None
+    kind = "standard" if scaler == "auto" else scaler
+    if kind not in ("standard", "minmax", "maxabs", "none"):
+        return None
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for c in cols:
+        v = P._v(c)
+        aggs += [F.avg(v).alias(f"{c}__m"), F.count(v).alias(f"{c}__nn"), F.var_pop(v).alias(f"{c}__v"),
+                 F.min(v).alias(f"{c}__lo"), F.max(v).alias(f"{c}__hi"), F.max(F.abs(v)).alias(f"{c}__ma")]
+    r = df.agg(*aggs).first()
+    fills = {c: r[f"{c}__m"] for c in cols}
+    imp = P.ImputerModel(fills, list(cols))
+    params = {}
+    for c in cols:
+        m, nn, n = r[f"{c}__m"] or 0.0, r[f"{c}__nn"] or 0, r["_n"] or 1
+        if kind == "standard":
+            var = (r[f"{c}__v"] or 0.0) * nn / n
+            sd = var ** 0.5
+            params[c] = (m, sd if sd else 1.0)
+        elif kind == "minmax":
+            lo, hi = r[f"{c}__lo"], r[f"{c}__hi"]
+            params[c] = (lo or 0.0, (hi - lo) if lo is not None and hi != lo else 1.0)
+        elif kind == "maxabs":
+            params[c] = (r[f"{c}__ma"] or 1.0,)
+        else:
+            params[c] = ()
+    return imp, P.ScalerModel(kind, params, list(cols))
+
+
 def auto_preprocess(df: DataFrame, target: str | None = None, config: PreprocessConfig | None = None,
                     key: str | None = None, keep=()) -> DataFrame:
     return AutoPreprocessor(config).fit(df, target, key=key, keep=keep).transform(df)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import boundary as B
 from tabwright.functions.scalar import MOLECULE_ALPHABET_PATTERN, MOLECULE_ATOM_PATTERN
-from tabwright.plans.ordering import exact_quantiles
+from tabwright.plans.ordering import exact_quantiles, stack_columns
 
 # Kind names, thresholds and the molecule-name hints.
 KINDS = ["binary", "category_low", "category_high", "numeric_normal", "numeric_log", "numeric_power",
@@ -29,11 +29,14 @@ EXACT_DISTINCT_LIMIT = 1000   # exact distinct counts below this estimate (kinds
 
 
 def detect_column_types(df: DataFrame, key: str | None = None, periodic_cols=(), columns=None,
-                        smiles_by_name: bool = True) -> DataFrame:
+                        smiles_by_name: bool = True, stats_out: dict | None = None) -> DataFrame:
     """G11 — profile frame: col_name, col_type, n_unique, null_rate, skewness, has_outliers.
 
     ``n_unique`` is exact up to ``EXACT_DISTINCT_LIMIT`` distinct values and an
-    HLL estimate (1 % error) above it; no kind rule depends on counts that large."""
+    HLL estimate (5 % error) above it; no kind rule depends on counts that large.
+    ``stats_out`` (optional dict) receives the value counts of the small
+    columns and the numeric statistics, so a caller fitting encoders or
+    scalers next does not scan again."""
     types = B.field_types(df)
     columns = [c for c in (columns or df.columns) if c != key]
     num = [c for c in columns if B.is_numeric(types[c]) or B.is_boolean(types[c])]
@@ -43,7 +46,7 @@ def detect_column_types(df: DataFrame, key: str | None = None, periodic_cols=(),
     for c in columns:
         v = B.as_double(c) if c in num else F.col(c)
         aggs.append(F.count(v).alias(f"{c}__nn"))
-        aggs.append(F.approx_count_distinct(v, 0.01).alias(f"{c}__hll"))
+        aggs.append(F.approx_count_distinct(v, 0.05).alias(f"{c}__hll"))
         if c in num:
             aggs += [F.skewness(v).alias(f"{c}__skew"), F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
         if c in strs:
@@ -54,9 +57,22 @@ def detect_column_types(df: DataFrame, key: str | None = None, periodic_cols=(),
     # taken with a bounded set only where the estimate is small
     small = [c for c in columns if (r.get(f"{c}__hll") or 0) <= EXACT_DISTINCT_LIMIT]
     nunique = {c: r.get(f"{c}__hll") or 0 for c in columns}
+    value_counts = {c: [] for c in small}
     if small:
-        ex = df.agg(*[F.size(F.collect_set(B.as_double(c) if c in num else F.col(c))).alias(c) for c in small]).first()
-        nunique.update({c: ex[c] for c in small})
+        parts = []
+        sn, so = [c for c in small if c in num], [c for c in small if c not in num]
+        if sn:
+            parts.append(stack_columns(df, sn).select("col_name", F.col("value").cast("string").alias("value"),
+                                                      F.col("value").alias("num")))
+        if so:
+            parts.append(stack_columns(df, so, value_type="string").withColumn("num", F.lit(None).cast("double")))
+        u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        for row in u.groupBy("col_name", "value").agg(F.first("num").alias("num"), F.count(F.lit(1)).alias("n")).collect():
+            value_counts[row["col_name"]].append((row["num"] if row["num"] is not None else row["value"], row["n"]))
+        nunique.update({c: len(v) for c, v in value_counts.items()})
+    if stats_out is not None:
+        stats_out["value_counts"] = value_counts
+        stats_out["row"] = r
     # numeric: quartiles then outlier share
     quart = {}
     if num:
