@@ -406,3 +406,13 @@ def q_append_columns(spark, sf):
     o = table(spark, sf, "orders")
     c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey").drop("c_name")
     return append_columns(o, c, "o_custkey")
+
+
+@register("group_lasso_coefficients")
+def q_group_lasso(spark, sf):
+    from tabwright.plans.selection import group_lasso
+    li = table(spark, sf, "lineitem")
+    m, kept = group_lasso(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice",
+                          [["l_discount", "l_tax"], ["l_quantity"]], alpha=0.05)
+    rows = [(f, float(c), f in kept) for f, c in zip(m.features, m.coef)]
+    return spark.createDataFrame(rows, "feature string, coefficient double, selected boolean")

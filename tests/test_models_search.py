@@ -80,3 +80,23 @@ def test_setops(spark):
     assert rs.where("is_real = 0").agg(F.sort_array(F.collect_list("v"))).first()[0] == [1.0, 2.0, 3.0]
     w = U.poisson_weights(spark.range(2000).withColumnRenamed("id", "k"), "k", 0)
     assert abs(w.agg(F.avg("w")).first()[0] - 1.0) < 0.1
+
+
+def test_group_lasso_drops_noise_group(spark):
+    from tabwright.plans.selection import group_lasso
+    df, X, y = _lin(spark)
+    rng = np.random.default_rng(9)
+    noise = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.normal(size=300))], "id long, d double")
+    m, kept = group_lasso(df.join(noise, "id"), ["a", "b", "c", "d"], "y", [["a", "b"], ["c"], ["d"]], alpha=0.05)
+    assert "d" not in kept and "a" in kept
+
+
+def test_adaboost_separates(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from tabwright.plans.selection import adaboost_classifier
+    rows = [(float(i % 10), float((i * 7) % 10), float((i % 10 > 4) ^ ((i * 7) % 10 > 4))) for i in range(200)]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.createDataFrame(rows, "a double, b double, label double"))
+    m = adaboost_classifier(df, n_estimators=15, max_depth=2)
+    acc = m.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert acc > 0.9
