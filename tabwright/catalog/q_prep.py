@@ -168,3 +168,18 @@ def q_auto_preprocess(spark, sf):
     li = table(spark, sf, "lineitem").select(*_LI_KEYS, *_NUM, "l_returnflag", "l_linestatus")
     m = A.AutoPreprocessor().fit(li, keep=_LI_KEYS)
     return r6(m.transform(li))
+
+
+@register("column_preprocess", f"""
+SELECT {_KEYS_SQL},
+""" + ",\n".join(
+    f"round(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END FROM lineitem), 6) AS numeric__{c}"
+    for c in _NUM) + """,
+  (l_linestatus = 'O')::DOUBLE AS binary__l_linestatus,
+  coalesce((SELECT code FROM (SELECT v, (dense_rank() OVER (ORDER BY v) - 1)::DOUBLE AS code FROM
+    (SELECT DISTINCT l_returnflag AS v FROM lineitem)) WHERE v = l_returnflag), -1.0) AS cat_high__l_returnflag
+FROM lineitem""")
+def q_column_preprocess(spark, sf):
+    li = table(spark, sf, "lineitem").select(*_LI_KEYS, *_NUM, "l_returnflag", "l_linestatus")
+    cfg = A.ColPreprocessConfig(override_types={"l_returnflag": "category_high"})
+    return r6(A.fit_column_preprocess(li, cfg, keep=_LI_KEYS).transform(li))

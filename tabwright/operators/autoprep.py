@@ -227,3 +227,70 @@ def _numeric_fast_path(df: DataFrame, cols, cfg: PreprocessConfig, scaler: str):
 def auto_preprocess(df: DataFrame, target: str | None = None, config: PreprocessConfig | None = None,
                     key: str | None = None, keep=()) -> DataFrame:
     return AutoPreprocessor(config).fit(df, target, key=key, keep=keep).transform(df)
+
+
+@dataclass
+class ColPreprocessConfig:
+    override_types: dict = field(default_factory=dict)
+    numeric_imputer: str = "mean"
+    numeric_scaler: str = "standard"
+    cat_low_encoder: str = "onehot"
+    cat_high_encoder: str = "ordinal"
+    binary_encoder: str = "ordinal"
+    binary_imputer: str = "most_frequent"
+    categorical_imputer: str = "most_frequent"
+    add_missing_indicator: bool = False
+    onehot_drop: str | None = "first"
+    onehot_max_categories: int | None = None
+    quantile_n_quantiles: int = 1000
+
+
+_GROUP_OF_KIND = {"numeric_normal": "numeric", "numeric_log": "numeric", "numeric_power": "numeric",
+                  "numeric_outlier": "numeric", "category_low": "category_low", "category_high": "category_high",
+                  "binary": "binary"}
+
+
+def fit_column_preprocess(df: DataFrame, config: ColPreprocessConfig | None = None, target: str | None = None,
+                          key: str | None = None, keep=()) -> AutoPreprocessModel:
+    """E23 — group columns into numeric / category_low / category_high / binary /
+    passthrough (per-column overrides win; unlisted kinds pass through); one
+    imputer + scaler for all numerics, the configured encoders for the others.
+    Nothing left to process raises."""
+    cfg = config or ColPreprocessConfig()
+    skip = set(keep) | ({key} if key else set()) | ({target} if target else set())
+    cols = [c for c in df.columns if c not in skip]
+    prof = {r["col_name"]: r["col_type"] for r in detect_column_types(df, key=key, columns=cols).collect()}
+    groups = {g: [] for g in ("numeric", "category_low", "category_high", "binary", "passthrough")}
+    for c in cols:
+        g = cfg.override_types.get(c)
+        if g not in groups:
+            g = _GROUP_OF_KIND.get(prof.get(c), "passthrough")
+        groups[g].append(c)
+    if not any(groups.values()):
+        raise ValueError("no columns to preprocess")
+    auto = PreprocessConfig(numeric_scaler=cfg.numeric_scaler, numeric_imputer=cfg.numeric_imputer,
+                            categorical_imputer=cfg.categorical_imputer, add_missing_indicator=cfg.add_missing_indicator,
+                            onehot_drop=cfg.onehot_drop, onehot_max_categories=cfg.onehot_max_categories,
+                            quantile_n_quantiles=cfg.quantile_n_quantiles, cat_low_encoder=cfg.cat_low_encoder,
+                            cat_high_encoder=cfg.cat_high_encoder, passthrough_cols=groups["passthrough"])
+    kinds = {}
+    for c in groups["numeric"]:
+        kinds[c] = "numeric_normal"
+    for g in ("category_low", "category_high"):
+        for c in groups[g]:
+            kinds[c] = g
+    for c in groups["binary"]:
+        kinds[c] = "binary" if cfg.binary_encoder == "ordinal" else "passthrough_binary"
+    for c in groups["passthrough"]:
+        kinds[c] = "passthrough"
+    spark = df.sparkSession
+    profile = spark.createDataFrame([(c, k) for c, k in kinds.items()] or [("", "")], "col_name string, col_type string") \
+        .where(F.col("col_name") != "")
+    m = AutoPreprocessor(auto).fit(df, target, profile=profile, key=key, keep=keep)
+    renamed = []
+    for st in m.steps:
+        st.group = {"num_normal": "numeric"}.get(st.group, st.group)
+        renamed.append(st)
+    m.steps = renamed
+    m.passthrough = groups["passthrough"] + [c for c in groups["binary"] if cfg.binary_encoder != "ordinal"]
+    return m
