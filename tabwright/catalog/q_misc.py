@@ -416,3 +416,11 @@ def q_group_lasso(spark, sf):
                           [["l_discount", "l_tax"], ["l_quantity"]], alpha=0.05)
     rows = [(f, float(c), f in kept) for f, c in zip(m.features, m.coef)]
     return spark.createDataFrame(rows, "feature string, coefficient double, selected boolean")
+
+
+@register("linear_tree_predictions")
+def q_linear_tree(spark, sf):
+    from tabwright.plans.linear_tree import LinearTreeRegressor
+    li = table(spark, sf, "lineitem")
+    m = LinearTreeRegressor(max_depth=3).fit(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return m.transform(li).select("l_orderkey", "l_linenumber", "l_extendedprice", "prediction")

@@ -100,3 +100,17 @@ def test_adaboost_separates(spark):
     m = adaboost_classifier(df, n_estimators=15, max_depth=2)
     acc = m.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert acc > 0.9
+
+
+def test_linear_tree_fits_piecewise_linear(spark):
+    from tabwright.plans.linear_tree import LinearTreeRegressor
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-5, 5, 400)
+    z = rng.uniform(0, 1, 400)
+    y = np.where(x < 0, 3 * x + 1, -2 * x + 1) + 0.01 * rng.normal(size=400)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, z, y)], "x double, z double, y double")
+    m = LinearTreeRegressor(max_depth=2, alpha=1e-6).fit(df, ["x", "z"], "y")
+    pred = m.transform(df)
+    rmse = pred.agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))).first()[0]
+    assert rmse < 0.5 and m.n_leaves >= 2
+    assert abs(m.nodes[0].threshold) < 0.5 and m.nodes[0].feature == 0
