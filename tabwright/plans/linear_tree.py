@@ -66,11 +66,15 @@ class LinearTreeRegressor:
             return F.when(x <= F.lit(nd.threshold), build(nd.left)).otherwise(build(nd.right))
         return build(0)
 
-    def fit(self, df: DataFrame, features, target: str) -> "LinearTreeRegressor":
+    def fit(self, df: DataFrame, features, target, weight: Column | None = None) -> "LinearTreeRegressor":
+        """``target`` is a column name or expression; ``weight`` an optional
+        per-row weight expression (bootstrap counts, boosting weights)."""
         self.features = list(features)
         p = len(self.features)
-        data = df.select(*[B.as_double(c).alias(c) for c in self.features], B.as_double(target).alias("_y")) \
-            .where(F.col("_y").isNotNull())
+        y = B.as_double(target) if isinstance(target, str) else target
+        w = weight if weight is not None else F.lit(1.0)
+        data = df.select(*[B.as_double(c).alias(c) for c in self.features], y.alias("_y"), w.cast("double").alias("_w")) \
+            .where(F.col("_y").isNotNull() & (F.col("_w") > 0))
         # candidate thresholds: approximate quantile edges per feature (bounded: p × max_bins)
         probs = [i / self.max_bins for i in range(1, self.max_bins)]
         edges_row = data.agg(*[F.percentile_approx(c, probs, 10000).alias(f"e{j}") for j, c in enumerate(self.features)]).first()
@@ -92,10 +96,11 @@ class LinearTreeRegressor:
                     bexpr = bexpr + (F.col(self.features[j]) > F.lit(e)).cast("int")
                 recs.append(F.struct(F.lit(j).alias("j"), bexpr.alias("b")))
             base = data.withColumn("_node", node).where(F.col("_node").isin(frontier))
-            ex = base.select("_node", F.inline(F.array(*recs)), *[zz.alias(f"z{i}") for i, zz in enumerate(z)], "_y")
-            aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("_y") * F.col("_y")).alias("yy")]
-            aggs += [F.sum(F.col(f"z{a}") * F.col(f"z{b}")).alias(f"zz{a}_{b}") for a in range(q) for b in range(a, q)]
-            aggs += [F.sum(F.col(f"z{a}") * F.col("_y")).alias(f"zy{a}") for a in range(q)]
+            ex = base.select("_node", F.inline(F.array(*recs)), *[zz.alias(f"z{i}") for i, zz in enumerate(z)], "_y", "_w")
+            wc = F.col("_w")
+            aggs = [F.sum(wc).alias("n"), F.sum(wc * F.col("_y") * F.col("_y")).alias("yy")]
+            aggs += [F.sum(wc * F.col(f"z{a}") * F.col(f"z{b}")).alias(f"zz{a}_{b}") for a in range(q) for b in range(a, q)]
+            aggs += [F.sum(wc * F.col(f"z{a}") * F.col("_y")).alias(f"zy{a}") for a in range(q)]
             rows = ex.groupBy("_node", "j", "b").agg(*aggs).collect()
             stats = {}
             for r in rows:
@@ -168,3 +173,74 @@ class LinearTreeRegressor:
     @property
     def n_leaves(self) -> int:
         return sum(1 for n in self.nodes.values() if n.feature < 0)
+
+
+def poisson_weight(key: Column, tree: int, seed: int) -> Column:
+    """Bootstrap count of a row in tree ``tree``: Poisson(1) by inverse CDF of a hash."""
+    import math
+    u = (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(tree)), F.lit(1 << 40)).cast("double")) / float(1 << 40)
+    acc, p, w = 0.0, math.exp(-1.0), F.lit(12.0)
+    cdf = []
+    for k in range(12):
+        acc += p
+        cdf.append(acc)
+        p /= (k + 1)
+    for k in reversed(range(12)):
+        w = F.when(u < F.lit(cdf[k]), F.lit(float(k))).otherwise(w)
+    return w
+
+
+@dataclass
+class LinearForestRegressor:
+    """M12 — mean of linear trees, each on Poisson(1)-weighted rows (hash of
+    (key, tree)) and a seeded feature subset (``max_features`` share)."""
+    n_trees: int = 10
+    max_depth: int = 3
+    max_features: float = 1.0
+    seed: int = 42
+    trees: list = field(default_factory=list)
+
+    def fit(self, df: DataFrame, key: str, features, target: str) -> "LinearForestRegressor":
+        import random
+        feats = list(features)
+        k = max(1, int(round(self.max_features * len(feats))))
+        self.trees = []
+        for t in range(self.n_trees):
+            sub = sorted(random.Random(self.seed * 1000 + t).sample(feats, k))
+            m = LinearTreeRegressor(max_depth=self.max_depth).fit(df, sub, target, poisson_weight(F.col(key), t, self.seed))
+            self.trees.append(m)
+        return self
+
+    def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        e = F.lit(0.0)
+        for m in self.trees:
+            e = e + m.predict_expr()
+        return df.withColumn(name, e / F.lit(float(len(self.trees))))
+
+
+@dataclass
+class LinearBoostRegressor:
+    """M13 — residual boosting of linear trees: start at the mean, each round
+    fits a tree to the current residual and adds it with ``learning_rate``."""
+    n_rounds: int = 5
+    max_depth: int = 2
+    learning_rate: float = 0.5
+    base: float = 0.0
+    trees: list = field(default_factory=list)
+
+    def fit(self, df: DataFrame, features, target: str) -> "LinearBoostRegressor":
+        self.base = df.agg(F.avg(B.as_double(target))).first()[0]
+        self.trees = []
+        for _ in range(self.n_rounds):
+            resid = B.as_double(target) - self.predict_expr()
+            self.trees.append(LinearTreeRegressor(max_depth=self.max_depth).fit(df, features, resid))
+        return self
+
+    def predict_expr(self) -> Column:
+        e = F.lit(float(self.base))
+        for m in self.trees:
+            e = e + F.lit(self.learning_rate) * m.predict_expr()
+        return e
+
+    def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        return df.withColumn(name, self.predict_expr())

@@ -114,3 +114,16 @@ def test_linear_tree_fits_piecewise_linear(spark):
     rmse = pred.agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))).first()[0]
     assert rmse < 0.5 and m.n_leaves >= 2
     assert abs(m.nodes[0].threshold) < 0.5 and m.nodes[0].feature == 0
+
+
+def test_linear_forest_and_boost(spark):
+    from tabwright.plans.linear_tree import LinearBoostRegressor, LinearForestRegressor
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-3, 3, 200)
+    y = np.abs(x) * 2 + 0.05 * rng.normal(size=200)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    f = LinearForestRegressor(n_trees=3, max_depth=2).fit(df, "id", ["x"], "y")
+    b = LinearBoostRegressor(n_rounds=2, max_depth=1).fit(df, ["x"], "y")
+    for m in (f, b):
+        rmse = m.transform(df).agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))).first()[0]
+        assert rmse < 0.6
