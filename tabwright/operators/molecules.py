@@ -236,3 +236,25 @@ def max_similarity_to_reference(cands: DataFrame, ref: DataFrame, key: str, thre
 
 def _unused():  # keep math imported for formula helpers
     return math.pi
+
+
+def staged_descriptor_build(df: DataFrame, mol_col: str, stages: list) -> DataFrame:
+    """K8 — apply plugin sets in order (e.g. recommended → counts → curated →
+    extra engines); a later stage only adds names not produced before.  Each
+    stage is one distinct-string ``mapInPandas`` joined back on the string."""
+    out = df
+    seen = set(df.columns)
+    for plugins in stages:
+        stage = run_descriptor_plugins(df.select(mol_col).distinct(), mol_col, plugins)
+        new = [c for c in stage.columns if c not in seen and c != mol_col]
+        if new:
+            out = out.join(stage.select(mol_col, *new), mol_col, "left")
+            seen |= set(new)
+    return out
+
+
+def descriptor_sets(df: DataFrame, mol_col: str, sets: dict, enabled=None) -> dict:
+    """K9 — named descriptor sets (name → plugins); returns name → frame with that
+    set's columns, for the enabled sets only (evaluate each with V1/V20)."""
+    names = [n for n in sets if enabled is None or n in set(enabled)]
+    return {n: run_descriptor_plugins(df, mol_col, sets[n]) for n in names}

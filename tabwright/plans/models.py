@@ -115,3 +115,28 @@ def list_models(spark, task: str | None = None, tag: str | None = None):
 
 def default_models(task: str) -> list[str]:
     return [s.key for s in REGISTRY.values() if s.task == task and "default" in s.tags]
+
+
+# Monotone-direction presets (name fragment → direction), per preset, in their order.
+MONOTONE_PRESETS = {
+    "boiling_melting_point": {"molwt": 1, "mw": 1, "mol_wt": 1, "molecularweight": 1, "heavyatom": 1,
+                              "heavyatoms": 1, "nha": 1, "rotbond": 1, "rotatable": 1, "nrotb": 1,
+                              "ringcount": 1, "ring": 1},
+    "water_solubility": {"logp": -1, "alogp": -1, "xlogp": -1, "clogp": -1, "hbd": 1, "hbond_donor": 1,
+                         "nhbd": 1, "numhdonor": 1, "hba": 1, "hbond_acceptor": 1, "nhba": 1,
+                         "numhacceptor": 1, "tpsa": 1},
+    "permeability_bbb": {"logp": 1, "alogp": 1, "xlogp": 1, "tpsa": -1, "molwt": -1, "mw": -1, "hbd": -1,
+                         "numhdonor": -1},
+    "toxicity": {"logp": 1, "alogp": 1, "molwt": 1, "ring": 1, "aromatic": 1},
+}
+
+
+def monotone_presets(columns, preset: str) -> dict:
+    """M16 — per column the direction of the first fragment (in preset order)
+    contained in its lower-cased name; 0 when none matches."""
+    frags = MONOTONE_PRESETS.get(preset, {})
+    out = {}
+    for c in columns:
+        lc = c.lower()
+        out[c] = next((v for k, v in frags.items() if k in lc), 0)
+    return out
