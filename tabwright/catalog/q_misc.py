@@ -424,3 +424,44 @@ def q_linear_tree(spark, sf):
     li = table(spark, sf, "lineitem")
     m = LinearTreeRegressor(max_depth=3).fit(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
     return m.transform(li).select("l_orderkey", "l_linenumber", "l_extendedprice", "prediction")
+
+
+# --- exact k-nearest neighbours (M7, J6) --------------------------------------------
+_KNN_SQL = """(SELECT query, neighbor, dist, rank FROM (
+  SELECT query, neighbor, dist, row_number() OVER (PARTITION BY query ORDER BY dist, neighbor) AS rank FROM (
+    SELECT a.vec_id AS query, b.vec_id AS neighbor,
+           sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: (t[1]::DOUBLE - t[2]::DOUBLE) ^ 2))) AS dist
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= 5)"""
+
+
+@register("knn_embeddings", f"SELECT query, neighbor, round(dist, 6) AS dist, rank FROM {_KNN_SQL}")
+def q_knn(spark, sf):
+    from tabwright.plans.knn import knn_self
+    return r6(knn_self(table(spark, sf, "embeddings"), "vec_id", "embedding", k=5).select(
+        "query", "neighbor", "dist", F.col("rank").cast("bigint")))
+
+
+@register("knn_mutual_share", f"""
+WITH k AS {_KNN_SQL}
+SELECT round(avg(CASE WHEN EXISTS (SELECT 1 FROM k r WHERE r.query = k.neighbor AND r.neighbor = k.query) THEN 1.0 ELSE 0.0 END), 6)
+       AS mutual_share FROM k""")
+def q_knn_mutual(spark, sf):
+    from tabwright.plans.knn import knn_self, mutual_knn_share_exact
+    return r6(mutual_knn_share_exact(knn_self(table(spark, sf, "embeddings"), "vec_id", "embedding", k=5)))
+
+
+@register("knn_loo_classify", f"""
+WITH k AS {_KNN_SQL},
+v AS (SELECT k.query, e.label, count(*) AS c FROM k JOIN embeddings e ON e.vec_id = k.neighbor GROUP BY 1, 2)
+SELECT query AS vec_id, label AS prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, label) AS r FROM v) WHERE r = 1""")
+def q_knn_classify(spark, sf):
+    from tabwright.plans.knn import knn_self
+    emb = table(spark, sf, "embeddings")
+    nb = knn_self(emb, "vec_id", "embedding", k=5)
+    lab = emb.select(F.col("vec_id").alias("neighbor"), F.col("label").alias("_y"))
+    from pyspark.sql import Window
+    votes = nb.join(lab, "neighbor").groupBy("query", "_y").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("query").orderBy(F.desc("_c"), F.asc("_y"))
+    return votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
+        F.col("query").alias("vec_id"), F.col("_y").alias("prediction"))

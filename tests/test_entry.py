@@ -4,7 +4,8 @@ import pytest
 
 import __spark_entry__ as E
 
-SLOW = {"automl_two_models", "near_duplicate_pairs", "pipeline_grid_search"}
+SLOW = {"automl_two_models", "near_duplicate_pairs", "pipeline_grid_search", "knn_embeddings", "knn_mutual_share",
+        "knn_loo_classify", "linear_tree_predictions", "correlation_kendall"}
 
 
 def test_entry_runs(spark):

@@ -136,3 +136,22 @@ def test_tree_rules_support_sums_to_one(spark):
     m = DecisionTreeRegressor(labelCol="y", maxDepth=3).fit(data)
     rules = X.tree_rules(m, ["a", "b"], df).collect()
     assert abs(sum(r["support"] for r in rules) - 1.0) < 1e-9
+
+
+def test_exact_knn_brute_force(spark):
+    from tabwright.plans.knn import knn, knn_self
+    rnd = random.Random(8)
+    pts = [(i, [rnd.gauss(0, 1) for _ in range(3)]) for i in range(120)] + [(120 + i, [0.0, 0.0, 0.0]) for i in range(5)]
+    df = spark.createDataFrame(pts, "id long, v array<double>")
+    got = {}
+    for r in knn_self(df, "id", "v", k=4, h0=2).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["neighbor"]))
+
+    def dist(a, b):
+        return math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)))
+    for i, v in pts:
+        exp = sorted(((dist(v, w), j) for j, w in pts if j != i))[:4]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in exp]
+    q = spark.createDataFrame([(1000, [0.1, 0.0, 0.0])], "id long, v array<double>")
+    near = knn(df, q, "id", "v", k=5).collect()
+    assert sorted(r["neighbor"] for r in near) == [120, 121, 122, 123, 124]
