@@ -134,3 +134,44 @@ class AdaBoostModel:
         arr = F.array(*votes)
         best = F.array_position(arr, F.array_max(arr)) - 1
         return out.withColumn("prediction", best.cast("double")).drop(*[f"_p{i}" for i in range(len(self.stages))])
+
+
+def relieff(df: DataFrame, key: str, features, label: str, n_neighbors: int = 100, keep: int = 10) -> DataFrame:
+    """E33 — ReliefF feature weights with exact nearest hits and misses.
+
+    Features are min-max scaled; for every class c the exact k nearest rows of
+    class c are found for every row (:func:`tabwright.plans.knn.knn`, self
+    excluded).  W_f = mean over rows of [ −mean_hits |Δf| + Σ_{c ≠ y}
+    P(c)/(1 − P(y)) · mean_misses_c |Δf| ].  Returns (feature, weight, rank,
+    selected) with the ``keep`` best selected."""
+    from tabwright.plans.knn import knn
+    feats = list(features)
+    mm = df.agg(*[F.min(B.as_double(c)).alias(f"lo{i}") for i, c in enumerate(feats)],
+                *[F.max(B.as_double(c)).alias(f"hi{i}") for i, c in enumerate(feats)]).first()
+    scaled = [((B.as_double(c) - F.lit(mm[f"lo{i}"])) / F.lit((mm[f"hi{i}"] - mm[f"lo{i}"]) or 1.0)) for i, c in enumerate(feats)]
+    base = df.select(F.col(key), F.col(label).cast("string").alias("_y"),
+                     F.array(*[F.coalesce(s, F.lit(0.0)) for s in scaled]).alias("_x"))
+    prior = {r["_y"]: r["n"] for r in base.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = float(sum(prior.values()))
+    parts = []
+    for c, nc in prior.items():
+        refc = base.where(F.col("_y") == c)
+        nb = knn(refc, base, key, "_x", k=min(n_neighbors, max(1, nc - 1)), exclude_self=True)
+        q = base.select(F.col(key).alias("query"), F.col("_y").alias("_qy"), F.col("_x").alias("_qx"))
+        r = refc.select(F.col(key).alias("neighbor"), F.col("_x").alias("_nx"))
+        j = nb.join(q, "query").join(r, "neighbor")
+        diffs = [F.abs(F.col("_qx")[i] - F.col("_nx")[i]) for i in range(len(feats))]
+        per_q = j.groupBy("query", "_qy").agg(*[F.avg(d).alias(f"d{i}") for i, d in enumerate(diffs)])
+        # hit (same class): −mean diff ; miss: prior-weighted mean diff
+        p_y = F.create_map(*[x for kk, v in prior.items() for x in (F.lit(kk), F.lit(v / total))])[F.col("_qy")]
+        w_miss = F.lit(nc / total) / (1 - p_y)
+        sign = F.when(F.col("_qy") == F.lit(c), F.lit(-1.0)).otherwise(w_miss)
+        parts.append(per_q.select("query", *[(sign * F.col(f"d{i}")).alias(f"d{i}") for i in range(len(feats))]))
+    u = parts[0]
+    for p_ in parts[1:]:
+        u = u.unionByName(p_)
+    row = u.groupBy("query").agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(feats))]) \
+        .agg(*[F.avg(f"d{i}").alias(f"d{i}") for i in range(len(feats))]).first()
+    ranked = sorted([(f, float(row[f"d{i}"] or 0.0)) for i, f in enumerate(feats)], key=lambda t: -t[1])
+    rows = [(f, w, i + 1, i < keep) for i, (f, w) in enumerate(ranked)]
+    return df.sparkSession.createDataFrame(rows, "feature string, weight double, rank int, selected boolean")

@@ -127,3 +127,13 @@ def test_linear_forest_and_boost(spark):
     for m in (f, b):
         rmse = m.transform(df).agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))).first()[0]
         assert rmse < 0.6
+
+
+def test_relieff_finds_signal(spark):
+    from tabwright.plans.selection import relieff
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.normal()), float(rng.normal()), 0) for i in range(60)]
+    rows = [(i, a + (3.0 if i % 2 else 0.0), b, i % 2) for i, a, b, _ in rows]
+    df = spark.createDataFrame(rows, "id long, signal double, noise double, y int")
+    out = relieff(df, "id", ["signal", "noise"], "y", n_neighbors=5, keep=1).collect()
+    assert out[0]["feature"] == "signal" and out[0]["weight"] > out[1]["weight"]
