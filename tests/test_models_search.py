@@ -137,3 +137,14 @@ def test_relieff_finds_signal(spark):
     df = spark.createDataFrame(rows, "id long, signal double, noise double, y int")
     out = relieff(df, "id", ["signal", "noise"], "y", n_neighbors=5, keep=1).collect()
     assert out[0]["feature"] == "signal" and out[0]["weight"] > out[1]["weight"]
+
+
+def test_monotone_soft_constraint_reduces_violation(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from tabwright.plans.monotone import MonotoneRegressor
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0, 10, 300)
+    y = x + np.sin(3 * x) * 2 + rng.normal(scale=0.1, size=300)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    m = MonotoneRegressor(lambda w: DecisionTreeRegressor(labelCol="label", weightCol=w, maxDepth=5), {"x": 1}).fit(df, ["x"], "y")
+    assert m.history[-1] <= m.history[0]
