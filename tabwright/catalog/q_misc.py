@@ -465,3 +465,29 @@ def q_knn_classify(spark, sf):
     w = Window.partitionBy("query").orderBy(F.desc("_c"), F.asc("_y"))
     return votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
         F.col("query").alias("vec_id"), F.col("_y").alias("prediction"))
+
+
+# --- model-agnostic Shapley (I4 sampled) and SAGE (I8) over a fitted tree ------------
+def _tree_predict(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+    li = table(spark, sf, "lineitem")
+    va = VectorAssembler(inputCols=_XF, outputCol="_tw_features")
+    model = DecisionTreeRegressor(featuresCol="_tw_features", labelCol="l_extendedprice", maxDepth=5,
+                                  seed=42).fit(va.transform(li))
+
+    def predict(frame):
+        return model.transform(va.transform(frame)).drop("_tw_features")
+    return li, predict
+
+
+@register("sampled_shap_tree")
+def q_sampled_shap(spark, sf):
+    li, predict = _tree_predict(spark, sf)
+    return r6(X.sampled_shap(li, _LI_KEYS, _XF, predict, n_samples=8))
+
+
+@register("sage_tree")
+def q_sage(spark, sf):
+    li, predict = _tree_predict(spark, sf)
+    return r6(X.sage(li, _LI_KEYS, _XF, "l_extendedprice", predict, n_samples=4))

@@ -224,3 +224,81 @@ def tree_rules(model, feature_names, df: DataFrame | None = None) -> DataFrame:
         from pyspark.sql import SparkSession
         spark = SparkSession.getActiveSession()
     return spark.createDataFrame(rows, "rule_id int, rule string, prediction double, support double, importance double")
+
+
+def _coalition_rows(df: DataFrame, key: str, features, background: DataFrame, n_samples: int,
+                    seed: int, keep=()) -> DataFrame:
+    """Permutation-sampling design shared by I4 (sampled) and I8.
+
+    For every explained row and sample m: one background row z (hash of
+    (key, m) onto a dense background index — an equi-join, no product) and
+    one random feature order (hash rank per (key, m, feature)).  For every
+    feature j two rows are emitted: ``x+j`` takes from x the features ranked
+    before j and j itself, ``x−j`` only those before j; the rest come from z.
+    Along one order the contributions telescope, so per sample they add up
+    to f(x) − f(z) exactly."""
+    from tabwright.plans.ordering import global_row_number
+    feats = list(features)
+    keys = [key] if isinstance(key, str) else list(key)
+    kc = [F.col(k) for k in keys]
+    bg = global_row_number(background.select(*feats), [F.xxhash64(*[F.col(c) for c in feats], F.lit(seed))]
+                           + [F.col(c) for c in feats], "_tw_bi")
+    n_bg = bg.count()
+    bg = bg.select(F.col("_tw_bi"), *[B.as_double(c).alias(f"_tw_z_{c}") for c in feats])
+    rows = df.select(*keys, *keep, *[B.as_double(c).alias(f"_tw_x_{c}") for c in feats])
+    rows = rows.withColumn("_tw_m", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    rows = rows.withColumn("_tw_bi", F.pmod(F.xxhash64(*kc, F.col("_tw_m"), F.lit(seed)), F.lit(n_bg)) + 1)
+    pairs = rows.join(bg, "_tw_bi")
+    for i, c in enumerate(feats):
+        pairs = pairs.withColumn(f"_tw_r_{c}", F.struct(F.xxhash64(*kc, F.col("_tw_m"), F.lit(seed), F.lit(c)),
+                                                        F.lit(i)))
+    design = F.array(*[F.struct(F.lit(j).alias("f"), F.lit(s).alias("side")) for j in feats for s in (1, 0)])
+    ex = pairs.withColumn("_tw_d", F.explode(design))
+    out = [*kc, *[F.col(k) for k in keep], F.col("_tw_m"), F.col("_tw_d.f").alias("_tw_feature"),
+           F.col("_tw_d.side").alias("_tw_side")]
+    for c in feats:
+        rank_j = F.coalesce(*[F.when(F.col("_tw_d.f") == j, F.col(f"_tw_r_{j}")) for j in feats])
+        take_x = (F.col(f"_tw_r_{c}") < rank_j) | ((F.col("_tw_d.f") == c) & (F.col("_tw_d.side") == 1))
+        out.append(F.when(take_x, F.col(f"_tw_x_{c}")).otherwise(F.col(f"_tw_z_{c}")).alias(c))
+    return ex.select(*out)
+
+
+def sampled_shap(df: DataFrame, key: str, features, predict, background: DataFrame | None = None,
+                 n_samples: int = 16, seed: int = 42) -> DataFrame:
+    """I4 (any model) — ``key`` is a column or a list of columns that is unique
+    per row.  Permutation-sampling Shapley values with a marginal
+    (background) imputer.  ``predict`` maps a frame with the feature columns
+    to a frame with ``prediction``; all rows × samples × features × 2 are
+    scored in one job and folded back with ONE groupBy on the key."""
+    feats = list(features)
+    design = _coalition_rows(df, key, feats, df if background is None else background, n_samples, seed)
+    scored = predict(design)
+    signed = F.when(F.col("_tw_side") == 1, F.col("prediction")).otherwise(-F.col("prediction"))
+    keys = [key] if isinstance(key, str) else list(key)
+    return scored.groupBy(*keys).agg(*[(F.sum(F.when(F.col("_tw_feature") == c, signed)) / F.lit(float(n_samples)))
+                                     .alias(f"phi_{c}") for c in feats])
+
+
+def sage(df: DataFrame, key: str, features, target: str, predict, background: DataFrame | None = None,
+         n_samples: int = 8, seed: int = 42, loss: str = "mse") -> DataFrame:
+    """I8 — SAGE-style global Shapley values of the loss: per (row, sample,
+    feature) the loss drop when the feature joins its coalition (marginal
+    imputer), averaged over all rows; mean and standard error per feature."""
+    feats = list(features)
+    design = _coalition_rows(df, key, feats, df if background is None else background, n_samples, seed,
+                             keep=[target])
+    scored = predict(design)
+    y = F.col(target).cast("double")
+    if loss == "mse":
+        ls = (y - F.col("prediction")) * (y - F.col("prediction"))
+    elif loss == "mae":
+        ls = F.abs(y - F.col("prediction"))
+    else:
+        raise ValueError(f"unknown loss {loss}")
+    keys = [key] if isinstance(key, str) else list(key)
+    per = scored.groupBy(*keys, "_tw_m", "_tw_feature").agg(
+        F.sum(F.when(F.col("_tw_side") == 0, ls).otherwise(-ls)).alias("_tw_gain"))
+    out = per.groupBy(F.col("_tw_feature").alias("feature")).agg(
+        F.avg("_tw_gain").alias("sage_value"),
+        (F.stddev_samp("_tw_gain") / F.sqrt(F.count(F.lit(1)))).alias("std_error"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sage_value"), "feature")))

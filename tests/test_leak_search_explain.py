@@ -155,3 +155,22 @@ def test_exact_knn_brute_force(spark):
     q = spark.createDataFrame([(1000, [0.1, 0.0, 0.0])], "id long, v array<double>")
     near = knn(df, q, "id", "v", k=5).collect()
     assert sorted(r["neighbor"] for r in near) == [120, 121, 122, 123, 124]
+
+
+def test_sampled_shap_efficiency_and_sage_null_feature(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, float(a), float(b), float(c), float(y)) for i, (a, b, c, y) in enumerate(rng.normal(size=(120, 4)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double")
+    bg = spark.createDataFrame([(0.5, -1.0, 2.0)], "a double, b double, c double")
+
+    def pred(fr):   # non-linear in a, b; ignores c
+        return fr.withColumn("prediction", F.col("a") * F.col("b") + F.col("a") * F.col("a") + 0.0 * F.col("c"))
+    phi = X.sampled_shap(df, "id", ["a", "b", "c"], pred, background=bg, n_samples=6)
+    d = phi.join(df, "id").select(
+        (F.col("phi_a") + F.col("phi_b") + F.col("phi_c")
+         - (F.col("a") * F.col("b") + F.col("a") ** 2 - (0.5 * -1.0 + 0.25))).alias("d"), "phi_c").collect()
+    assert len(d) == 120
+    assert max(abs(r["d"]) for r in d) < 1e-9      # φ adds up to f(x) − f(z) per sample
+    assert max(abs(r["phi_c"]) for r in d) == 0.0  # unused feature
+    s = {r["feature"]: r for r in X.sage(df, "id", ["a", "b", "c"], "y", pred, n_samples=4).collect()}
+    assert s["c"]["sage_value"] == 0.0 and set(s) == {"a", "b", "c"}
