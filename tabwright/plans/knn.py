@@ -25,19 +25,64 @@ def _dot(arr_col, vec):
 
 
 def _principal_axis(df: DataFrame, vec: str, dim: int) -> np.ndarray:
-    row = df.agg(*[F.avg(F.col(vec)[i]).alias(f"m{i}") for i in range(dim)],
-                 *[F.covar_pop(F.col(vec)[i], F.col(vec)[j]).alias(f"c{i}_{j}") for i in range(dim) for j in range(i, dim)]).first()
-    C = np.zeros((dim, dim))
-    for i in range(dim):
-        for j in range(i, dim):
-            C[i, j] = C[j, i] = row[f"c{i}_{j}"] or 0.0
-    vals, vecs = np.linalg.eigh(C)
-    u = vecs[:, int(np.argmax(vals))]
+    """First principal axis from Spark ML PCA (covariance by one distributed
+    tree aggregate).  Any unit vector keeps the search exact — the axis only
+    makes the bands narrow."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+    v = df.where(F.col(vec).isNotNull()).select(array_to_vector(F.col(vec).cast("array<double>")).alias("_tw_f"))
+    u = PCA(k=1, inputCol="_tw_f", outputCol="_tw_pc").fit(v).pc.toArray()[:, 0]
     return u / (np.linalg.norm(u) or 1.0)
 
 
+def _block_search(banded: DataFrame, cand_side: DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
+    """Round 2 scored block against block: queries are cut into blocks of
+    ``block`` positions, each is paired with the candidate blocks its band
+    touches, and every (query block, candidate block) cogroup — at most
+    ``block`` × ``block`` points — is scored in numpy and keeps its own top k.
+    A final per-query window keeps the k best of those (≤ k per block).
+    Distances are summed dimension by dimension, in the same order as the
+    column expression of round 1."""
+    qt = banded.schema["query"].dataType.simpleString()
+    nt = cand_side.schema["neighbor"].dataType.simpleString()
+    q = banded.select("query", "_qv", ((F.col("_qpos") - 1) / block).cast("long").alias("_qb"),
+                      F.explode(F.sequence(((F.col("_lo") - 1) / block).cast("long"),
+                                           ((F.col("_hi") - 1) / block).cast("long"))).alias("_cb"))
+    pairs = q.select(F.col("_qb").alias("_pqb"), F.col("_cb").alias("_pcb")).distinct()
+    c = (cand_side.select("neighbor", "_cv", ((F.col("_cpos") - 1) / block).cast("long").alias("_ccb"))
+         .join(pairs, F.col("_ccb") == F.col("_pcb"))
+         .select("neighbor", "_cv", F.col("_pqb").alias("_qb"), F.col("_pcb").alias("_cb")))
+
+    def score(qdf, cdf):
+        import pandas as pd
+        if len(qdf) == 0 or len(cdf) == 0:
+            return pd.DataFrame({"query": [], "neighbor": [], "dist": []})
+        Q = np.stack(qdf["_qv"].to_numpy()).astype(float)
+        C = np.stack(cdf["_cv"].to_numpy()).astype(float)
+        acc = np.zeros((len(Q), len(C)))
+        for d in range(Q.shape[1]):
+            diff = Q[:, d][:, None] - C[:, d][None, :]
+            acc += diff * diff
+        dist = np.sqrt(acc)
+        qid = qdf["query"].to_numpy()
+        nid = cdf["neighbor"].to_numpy()
+        if exclude_self:
+            dist[qid[:, None] == nid[None, :]] = np.inf
+        order = np.lexsort((np.broadcast_to(nid, dist.shape), dist), axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(Q)), order.shape[1])
+        cols = order.ravel()
+        dd = dist[rows, cols]
+        keep = np.isfinite(dd)
+        return pd.DataFrame({"query": qid[rows][keep], "neighbor": nid[cols][keep], "dist": dd[keep]})
+
+    top = (q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb"))
+           .applyInPandas(score, f"query {qt}, neighbor {nt}, dist double"))
+    w = Window.partitionBy("query").orderBy("dist", "neighbor")
+    return top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def knn(reference: DataFrame, queries: DataFrame, key: str, vec: str, k: int = 5, h0: int = 32,
-        exclude_self: bool = False, sample_size: int = 1000) -> DataFrame:
+        exclude_self: bool = False, sample_size: int = 1000, block: int = 256) -> DataFrame:
     """(query, neighbor, dist, rank) — the exact k nearest reference points of
     every query (Euclidean on the ``vec`` array column).
 
@@ -98,7 +143,7 @@ def knn(reference: DataFrame, queries: DataFrame, key: str, vec: str, k: int = 5
     left = F.array_max(F.transform(F.filter(arr, lambda x: x["p"] < F.col("_qp") - D), lambda x: x["pos"]))
     right = F.array_min(F.transform(F.filter(arr, lambda x: x["p"] > F.col("_qp") + D), lambda x: x["pos"]))
     banded = rest.withColumn("_lo", F.coalesce(left, F.lit(1))).withColumn("_hi", F.coalesce(right, F.lit(n)))
-    more = search(banded, F.col("_lo"), F.col("_hi")).select("query", "neighbor", "dist", "rank")
+    more = _block_search(banded, cand_side, k, exclude_self, block).select("query", "neighbor", "dist", "rank")
     return done.unionByName(more)
 
 
