@@ -19,7 +19,33 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+@_query
+def op2_decontamination(spark, sf):
+    from tabwright.llm.decontaminate import find_leaks
+    return find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 @_query
 def op4_toxicity(spark, sf):
     from tabwright.llm.toxicity import score_toxicity
     return score_toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@_query
+def op5_packing(spark, sf):
+    from tabwright.llm.packing import pack
+    return pack(_table(spark, sf, "documents"))
+
+
+@_query
+def op8_line_dedup(spark, sf):
+    from tabwright.llm.line_dedup import line_dedup
+    return line_dedup(_table(spark, sf, "documents"))
+
+
+def _oracles():
+    from tabwright.llm import line_dedup
+    ORACLE["op8_line_dedup"] = line_dedup.ORACLE
+
+
+_oracles()
