@@ -37,6 +37,12 @@ def op5_packing(spark, sf):
     return pack(_table(spark, sf, "documents"))
 
 
+@_query
+def op7_jaccard_join(spark, sf):
+    from tabwright.llm.jaccard_join import link_components
+    return link_components(_table(spark, sf, "documents"))
+
+
 @_query
 def op8_line_dedup(spark, sf):
     from tabwright.llm.line_dedup import line_dedup
