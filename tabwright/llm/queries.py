@@ -19,12 +19,24 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+@_query
+def op1_html_extract(spark, sf):
+    from tabwright.llm.html_extract import extract_main_text
+    return extract_main_text(_table(spark, sf, "pages"))
+
+
 @_query
 def op2_decontamination(spark, sf):
     from tabwright.llm.decontaminate import find_leaks
     return find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+@_query
+def op3_suffix_dedup(spark, sf):
+    from tabwright.llm.suffix_dedup import remove_repeats
+    return remove_repeats(_table(spark, sf, "documents"))
+
+
 @_query
 def op4_toxicity(spark, sf):
     from tabwright.llm.toxicity import score_toxicity
@@ -37,6 +49,12 @@ def op5_packing(spark, sf):
     return pack(_table(spark, sf, "documents"))
 
 
+@_query
+def op6_pii(spark, sf):
+    from tabwright.llm.pii import find_personal_data
+    return find_personal_data(_table(spark, sf, "documents")).drop("sanitised")
+
+
 @_query
 def op7_jaccard_join(spark, sf):
     from tabwright.llm.jaccard_join import link_components
@@ -49,9 +67,22 @@ def op8_line_dedup(spark, sf):
     return line_dedup(_table(spark, sf, "documents"))
 
 
+@_query
+def op9_quality(spark, sf):
+    from tabwright.llm.quality import judge
+    return judge(_table(spark, sf, "documents")).drop("p_good")
+
+
+@_query
+def op10_warc(spark, sf):
+    from tabwright.llm.warc import round_trip
+    return round_trip(_table(spark, sf, "pages"))
+
+
 def _oracles():
-    from tabwright.llm import line_dedup
+    from tabwright.llm import line_dedup, warc
     ORACLE["op8_line_dedup"] = line_dedup.ORACLE
+    ORACLE["op10_warc"] = warc.ORACLE
 
 
 _oracles()
