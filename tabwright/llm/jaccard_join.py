@@ -10,16 +10,18 @@ when 100·|A∩B| ≥ pct·|A∪B|.  Equal sets are one class from the start; a
    hardly ever fills a group.  (An R-tree over the whole table prunes nothing here: the counts of unrelated
    documents of one size lie closer together in every coordinate than the threshold allows pairs to differ, so
    its boxes all overlap.  It therefore indexes each block of sets that share a group.)
-2. Each block's smallest member is paired with the others; pairs whose summed coordinate minima of the group
-   counts can't reach the threshold go, the rest are verified on the sets.  Verified links are contracted.
-3. Only blocks that still hold several components go on.  Their members are packed into R-tree leaves (by set
-   size, then hash, a few hundred points a leaf; a box is the coordinate maxima with the least and largest size).
-   Leaf pairs, then point pairs, are bounded by summed coordinate minima; surviving pairs of different
-   components are verified.  Members of one component are never paired, so copies don't expand into pairs.
+2. Contraction: in turns, each set is tried against one other set of its blocks that lies outside its component.  A
+   pair goes if the summed coordinate minima of the group counts can't reach the threshold, else the sets decide.
+   Verified links merge components; blocks inside one component are done.  This lasts while a quarter of the
+   trials link, so a large group of copies shrinks to a point and never expands into its pairs.
+3. The blocks that still hold several components get an R-tree each: points in order of set size, packed into
+   leaves whose box is the coordinate maxima with the least and largest size.  Leaf pairs, then pairs of points
+   of different components, are bounded by summed coordinate minima; what survives is verified on the sets.
+   Large blocks are dealt into cells, and pairs of cells to different tasks.
 
 Null text or no words: empty set, n_shingles 0, linked with nothing.  A null doc_id names no class: such rows take
 part in nothing and get their set size and a null component.  Repeated rows are one class.  Sets are compared by
-64-bit shingle hashes, classes by 128 bits.
+64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm import textnum as tn
 
-COORDS, LEAF = 64, 512
+COORDS, LEAF, CELL = 64, 64, 1024
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -59,8 +61,14 @@ def shingle_sets(column: pa.Array, k: int):
                 yield lo + r, h[:0]
 
 
-def _identity(u: np.ndarray) -> tuple[int, int]:
-    return int(tn.mix(u).sum(dtype=np.uint64)), int(tn.mix(u ^ _C[1]).sum(dtype=np.uint64))
+def identity(u: np.ndarray) -> int:
+    return int(tn.mix(u ^ _C[1]).sum(dtype=np.uint64))
+
+
+def _counts(u: np.ndarray) -> np.ndarray:
+    """The set as a point: tokens per group, at most 65535 (sets that large are never ruled out by their point)."""
+    c = np.bincount((u & np.uint64(COORDS - 1)).astype(np.int64), minlength=COORDS)
+    return np.minimum(c, 65535).astype(np.uint16)
 
 
 def size_classes(pct: int, top: int = 1 << 40) -> list[int]:
@@ -97,22 +105,21 @@ def signatures(u: np.ndarray, bounds: list[int], pct: int) -> np.ndarray:
 
 
 def _documents(docs: DataFrame, k: int) -> DataFrame:
-    """_id, _n, _s1, _s2 (identity of the set) and _vec (group counts) of every row."""
+    """_id, _n, _set (identity of the set) and _vec (group counts) of every row."""
     def run(batches):
         for b in batches:
-            n, s1, s2, vec = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), []
+            n, own, vec = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.uint64), []
             for r, u in shingle_sets(b.column("t"), k):
-                n[r] = len(u)
-                s1[r], s2[r] = _identity(u)
-                vec.append(np.bincount((u & np.uint64(COORDS - 1)).astype(np.int64), minlength=COORDS).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(n), tn.i64(s1), tn.i64(s2), pa.array(vec, pa.binary())],
-                                             ["_id", "_n", "_s1", "_s2", "_vec"])
+                n[r], own[r] = len(u), identity(u)
+                vec.append(_counts(u).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(n), tn.i64(own), pa.array(vec, pa.binary())],
+                                             ["_id", "_n", "_set", "_vec"])
     return (docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("t"))
-            .mapInArrow(run, "_id long, _n long, _s1 long, _s2 long, _vec binary"))
+            .mapInArrow(run, "_id long, _n long, _set long, _vec binary"))
 
 
 def _signatures(docs: DataFrame, k: int, pct: int) -> DataFrame:
-    """(sig, _s1) of every set, once per task for equal sets."""
+    """(sig, v) of every set v, once per task for equal sets."""
     bounds = size_classes(pct)
 
     def run(batches):
@@ -120,16 +127,16 @@ def _signatures(docs: DataFrame, k: int, pct: int) -> DataFrame:
         for b in batches:
             sig, own = [], []
             for _, u in shingle_sets(b.column("t"), k):
-                s1 = _identity(u)[0]
+                s1 = identity(u)
                 if len(u) and s1 not in seen:
                     seen.add(s1)
                     sig.append(signatures(u, bounds, pct))
                     own.append(np.full(len(sig[-1]), s1, np.uint64))
             if sig:
-                yield pa.RecordBatch.from_arrays([tn.i64(np.concatenate(sig)), tn.i64(np.concatenate(own))], ["sig", "_s1"])
+                yield pa.RecordBatch.from_arrays([tn.i64(np.concatenate(sig)), tn.i64(np.concatenate(own))], ["sig", "v"])
 
     return (docs.where(F.col("doc_id").isNotNull()).select(F.col("text").cast("string").alias("t"))
-            .mapInArrow(run, "sig long, _s1 long"))
+            .mapInArrow(run, "sig long, v long"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -155,134 +162,196 @@ def _shared(rows: DataFrame) -> DataFrame:
                 out_sig, out_s = np.append(out_sig, sig0), np.append(out_s, s0)
             live = bool(same[-1])
             sig0, s0 = sig[-1], s1[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(out_sig), pa.array(out_s)], ["sig", "_s1"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_sig), pa.array(out_s)], ["sig", "v"])
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "_s1").mapInArrow(run, "sig long, _s1 long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "v").mapInArrow(run, "sig long, v long")
 
 
-def _bounded(pairs: DataFrame, pct: int) -> DataFrame:
-    """(a, b) of the rows (a, na, va, b, nb, vb) whose summed coordinate minima can reach the threshold."""
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            va, vb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, COORDS) for c in ("va", "vb"))
-            most = np.minimum(va, vb).sum(1, dtype=np.int64)
-            ok = (100 + pct) * most >= pct * (b.column("na").to_numpy() + b.column("nb").to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
-    return pairs.select("a", "na", "va", "b", "nb", "vb").mapInArrow(run, "a long, b long").distinct()
+def _possible(na, nb, most, pct: int):
+    """Whether sets of these sizes with at most so many common tokens can link."""
+    return ((100 + pct) * most >= pct * (na + nb)) | (na > 65535) | (nb > 65535)
+
 
+def _points(raw) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint16).reshape(-1, COORDS)
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int, broadcast_rows: int) -> DataFrame:
-    """(id, set) of the given representatives; ids are broadcast only when counted to be few."""
+
+def _bounded(pairs: DataFrame, points: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b) whose summed coordinate minima can reach the threshold."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                most = np.minimum(_points(b.column("va").to_pylist()), _points(b.column("vb").to_pylist())).sum(1, dtype=np.int64)
+                ok = pa.array(_possible(b.column("na").to_numpy(), b.column("nb").to_numpy(), most, pct))
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+    side = lambda c: points.select(F.col("v").alias(c), F.col("n").alias("n" + c), F.col("vec").alias("v" + c))
+    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "va", "nb", "vb")
+            .mapInArrow(run, "a long, b long"))
+
+
+def _sets(docs: DataFrame, ids: DataFrame, k: int, broadcast_rows: int, short: bool) -> DataFrame:
+    """(v, set) of the given (v, id) representatives, as 8-byte tokens or their upper 4 bytes; ids are broadcast only
+    when counted to be few."""
     ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([u.tobytes() for _, u in shingle_sets(b.column("t"), k)],
-                                                                       pa.binary())], ["id", "set"])
+            sets = [((u >> np.uint64(32)).astype(np.uint32) if short else u).tobytes() for _, u in shingle_sets(b.column("t"), k)]
+            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(sets, pa.binary())], ["v", "set"])
     return (docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
-            .join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary"))
+            .join(ids, "id").select("v", "t").mapInArrow(run, "v long, set binary"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, pct: int, short: bool) -> DataFrame:
+    """The pairs that link; with short tokens, those that may link (never fewer)."""
     def run(batches):
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
             for r, (x, y) in enumerate(zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok[r] = (100 + pct) * both >= pct * (len(x) + len(y))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
-    got = (pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-           .join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a"))
-    return got.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
-
-
-def _leaf_pairs(members: DataFrame, pct: int) -> DataFrame:
-    """Pairs of different components that the R-tree of their block can't rule out.
-
-    ``members``: sig, id, n, vec, label of blocks with several components."""
-    import pandas as pd
-    count = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("_cells"))
-    cell = members.join(count, "sig").withColumn("leaf", F.struct(F.floor(F.log(F.col("n").cast("double")) / np.log(1.04)).cast("long").alias("band"),
-                                                                   F.pmod(F.xxhash64("id"), F.col("_cells")).alias("salt")))
-    cell = cell.select("sig", F.col("leaf.band").alias("band"), F.col("leaf.salt").alias("salt"), "id", "n", "vec", "label")
-
-    def pack(pdf):
-        pdf = pdf.sort_values(["n", "id"])
-        v = np.frombuffer(b"".join(pdf.vec), np.uint32).reshape(-1, COORDS)
-        return pd.DataFrame({"sig": pdf.sig.iloc[:1], "node": [pdf.band.iloc[0] * (1 << 32) + pdf.salt.iloc[0]],
-                             "least": [pdf.n.min()], "most": [pdf.n.max()], "box": [v.max(0).tobytes()],
-                             "ids": [pdf.id.to_numpy(np.int64).tobytes()], "ns": [pdf.n.to_numpy(np.int64).tobytes()],
-                             "labels": [pdf.label.to_numpy(np.int64).tobytes()], "vecs": [v.tobytes()]})
-
+                x, y = (np.frombuffer(z, np.uint32 if short else np.uint64) for z in (x, y))
+                n, m = len(x), len(y)
+                if short:                                          # tokens that became equal may hide a common one each
+                    x, y = np.unique(x), np.unique(y)
+                both = len(x) + len(y) - len(np.union1d(x, y)) + min(n - len(x), m - len(y))
+                ok[r] = (100 + pct) * both >= pct * (n + m)
+            ok = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+    side = lambda c: sets.select(F.col("v").alias(c), F.col("set").alias("s" + c))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, k: int, pct: int, broadcast_rows: int) -> DataFrame:
+    """The pairs that link: first by half tokens, which move half the bytes and rule most out, then by whole ones."""
     from tabwright.session import cut_lineage
-    leaf = cut_lineage(cell.groupBy("sig", "band", "salt").applyInPandas(
-        pack, "sig long, node long, least long, most long, box binary, ids binary, ns binary, labels binary, vecs binary"))
-    left = leaf.select("sig", *[F.col(c).alias("l_" + c) for c in leaf.columns[1:]])
-    right = leaf.select("sig", *[F.col(c).alias("r_" + c) for c in leaf.columns[1:]])
-    both = left.join(right, "sig").where((F.col("l_node") <= F.col("r_node")) & (F.col("l_least") * pct <= F.col("r_most") * 100)
-                                         & (F.col("r_least") * pct <= F.col("l_most") * 100))
-
-    def probe(batches):
-        u64 = lambda x: np.frombuffer(x, np.int64)
-        vec = lambda x: np.frombuffer(x, np.uint32).reshape(-1, COORDS)
+    for short in (True, False):
+        ends = pairs.select(F.col("a").alias("v")).unionAll(pairs.select("b")).distinct().join(points.select("v", "id"), "v")
+        sets = _sets(docs, cut_lineage(ends), k, broadcast_rows, short)
+        pairs = cut_lineage(_compared(pairs, sets, pct, short).distinct())
+    return pairs
+
+
+def _block_pairs(members: DataFrame, pct: int) -> DataFrame:
+    """Pairs of different components that the R-trees of their blocks can't rule out.
+
+    ``members``: sig, v, label, n, vec.  A block of more than CELL members is dealt into cells, and each pair of
+    cells is a unit of work of its own; a task walks its units in order and holds one at a time."""
+    cells = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+    own = members.join(cells, "sig").withColumn("c", F.pmod(F.xxhash64("v"), F.col("cells")).cast("int"))
+    unit = own.select("sig", "v", "label", "n", "vec", "c", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("d"))
+    unit = unit.select("sig", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "v", "label", "n", "vec")
+
+    def probe(rows, out):
+        """Pairs inside one unit: leaves of LEAF points in order of size, boxes first, then points."""
+        c, v, label, n, vec = (np.concatenate(x) if isinstance(x[0], np.ndarray) else x for x in rows)
+        lo, hi = int(c.min()), int(c.max())
+        cut = range(0, len(v), LEAF)
+        boxes = [(vec[i:i + LEAF].max(0), int(n[i]), int(n[min(len(v), i + LEAF) - 1])) for i in cut]
+        for x, i in enumerate(cut):
+            for y in range(x, len(boxes)):
+                j = y * LEAF
+                if boxes[y][1] * pct > boxes[x][2] * 100:
+                    break                                          # all further leaves hold larger sets still
+                top = int(np.minimum(boxes[x][0], boxes[y][0]).sum(dtype=np.int64))
+                if not _possible(boxes[x][1], boxes[y][1], top, pct) and boxes[y][2] <= 65535:
+                    continue
+                p, q = slice(i, i + LEAF), slice(j, j + LEAF)
+                ok = label[p, None] != label[None, q]
+                if lo != hi:
+                    ok &= c[p, None] != c[None, q]                 # pairs inside a cell belong to that cell's own unit
+                if x == y:
+                    ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])[None, :]
+                a, b = np.nonzero(ok)
+                if len(a):
+                    a, b = a + i, b + j
+                    most = np.minimum(vec[a], vec[b]).sum(1, dtype=np.int64)
+                    keep = _possible(n[a], n[b], most, pct)
+                    a, b = v[a[keep]], v[b[keep]]
+                    out.append((np.minimum(a, b), np.maximum(a, b)))
+
+    def run(batches):
+        held, key = [], None
+
+        def done():
+            out: list = []
+            if held and sum(len(x[1]) for x in held) > 1:
+                probe(tuple(np.concatenate(x) for x in zip(*held)), out)
+            held.clear()
+            if out:
+                ab = np.unique(np.concatenate([np.stack(x, 1) for x in out]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+
         for b in batches:
-            a_out, b_out = [], []
-            for r in b.to_pylist():
-                if (100 + pct) * int(np.minimum(vec(r["l_box"]), vec(r["r_box"])).sum()) < pct * (r["l_least"] + r["r_least"]):
-                    continue                                   # boxes too small to overlap enough
-                ids, ns, labels, vecs = (u64(r["r_ids"]), u64(r["r_ns"]), u64(r["r_labels"]), vec(r["r_vecs"]))
-                for i, n, lab, v in zip(u64(r["l_ids"]), u64(r["l_ns"]), u64(r["l_labels"]), vec(r["l_vecs"])):
-                    ok = labels != lab
-                    if r["l_node"] == r["r_node"]:
-                        ok &= ids > i
-                    k = np.flatnonzero(ok)
-                    k = k[(100 + pct) * np.minimum(vecs[k], v).sum(1, dtype=np.int64) >= pct * (ns[k] + n)]
-                    a_out.append(np.minimum(ids[k], i))
-                    b_out.append(np.maximum(ids[k], i))
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([cat(a_out), cat(b_out)], ["a", "b"])
-
-    return both.mapInArrow(probe, "a long, b long").distinct()
+            if not b.num_rows:
+                continue
+            sig, lo, hi, *rest = (b.column(c).to_numpy() for c in ("sig", "lo", "hi", "c", "v", "label", "n"))
+            vec = _points(b.column("vec").to_pylist())
+            edge = np.flatnonzero((sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            for i, j in zip([0, *edge], [*edge, len(sig)]):
+                now = (sig[i], lo[i], hi[i])
+                if now != key:
+                    yield from done()
+                    key = now
+                held.append((*(x[i:j] for x in rest), vec[i:j]))
+        yield from done()
+
+    order = ["sig", "lo", "hi", "n", "v"]
+    return (unit.repartition("sig", "lo", "hi").sortWithinPartitions(*order).select("sig", "lo", "hi", "c", "v", "label", "n", "vec")
+            .mapInArrow(run, "a long, b long").distinct())
 
 
 def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links of the class, per row."""
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) per row."""
     from tabwright.plans.components import component_labels
     from tabwright.session import cut_lineage
     rows = cut_lineage(_documents(docs, k))
-    classes = (rows.where("_n > 0 and _id is not null").groupBy("_s1", "_s2")
-               .agg(F.min("_id").alias("id"), F.min("_n").alias("n"), F.min("_vec").alias("vec")))
-    shared = cut_lineage(_shared(_signatures(docs, k, pct)))
-    # equal blocks (same members) count once
-    block = shared.groupBy("sig").agg(F.sum(F.xxhash64("_s1").cast("decimal(38,0)")).alias("f"), F.count(F.lit(1)).alias("c"))
-    first = block.groupBy("f", "c").agg(F.min("sig").alias("sig")).select("sig")
-    members = cut_lineage(shared.join(first, "sig", "left_semi").join(classes.drop("_s2"), "_s1")
-                          .select("sig", "id", "n", "vec").distinct())
-    hub = members.groupBy("sig").agg(F.min(F.struct("id", "n", "vec")).alias("h"))
-    star = members.join(hub, "sig").where("id <> h.id").select(
-        F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.vec").alias("va"),
-        F.col("id").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
-    pairs = cut_lineage(_bounded(star, pct))
-    sets = cut_lineage(_sets(docs, members.select("id").distinct(), k, broadcast_rows))
-    links = cut_lineage(_verified(pairs, sets, pct))
-    label = component_labels(links, "a", "b")
-    named = (members.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
-    open_ = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    rest = _leaf_pairs(named.join(open_, "sig", "left_semi"), pct).join(pairs, ["a", "b"], "left_anti")
-    more = cut_lineage(_verified(rest, sets, pct))
+    points = (rows.where("_n > 0 and _id is not null").groupBy(F.col("_set").alias("v"))
+              .agg(F.min("_id").alias("id"), F.min("_n").alias("n"), F.min("_vec").alias("vec")))
+    block = cut_lineage(_shared(_signatures(docs, k, pct)))
+    points = cut_lineage(points.join(block.select("v").distinct(), "v", "left_semi"))       # the others link with nothing
+    links, label, turn = None, None, 0
+    while True:
+        named = block.withColumn("label", F.col("v")) if label is None else block.join(
+            label, block.v == label.id, "left").select("sig", "v", F.coalesce("component", "v").alias("label"))
+        open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+        named = cut_lineage(named.join(open_, "sig", "left_semi"))
+        block = named.select("sig", "v")
+        # one trial per member: the first member, in this turn's order, that a block of its shows outside its component
+        hub = named.groupBy("sig").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "label")).alias("hub"))
+        trial = (named.join(hub, "sig").where("label <> hub.label").groupBy("v").agg(F.min("hub").alias("hub"))
+                 .select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct())
+        trial = cut_lineage(_bounded(trial, points, pct))
+        tried = trial.count()
+        if not tried:
+            break
+        got = _verified(docs, trial, points, k, pct, broadcast_rows)
+        found = got.count()
+        if found:
+            links = got if links is None else links.unionAll(got)
+            label = component_labels(links, "a", "b")
+        if 4 * found < tried:                                      # contraction no longer pays; the R-trees do the rest
+            break
+        turn += 1
+    if label is not None:
+        named = named.drop("label").join(label, F.col("v") == label.id, "left").select("sig", "v", F.coalesce("component", "v").alias("label"))
+        open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+        named = cut_lineage(named.join(open_, "sig", "left_semi"))
+    # blocks with the same members count once
+    same = named.groupBy("sig").agg(F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("f"), F.count(F.lit(1)).alias("c"))
+    one = same.groupBy("f", "c").agg(F.min("sig").alias("sig")).select("sig")
+    rest = _block_pairs(named.join(one, "sig", "left_semi").join(points.select("v", "n", "vec"), "v"), pct)
+    more = _verified(docs, cut_lineage(rest), points, k, pct, broadcast_rows)
     if more.limit(1).count():
-        links = links.unionAll(more)
+        links = more if links is None else links.unionAll(more)
         label = component_labels(links, "a", "b")
-    final = (classes.select("_s1", "_s2", "id").join(label, "id", "left")
-             .select("_s1", "_s2", F.coalesce("component", "id").alias("component_id")))
-    known = F.col("_n") > 0
-    return (rows.join(final, ["_s1", "_s2"], "left")
-            .select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"),
-                    F.when(F.col("_id").isNull(), F.lit(None)).otherwise(
-                        F.when(known, F.col("component_id")).otherwise(F.col("_id"))).cast("long").alias("component_id")))
+    out = rows.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), "_set")
+    first = rows.where("_n > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("first"))
+    if label is not None:
+        group = first.join(label, F.col("_set") == F.col("id")).select("_set", "first", "component")
+        low = group.groupBy("component").agg(F.min("first").alias("low"))
+        first = first.join(group.join(low, "component").select("_set", "low"), "_set", "left").select(
+            "_set", F.coalesce("low", "first").alias("first"))
+    return out.join(first, "_set", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(
+        F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).cast("long").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, pct: int = 80, **options) -> DataFrame:

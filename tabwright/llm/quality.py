@@ -78,8 +78,10 @@ def votes() -> dict[str, tuple[Column, Column]]:
 def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, tolerance: float = 1e-9) -> tuple[float, list[tuple[float, float]]]:
     """EM over (votes, count) rows: log odds of good, and per rule the log odds that a good / a bad vote adds.
 
-    Accuracies start at 0.8.  On good documents they stay in [0.55, 0.999]; on bad ones, most of which fail one rule and
-    pass the others, they may fall to 0.02: a good vote then says next to nothing, a bad vote still counts."""
+    Accuracies start at 0.8.  On good documents they stay in [0.99, 0.999]: the bad thresholds are wide, and without that
+    bound a rarer kind of junk is explained as good documents on which one rule errs.  On bad documents, most of
+    which fail one rule and pass the others, they may fall to 0.02: a good vote then says next to nothing, a bad
+    vote still counts."""
     rules = len(patterns[0][0]) if patterns else 0
     prior, acc = 0.8, [[0.8, 0.8] for _ in range(rules)]          # right on good documents, right on bad ones
     odds = lambda: (math.log(prior / (1 - prior)), [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in acc])
@@ -96,7 +98,7 @@ def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, tolera
             for c in (0, 1):
                 w = [(p if c == 0 else 1 - p) * n for p, (v, n) in zip(post, patterns) if v[j]]
                 right = [(p if c == 0 else 1 - p) * n for p, (v, n) in zip(post, patterns) if v[j] == (1 if c == 0 else -1)]
-                acc[j][c] = min(0.999, max((0.55, 0.02)[c], (sum(right) + 0.8) / (sum(w) + 1)))
+                acc[j][c] = min(0.999, max((0.99, 0.02)[c], (sum(right) + 0.8) / (sum(w) + 1)))
         now = [prior, *[x for a in acc for x in a]]
         if last and max(abs(x - y) for x, y in zip(now, last)) < tolerance:
             break
