@@ -17,7 +17,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
-STAGES = [("toxicity", toxicity)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand on ten sites or more go, except from documents that consist of them."""
+    from tabwright.llm.line_dedup import drop_spread_lines
+    return drop_spread_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at a similarity of 0.8 or more, the smallest doc_id stays."""
+    from tabwright.llm.jaccard_join import drop_near_duplicates
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of ``benchmark``, give or take an edit per twenty characters, go."""
+    from tabwright.llm.decontaminate import drop_leaks
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id with its length, length bucket, batch and slot."""
+    from tabwright.llm.packing import pack
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
+          ("decontamination", decontamination), ("packing", packing)]
 
 #: A learnt score can't be put in SQL; tests/llm checks the stages against brute force instead.
 ORACLE_SQL = None
