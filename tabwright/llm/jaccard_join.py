@@ -354,9 +354,11 @@ def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows:
         F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).cast("long").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, pct: int = 80, **options) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id (of repeated rows of it, one)."""
-    comp = link_components(docs, k, pct, **options)
-    gone = comp.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept
+def drop_near_duplicates(docs: DataFrame, k: int = 5, pct: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
+    """One document of each component stays, that with the smallest doc_id; rows that repeat that id stay as they are."""
+    from tabwright.session import cut_lineage
+    comp = link_components(docs, k, pct, broadcast_rows)
+    gone = cut_lineage(comp.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    if gone.count() <= broadcast_rows:                         # counted; beyond that a shuffle join
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
