@@ -10,7 +10,7 @@ aligned salt by salt and host by host, so no host's pages ever meet in one task.
 The host's wrapper tells where the article is: the ``article``/``main`` element if the wrapper has one with text,
 else the deepest element that holds most of the host's running text, with link lists and boilerplate elements
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, by tag, role or class) left out.
-Template text inside it that stands once per page, alike on at least ``min_pages`` pages, goes too.  Each page is
+Template text inside it that stands once per page, alike on at least ``min_pages`` different pages, goes too.  Each page is
 then read against that: blocks inside the region, in page order.
 
 Null or empty html: text ''.  Pages without a readable host are one host of their own; a page that has no text in
@@ -164,19 +164,21 @@ def parse(html: str) -> list:
 
 
 # A wrapper item: {"k": key or "" for a text slot, "o": optional, "r": repeated, "n": pages, "c": characters, "l": characters
-# in links, "t": the text's hash while all pages agree, "i": items}
+# in links, "t": the text's hash while all pages agree, "d": the smallest hashes of different pages with the slot, "i": items}
+WITNESSES = 8
 
-def shape(node) -> dict:
-    """The wrapper of one page (or element)."""
+def shape(node, page: int = 0) -> dict:
+    """The wrapper of one page (or element); ``page``: a hash of the page, by which copies count once."""
     if isinstance(node, tuple):
-        return {"k": "", "o": 0, "r": 0, "n": 1, "c": len(node[0]), "l": node[1], "t": crc32(node[0].encode("utf-8", "replace")), "i": []}
-    return {"k": node[0], "o": 0, "r": 0, "n": 1, "c": 0, "l": 0, "t": None, "i": _fold([shape(x) for x in node[1]], True)}
+        return {"k": "", "o": 0, "r": 0, "n": 1, "c": len(node[0]), "l": node[1], "t": crc32(node[0].encode("utf-8", "replace")), "d": [page], "i": []}
+    return {"k": node[0], "o": 0, "r": 0, "n": 1, "c": 0, "l": 0, "t": None, "d": [], "i": _fold([shape(x, page) for x in node[1]], True)}
 
 
 def _join(a: dict, b: dict, same_page: bool) -> dict:
     """Two matching items as one."""
     return {"k": a["k"], "o": a["o"] | b["o"], "r": a["r"] | b["r"] | same_page, "n": max(a["n"], b["n"]) if same_page else a["n"] + b["n"],
             "c": a["c"] + b["c"], "l": a["l"] + b["l"], "t": a["t"] if a["t"] == b["t"] and not same_page else None,
+            "d": sorted({*a["d"], *b["d"]})[:WITNESSES],
             "i": _align(a["i"], b["i"], same_page)}
 
 
@@ -272,7 +274,7 @@ def region(wrapper: dict, min_pages: int) -> dict:
     for path, found in slots.items():
         if any(path == q or path.startswith(q + "/") for q in at) and len(found) == 1:
             x = found[0]
-            if x["t"] is not None and not x["r"] and x["n"] >= min_pages:
+            if x["t"] is not None and not x["r"] and len(x["d"]) >= min_pages:
                 drop[path] = x["t"]
     return {"at": sorted(at), "drop": drop}
 
@@ -309,7 +311,7 @@ def infer_wrappers(pages: DataFrame, salts: int = 64) -> DataFrame:
         for b in batches:
             for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
                 if html:
-                    one = shape(parse(html))
+                    one = shape(parse(html), crc32(html.encode("utf-8", "replace")))
                     found[host] = merge(found[host], one) if host in found else one
         salt = TaskContext.get().partitionId() % salts
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([salt] * len(found), pa.int32()),
@@ -330,6 +332,8 @@ def infer_wrappers(pages: DataFrame, salts: int = 64) -> DataFrame:
 
 def extract_main_text(pages: DataFrame, min_pages: int = 5, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    if min_pages > WITNESSES:
+        raise ValueError(f"min_pages is at most {WITNESSES}")
     from tabwright.session import cut_lineage
 
     def decide(batches):

@@ -66,7 +66,7 @@ def votes() -> dict[str, tuple[Column, Column]]:
     return {
         "length": (F.col("n_words") >= 30, F.col("n_words") < 12),
         "symbols": (share["n_symbols"] <= 0.01, share["n_symbols"] > 0.05),
-        "dup_lines": (dup <= 0.1, dup > 0.3),
+        "dup_lines": (dup <= 0.1, (dup > 0.3) & (F.col("n_dup_lines") >= 3)),
         "repeats": (share["n_repeat_words"] <= 0.05, share["n_repeat_words"] > 0.15),
         "word_length": (mean.between(3.0, 9.0), (mean < 2.0) | (mean > 14.0)),
         "capitals": (share["_upper"] <= 0.1, share["_upper"] > 0.3),
