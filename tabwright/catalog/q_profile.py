@@ -136,12 +136,11 @@ for _m in ("iqr", "zscore", "modified_zscore"):
 
 
 @register("outlier_rows", """
-SELECT 'o_totalprice' AS col_name, o_orderkey, round(o_totalprice, 6) AS value, rank FROM (
-  SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders,
-    (SELECT quantile_cont(o_totalprice,0.25) AS q1, quantile_cont(o_totalprice,0.75) AS q3 FROM orders)
-  WHERE o_totalprice < q1 - 1.5*(q3-q1) OR o_totalprice > q3 + 1.5*(q3-q1)) WHERE rank <= 100""")
+SELECT 'c_acctbal' AS col_name, c_custkey, round(c_acctbal, 6) AS value FROM customer,
+    (SELECT quantile_cont(c_acctbal,0.25) AS q1, quantile_cont(c_acctbal,0.75) AS q3 FROM customer)
+  WHERE c_acctbal < q1 - 0.3*(q3-q1) OR c_acctbal > q3 + 0.3*(q3-q1)""")
 def q_outlier_rows(spark, sf):
-    return r6(P.outlier_rows(table(spark, sf, "orders"), "o_orderkey", "iqr", 1.5, columns=["o_totalprice"]))
+    return r6(P.outlier_rows(table(spark, sf, "customer"), "c_custkey", "iqr", 0.3, columns=["c_acctbal"]))
 
 
 @register("histogram", """

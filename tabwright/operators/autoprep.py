@@ -25,6 +25,7 @@ class PreprocessConfig:
     numeric_imputer: str = "mean"
     categorical_imputer: str = "most_frequent"
     add_missing_indicator: bool = False
+    binary_imputer: str = "most_frequent"
     onehot_drop: str | None = "first"
     onehot_max_categories: int | None = None
     power_method: str = "yeo-johnson"
@@ -36,6 +37,7 @@ class PreprocessConfig:
     exclude_constant: bool = True
 
 
+ENCODERS = ("onehot", "ordinal", "target", "binary", "woe", "leaveoneout", "hashing")
 _NUMERIC_ROUTE = {"numeric_normal": ("num_normal", None), "numeric_log": ("num_log", "log_standard"),
                   "numeric_power": ("num_power", "power"), "numeric_outlier": ("num_outlier", "robust")}
 
@@ -131,11 +133,11 @@ class AutoPreprocessor:
             steps.append(Step(group, cols, [imp, m2]))
         if by.get("binary"):
             cols = by["binary"]
-            if all(types[c] == "string" and c in vcounts for c in cols):
+            if cfg.binary_imputer == "most_frequent" and all(types[c] == "string" and c in vcounts for c in cols):
                 imp = P.ImputerModel({c: _mode(vcounts[c]) for c in cols}, cols)
                 enc = _inline_ordinal(cols, vcounts)
             else:
-                imp = P.Imputer("most_frequent").fit(df, cols)
+                imp = P.Imputer(cfg.binary_imputer).fit(df, cols)
                 enc = P.fit_ordinal(imp.transform(df.select(*cols)), cols)
             steps.append(Step("binary", cols, [imp, enc]))
         for kind, group, enc_name in (("category_low", "cat_low", cfg.cat_low_encoder),
@@ -166,8 +168,14 @@ class AutoPreprocessor:
                 enc = P.fit_woe(filled, cols, target)
             elif enc_name == "leaveoneout" and target:
                 enc = P.fit_leave_one_out(filled, cols, target)
-            else:
+            elif enc_name == "hashing":
+                enc = P.fit_hashing(filled, cols)
+            elif enc_name == "ordinal":
                 enc = P.fit_ordinal(filled, cols)
+            elif enc_name in ("target", "woe", "leaveoneout"):
+                raise ValueError(f"encoder {enc_name!r} needs a target")
+            else:
+                raise ValueError(f"unknown encoder {enc_name!r}")
             steps.append(Step(group, cols, [imp, enc]))
         for c in by.get("periodic", []):
             steps.append(Step(f"periodic_{c}", [c], [P.fit_periodic(df, [c], cfg.periodic_periods)]))

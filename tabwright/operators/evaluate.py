@@ -26,9 +26,10 @@ def _d(c) -> Column:
 def regression_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", by=None) -> DataFrame:
     """V4 — rmse, mae, r2 (1 − SSE/SST; SST from the mean of y) per group."""
     e = _d(y_true) - _d(y_pred)
+    y = F.when(e.isNotNull(), _d(y_true))                      # rows where both values are there; centred sums
+    sst = F.var_pop(y) * F.count(e)
     aggs = [F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-            (1 - F.sum(e * e) / (F.sum(_d(y_true) * _d(y_true)) - F.sum(_d(y_true)) * F.sum(_d(y_true)) / F.count(e)))
-            .alias("r2"), F.count(e).alias("n")]
+            F.when(sst > 0, 1 - F.sum(e * e) / sst).alias("r2"), F.count(e).alias("n")]
     by = [by] if isinstance(by, str) else list(by or [])
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 

@@ -241,8 +241,9 @@ def _coalition_rows(df: DataFrame, key: str, features, background: DataFrame, n_
     feats = list(features)
     keys = [key] if isinstance(key, str) else list(key)
     kc = [F.col(k) for k in keys]
-    bg = global_row_number(background.select(*feats), [F.xxhash64(*[F.col(c) for c in feats], F.lit(seed))]
-                           + [F.col(c) for c in feats], "_tw_bi")
+    # equal feature rows are interchangeable: a copy number spreads a hot one over partitions
+    bg = background.select(*feats).withColumn("_tw_copy", F.monotonically_increasing_id())
+    bg = global_row_number(bg, [F.xxhash64(*[F.col(c) for c in feats], F.lit(seed))] + [F.col(c) for c in feats] + ["_tw_copy"], "_tw_bi")
     n_bg = bg.count()
     bg = bg.select(F.col("_tw_bi"), *[B.as_double(c).alias(f"_tw_z_{c}") for c in feats])
     rows = df.select(*keys, *keep, *[B.as_double(c).alias(f"_tw_x_{c}") for c in feats])

@@ -25,15 +25,14 @@ OUTLIER_IQR_FACTOR = 1.5
 OUTLIER_SHARE = 0.05
 TEXT_MEAN_LENGTH = 50
 SMILES_NAME_HINTS = ["smiles", "smi", "structure", "mol", "compound"]
-EXACT_DISTINCT_LIMIT = 1000   # exact distinct counts below this estimate (kinds need ≤ 20)
+COLLECT_LIMIT = 1000   # value counts go to the driver only for columns with fewer distinct values than this estimate
 
 
 def detect_column_types(df: DataFrame, key: str | None = None, periodic_cols=(), columns=None,
                         smiles_by_name: bool = True, stats_out: dict | None = None) -> DataFrame:
     """G11 — profile frame: col_name, col_type, n_unique, null_rate, skewness, has_outliers.
 
-    ``n_unique`` is exact up to ``EXACT_DISTINCT_LIMIT`` distinct values and an
-    HLL estimate (5 % error) above it; no kind rule depends on counts that large.
+    ``n_unique`` is exact for every column.
     ``stats_out`` (optional dict) receives the value counts of the small
     columns and the numeric statistics, so a caller fitting encoders or
     scalers next does not scan again."""
@@ -52,11 +51,14 @@ def detect_column_types(df: DataFrame, key: str | None = None, periodic_cols=(),
         if c in strs:
             aggs.append(F.avg(F.length(v)).alias(f"{c}__len"))
     r = df.agg(*aggs).first().asDict()
-    # distinct counts: the kind rules only compare with 1, 2 and 20, so an HLL
-    # estimate (in the same aggregate) screens columns and the exact count is
-    # taken with a bounded set only where the estimate is small
-    small = [c for c in columns if (r.get(f"{c}__hll") or 0) <= EXACT_DISTINCT_LIMIT]
-    nunique = {c: r.get(f"{c}__hll") or 0 for c in columns}
+    # an HLL estimate (in the same aggregate) tells which columns are small enough for their value counts
+    # to go to the driver; the others' distinct values are counted where they lie
+    small = [c for c in columns if (r.get(f"{c}__hll") or 0) <= COLLECT_LIMIT]
+    large = [c for c in columns if c not in small]
+    nunique = {c: 0 for c in columns}
+    if large:
+        from tabwright.operators.profile import distinct_counts
+        nunique |= {x["col_name"]: x["n_unique"] for x in distinct_counts(df, large).collect()}
     value_counts = {c: [] for c in small}
     if small:
         parts = []

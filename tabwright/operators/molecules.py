@@ -222,20 +222,28 @@ def jaccard_threshold_pairs(sets: DataFrame, key: str, threshold: float) -> Data
 
 
 def max_similarity_to_reference(cands: DataFrame, ref: DataFrame, key: str, threshold: float) -> DataFrame:
-    """J7 nearest-reference form — for each candidate set the largest Jaccard to
-    any reference set at or above ``threshold`` (exact, prefix-filtered)."""
-    both = cands.select(F.concat(F.lit("c:"), F.col(key).cast("string")).alias("_k"), "tokens") \
-        .unionByName(ref.select(F.concat(F.lit("r:"), F.col(key).cast("string")).alias("_k"), "tokens"))
-    pairs = jaccard_threshold_pairs(both, "_k", threshold)
-    sym = pairs.select(F.col("id_a").alias("x"), F.col("id_b").alias("y"), "jaccard").unionByName(
-        pairs.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"), "jaccard"))
-    return (sym.where(F.col("x").startswith("c:") & F.col("y").startswith("r:"))
-            .groupBy("x").agg(F.max("jaccard").alias("max_jaccard"))
-            .select(F.expr("substring(x, 3)").alias(key), "max_jaccard"))
-
-
-def _unused():  # keep math imported for formula helpers
-    return math.pi
+    """J7 nearest-reference form — one row per candidate: the largest Jaccard to any
+    reference set if it reaches ``threshold``, else NULL.  Candidates and references
+    are joined as two sides: each side's copies are collapsed, an equal set is at
+    1.0, and rare-token prefixes of the one side meet those of the other."""
+    if not 0.0 < threshold <= 1.0:
+        raise ValueError("threshold must be in (0, 1]")
+    sides = [d.select(key, F.array_sort(F.array_distinct("tokens")).alias("t")) for d in (cands, ref)]
+    c, r = (s.where(F.size("t") > 0).select("t").distinct().withColumn("_h", F.xxhash64("t")) for s in sides)
+    freq = c.unionAll(r).select(F.explode("t").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("_f"))
+    w = Window.partitionBy("t").orderBy("_f", "tok")
+
+    def prefix(s):
+        ex = s.select("t", F.explode("t").alias("tok")).join(freq, "tok").withColumn("_p", F.row_number().over(w))
+        n = F.size("t")
+        return ex.where(F.col("_p") <= n - F.ceil(F.lit(threshold) * n) + 1).select("tok", "t")
+
+    a, b = prefix(c).withColumnRenamed("t", "ta"), prefix(r).withColumnRenamed("t", "tb")
+    size_ok = (F.size("tb") >= threshold * F.size("ta")) & (F.size("ta") >= threshold * F.size("tb"))
+    inter = F.size(F.array_intersect("ta", "tb"))
+    best = (a.join(b, "tok").where(size_ok).select("ta", (inter / (F.size("ta") + F.size("tb") - inter)).alias("j"))
+            .where(F.col("j") >= threshold).groupBy("ta").agg(F.max("j").alias("max_jaccard")))
+    return sides[0].join(best, sides[0].t == best.ta, "left").select(key, "max_jaccard")
 
 
 def staged_descriptor_build(df: DataFrame, mol_col: str, stages: list) -> DataFrame:

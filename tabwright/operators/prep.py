@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tabwright.functions import boundary as B
 from tabwright.functions.scalar import log_transform, periodic
 from tabwright.functions.stats import norm_ppf
-from tabwright.plans.ordering import exact_quantiles, stack_columns
+from tabwright.plans.ordering import exact_quantiles, global_row_number, stack_columns
 
 INLINE_CATEGORY_LIMIT = 256   # above this many categories a map is joined, not inlined
 
@@ -438,8 +438,8 @@ def _map_model(tables: dict, outputs: dict, defaults: dict, columns) -> MapModel
 
 def _ordinal_table(df: DataFrame, c: str) -> DataFrame:
     levels = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("value")).distinct()
-    # codes are ranks of the sorted distinct values (global order over distinct values only)
-    return levels.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("double").alias("code"))
+    # codes are positions of the sorted distinct values, numbered without a one-task window
+    return global_row_number(levels, ["value"], "_tw_pos").select("value", (F.col("_tw_pos") - 1).cast("double").alias("code"))
 
 
 def fit_ordinal(df: DataFrame, columns) -> MapModel:
@@ -497,6 +497,20 @@ def hashing_encode(df: DataFrame, columns, n_components: int = 8) -> DataFrame:
     return df.select(*[x for x in df.columns if x not in columns], *outs)
 
 
+@dataclass
+class HashingModel:
+    """E17 as a fitted step: stateless, so fitting only keeps the columns."""
+    columns: list
+    n_components: int = 8
+
+    def transform(self, df: DataFrame, keep_other: bool = True) -> DataFrame:
+        return hashing_encode(df if keep_other else df.select(*self.columns), self.columns, self.n_components)
+
+
+def fit_hashing(df: DataFrame, columns, n_components: int = 8) -> HashingModel:
+    return HashingModel(list(columns), n_components)
+
+
 def fit_leave_one_out(df: DataFrame, columns, target: str) -> MapModel:
     """E18 — transform side: category mean (unseen → global mean).  For the
     training rows use :func:`leave_one_out_train` ((Σy − y)/(n − 1))."""

@@ -280,13 +280,16 @@ def count_outside(df: DataFrame, bounds: DataFrame, columns) -> DataFrame:
 
 
 def outlier_rows(df: DataFrame, key: str, method: str = "iqr", k: float = 1.5, z_threshold: float = 3.0,
-                 columns=None, limit: int = 100) -> DataFrame:
-    """G7 row ids — the first ``limit`` outlying keys per column (key order)."""
+                 columns=None, limit: int | None = None) -> DataFrame:
+    """G7 row ids — every outlying key per column with its value; with ``limit``, the first
+    ``limit`` keys of each column (rank in key order) as a preview."""
     B.require_key(df, key)
     columns = [c for c in (columns or B.numeric_columns(df, exclude=[key])) if c in df.columns]
     b = outlier_bounds(df, method.lower(), k, z_threshold, columns)
     long = stack_columns(df, columns, keep=[key]).join(F.broadcast(b), "col_name")
     out = long.where((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
+    if limit is None:
+        return out.select("col_name", key, "value")
     w = Window.partitionBy("col_name").orderBy(key)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("col_name", key, "value", "rank")
 

@@ -252,7 +252,7 @@ def walk_forward(df: DataFrame, key: str, order_by, n_splits: int = 5, min_train
 
 def _positional_long(df, key, order_by, bounds) -> DataFrame:
     """Rows at 0-based position p: train if p < train_end, test if in [ts, te)."""
-    pos = global_row_number(df.select(key, *[c for c in order_by if c != key]), order_by, "_tw_pos")
+    pos = global_row_number(df.select(key, *[c for c in order_by if c != key]), [*order_by, *([] if key in order_by else [key])], "_tw_pos")
     spec = df.sparkSession.createDataFrame(bounds, "split_id int, train_end long, test_start long, test_end long")
     p0 = F.col("_tw_pos") - 1
     # spec has one row per split (bounded by n_splits): broadcast, no shuffle of the data

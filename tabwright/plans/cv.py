@@ -33,5 +33,5 @@ def fold_ols_scores(df: DataFrame, fold_col: str, features, target: str) -> Data
     e = F.col("y") - (F.col("a") + F.col("b") * F.col("x"))
     return j.groupBy("model", "split_id").agg(
         F.sqrt(F.avg(e * e)).alias("score"),
-        (1 - F.sum(e * e) / (F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / F.count(F.lit(1)))).alias("r2"),
+        (1 - F.sum(e * e) / F.nullif(F.var_pop("y") * F.count("y"), F.lit(0.0))).alias("r2"),
         F.count(F.lit(1)).alias("n_test"))

@@ -24,7 +24,7 @@ class PipelineGridConfig:
     generators: list = field(default_factory=lambda: [("none", 1)])
     selectors: list = field(default_factory=lambda: ["none"])
     estimators: list = field(default_factory=lambda: ["linear"])
-    max_combinations: int = 1000
+    max_combinations: int | None = None
 
 
 AXES = ["numeric_imputer", "scaler", "cat_imputer", "low_encoder", "high_encoder", "binary_imputer",
@@ -33,7 +33,7 @@ AXES = ["numeric_imputer", "scaler", "cat_imputer", "low_encoder", "high_encoder
 
 def pipeline_grid(cfg: PipelineGridConfig) -> list[dict]:
     """E27 — every combination (generator "none" appears once, not per degree),
-    capped at ``max_combinations``; each has a label naming *every* axis."""
+    cut to the first ``max_combinations`` if that is given; each has a label naming *every* axis."""
     gens = []
     for g in cfg.generators:
         if g[0] == "none":
@@ -51,7 +51,7 @@ def pipeline_grid(cfg: PipelineGridConfig) -> list[dict]:
                                d["high_encoder"], d["binary_imputer"],
                                "none" if gen[0] == "none" else f"{gen[0]}{gen[1]}", d["selector"], d["estimator"]])
         out.append(d)
-        if len(out) >= cfg.max_combinations:
+        if cfg.max_combinations is not None and len(out) >= cfg.max_combinations:
             break
     return out
 
@@ -63,46 +63,97 @@ def count_grid(cfg: PipelineGridConfig) -> int:
     for ax in (cfg.numeric_imputers, cfg.scalers, cfg.cat_imputers, cfg.low_encoders, cfg.high_encoders,
                cfg.binary_imputers, cfg.selectors, cfg.estimators):
         total *= len(ax)
-    return min(total * n_gen, cfg.max_combinations)
-
-
-def grid_search(df: DataFrame, target: str, key: str, cfg: PipelineGridConfig, n_splits: int = 5, seed: int = 42):
-    """V17 — CV score of every pipeline; failures are kept with a status; sorted
-    by mean score.  Preprocessing is fitted once per distinct prefix."""
-    from pyspark import StorageLevel
-
+    return total * n_gen if cfg.max_combinations is None else min(total * n_gen, cfg.max_combinations)
+
+
+SELECTORS = ("none", "kbest", "mutual_info", "lasso", "random_forest")
+
+
+def _select(x: DataFrame, feats: list, name: str, task: str, k: int) -> list:
+    """The features that a selector keeps, fitted on the given (training) rows."""
+    from tabwright.operators import reduce as R
+    from tabwright.plans.train import assemble
+    if name == "none" or not feats:
+        return feats
+    if name == "kbest":
+        rows = R.select_k_best(R.f_scores(x, feats, "label", task), k=k).select("feature").collect()
+        return [c for c in feats if c in {r[0] for r in rows}]
+    if name == "mutual_info":
+        mi = R.mutual_information(x, feats, "label", target_bins=10 if task == "regression" else None)
+        rows = R.select_k_best(mi, k=k, score_col="mi").select("feature").collect()
+        return [c for c in feats if c in {r[0] for r in rows}]
+    data = assemble(x, feats).select("label", "features")
+    if name == "lasso":
+        from tabwright.plans.models import get_model
+        model = get_model("lasso", "regression", label="label").fit(data)
+        weights = dict(zip(feats, model.coefficients.toArray().tolist()))
+    else:
+        from tabwright.plans.models import get_model
+        weights = dict(zip(feats, get_model("random_forest", task, label="label").fit(data).featureImportances.toArray().tolist()))
+    kept = R.select_from_model(weights)
+    return [c for c in feats if c in set(kept)] or feats
+
+
+def _check(cfg: PipelineGridConfig, task: str) -> None:
+    from tabwright.operators.autoprep import ENCODERS
+    from tabwright.plans.models import REGISTRY
+    known = {"selector": (cfg.selectors, SELECTORS), "encoder": ([*cfg.low_encoders, *cfg.high_encoders], ENCODERS),
+             "estimator": (cfg.estimators, [k.split("/")[0] for k in REGISTRY if k.endswith("/" + task)]),
+             "generator": ([g[0] for g in cfg.generators], ("none", "polynomial", "interaction"))}
+    for what, (asked, names) in known.items():
+        for x in asked:
+            if x not in names:
+                raise ValueError(f"unknown {what} {x!r}")
+
+
+def grid_search(df: DataFrame, target: str, key: str, cfg: PipelineGridConfig, n_splits: int = 5, seed: int = 42,
+                k_best: int = 10):
+    """V17 — CV score of every pipeline, all its steps (imputers, scaler, encoders, generator, selector) fitted
+    on each fold's training rows; failures are kept with a status; sorted by mean score.  Estimators that share
+    all other steps share their fitted folds.  Unknown names raise."""
     from tabwright.operators.autoprep import AutoPreprocessor, PreprocessConfig
     from tabwright.operators.profile import infer_task
-    from tabwright.operators import split as S
-    from tabwright.plans.train import assemble, cross_validate
+    from tabwright.plans.train import FOLD, choose_folds, cross_validate_fitted, with_label
     task = infer_task(df, target, "pipeline")
-    folds = S.kfold(df.select(key), key, n_splits, True, seed)
-    rows, cache = [], {}
+    _check(cfg, task)
+    df = with_label(df, target, task)
+    folds = choose_folds(df, key, task, n_splits, seed)
+    keep = [key, target, "label"]
+    groups: dict = {}
     for spec in pipeline_grid(cfg):
-        prefix = tuple(spec[a] for a in AXES[:7])
-        try:
-            if prefix not in cache:
-                pc = PreprocessConfig(numeric_scaler=spec["scaler"], numeric_imputer=spec["numeric_imputer"],
-                                      categorical_imputer=spec["cat_imputer"], cat_low_encoder=spec["low_encoder"],
-                                      cat_high_encoder=spec["high_encoder"])
-                m = AutoPreprocessor(pc).fit(df, target, key=key, keep=[key, target])
-                x = m.transform(df)
-                feats = [c for c in x.columns if c not in (key, target)]
+        groups.setdefault(tuple(spec[a] for a in AXES[:-1]), []).append(spec)
+    rows = []
+    for specs in groups.values():
+        spec = specs[0]
+        pc = PreprocessConfig(numeric_scaler=spec["scaler"], numeric_imputer=spec["numeric_imputer"],
+                              categorical_imputer=spec["cat_imputer"], cat_low_encoder=spec["low_encoder"],
+                              cat_high_encoder=spec["high_encoder"], binary_imputer=spec["binary_imputer"])
+
+        def build(train, spec=spec, pc=pc):
+            also = [FOLD] if FOLD in train.columns else []
+            m = AutoPreprocessor(pc).fit(train, target, key=key, keep=[*keep, *also])
+
+            def features(rows):
+                x = m.transform(rows)
+                feats = [c for c in x.columns if c not in {*keep, *also}]
                 gen = spec["generator"]
                 if gen[0] != "none" and feats:
-                    x = x.select(key, target, *[F.col(c) for c in feats],
-                                 *[c.alias(n) for n, c in _poly_terms(feats, int(gen[1]), gen[0])])
-                    feats = [c for c in x.columns if c not in (key, target)]
-                data = assemble(x.withColumn("label", F.col(target).cast("double")), feats) \
-                    .select(key, "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
-                cache[prefix] = data
-            sc = cross_validate(cache[prefix], key, folds, spec["estimator"], task)
-            a = sc.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).first()
-            rows.append((spec["label"], float(a["m"]), float(a["s"] or 0.0), "ok"))
-        except Exception as e:  # noqa: BLE001 — failures are recorded, like the reference
-            rows.append((spec["label"], None, None, f"failed: {type(e).__name__}"))
-    for d in cache.values():
-        d.unpersist()
+                    x = x.select(*keep, *also, *[F.col(c) for c in feats], *[c.alias(n) for n, c in _poly_terms(feats, int(gen[1]), gen[0])])
+                    feats = [c for c in x.columns if c not in {*keep, *also}]
+                return x, feats
+            x, feats = features(train)
+            chosen = _select(x, feats, spec["selector"], task, k_best)
+            return lambda rows: (features(rows)[0], chosen)
+
+        try:
+            scores, _, left_out = cross_validate_fitted(df, key, folds, [s["estimator"] for s in specs], task, build)
+            got = {r["model"]: r for r in scores.groupBy("model").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).collect()}
+        except Exception as e:  # noqa: BLE001 — reported with its reason
+            got, left_out = {}, {s["estimator"]: f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}" for s in specs}
+        for s in specs:
+            r = got.get(s["estimator"])
+            rows.append((s["label"], float(r["m"]), float(r["s"] or 0.0), "ok") if r else
+                        (s["label"], None, None, f"failed: {left_out.get(s['estimator'], 'no score')}"))
     out = df.sparkSession.createDataFrame(rows, "pipeline string, mean double, std double, status string")
     return out.orderBy(F.desc_nulls_last("mean"), "pipeline")
 

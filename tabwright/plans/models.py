@@ -79,18 +79,13 @@ REGISTRY = {s.key + "/" + s.task: s for s in [
     ModelSpec("huber", "regression", _lin(0.0, 0.0, "huber"), ("linear", "robust")),
     ModelSpec("decision_tree", "regression", _tree(R.DecisionTreeRegressor, maxDepth=5, seed=42), ("tree", "default")),
     ModelSpec("random_forest", "regression", _tree(R.RandomForestRegressor, numTrees=50, maxDepth=8, seed=42), ("tree", "ensemble", "default")),
-    ModelSpec("extra_trees", "regression", _tree(R.RandomForestRegressor, numTrees=50, maxDepth=8, featureSubsetStrategy="all", subsamplingRate=1.0, seed=42),
-              ("tree", "ensemble"), "randomised-threshold trees are not in Spark ML; full-feature forest"),
     ModelSpec("bagging", "regression", _tree(R.RandomForestRegressor, numTrees=20, featureSubsetStrategy="all", bootstrap=True, seed=42), ("ensemble",)),
     ModelSpec("gbm", "regression", _tree(R.GBTRegressor, maxIter=50, maxDepth=5, seed=42), ("tree", "ensemble", "default")),
     ModelSpec("hgbm", "regression", _tree(R.GBTRegressor, maxIter=50, maxDepth=5, maxBins=64, seed=42), ("tree", "ensemble"), "binned gradient boosting"),
-    ModelSpec("xgb", "regression", _tree(R.GBTRegressor, maxIter=100, maxDepth=6, seed=42), ("ensemble",), "alias of gradient-boosted trees"),
-    ModelSpec("lgbm", "regression", _tree(R.GBTRegressor, maxIter=100, maxDepth=6, seed=42), ("ensemble",), "alias of gradient-boosted trees"),
     ModelSpec("logistic", "classification", _logistic, ("linear", "default")),
     ModelSpec("linearsvc", "classification", _svc, ("linear",)),
     ModelSpec("decision_tree", "classification", _tree(C.DecisionTreeClassifier, maxDepth=5, seed=42), ("tree", "default")),
     ModelSpec("random_forest", "classification", _tree(C.RandomForestClassifier, numTrees=50, maxDepth=8, seed=42), ("tree", "ensemble", "default")),
-    ModelSpec("extra_trees", "classification", _tree(C.RandomForestClassifier, numTrees=50, featureSubsetStrategy="all", seed=42), ("ensemble",)),
     ModelSpec("gbm", "classification", _ovr_gbt, ("tree", "ensemble", "default"), "binary trees, one-vs-rest"),
     ModelSpec("gaussian_nb", "classification", _nb("gaussian"), ("probabilistic",)),
     ModelSpec("bernoulli_nb", "classification", _nb("bernoulli"), ("probabilistic",)),

@@ -157,8 +157,7 @@ def stack_columns(df: DataFrame, columns, name_col: str = "col_name", value_col:
 
 
 def exact_quantiles(df: DataFrame, columns, probs, approx: bool = False,
-                    num_partitions: int | None = None, bins: int = 1024,
-                    max_collect: int = 50_000, max_passes: int = 12) -> DataFrame:
+                    num_partitions: int | None = None, bins: int = 1024) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) of many columns.
 
     Returns one row per column: ``col_name`` and ``q<i>`` for each requested prob.
@@ -168,10 +167,13 @@ def exact_quantiles(df: DataFrame, columns, probs, approx: bool = False,
     counts, for every unresolved target, the values of its current cell in
     ``bins`` equal-width sub-bins (map-side combined, result ≤ bins × targets
     rows); the sub-bin holding the wanted rank becomes the next cell.  A cell
-    whose rows are few (≤ ``max_collect``) or hold one distinct value is
-    resolved by collecting its (value, count) pairs.  Cells are defined by the
+    with at most ``bins`` rows, or one that can't be cut any further, is resolved
+    by collecting its (value, count) pairs.  Cells are defined by the
     same bin expressions in every pass, so boundaries are exact.  A hot value
-    only makes a cell resolve sooner (min = max).  ``approx=True`` uses
+    only makes a cell resolve sooner (min = max).  Columns that reach beyond
+    10^15 (infinities included) are cut on sign(v)·log(1 + |v|), where every
+    pass still divides the cell; about 500 doubles at most share one such
+    value, so passes end and what is collected stays small at any size.  ``approx=True`` uses
     ``percentile_approx`` (bounded-memory sketch) instead.
     """
     columns, probs = list(columns), [float(p) for p in probs]
@@ -199,19 +201,24 @@ def exact_quantiles(df: DataFrame, columns, probs, approx: bool = False,
                 want[(i, r)] = None
     # cell of a target: list of (a, b) refinements; rank offset inside the cell
     cells = {t: ([], 0) for t in want}
+    scale = list(vals)
     lo = {i: st[f"lo{i}"] for i in range(len(columns))}
     hi = {i: st[f"hi{i}"] for i in range(len(columns))}
     for t in list(want):
         if lo[t[0]] == hi[t[0]]:
             want[t] = lo[t[0]]
+    for i, v in enumerate(vals):
+        if st[f"n{i}"] and max(abs(lo[i]), abs(hi[i])) > 1e15:
+            scale[i] = F.signum(v) * F.least(F.log1p(F.abs(v)), F.lit(_LOG_TOP))
+            lo[i], hi[i] = (math.copysign(min(math.log1p(abs(x)), _LOG_TOP), x) for x in (lo[i], hi[i]))
 
     def in_cell(i, path):
         cond = vals[i].isNotNull()
         for (a, b, j) in path:
-            cond = cond & (_bin(vals[i], a, b, bins) == j)
+            cond = cond & (_bin(scale[i], a, b, bins) == j)
         return cond
 
-    for _ in range(max_passes):
+    while True:
         todo = [t for t in want if want[t] is None]
         if not todo:
             break
@@ -229,7 +236,7 @@ def exact_quantiles(df: DataFrame, columns, probs, approx: bool = False,
         parts = []
         for g, (i, path, a, b, ts) in enumerate(meta):
             cond = in_cell(i, path)
-            parts.append(F.struct(F.when(cond, F.lit(g)).alias("g"), _bin(vals[i], a, b, bins).alias("j"),
+            parts.append(F.struct(F.when(cond, F.lit(g)).alias("g"), _bin(scale[i], a, b, bins).alias("j"),
                                   vals[i].alias("v")))
         # ``inline`` of a struct array (no lambda) keeps the scan in generated code
         ex = df.select(F.inline(F.array(*parts))).where(F.col("g").isNotNull())
@@ -252,7 +259,8 @@ def exact_quantiles(df: DataFrame, columns, probs, approx: bool = False,
                         else:
                             newpath = path + [(a, b, j)]
                             cells[t] = (newpath, off + acc)
-                            if n <= max_collect:
+                            na, nb = _cell_range(newpath, lo[i], hi[i], bins)
+                            if n <= bins or nb - na >= b - a or na + (nb - na) / bins <= na:
                                 collect_req.append((t, i, newpath))
                         break
                     acc += n
@@ -294,6 +302,9 @@ def exact_quantiles(df: DataFrame, columns, probs, approx: bool = False,
     return spark.createDataFrame(rows, schema)
 
 
+_LOG_TOP = 1000.0      # stands for log(1 + |v|) of an infinity; finite doubles stay under 710
+
+
 def _bin(v, a: float, b: float, bins: int):
     """Sub-bin index of v inside the cell [a, b] (last bin closed)."""
     if b <= a:

@@ -29,6 +29,9 @@ from tabwright.operators.profile import infer_task
 from tabwright.plans.models import default_models, get_model
 
 
+FOLD = "_tw_fold"
+
+
 def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
@@ -81,53 +84,115 @@ class AutoMLResult:
     oof: DataFrame | None = None
     feature_names: list = field(default_factory=list)
     preprocess: object = None
+    left_out: dict = field(default_factory=dict)      # model → why it has no score
+
+
+def cross_validate_fitted(df: DataFrame, key: str, folds: DataFrame, models, task: str, build, time_budget: float | None = None):
+    """Cross-validation whose preprocessing never sees held-out rows.
+
+    ``df`` holds key, label and the raw columns; ``build(train)`` fits on a fold's
+    training rows and returns a function that maps a frame to (frame, features).
+    The fold number joins the rows once; each fold's transformed rows are kept
+    while all models use them.  Returns the scores, each model's held-out
+    predictions, and why a model has no score."""
+    base = df.join(folds.select(key, F.col("fold").alias(FOLD)), key).persist(StorageLevel.MEMORY_AND_DISK)
+    splits = [r[0] for r in base.where(F.col(FOLD) >= 0).select(FOLD).distinct().orderBy(FOLD).collect()]
+    start, kept = time.time(), [base]
+    preds, took, left_out = {m: [] for m in models}, {}, {}
+    for k in splits:
+        x, feats = build(base.where(F.col(FOLD) != k))(base)
+        data = assemble(x, feats).select(key, FOLD, "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(data)
+        for m in models:
+            if m in left_out:
+                continue
+            if time_budget is not None and time.time() - start > time_budget:
+                left_out[m] = "time budget used up"
+                continue
+            t0 = time.time()
+            try:
+                fitted = get_model(m, task, label="label").fit(data.where(F.col(FOLD) != k))
+            except Exception as e:  # noqa: BLE001 — reported with its reason
+                left_out[m] = f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}"
+                continue
+            took[m, int(k)] = time.time() - t0
+            preds[m].append(fitted.transform(data.where(F.col(FOLD) == k)).select(
+                key, F.col("label").cast("double").alias("y_true"), F.col("prediction").cast("double").alias("y_pred"),
+                F.lit(int(k)).alias("split_id")))
+    oofs, rows = {}, []
+    for m in models:
+        if m in left_out:
+            continue
+        oof = preds[m][0]
+        for q in preds[m][1:]:
+            oof = oof.unionByName(q)
+        oofs[m] = oof
+        if task == "regression":
+            sc = EV.regression_metrics(oof, by=["split_id"]).select("split_id", F.col("r2").alias("score"))
+        else:
+            sc = oof.groupBy("split_id").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("score"))
+        rows += [(m, int(r["split_id"]), float("nan") if r["score"] is None else float(r["score"]), took[m, int(r["split_id"])])
+                 for r in sc.collect()]
+    for f in kept:
+        f.unpersist()
+    return df.sparkSession.createDataFrame(rows, "model string, split_id int, score double, fit_time double"), oofs, left_out
+
+
+def with_label(df: DataFrame, target: str, task: str) -> DataFrame:
+    """``label`` as a double; classes are numbered in the order of their names."""
+    if task != "classification":
+        return df.withColumn("label", F.col(target).cast("double"))
+    from pyspark.ml.feature import StringIndexer
+    y = df.withColumn("_tw_class", F.col(target).cast("string"))
+    return StringIndexer(inputCol="_tw_class", outputCol="label", stringOrderType="alphabetAsc").fit(y).transform(y).drop("_tw_class")
+
+
+def choose_folds(df: DataFrame, key: str, task: str, n_splits: int, seed: int, group: str | None = None) -> DataFrame:
+    """Group folds when groups are given (as many as there are groups at most), class-balanced folds for a
+    classification, plain ones otherwise."""
+    if group is not None:
+        n_splits, grouped = S.guard_group_folds(df, group, n_splits)
+        if grouped:
+            return S.group_kfold(df, key, group, n_splits)
+    if task == "classification":
+        return S.stratified_kfold(df, key, "label", n_splits, True, seed)
+    return S.kfold(df.select(key), key, n_splits, shuffle=True, seed=seed)
 
 
 def automl(df: DataFrame, target: str, key: str, models=None, n_splits: int = 5, time_budget: float = 600.0,
-           config: PreprocessConfig | None = None, seed: int = 42) -> AutoMLResult:
+           config: PreprocessConfig | None = None, seed: int = 42, group: str | None = None) -> AutoMLResult:
     """V2 — quality check → drop unlabelled → detect kinds → infer task →
-    preprocess → k-fold CV of each model until the deadline → leaderboard →
-    refit the best on all rows → out-of-fold predictions of the best."""
+    k-fold CV with the preprocessing fitted per fold → leaderboard →
+    refit the best on all rows → out-of-fold predictions of the best.  Models
+    that fail or don't fit the time budget are named in ``left_out``."""
     data_quality_check(df, target)
     df = drop_unlabelled(df, target)
     task = infer_task(df, target, "automl")
-    profile = detect_column_types(df, key=key, columns=[c for c in df.columns if c not in (key, target)])
-    prep = AutoPreprocessor(config).fit(df, target, profile=profile, key=key, keep=[key, target])
-    x = prep.transform(df)
-    feats = [c for c in x.columns if c not in (key, target)]
-    label = target
-    if task == "classification":
-        from pyspark.ml.feature import StringIndexer
-        idx = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(x)
-        x = idx.transform(x)
-        label = "label"
-    else:
-        x = x.withColumn("label", F.col(target).cast("double"))
-        label = "label"
-    data = assemble(x, feats).select(key, label, "features").persist(StorageLevel.MEMORY_AND_DISK)
-    folds = S.kfold(data.select(key), key, n_splits, shuffle=True, seed=seed)
-    models = list(models or default_models(task))
-    deadline = time.time() + time_budget
-    parts, oofs = [], {}
-    for mk in models:
-        if time.time() > deadline:
-            break
-        try:
-            sc, oofs[mk] = cross_validate(data, key, folds, mk, task, label, return_oof=True)
-            parts.append(sc)
-        except Exception:  # noqa: BLE001 — a failing model is skipped like the reference
-            continue
-    if not parts:
-        raise RuntimeError("no model could be evaluated")
-    scores = parts[0]
-    for p in parts[1:]:
-        scores = scores.unionByName(p)
-    scores = scores.cache()
+    skip = {key, target, *([group] if group else [])}
+    profile = detect_column_types(df, key=key, columns=[c for c in df.columns if c not in skip])
+    df = with_label(df, target, task)
+    keep = [key, target, "label"]
+
+    def build(train):
+        also = [c for c in (FOLD, group) if c and c in train.columns]
+        prep = AutoPreprocessor(config).fit(train, target, profile=profile, key=key, keep=[*keep, *also])
+
+        def apply(rows):
+            x = prep.transform(rows)
+            return x, [c for c in x.columns if c not in {*keep, *also}]
+        apply.prep = prep
+        return apply
+
+    folds = choose_folds(df, key, task, n_splits, seed, group)
+    scores, oofs, left_out = cross_validate_fitted(df, key, folds, list(models or default_models(task)), task, build, time_budget)
+    if not oofs:
+        raise RuntimeError(f"no model could be evaluated: {left_out}")
     lb = EV.leaderboard(scores, fit_time="fit_time")
     best = lb.where("rank = 1").first()["model"]
-    oof = oofs[best]
-    final = get_model(best, task, label=label).fit(data)
-    return AutoMLResult(task, lb, scores, best, final, oof, feats, prep)
+    apply = build(df)
+    x, feats = apply(df)
+    final = get_model(best, task, label="label").fit(assemble(x, feats).select(key, "label", "features"))
+    return AutoMLResult(task, lb, scores, best, final, oofs[best], feats, apply.prep, left_out)
 
 
 def tune(data: DataFrame, key: str, folds: DataFrame, model_key: str, task: str, space: dict,

@@ -31,14 +31,22 @@ def _ext(path: str) -> str:
     return "." + base.rsplit(".", 1)[-1].lower()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or pattern) is there, on the file system it names or the cluster's default one."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, query: str | None = None,
                encoding: str | None = None, **options) -> DataFrame:
     """S1 — dispatch on extension (or ``fmt``); unknown extension raises; a
-    missing local path raises (remote URIs are checked by Spark itself)."""
+    missing path raises."""
     fmt = fmt or EXTENSIONS.get(_ext(path))
     if fmt is None:
         raise ValueError(f"unsupported file type: {path}")
-    if "://" not in path and not os.path.exists(path):
+    if not _exists(spark, path):
         raise FileNotFoundError(path)
     if fmt == "csv":
         return read_csv(spark, path, encoding=encoding, **options)
@@ -58,8 +66,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, query: st
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None,
              infer_schema: bool = True, **options) -> DataFrame:
     """S2/S3 — header CSV/TSV; without an explicit encoding, UTF-8 first and,
-    when decoding produced replacement characters (U+FFFD) in a bounded
-    sample, a re-read as Shift_JIS."""
+    when decoding any row or column name produced replacement characters
+    (U+FFFD), a re-read as Shift_JIS."""
     r = spark.read.option("header", True).option("inferSchema", infer_schema).option("sep", sep)
     r = r.options(**options)
     if encoding:
@@ -67,11 +75,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | Non
     df = r.option("encoding", "UTF-8").csv(path)
     strs = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     names_bad = any("�" in c for c in df.columns)
-    sample_bad = False
-    if strs:
-        probe = df.select(F.concat_ws("", *[F.coalesce(F.col(c), F.lit("")) for c in strs]).alias("s")).limit(1000)
-        sample_bad = probe.where(F.col("s").contains("�")).limit(1).count() > 0
-    if names_bad or sample_bad:
+    rows_bad = bool(strs) and not names_bad and bool(df.agg(F.max(F.concat_ws("", *[F.col(f"`{c}`") for c in strs]).contains("�"))).first()[0])
+    if names_bad or rows_bad:
         return r.option("encoding", "Shift_JIS").csv(path)
     return df
 
