@@ -297,7 +297,7 @@ def exact_quantiles(df: DataFrame, columns, probs, approx: bool = False,
         for p in probs:
             h = (n - 1) * p
             a_, b_ = want[(i, int(math.floor(h)))], want[(i, int(math.ceil(h)))]
-            qs.append(float(a_ + (h - math.floor(h)) * (b_ - a_)))
+            qs.append(float(a_ if a_ == b_ else a_ + (h - math.floor(h)) * (b_ - a_)))
         rows.append((c, *qs))
     return spark.createDataFrame(rows, schema)
 

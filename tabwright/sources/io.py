@@ -68,6 +68,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | Non
     """S2/S3 — header CSV/TSV; without an explicit encoding, UTF-8 first and,
     when decoding any row or column name produced replacement characters
     (U+FFFD), a re-read as Shift_JIS."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")    # Spark 4 refuses Shift_JIS and its like otherwise
     r = spark.read.option("header", True).option("inferSchema", infer_schema).option("sep", sep)
     r = r.options(**options)
     if encoding:
