@@ -267,7 +267,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, gap: int = 128) -> DataFr
         raise ValueError("gap must stay under half the length")
     spark, rows = docs.sparkSession, _keyed(docs)
     names = _names(rows, length, gap)
-    twice = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    # written, so that the join below deals both sides itself and can split a name that many texts share
+    twice = cut_lineage(names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"))
     at = names.join(twice, "name", "left_semi").groupBy("key").agg(F.collect_list("pos").alias("at"))
     folder = f"{checkpoint_dir(spark).rstrip('/')}/repeats-{uuid.uuid4().hex}"
     rows.select("key", "t").join(at, "key").write.parquet(folder)      # the texts that hold a sample named twice
