@@ -146,10 +146,10 @@ def q_cleaning_summary(spark, sf):
 
 
 def _part_constraints():
-    return [K.RangeConstraint("p_size", 5, 45),
-            K.InequalityConstraint({"p_retailprice": 1.0, "p_size": -20.0}, 1500.0, "le"),
-            K.AtLeastNConstraint(["p_size", "p_retailprice"], 2, 20.0),
-            K.ExpressionConstraint("p_brand <> 'Brand#13'"),
+    return [K.in_range("p_size", 5, 45),
+            K.linear({"p_retailprice": 1.0, "p_size": -20.0}, 1500.0, "le"),
+            K.at_least(["p_size", "p_retailprice"], 2, 20.0),
+            K.sql_rule("p_brand <> 'Brand#13'"),
             K.ratio_constraint("p_retailprice", "p_size", 30.0, "ge")]
 
 
@@ -169,8 +169,9 @@ def q_apply_constraints_rows(spark, sf):
 
 @register("apply_constraints_report", f"""
 WITH f AS (SELECT {_FAIL} AS fail FROM part),
-s AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(
-    [x.describe().replace("'", "''") for x in _part_constraints()], 1))}) AS s(idx, constraint_desc))
+s AS (SELECT * FROM (VALUES (1, 'p_size in [5, 45]'), (2, 'weighted sum (p_retailprice by 1.0, p_size by -20.0) at most 1500.0'),
+      (3, '2 or more above 20.0: p_size, p_retailprice'), (4, 'where p_brand <> ''Brand#13'''),
+      (5, 'weighted sum (p_retailprice by 1.0, p_size by -30.0) at least 0.0')) AS s(idx, constraint_desc))
 SELECT idx, constraint_desc, (SELECT count(*) FROM f WHERE fail = idx) AS removed,
        (SELECT count(*) FROM f) AS before, (SELECT count(*) FROM f WHERE fail = 0) AS after FROM s""")
 def q_apply_constraints_report(spark, sf):
@@ -185,8 +186,8 @@ WHERE abs(coalesce(l_discount, 0) + coalesce(l_tax, 0) - 0.1) <= 1e-6
        AND ((NOT coalesce(l_quantity > 40, false)) OR coalesce(l_discount <= 0.05, false)))""")
 def q_constraint_misc(spark, sf):
     li = table(spark, sf, "lineitem")
-    s = K.SumConstraint(["l_discount", "l_tax"], 0.1, 1e-6).mask()
-    e = K.CountConstraint(["l_discount", "l_tax"], "exactly_one", 0.05).mask()
+    s = K.sum_near(["l_discount", "l_tax"], 0.1, 1e-6).mask()
+    e = K.count_rule(["l_discount", "l_tax"], "exactly_one", 0.05).mask()
     c = K.conditional_constraint("l_quantity", ">", 40, "l_discount", "<=", 0.05).mask()
     return li.where(s | (e & c))
 

@@ -62,7 +62,7 @@ SELECT 'p_retailprice', 'continuous', round(min(p_retailprice) - (max(p_retailpr
        round(max(p_retailprice) + (max(p_retailprice) - min(p_retailprice)) * 0.1, 6), NULL FROM part""")
 def q_space(spark, sf):
     sp = SR.space_from_table(table(spark, sf, "part"), ["p_size", "p_retailprice"])
-    rows = [(v.name, v.var_type, v.lo, v.hi, v.step) for v in sp.variables]
+    rows = [(v.name, v.kind, v.lo, v.hi, v.step) for v in sp]
     return r6(spark.createDataFrame(rows, "name string, var_type string, lo double, hi double, step double"))
 
 

@@ -7,6 +7,8 @@ statistic is an aggregate over them — covariances of all pairs in one pass.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,30 +138,37 @@ def single_row_explanation(phi: DataFrame, key: str, value, features, base_value
 
 def permutation_importance(df: DataFrame, key: str, features, target: str, predict,
                            n_repeats: int = 5, seed: int = 42, metric: str = "rmse") -> DataFrame:
-    """I1 — drop in score when one feature's values are permuted (n_repeats).
-
-    Permutation without collecting: rows ranked by key and by a hash of
-    (key, feature, repeat) (distributed ranks); the value at hash-rank i moves
-    to the row at key-rank i — an equi-join on the rank.  All (feature, repeat)
-    copies are unioned and scored in ONE grouped aggregate; ``predict`` maps a
-    frame with the feature columns to a frame with ``prediction``."""
+    """I1 — loss of score when one feature's values are permuted (n_repeats).
+
+    The rows are numbered once.  A permutation is the affine map
+    i → (a·i + b) mod n of that number with a coprime to n, so moving a feature's
+    values is one equi-join on the number; no further sort.  All (feature,
+    repeat) copies are scored in ONE grouped aggregate; ``predict`` maps a frame
+    with the feature columns to a frame with ``prediction``.  ``metric``: rmse
+    (rise), or accuracy for classes (fall)."""
+    import random
     from tabwright.plans.ordering import global_row_number
-    feats = list(features)
-    base = global_row_number(df, [F.col(key)], "_tw_kr")
-    copies = []
+    if metric not in ("rmse", "accuracy"):
+        raise ValueError(f"unknown metric {metric!r}")
+    feats, rnd = list(features), random.Random(seed)
+    base = global_row_number(df, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "_tw_kr")
+    n = base.count()
+    allc = base.withColumn("_tw_feature", F.lit("__baseline__")).withColumn("_tw_repeat", F.lit(-1))
+    columns = allc.columns
     for f in feats:
         for r in range(n_repeats):
-            src = global_row_number(df.select(key, F.col(f).alias("_tw_v")),
-                                    [F.xxhash64(F.col(key), F.lit(seed), F.lit(f), F.lit(r)), F.col(key)], "_tw_kr")
-            moved = base.drop(f).join(src.select("_tw_kr", F.col("_tw_v").alias(f)), "_tw_kr")
-            copies.append(moved.withColumn("_tw_feature", F.lit(f)).withColumn("_tw_repeat", F.lit(r)))
-    ref = base.withColumn("_tw_feature", F.lit("__baseline__")).withColumn("_tw_repeat", F.lit(-1))
-    allc = ref
-    for c in copies:
-        allc = allc.unionByName(c.select(*ref.columns))
+            a = next(x for x in iter(lambda: rnd.randrange(1, max(2, n)), None) if math.gcd(x, max(1, n)) == 1)
+            to = F.pmod(F.lit(a).cast("decimal(38,0)") * (F.col("_tw_kr") - 1) + F.lit(rnd.randrange(max(1, n))), F.lit(max(1, n))).cast("long") + 1
+            src = base.select(to.alias("_tw_to"), F.col(f).alias("_tw_v"))
+            moved = base.drop(f).join(src, F.col("_tw_kr") == F.col("_tw_to")).withColumnRenamed("_tw_v", f).drop("_tw_to")
+            allc = allc.unionByName(moved.withColumn("_tw_feature", F.lit(f)).withColumn("_tw_repeat", F.lit(r)).select(*columns))
     scored = predict(allc)
-    e = F.col(target).cast("double") - F.col("prediction")
-    sc = scored.groupBy("_tw_feature", "_tw_repeat").agg(F.sqrt(F.avg(e * e)).alias("_s"))
+    if metric == "rmse":
+        e = F.col(target).cast("double") - F.col("prediction")
+        loss = F.sqrt(F.avg(e * e))
+    else:
+        loss = 1 - F.avg((F.col(target).cast("string") == F.col("prediction").cast("string")).cast("double"))
+    sc = scored.groupBy("_tw_feature", "_tw_repeat").agg(loss.alias("_s"))
     b = sc.where(F.col("_tw_feature") == "__baseline__").select(F.col("_s").alias("_b"))
     d = sc.where(F.col("_tw_feature") != "__baseline__").crossJoin(b)
     out = d.groupBy(F.col("_tw_feature").alias("feature")).agg(F.avg(F.col("_s") - F.col("_b")).alias("importance_mean"),
@@ -167,24 +176,35 @@ def permutation_importance(df: DataFrame, key: str, features, target: str, predi
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance_mean"), "feature")))
 
 
+def _on_grid(df: DataFrame, feature: str, predict, grid_points: int) -> DataFrame:
+    mm = df.agg(F.min(B.as_double(feature)).alias("lo"), F.max(B.as_double(feature)).alias("hi")).first()
+    if mm["lo"] is None:
+        raise ValueError(f"{feature!r} has no values")
+    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(mm["lo"] + (mm["hi"] - mm["lo"]) * i / max(grid_points - 1, 1))).alias("v"))
+                       for i in range(grid_points)])
+    ex = df.drop(feature).withColumn("_tw_g", F.explode(points))
+    return predict(ex.withColumns({"grid_id": F.col("_tw_g.i"), "grid_value": F.col("_tw_g.v"), feature: F.col("_tw_g.v")}).drop("_tw_g"))
+
+
 def partial_dependence(df: DataFrame, feature: str, predict, grid_points: int = 50, sample: int | None = None,
                        key: str | None = None, seed: int = 42) -> DataFrame:
     """I2 — average prediction with ``feature`` set to each of ``grid_points``
-    values over [min, max]; with ``sample`` rows (hash order) an ICE table too
-    (the sample size is the operator's parameter)."""
-    mm = df.agg(F.min(B.as_double(feature)).alias("lo"), F.max(B.as_double(feature)).alias("hi")).first()
-    lo, hi = mm["lo"], mm["hi"]
-    spark = df.sparkSession
-    gp = [lo + (hi - lo) * i / max(grid_points - 1, 1) for i in range(grid_points)]
-    grid = spark.createDataFrame([(i, float(v)) for i, v in enumerate(gp)], "grid_id int, grid_value double")
-    rows = df
-    if sample and key:
-        rows = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(sample)
-    # grid has ``grid_points`` rows (the argument): broadcast product with the rows
-    ex = rows.drop(feature).crossJoin(F.broadcast(grid)).withColumn(feature, F.col("grid_value"))
-    scored = predict(ex)
-    pd_ = scored.groupBy("grid_id", "grid_value").agg(F.avg("prediction").alias("mean_prediction"))
-    return pd_
+    values over [min, max]; over ``sample`` rows in hash order if that is given.
+    Each row is expanded where it lies and averaged map-side."""
+    rows = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(sample) if sample and key else df
+    return _on_grid(rows, feature, predict, grid_points).groupBy("grid_id", "grid_value").agg(F.avg("prediction").alias("mean_prediction"))
+
+
+def individual_expectations(df: DataFrame, feature: str, predict, key: str, grid_points: int = 50, sample: int = 100, seed: int = 42,
+                            centred: bool = False) -> DataFrame:
+    """I2 (ICE) — (key, grid_id, grid_value, prediction): the curve of each of ``sample`` rows, chosen in
+    hash order; ``centred`` subtracts a row's prediction at the first grid point."""
+    rows = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(sample)
+    out = _on_grid(rows, feature, predict, grid_points).select(key, "grid_id", "grid_value", "prediction")
+    if centred:
+        first = out.where("grid_id = 0").select(key, F.col("prediction").alias("_tw_p0"))
+        out = out.join(first, key).select(key, "grid_id", "grid_value", (F.col("prediction") - F.col("_tw_p0")).alias("prediction"))
+    return out
 
 
 def tree_rules(model, feature_names, df: DataFrame | None = None) -> DataFrame:
@@ -226,6 +246,13 @@ def tree_rules(model, feature_names, df: DataFrame | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id int, rule string, prediction double, support double, importance double")
 
 
+_COPY = "_tw_copy_no"
+
+
+def _row_keys(key) -> list:
+    return [*([key] if isinstance(key, str) else key), _COPY]
+
+
 def _coalition_rows(df: DataFrame, key: str, features, background: DataFrame, n_samples: int,
                     seed: int, keep=()) -> DataFrame:
     """Permutation-sampling design shared by I4 (sampled) and I8.
@@ -239,8 +266,10 @@ def _coalition_rows(df: DataFrame, key: str, features, background: DataFrame, n_
     to f(x) − f(z) exactly."""
     from tabwright.plans.ordering import global_row_number
     feats = list(features)
-    keys = [key] if isinstance(key, str) else list(key)
+    keys = _row_keys(key)
     kc = [F.col(k) for k in keys]
+    # rows that share a key stay apart by a number among them
+    df = df.withColumn(_COPY, F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy(*feats, *keep)))
     # equal feature rows are interchangeable: a copy number spreads a hot one over partitions
     bg = background.select(*feats).withColumn("_tw_copy", F.monotonically_increasing_id())
     bg = global_row_number(bg, [F.xxhash64(*[F.col(c) for c in feats], F.lit(seed))] + [F.col(c) for c in feats] + ["_tw_copy"], "_tw_bi")
@@ -266,8 +295,8 @@ def _coalition_rows(df: DataFrame, key: str, features, background: DataFrame, n_
 
 def sampled_shap(df: DataFrame, key: str, features, predict, background: DataFrame | None = None,
                  n_samples: int = 16, seed: int = 42) -> DataFrame:
-    """I4 (any model) — ``key`` is a column or a list of columns that is unique
-    per row.  Permutation-sampling Shapley values with a marginal
+    """I4 (any model) — ``key`` is a column or a list of columns; rows that share
+    a key get a row of values each.  Permutation-sampling Shapley values with a marginal
     (background) imputer.  ``predict`` maps a frame with the feature columns
     to a frame with ``prediction``; all rows × samples × features × 2 are
     scored in one job and folded back with ONE groupBy on the key."""
@@ -275,9 +304,8 @@ def sampled_shap(df: DataFrame, key: str, features, predict, background: DataFra
     design = _coalition_rows(df, key, feats, df if background is None else background, n_samples, seed)
     scored = predict(design)
     signed = F.when(F.col("_tw_side") == 1, F.col("prediction")).otherwise(-F.col("prediction"))
-    keys = [key] if isinstance(key, str) else list(key)
-    return scored.groupBy(*keys).agg(*[(F.sum(F.when(F.col("_tw_feature") == c, signed)) / F.lit(float(n_samples)))
-                                     .alias(f"phi_{c}") for c in feats])
+    return scored.groupBy(*_row_keys(key)).agg(*[(F.sum(F.when(F.col("_tw_feature") == c, signed)) / F.lit(float(n_samples)))
+                                     .alias(f"phi_{c}") for c in feats]).drop(_COPY)
 
 
 def sage(df: DataFrame, key: str, features, target: str, predict, background: DataFrame | None = None,
@@ -296,8 +324,7 @@ def sage(df: DataFrame, key: str, features, target: str, predict, background: Da
         ls = F.abs(y - F.col("prediction"))
     else:
         raise ValueError(f"unknown loss {loss}")
-    keys = [key] if isinstance(key, str) else list(key)
-    per = scored.groupBy(*keys, "_tw_m", "_tw_feature").agg(
+    per = scored.groupBy(*_row_keys(key), "_tw_m", "_tw_feature").agg(
         F.sum(F.when(F.col("_tw_side") == 0, ls).otherwise(-ls)).alias("_tw_gain"))
     out = per.groupBy(F.col("_tw_feature").alias("feature")).agg(
         F.avg("_tw_gain").alias("sage_value"),

@@ -160,7 +160,6 @@ def genetic_search(spark, space, predict, n_pop: int = 200, generations: int = 2
     rank), so no driver-side loop over individuals."""
     from tabwright.operators.search import random_candidates
     from tabwright.session import cut_lineage
-    num = [v for v in space.variables if v.var_type != "categorical"]
     pop = random_candidates(spark, space, n_pop, seed).withColumnRenamed("grid_index", "ind")
 
     def score(df):
@@ -176,14 +175,14 @@ def genetic_search(spark, space, predict, n_pop: int = 200, generations: int = 2
         pairs = a.join(b, (F.col("a__r") + 1) % n_pop == F.col("b__r"))
         win = pairs.select(F.col("a__r").alias("slot"),
                            *[F.when(F.col("a_fitness") >= F.col("b_fitness"), F.col(f"a_{v.name}")).otherwise(F.col(f"b_{v.name}")).alias(v.name)
-                             for v in space.variables])
+                             for v in space])
         # crossover partner: the next slot; SBX on numeric genes, then mutation
         w2 = win.select(*[F.col(c).alias(f"p_{c}") for c in win.columns])
         mate = win.join(w2, (F.col("slot") + 1) % n_pop == F.col("p_slot"))
         cols = []
-        for j, v in enumerate(space.variables):
+        for j, v in enumerate(space):
             u = (F.pmod(F.xxhash64("slot", F.lit(seed), F.lit(g), F.lit(j)), F.lit(1 << 30)) / float(1 << 30))
-            if v.var_type == "categorical":
+            if v.kind == "categorical":
                 cols.append(F.when(u < 0.5, F.col(v.name)).otherwise(F.col(f"p_{v.name}")).alias(v.name))
                 continue
             beta = F.when(u <= 0.5, F.pow(2 * u, 1.0 / (eta + 1))).otherwise(F.pow(1 / (2 * (1 - u) + 1e-12), 1.0 / (eta + 1)))
@@ -192,7 +191,7 @@ def genetic_search(spark, space, predict, n_pop: int = 200, generations: int = 2
             gauss = F.sqrt(-2 * F.log(m + 1e-12)) * F.cos(2 * math.pi * u)
             child = F.when(m < mutation_rate, child + gauss * 0.1 * (v.hi - v.lo)).otherwise(child)
             child = F.least(F.greatest(child, F.lit(v.lo)), F.lit(v.hi))
-            if v.var_type == "discrete":
+            if v.kind == "discrete":
                 child = F.lit(v.lo) + F.round((child - v.lo) / v.step) * v.step
             cols.append(child.alias(v.name))
         kids = mate.select(F.col("slot").alias("ind"), *cols)
@@ -202,5 +201,4 @@ def genetic_search(spark, space, predict, n_pop: int = 200, generations: int = 2
         # the population is n_pop rows: materialise it each generation so the
         # plan does not grow with the number of generations
         pop = cut_lineage(both.orderBy(F.desc("fitness"), "ind").limit(n_pop))
-    del num
     return pop.orderBy(F.desc("fitness"), "ind")

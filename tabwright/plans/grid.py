@@ -7,7 +7,7 @@ preprocessing fit is shared by all combinations with the same prefix."""
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,7 +223,7 @@ def full_analysis(df: DataFrame, target: str, key: str, models=None, n_splits: i
 
 
 def suggest_experiments(observed: DataFrame, features, target: str, n: int = 5, constraints=(), bounds: dict | None = None,
-                        method: str = "auto", n_max: int = 10_000, kind: str = "ptr", target_range=None,
+                        method: str = "random_lhs", n_max: int = 10_000, kind: str = "ptr", target_range=None,
                         objective: str = "maximize", seed: int = 42) -> DataFrame:
     """O12 — space from the observed table → user bounds → candidates →
     constraints (one pass) → GP surrogate → top n.  The default target range
@@ -233,9 +233,7 @@ def suggest_experiments(observed: DataFrame, features, target: str, n: int = 5,
     from tabwright.operators.surrogate import suggest
     from tabwright.plans.ordering import exact_quantiles
     space = space_from_table(observed, list(features))
-    for v in space.variables:
-        if bounds and v.name in bounds:
-            v.lo, v.hi = bounds[v.name]
+    space = [replace(v, lo=bounds[v.name][0], hi=bounds[v.name][1]) if bounds and v.name in bounds else v for v in space]
     cands = generate_candidates(observed.sparkSession, space, method, n_max=n_max, seed=seed)
     if constraints:
         cands, _ = apply_constraints(cands, list(constraints))

@@ -66,9 +66,47 @@ def _nb(kind):
     return f
 
 
+class _Searched:
+    """A linear model whose penalty is chosen by k-fold search over ``grid``, refitted on all rows."""
+
+    def __init__(self, make, label, grid, n_splits, seed):
+        self.make, self.label, self.grid, self.n_splits, self.seed = make, label, grid, n_splits, seed
+
+    def fit(self, df):
+        from pyspark.ml.evaluation import RegressionEvaluator
+        from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+        m = self.make()
+        grid = ParamGridBuilder()
+        for name, values in self.grid.items():
+            grid = grid.addGrid(m.getParam(name), values)
+        return CrossValidator(estimator=m, estimatorParamMaps=grid.build(), evaluator=RegressionEvaluator(labelCol=self.label, metricName="rmse"),
+                              numFolds=self.n_splits, seed=self.seed).fit(df).bestModel
+
+
+def _searched(en, **axes):
+    def f(features="features", label="label", weight=None, **kw):
+        grid = {"regParam": list(kw.get("alphas", (0.001, 0.01, 0.1, 1.0, 10.0))), **axes}
+        return _Searched(lambda: _lin(0.1, en)(features, label, weight), label, grid, kw.get("n_splits", 5), kw.get("seed", 42))
+    return f
+
+
+class _SizedMlp:
+    """A perceptron whose input and output layers follow the data; ``hidden`` are the layers between."""
+
+    def __init__(self, features, label, hidden, max_iter):
+        self.features, self.label, self.hidden, self.max_iter = features, label, hidden, max_iter
+
+    def fit(self, df):
+        from pyspark.ml.functions import vector_to_array
+        from pyspark.sql import functions as F
+        r = df.agg(F.max(F.size(vector_to_array(self.features))).alias("n"), F.max(self.label).alias("k")).first()
+        layers = [int(r["n"]), *self.hidden, int(r["k"]) + 1]
+        return C.MultilayerPerceptronClassifier(featuresCol=self.features, labelCol=self.label, layers=layers, seed=42,
+                                                maxIter=self.max_iter).fit(df)
+
+
 def _mlp(features="features", label="label", weight=None, **kw):
-    return C.MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=kw["layers"], seed=42,
-                                            maxIter=kw.get("maxIter", 200))
+    return _SizedMlp(features, label, list(kw.get("hidden", (32,))), kw.get("maxIter", 200))
 
 
 REGISTRY = {s.key + "/" + s.task: s for s in [
@@ -76,6 +114,9 @@ REGISTRY = {s.key + "/" + s.task: s for s in [
     ModelSpec("ridge", "regression", _lin(1.0, 0.0), ("linear", "default")),
     ModelSpec("lasso", "regression", _lin(0.1, 1.0), ("linear",)),
     ModelSpec("elasticnet", "regression", _lin(0.1, 0.5), ("linear",)),
+    ModelSpec("ridge_cv", "regression", _searched(0.0), ("linear",)),
+    ModelSpec("lasso_cv", "regression", _searched(1.0), ("linear",)),
+    ModelSpec("elasticnet_cv", "regression", _searched(0.5, elasticNetParam=[0.1, 0.5, 0.9]), ("linear",)),
     ModelSpec("huber", "regression", _lin(0.0, 0.0, "huber"), ("linear", "robust")),
     ModelSpec("decision_tree", "regression", _tree(R.DecisionTreeRegressor, maxDepth=5, seed=42), ("tree", "default")),
     ModelSpec("random_forest", "regression", _tree(R.RandomForestRegressor, numTrees=50, maxDepth=8, seed=42), ("tree", "ensemble", "default")),
@@ -101,6 +142,14 @@ def get_model(key: str, task: str, **params):
     return spec.factory(**params)
 
 
+def register_model(key: str, task: str, factory, tags=(), note: str = "") -> None:
+    """X5 — a caller's own estimator under a new key; ``factory(features=, label=, weight=, **params)`` gives an
+    object whose ``fit(df)`` returns a model with ``transform(df)`` that adds ``prediction``."""
+    if f"{key}/{task}" in REGISTRY:
+        raise ValueError(f"model {key!r} for {task} is there already")
+    REGISTRY[f"{key}/{task}"] = ModelSpec(key, task, factory, tuple(tags), note)
+
+
 def list_models(spark, task: str | None = None, tag: str | None = None):
     """M17 — registry as a frame, filtered by task and tag."""
     rows = [(s.key, s.task, list(s.tags), s.note) for s in REGISTRY.values()

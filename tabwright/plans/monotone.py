@@ -1,12 +1,10 @@
-"""Soft monotone constraints for any weight-aware Spark ML regressor.
+"""Monotone regression by isotonic pull (M15), for any Spark ML regressor with a weight column.
 
-Fit → predict on a grid of ``n_grid`` points over mean ± 1.5σ of each
-constrained feature (other features at their exact medians) → where adjacent
-grid predictions go the wrong way, add the two grid points as corrected
-pseudo-rows with weight ``penalty_weight`` → refit, at most ``max_iter`` times
-or until the squared violation is ≤ ``violation_threshold``.  The grid and
-the pseudo-rows are bounded by the parameters; the data itself is only
-unioned and refitted (the Spark fit stays distributed).
+A profile of a feature is the model's prediction along that feature with all others at their medians.  The wanted
+profile is the closest monotone one, found by pool-adjacent-violators.  Where the two differ, the profile's points
+join the training rows with the isotonic value as label and the weight ``pull``, and the model is fitted again.
+All profiles of a round are one small frame and one prediction job; its size is constrained features × ``points``,
+whatever the data.  The data itself is only unioned with it.
 """
 
 from __future__ import annotations
@@ -22,66 +20,64 @@ from tabwright.functions import boundary as B
 from tabwright.plans.ordering import exact_quantiles
 
 
-def violation(y_grid, direction: int) -> float:
-    d = np.diff(np.asarray(y_grid, dtype=float))
-    return float(np.sum(np.maximum(0.0, -direction * d) ** 2))
+def isotonic(values, rising: bool = True) -> np.ndarray:
+    """The monotone sequence with the least squared distance to ``values`` (pool adjacent violators)."""
+    v = np.asarray(values, float) * (1 if rising else -1)
+    level, size = [], []
+    for x in v:
+        level.append(x)
+        size.append(1)
+        while len(level) > 1 and level[-2] > level[-1]:
+            n = size[-2] + size[-1]
+            level[-2:] = [(level[-2] * size[-2] + level[-1] * size[-1]) / n]
+            size[-2:] = [n]
+    return np.repeat(level, size) * (1 if rising else -1)
 
 
 @dataclass
 class MonotoneRegressor:
-    estimator_factory: object            # callable(weight_col) -> unfitted Spark ML regressor
-    constraints: dict                    # feature -> +1 / -1 / 0
-    n_grid: int = 20
-    sigma_factor: float = 1.5
-    penalty_weight: float = 10.0
-    max_iter: int = 3
-    violation_threshold: float = 1e-4
+    """``make(weight_col)`` gives an unfitted regressor; ``directions``: feature → +1, −1 or 0 (free)."""
+    make: object
+    directions: dict
+    points: int = 25
+    span: tuple = (0.05, 0.95)          # quantiles between which a profile is looked at
+    pull: float = 5.0
+    rounds: int = 4
+    tolerance: float = 1e-3             # of the target's standard deviation
     model: object = None
-    history: list = field(default_factory=list)
+    history: list = field(default_factory=list)      # largest distance to the isotonic profile, per round
 
-    def _grid_predictions(self, spark, feats, medians, f, lo, hi):
-        grid = np.linspace(lo, hi, self.n_grid)
-        rows = []
-        for g in grid:
-            r = [float(medians[c]) for c in feats]
-            r[feats.index(f)] = float(g)
-            rows.append(tuple(r))
-        gdf = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in feats))
-        pred = self.model.transform(VectorAssembler(inputCols=feats, outputCol="features").transform(gdf))
-        return np.array(rows), np.array([r["prediction"] for r in pred.select("prediction").collect()])
+    def _profiles(self, data: DataFrame, features: list) -> DataFrame:
+        q = {r["col_name"]: r for r in exact_quantiles(data, features, [0.5, *self.span]).collect()}
+        wanted = [f for f in features if self.directions.get(f, 0) and q[f]["q2"] > q[f]["q1"]]
+        rows = [(f, k, *[float(x) if c == f else float(q[c]["q0"]) for c in features])
+                for f in wanted for k, x in enumerate(np.linspace(q[f]["q1"], q[f]["q2"], self.points))]
+        return data.sparkSession.createDataFrame(rows, "_profile string, _at int, " + ", ".join(f"`{c}` double" for c in features))
 
     def fit(self, df: DataFrame, features, target: str) -> "MonotoneRegressor":
-        feats = list(features)
-        spark = df.sparkSession
-        data = df.select(*[B.as_double(c).alias(c) for c in feats], B.as_double(target).alias("label")) \
-            .withColumn("_tw_w", F.lit(1.0))
-        st = data.agg(*[F.avg(c).alias(f"m_{c}") for c in feats], *[F.stddev_pop(c).alias(f"s_{c}") for c in feats]).first()
-        med = {r["col_name"]: r["q0"] for r in exact_quantiles(data, feats, [0.5]).collect()}
-        assemble = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
+        features = list(features)
+        data = df.select(*[B.as_double(c).alias(c) for c in features], B.as_double(target).alias("label"), F.lit(1.0).alias("_weight"))
+        to_vector = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+        scale = data.agg(F.stddev_pop("label")).first()[0] or 1.0
+        probe = to_vector.transform(self._profiles(data, features))
         train = data
-        self.model = self.estimator_factory("_tw_w").fit(assemble.transform(train))
-        for _ in range(self.max_iter):
-            pen, total = [], 0.0
-            for f, direction in self.constraints.items():
-                if direction == 0 or f not in feats:
-                    continue
-                mu, sd = st[f"m_{f}"], st[f"s_{f}"] or 0.0
-                if sd < 1e-10:
-                    continue
-                X, y = self._grid_predictions(spark, feats, med, f, mu - self.sigma_factor * sd, mu + self.sigma_factor * sd)
-                total += violation(y, direction)
-                d = np.diff(y)
-                for k in np.where(-direction * d > 0)[0]:
-                    eps = abs(d[k]) + 0.01
-                    y1 = y[k] + eps if direction == 1 else y[k] - eps
-                    pen.append((*map(float, X[k]), float(y[k]), float(self.penalty_weight)))
-                    pen.append((*map(float, X[k + 1]), float(y1), float(self.penalty_weight)))
-            self.history.append(total)
-            if total <= self.violation_threshold or not pen:
+        for turn in range(self.rounds + 1):
+            self.model = self.make("_weight").fit(to_vector.transform(train))
+            seen: dict = {}
+            for r in self.model.transform(probe).orderBy("_profile", "_at").collect():       # points × constrained features
+                seen.setdefault(r["_profile"], []).append(r)
+            wrong, worst = [], 0.0
+            for f, rows in seen.items():
+                want = isotonic([r["prediction"] for r in rows], self.directions[f] > 0)
+                for r, w in zip(rows, want):
+                    gap = abs(w - r["prediction"]) / scale
+                    worst = max(worst, gap)
+                    if gap > self.tolerance:
+                        wrong.append((*[r[c] for c in features], float(w), float(self.pull)))
+            self.history.append(worst)
+            if not wrong or turn == self.rounds:
                 break
-            extra = spark.createDataFrame(pen, ", ".join(f"`{c}` double" for c in feats) + ", label double, _tw_w double")
-            train = train.unionByName(extra)
-            self.model = self.estimator_factory("_tw_w").fit(assemble.transform(train))
+            train = train.unionByName(df.sparkSession.createDataFrame(wrong, train.schema))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -63,5 +63,40 @@ def test_folds_fit_their_own_preprocessing_and_grids_check_names(spark):
     assert len(rows) == 2 and all(r.status == "ok" and r["mean"] < 0.2 for r in rows)
     with pytest.raises(ValueError, match="selector"):
         grid_search(df, "y", "id", PipelineGridConfig(selectors=["no_such"]))
-    res = automl(df.drop("name"), "y", "id", models=["linear", "mlp"], n_splits=3)
-    assert res.best_model_key == "linear" and "mlp" in res.left_out
+    res = automl(df.drop("name"), "y", "id", models=["linear", "no_such_model"], n_splits=3)
+    assert res.best_model_key == "linear" and "no_such_model" in res.left_out
+
+
+def test_searched_and_sized_models(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+    from tabwright.plans import models
+    df = spark.range(300).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 50.0 - 1).alias("a"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100)) / 50.0 - 1).alias("b"))
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    reg = df.withColumn("label", 3 * F.col("a") - F.col("b"))
+    for key in ("ridge_cv", "lasso_cv", "elasticnet_cv"):
+        m = models.get_model(key, "regression", n_splits=2, alphas=[0.001, 10.0]).fit(reg)
+        assert EV.regression_metrics(m.transform(reg), "label", "prediction").first().r2 > 0.99
+    cls = df.withColumn("label", (F.col("a") > F.col("b")).cast("double"))
+    p = models.get_model("mlp", "classification", hidden=[4], maxIter=60).fit(cls).transform(cls)
+    assert p.where("label = prediction").count() > 270
+
+
+def test_permutation_importance_and_curves(spark):
+    from pyspark.sql import functions as F
+    from tabwright.operators import explain as X
+    df = spark.range(500).select(F.col("id"), F.pmod(F.xxhash64("id"), F.lit(100)).cast("double").alias("a"),
+                                 F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100)).cast("double").alias("b"))
+    df = df.withColumn("y", 2 * F.col("a"))
+    predict = lambda d: d.withColumn("prediction", 2 * F.col("a"))
+    imp = {r.feature: r.importance_mean for r in X.permutation_importance(df, "id", ["a", "b"], "y", predict, 2).collect()}
+    sd = float(np.std([r.y for r in df.collect()])) * 2 ** 0.5
+    assert imp["b"] == 0 and 0.8 * sd < imp["a"] < 1.2 * sd
+    cls = df.withColumn("c", (F.col("a") > 50).cast("double"))
+    vote = lambda d: d.withColumn("prediction", (F.col("a") > 50).cast("double"))
+    acc = {r.feature: r.importance_mean for r in X.permutation_importance(cls, "id", ["a", "b"], "c", vote, 2, metric="accuracy").collect()}
+    assert acc["b"] == 0 and 0.35 < acc["a"] < 0.65
+    ice = X.individual_expectations(df, "a", predict, "id", grid_points=5, sample=7).collect()
+    assert len(ice) == 35 and all(abs(r.prediction - 2 * r.grid_value) < 1e-9 for r in ice)
+    pd = X.partial_dependence(df, "a", predict, 5).orderBy("grid_id").collect()
+    assert [r.mean_prediction for r in pd] == [2 * r.grid_value for r in pd]

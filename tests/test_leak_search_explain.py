@@ -71,11 +71,10 @@ def test_skyline_brute_force(spark):
 
 
 def test_grid_and_lhs(spark):
-    sp = SR.SearchSpace([SR.Variable("x", "continuous", 0, 1), SR.Variable("k", "discrete", 0, 4, 2),
-                         SR.Variable("c", "categorical", categories=["u", "v"])])
+    sp = [SR.between("x", 0, 1), SR.steps("k", 0, 4, 2), SR.one_of("c", ["u", "v"])]
     g = SR.grid_candidates(spark, sp, 5)
-    assert g.count() == 5 * 3 * 2 == sp.estimate_grid_size(5)
-    lhs = SR.lhs_candidates(spark, SR.SearchSpace([SR.Variable("x", "continuous", 0, 1)]), 50).collect()
+    assert g.count() == 5 * 3 * 2 == SR.grid_size(sp, 5)
+    lhs = SR.lhs_candidates(spark, [SR.between("x", 0, 1)], 50).collect()
     strata = sorted(int(r["x"] * 50) for r in lhs)
     assert strata == list(range(50))
 

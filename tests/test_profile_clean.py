@@ -92,14 +92,14 @@ def test_constant_and_all_null(spark):
 def test_constraints_a17(spark):
     df = spark.createDataFrame([(1.0, 5.0, 0.0), (2.0, 4.0, 1.0), (3.0, 3.0, 0.0), (4.0, 2.0, 1.0), (5.0, 1.0, 0.0)],
                                "A double, B double, C double")
-    kept, rep = K.apply_constraints(df, [K.RangeConstraint("A", 2, 4), K.SumConstraint(["A", "B"], 6.0),
-                                         K.InequalityConstraint({"A": 1, "B": -1}, 0, "le")])
+    kept, rep = K.apply_constraints(df, [K.in_range("A", 2, 4), K.sum_near(["A", "B"], 6.0),
+                                         K.linear({"A": 1, "B": -1}, 0, "le")])
     assert sorted(r["A"] for r in kept.collect()) == [2.0, 3.0]
     removed = {r["idx"]: r["removed"] for r in rep.collect()}
     assert removed == {1: 2, 2: 0, 3: 1}
     with pytest.raises(ValueError):
-        K.InequalityConstraint({"A": 1}, 0, "bad")
-    ex = K.CountConstraint(["A", "C"], "at_most_one", 0.5)
+        K.linear({"A": 1}, 0, "bad")
+    ex = K.count_rule(["A", "C"], "at_most_one", 0.5)
     assert df.where(ex.mask()).count() == 3
 
 
