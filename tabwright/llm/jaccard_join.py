@@ -12,8 +12,9 @@ when 100·|A∩B| ≥ pct·|A∪B|.  Equal sets are one class from the start; a
    its boxes all overlap.  It therefore indexes each block of sets that share a group.)
 2. Contraction: in turns, each set is tried against one other set of its blocks that lies outside its component.  A
    pair goes if the summed coordinate minima of the group counts can't reach the threshold, else the sets decide.
-   Verified links merge components; blocks inside one component are done.  This lasts while a quarter of the
-   trials link, so a large group of copies shrinks to a point and never expands into its pairs.
+   Verified links merge components; blocks inside one component are done.  This lasts while trials still link
+   members (a quarter of them, 2 % of all) or a block holds two large components, so a large group of copies
+   shrinks to a point and never expands into its pairs.
 3. The blocks that still hold several components get an R-tree each: points in order of set size, packed into
    leaves whose box is the coordinate maxima with the least and largest size.  Leaf pairs, then pairs of points
    of different components, are bounded by summed coordinate minima; what survives is verified on the sets.
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from tabwright.llm import textnum as tn
 
-COORDS, LEAF, CELL = 64, 64, 1024
+COORDS, LEAF, CELL = 256, 64, 1024
+SETTLED, HEAVY = 0.02, 256
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -66,9 +68,9 @@ def identity(u: np.ndarray) -> int:
 
 
 def _counts(u: np.ndarray) -> np.ndarray:
-    """The set as a point: tokens per group, at most 65535 (sets that large are never ruled out by their point)."""
+    """The set as a point: tokens per group, a byte each; all 255 if one doesn't fit, which rules nothing out."""
     c = np.bincount((u & np.uint64(COORDS - 1)).astype(np.int64), minlength=COORDS)
-    return np.minimum(c, 65535).astype(np.uint16)
+    return (c if c.max() <= 255 else np.full(COORDS, 255)).astype(np.uint8)
 
 
 def size_classes(pct: int, top: int = 1 << 40) -> list[int]:
@@ -169,11 +171,11 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def _possible(na, nb, most, pct: int):
     """Whether sets of these sizes with at most so many common tokens can link."""
-    return ((100 + pct) * most >= pct * (na + nb)) | (na > 65535) | (nb > 65535)
+    return ((100 + pct) * most >= pct * (na + nb)) | (most >= 255 * COORDS)
 
 
 def _points(raw) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.uint16).reshape(-1, COORDS)
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, COORDS)
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, pct: int) -> DataFrame:
@@ -242,7 +244,7 @@ def _block_pairs(members: DataFrame, pct: int) -> DataFrame:
 
     def probe(rows, out):
         """Pairs inside one unit: leaves of LEAF points in order of size, boxes first, then points."""
-        c, v, label, n, vec = (np.concatenate(x) if isinstance(x[0], np.ndarray) else x for x in rows)
+        c, v, label, n, vec = rows
         lo, hi = int(c.min()), int(c.max())
         cut = range(0, len(v), LEAF)
         boxes = [(vec[i:i + LEAF].max(0), int(n[i]), int(n[min(len(v), i + LEAF) - 1])) for i in cut]
@@ -252,7 +254,7 @@ def _block_pairs(members: DataFrame, pct: int) -> DataFrame:
                 if boxes[y][1] * pct > boxes[x][2] * 100:
                     break                                          # all further leaves hold larger sets still
                 top = int(np.minimum(boxes[x][0], boxes[y][0]).sum(dtype=np.int64))
-                if not _possible(boxes[x][1], boxes[y][1], top, pct) and boxes[y][2] <= 65535:
+                if not _possible(boxes[x][1], boxes[y][1], top, pct):
                     continue
                 p, q = slice(i, i + LEAF), slice(j, j + LEAF)
                 ok = label[p, None] != label[None, q]
@@ -299,6 +301,12 @@ def _block_pairs(members: DataFrame, pct: int) -> DataFrame:
             .mapInArrow(run, "a long, b long").distinct())
 
 
+def _two_heavy(named: DataFrame) -> bool:
+    """Whether some block holds two components with more than HEAVY members each."""
+    heavy = named.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HEAVY)
+    return heavy.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+
+
 def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) per row."""
     from tabwright.plans.components import component_labels
@@ -314,7 +322,7 @@ def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows:
             label, block.v == label.id, "left").select("sig", "v", F.coalesce("component", "v").alias("label"))
         open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
         named = cut_lineage(named.join(open_, "sig", "left_semi"))
-        block = named.select("sig", "v")
+        block, members = named.select("sig", "v"), named.select("v").distinct().count()
         # one trial per member: the first member, in this turn's order, that a block of its shows outside its component
         hub = named.groupBy("sig").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "label")).alias("hub"))
         trial = (named.join(hub, "sig").where("label <> hub.label").groupBy("v").agg(F.min("hub").alias("hub"))
@@ -328,9 +336,10 @@ def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows:
         if found:
             links = got if links is None else links.unionAll(got)
             label = component_labels(links, "a", "b")
-        if 4 * found < tried:                                      # contraction no longer pays; the R-trees do the rest
-            break
         turn += 1
+        # the R-trees do the rest once trials hardly link any more and no block holds two large components
+        if 4 * found < tried or found < SETTLED * members and not _two_heavy(named):
+            break
     if label is not None:
         named = named.drop("label").join(label, F.col("v") == label.id, "left").select("sig", "v", F.coalesce("component", "v").alias("label"))
         open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")

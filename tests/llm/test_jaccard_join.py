@@ -87,7 +87,7 @@ def test_large_blocks_are_dealt_out(spark, rnd):
     from pyspark.sql import functions as F
     rng = np.random.default_rng(5)
     base = rng.integers(0, 9, J.COORDS)
-    pts = [np.clip(base + rng.integers(-2, 3, J.COORDS) * (rng.random(J.COORDS) < rng.random()), 0, None).astype(np.uint16) for _ in range(60)]
+    pts = [np.clip(base + rng.integers(-2, 3, J.COORDS) * (rng.random(J.COORDS) < rng.random()), 0, None).astype(np.uint8) for _ in range(60)]
     rows = [(s, int(1000 + i), int(i % 7 if i % 3 else i + 100), int(p.sum()), bytearray(p.tobytes())) for s in (1, 2) for i, p in enumerate(pts)]
     df = spark.createDataFrame(rows, "sig long, v long, label long, n long, vec binary").withColumn("v", F.col("v"))
     want = {(1000 + i, 1000 + j) for i in range(60) for j in range(i + 1, 60) if rows[i][2] != rows[j][2]
