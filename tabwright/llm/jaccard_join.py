@@ -15,10 +15,10 @@ when 100·|A∩B| ≥ pct·|A∪B|.  Equal sets are one class from the start; a
    Verified links merge components; blocks inside one component are done.  This lasts while trials still link
    members (a quarter of them, 2 % of all) or a block holds two large components, so a large group of copies
    shrinks to a point and never expands into its pairs.
-3. The blocks that still hold several components get an R-tree each: points in order of set size, packed into
-   leaves whose box is the coordinate maxima with the least and largest size.  Leaf pairs, then pairs of points
-   of different components, are bounded by summed coordinate minima; what survives is verified on the sets.
-   Large blocks are dealt into cells, and pairs of cells to different tasks.
+3. The blocks that still hold several components go to their hubs, and each hub gets an R-tree: points in order of
+   set size, packed into leaves whose box is the coordinate maxima with the least and largest size.  Leaf pairs,
+   then pairs of points of different components, are bounded by summed coordinate minima; what survives and shares
+   a block is verified on the sets.  Large hubs are dealt into cells, and pairs of cells to different tasks.
 
 Null text or no words: empty set, n_shingles 0, linked with nothing.  A null doc_id names no class: such rows take
 part in nothing and get their set size and a null component.  Repeated rows are one class.  Sets are compared by
@@ -232,19 +232,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, k: int, pct:
     return pairs
 
 
-def _block_pairs(members: DataFrame, pct: int) -> DataFrame:
-    """Pairs of different components that the R-trees of their blocks can't rule out.
+def _block_pairs(members: DataFrame, points: DataFrame, pct: int) -> DataFrame:
+    """Pairs of different components that share a block and that the blocks' R-trees can't rule out.
 
-    ``members``: sig, v, label, n, vec.  A block of more than CELL members is dealt into cells, and each pair of
-    cells is a unit of work of its own; a task walks its units in order and holds one at a time."""
-    cells = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
-    own = members.join(cells, "sig").withColumn("c", F.pmod(F.xxhash64("v"), F.col("cells")).cast("int"))
-    unit = own.select("sig", "v", "label", "n", "vec", "c", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("d"))
-    unit = unit.select("sig", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "v", "label", "n", "vec")
+    ``members``: sig, v, label.  Blocks of near copies overlap in nearly all their pairs, so each block goes to its
+    hub, the member with the most blocks, and one R-tree serves all blocks of a hub: a member's point travels once,
+    with the list of its blocks there, and a pair is formed once.  A hub with more than CELL members is dealt into
+    cells, and each pair of cells is a unit of work of its own; a task holds one unit at a time."""
+    often = members.groupBy("v").agg(F.count(F.lit(1)).alias("often"))
+    hub = members.join(often, "v").groupBy("sig").agg(F.max(F.struct("often", "v")).alias("h")).select("sig", F.col("h.v").alias("hub"))
+    own = members.join(hub, "sig").groupBy("hub", "v").agg(F.min("label").alias("label"), F.sort_array(F.collect_list("sig")).alias("sigs"))
+    cells = own.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+    own = own.join(cells, "hub").join(points.select("v", "n", "vec"), "v").withColumn("c", F.pmod(F.xxhash64("v"), F.col("cells")).cast("int"))
+    unit = own.select("hub", "v", "label", "n", "vec", "sigs", "c", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("d"))
+    unit = unit.select("hub", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "v", "label", "n", "vec", "sigs")
 
-    def probe(rows, out):
-        """Pairs inside one unit: leaves of LEAF points in order of size, boxes first, then points."""
-        c, v, label, n, vec = rows
+    def probe(c, v, label, n, vec, sigs):
+        """Pairs inside one unit: leaves of LEAF points in order of size, boxes first, then points, then blocks."""
         lo, hi = int(c.min()), int(c.max())
         cut = range(0, len(v), LEAF)
         boxes = [(vec[i:i + LEAF].max(0), int(n[i]), int(n[min(len(v), i + LEAF) - 1])) for i in cut]
@@ -263,41 +267,40 @@ def _block_pairs(members: DataFrame, pct: int) -> DataFrame:
                 if x == y:
                     ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])[None, :]
                 a, b = np.nonzero(ok)
-                if len(a):
-                    a, b = a + i, b + j
-                    most = np.minimum(vec[a], vec[b]).sum(1, dtype=np.int64)
-                    keep = _possible(n[a], n[b], most, pct)
-                    a, b = v[a[keep]], v[b[keep]]
-                    out.append((np.minimum(a, b), np.maximum(a, b)))
+                a, b = a + i, b + j
+                most = np.minimum(vec[a], vec[b]).sum(1, dtype=np.int64)
+                for k in np.flatnonzero(_possible(n[a], n[b], most, pct)):
+                    if not sigs[a[k]].isdisjoint(sigs[b[k]]):
+                        yield min(v[a[k]], v[b[k]]), max(v[a[k]], v[b[k]])
 
     def run(batches):
         held, key = [], None
 
         def done():
-            out: list = []
-            if held and sum(len(x[1]) for x in held) > 1:
-                probe(tuple(np.concatenate(x) for x in zip(*held)), out)
+            if sum(len(x[1]) for x in held) > 1:
+                cols = [np.concatenate(x) for x in zip(*(h[:5] for h in held))]
+                ab = list(probe(*cols, [set(x) for h in held for x in h[5]]))
+                for i in range(0, len(ab), 50_000):
+                    a, b = zip(*ab[i:i + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             held.clear()
-            if out:
-                ab = np.unique(np.concatenate([np.stack(x, 1) for x in out]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            sig, lo, hi, *rest = (b.column(c).to_numpy() for c in ("sig", "lo", "hi", "c", "v", "label", "n"))
-            vec = _points(b.column("vec").to_pylist())
-            edge = np.flatnonzero((sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            for i, j in zip([0, *edge], [*edge, len(sig)]):
-                now = (sig[i], lo[i], hi[i])
+            hub, lo, hi, *rest = (b.column(c).to_numpy() for c in ("hub", "lo", "hi", "c", "v", "label", "n"))
+            vec, sigs = _points(b.column("vec").to_pylist()), b.column("sigs").to_pylist()
+            edge = np.flatnonzero((hub[1:] != hub[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            for i, j in zip([0, *edge], [*edge, len(hub)]):
+                now = (hub[i], lo[i], hi[i])
                 if now != key:
                     yield from done()
                     key = now
-                held.append((*(x[i:j] for x in rest), vec[i:j]))
+                held.append((*(x[i:j] for x in rest), vec[i:j], sigs[i:j]))
         yield from done()
 
-    order = ["sig", "lo", "hi", "n", "v"]
-    return (unit.repartition("sig", "lo", "hi").sortWithinPartitions(*order).select("sig", "lo", "hi", "c", "v", "label", "n", "vec")
+    order = ["hub", "lo", "hi", "n", "v"]
+    return (unit.repartition("hub", "lo", "hi").sortWithinPartitions(*order).select("hub", "lo", "hi", "c", "v", "label", "n", "vec", "sigs")
             .mapInArrow(run, "a long, b long").distinct())
 
 
@@ -344,10 +347,7 @@ def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows:
         named = named.drop("label").join(label, F.col("v") == label.id, "left").select("sig", "v", F.coalesce("component", "v").alias("label"))
         open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
         named = cut_lineage(named.join(open_, "sig", "left_semi"))
-    # blocks with the same members count once
-    same = named.groupBy("sig").agg(F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("f"), F.count(F.lit(1)).alias("c"))
-    one = same.groupBy("f", "c").agg(F.min("sig").alias("sig")).select("sig")
-    rest = _block_pairs(named.join(one, "sig", "left_semi").join(points.select("v", "n", "vec"), "v"), pct)
+    rest = _block_pairs(named, points, pct)
     more = _verified(docs, cut_lineage(rest), points, k, pct, broadcast_rows)
     if more.limit(1).count():
         links = more if links is None else links.unionAll(more)

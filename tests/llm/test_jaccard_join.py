@@ -81,21 +81,22 @@ def test_linked_sets_share_a_signature(rnd):
         assert shared > 30
 
 
-def test_large_blocks_are_dealt_out(spark, rnd):
-    """Pairs of a block that spans several cells, against all its pairs under the same bound."""
+def test_large_blocks_are_dealt_out(spark):
+    """Pairs of hubs that span several cells, against all pairs that share a block under the same bound."""
     import numpy as np
-    from pyspark.sql import functions as F
     rng = np.random.default_rng(5)
     base = rng.integers(0, 9, J.COORDS)
     pts = [np.clip(base + rng.integers(-2, 3, J.COORDS) * (rng.random(J.COORDS) < rng.random()), 0, None).astype(np.uint8) for _ in range(60)]
-    rows = [(s, int(1000 + i), int(i % 7 if i % 3 else i + 100), int(p.sum()), bytearray(p.tobytes())) for s in (1, 2) for i, p in enumerate(pts)]
-    df = spark.createDataFrame(rows, "sig long, v long, label long, n long, vec binary").withColumn("v", F.col("v"))
-    want = {(1000 + i, 1000 + j) for i in range(60) for j in range(i + 1, 60) if rows[i][2] != rows[j][2]
-            and 185 * int(np.minimum(pts[i], pts[j]).sum()) >= 85 * (rows[i][3] + rows[j][3])}
+    blocks = {s: sorted(rng.choice(60, 25, replace=False).tolist()) for s in range(1, 9)}
+    label = [i % 7 if i % 3 else i + 100 for i in range(60)]
+    points = spark.createDataFrame([(1000 + i, i, int(p.sum()), bytearray(p.tobytes())) for i, p in enumerate(pts)], "v long, id long, n long, vec binary")
+    members = spark.createDataFrame([(s, 1000 + i, label[i]) for s, m in blocks.items() for i in m], "sig long, v long, label long")
+    want = {(1000 + i, 1000 + j) for m in blocks.values() for i in m for j in m if i < j and label[i] != label[j]
+            and 185 * int(np.minimum(pts[i], pts[j]).sum()) >= 85 * (int(pts[i].sum()) + int(pts[j].sum()))}
     for cell in (1024, 16):
         old, J.CELL = J.CELL, cell
         try:
-            got = {(r.a, r.b) for r in J._block_pairs(df, 85).collect()}
+            got = {(r.a, r.b) for r in J._block_pairs(members, points, 85).collect()}
         finally:
             J.CELL = old
         assert got == want and want
