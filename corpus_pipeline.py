@@ -18,7 +18,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on ten sites or more go, except from documents that consist of them."""
+    """Lines that stand on ten sites or more go; of equal texts made of such lines alone, one stays."""
     from tabwright.llm.line_dedup import drop_spread_lines
     return drop_spread_lines(docs)
 

@@ -6,9 +6,10 @@ a plain aggregation (a line that fills a third of the table shrinks to one sketc
 shuffle), settles every line whose estimate lies clear of the threshold; only the lines within three standard
 errors of it get an exact distinct count.
 
-Boilerplate lines are removed from every document, except from documents that consist of it: where more than
-``max_share`` of the words would go, the document is a copy of others as a whole and is left as it is for the
-near-duplicate operators.
+Without ``max_share`` (the pipeline stage) boilerplate lines are removed from every document, whatever their share.
+Only a whole copy is exempt: where all lines of a document are boilerplate and other rows have the same text, the
+copy with the smallest doc_id (null last) keeps it.  With ``max_share`` (op8, as its SQL states it) a document that
+would lose more than that share of its words is left as it is, also where it is no copy of anything.
 
 Null text: no lines, text stays null.  Null site: one site of its own.  Rows are told apart by (doc_id, text),
 so repeated rows get the same answer once each, and null ids work; other columns pass through untouched.
@@ -58,7 +59,17 @@ def spread_lines(lines: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
     return est.where(F.col("_est") >= hi).select("_h1", "_h2").unionAll(exact.select("_h1", "_h2"))
 
 
-def remove_spread_lines(docs: DataFrame, site_col: str = "source", min_sites: int = 10, max_share: float = 0.5,
+def _kept_copies(keyed: DataFrame, hits: DataFrame) -> DataFrame:
+    """(_k1, _k2) of the row that keeps its text, for each text of boilerplate lines only that stands in two rows or more."""
+    lines = F.size(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: _norm(x) != ""))
+    rows = keyed.select("_k1", "_k2", lines.alias("_n"), F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2").alias("_row"),
+                        F.xxhash64(F.lit(5), "text").alias("_t1"), F.xxhash64(F.lit(6), "text").alias("_t2"))
+    return (rows.join(hits.select("_k1", "_k2", F.size("_at").alias("_hit")), ["_k1", "_k2"]).where("_n = _hit")
+            .groupBy("_t1", "_t2").agg(F.count(F.lit(1)).alias("_copies"), F.min("_row").alias("_row")).where("_copies > 1")
+            .select("_row._k1", "_row._k2"))
+
+
+def remove_spread_lines(docs: DataFrame, site_col: str = "source", min_sites: int = 10, max_share: float | None = 0.5,
                         lg_k: int = 12) -> DataFrame:
     """``docs`` with the text cut, plus _n_lines, _n_spread (lines with a word / of them boilerplate) and _n_removed."""
     from tabwright.session import cut_lineage
@@ -67,13 +78,17 @@ def remove_spread_lines(docs: DataFrame, site_col: str = "source", min_sites: in
     hits = (lines.join(spread, ["_h1", "_h2"], "left_semi").select("_k1", "_k2", "_pos", "_words").distinct()
             .groupBy("_k1", "_k2").agg(F.collect_list("_pos").alias("_at"), F.sum("_words").alias("_gone")))
     keyed = docs.withColumns({"_k1": F.xxhash64(F.lit(1), "doc_id", "text"), "_k2": F.xxhash64(F.lit(2), "doc_id", "text")})
+    if max_share is None:
+        hits = cut_lineage(hits)                               # positions only; read twice
+        hits = hits.join(_kept_copies(keyed, hits).withColumn("_keep", F.lit(True)), ["_k1", "_k2"], "left")
     got = keyed.join(hits, ["_k1", "_k2"], "left")
     parts = F.split(F.col("text").cast("string"), "\n")
     clean = F.transform(parts, _norm)
     total = F.aggregate(clean, F.lit(0), lambda s, x: s + _words(x))
     got = got.withColumns({"_n_lines": _size(F.filter(clean, lambda x: x != "")),
                            "_n_spread": _size(F.col("_at")),
-                           "_cut": F.coalesce(F.col("_gone") <= max_share * total, F.lit(False))})
+                           "_cut": F.coalesce(F.col("_gone") <= max_share * total, F.lit(False)) if max_share is not None
+                           else F.col("_at").isNotNull() & F.col("_keep").isNull()})
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_at", i)), "\n")
     return (got.withColumns({"text": F.when(F.col("_cut"), kept).otherwise(F.col("text")),
                              "_n_removed": F.when(F.col("_cut"), F.col("_n_spread")).otherwise(F.lit(0)).cast("long")})
@@ -87,9 +102,9 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
         F.col("_n_removed").alias("n_removed"), "text")
 
 
-def drop_spread_lines(docs: DataFrame, **options) -> DataFrame:
+def drop_spread_lines(docs: DataFrame, max_share: float | None = None, **options) -> DataFrame:
     """``docs`` with the boilerplate lines gone; n_chars, where there is one, follows the text."""
-    got = remove_spread_lines(docs, **options)
+    got = remove_spread_lines(docs, max_share=max_share, **options)
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))

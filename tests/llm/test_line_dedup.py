@@ -46,3 +46,13 @@ def test_thresholds_around_the_sketch_error(spark):
     rows = [(1000 * n + s, f"line {n}\n" + "\n".join(f"own {n} {s} {k}" for k in range(4)), f"site{s}") for n in range(57, 64) for s in range(n)]
     got = {(r.doc_id // 1000): r.n_removed for r in L.line_dedup(table(spark, rows), min_sites=60, lg_k=6).collect()}
     assert got == {n: int(n >= 60) for n in range(57, 64)}
+
+
+def test_short_texts_under_a_long_notice(spark):
+    """Every spread line goes whatever its share; of whole copies one keeps its text."""
+    notice = " ".join(f"notice{k}" for k in range(30))
+    rows = [(i, f"{notice}\nown text {i}", f"s{i}") for i in range(12)] + [(100 + i, f"{notice}\nsecond line", f"s{i}") for i in range(12)]
+    rows += [(300, notice, "s1"), (None, f"{notice}\nsecond line", "s3"), (301, f"second line\n{notice}\n", "s2")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in L.drop_spread_lines(table(spark, rows)).collect()}
+    want = {i: f"own text {i}" for i in range(12)} | {i: "" for i in (*range(101, 112), 300, None)} | {100: rows[12][1], 301: ""}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
