@@ -3,15 +3,17 @@
 Base spans (leftmost, not overlapping, per kind): e-mail, IP address, card number (Luhn), phone number.  A
 protected entity is one such value.  Information-theoretic sanitisation asks how much a word tells about an
 entity: with document counts over the corpus, PMI(word; entity) = log2(N·n(word, entity) / (n(word)·n(entity)))
-against the entity's information content IC = log2(N / n(entity)).  A word within ``window`` words of the entity
-discloses it if PMI ≥ alpha·IC; alpha 1 would mean that the word never stands anywhere else.  The evidence must
-come from at least ``support`` different texts, so that copies of one text disclose nothing.  Disclosing words
-near the entity become spans of kind ``term``; sanitising puts a kind's name in place of a base span and removes
-the terms.
-
-n(word, entity) and n(entity) come from the few documents with an entity.  n(word) is counted over every
-document, but only for words that have the support; they are sent to the tasks ``chunk`` words at a time, with as
-many passes as that takes.
+against the entity's information content IC = log2(N / n(entity)).  A word that stands in a document with the
+entity, at any distance, discloses it if PMI ≥ alpha·IC; alpha 1 would mean that the word never stands anywhere
+else.  The evidence must come from at least ``support`` different texts, so that copies of one text disclose
+nothing.  All occurrences of a disclosing word in a document with the entity, outside base spans, become spans of
+kind ``term``; sanitising puts a kind's name in place of a base span and removes the terms.
+
+n(entity) is counted first; only entities that have the support go on.  n(word, entity) comes from whole documents
+with such an entity, summed by (entity, word) inside each task with at most ``support`` texts a pair, which decide
+the support as well as all would.  n(word) is counted over every document, but only for words of pairs that the
+count inside those documents has not ruled out.  Entities, words and disclosing pairs are sent to the tasks
+``chunk`` at a time, with as many passes as that takes.
 
 Null or empty text: no spans, base_sha256 of the empty string.  Null ids are kept.  Repeated rows get equal
 answers; rows are told apart by (doc_id, text).  Positions count code points.
@@ -89,46 +91,106 @@ def _hash64(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _near(t: str, spans, window: int):
-    """(entity, word hash, start, end) of the words within ``window`` words of each base span."""
-    if not spans:
-        return
-    words = [(m.start(), m.end()) for m in _WORD.finditer(t)]
-    start = np.array([w[0] for w in words])
-    end = np.array([w[1] for w in words])
-    free = np.ones(len(words), bool)
+def _words(t: str, spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes (lower-case A-Z, as in the corpus count) of the words outside the base spans."""
+    at = np.array([m.span() for m in _WORD.finditer(t)], np.int64).reshape(-1, 2)
+    start, end = at[:, 0], at[:, 1]
+    free = np.ones(len(at), bool)
     for a, _, b in spans:
         free[np.searchsorted(end, a, "right"):np.searchsorted(start, b, "left")] = False
-    for a, k, b in spans:
-        e = _hash64(_entity(t, a, k, b))
-        i, j = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b, "left"))
-        for w in (*range(max(0, i - window), i), *range(j, min(len(words), j + window))):
-            if free[w]:
-                yield e, words[w][0], words[w][1]
+    start, end = start[free], end[free]
+    buf = tn.LOWER[np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)]
+    byte = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))                    # where each code point begins
+    return start, end, tn.substring_hash(tn.prefix_sums(buf), byte[start], byte[end])
+
+
+def _entity_docs(column: pa.Array, wanted: np.ndarray | None = None):
+    """(row, text, base spans, sorted entity hashes) of the rows with an entity, or one of the sorted ``wanted``."""
+    for r, t in enumerate(column.to_pylist()):
+        spans = base_spans(t) if t else ()
+        if spans:
+            ent = np.unique(np.array([_hash64(_entity(t, *s)) for s in spans], np.int64))
+            if wanted is not None:
+                ent = ent[np.isin(ent, wanted)]
+            if len(ent):
+                yield r, t, spans, ent
+
+
+def _parts(df: DataFrame, column: str, chunk: int):
+    """The rows of ``df`` as arrays, dealt by ``column`` into parts of about ``chunk`` rows."""
+    parts = max(1, -(-df.count() // chunk))
+    for p in range(parts):
+        yield df.where(F.pmod(F.xxhash64(column), F.lit(parts)) == p).toPandas()
 
 
-def _term(t: str, a: int, b: int) -> int:
-    """Hash of a word, the same as in the corpus count: lower-case (A-Z) bytes."""
-    buf = tn.LOWER[np.frombuffer(t[a:b].encode("utf-8", "surrogatepass"), np.uint8)]
-    return int(tn.substring_hash(tn.prefix_sums(buf), np.array([0]), np.array([len(buf)])).view(np.int64)[0])
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionAll(f)
+    return out
 
 
-def contexts(docs: DataFrame, window: int) -> DataFrame:
-    """k1, k2 (the row), text (hash), entity, term, first, end of the words near entities."""
+def entity_counts(docs: DataFrame, support: int) -> DataFrame:
+    """(entity, n_e) of the entities in at least ``support`` different texts."""
     def run(batches):
         for b in batches:
-            row, ent, term, first, end = [], [], [], [], []
-            for r, t in enumerate(b.column("t").to_pylist()):
-                if not t:
-                    continue
-                for e, a, z in _near(t, base_spans(t), window):
-                    row.append(r), ent.append(e), term.append(_term(t, a, z)), first.append(a), end.append(z)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("k1", "k2", "x")), pa.array(ent, pa.int64()),
-                                              pa.array(term, pa.int64()), pa.array(first, pa.int32()), pa.array(end, pa.int32())],
-                                             ["k1", "k2", "text", "entity", "term", "first", "end"])
-    return (_keyed(docs).select("k1", "k2", F.xxhash64("t").alias("x"), "t")
-            .mapInArrow(run, "k1 long, k2 long, text long, entity long, term long, first int, end int"))
+            ent, text = [], []
+            for r, _, _, e in _entity_docs(b.column("t")):
+                ent.append(e), text.append(np.full(len(e), b.column("x")[r].as_py(), np.int64))
+            if ent:
+                got, n = np.unique(np.stack([np.concatenate(ent), np.concatenate(text)]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array(n)], ["entity", "text", "n"])
+    return (_keyed(docs).select(F.xxhash64("t").alias("x"), "t").mapInArrow(run, "entity long, text long, n long")
+            .groupBy("entity", "text").agg(F.sum("n").alias("n"))
+            .groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+            .select("entity", "n_e"))
+
+
+def _summed(ent, term, text, n, support: int):
+    """Rows (entity, term, text, n) summed by pair: at most ``support`` texts of each stay, the first with the sum."""
+    order = np.lexsort((text, term, ent))
+    ent, term, text, n = ent[order], term[order], text[order], n[order]
+    pair = np.append(True, (ent[1:] != ent[:-1]) | (term[1:] != term[:-1]))
+    first = np.flatnonzero(pair)
+    new = pair | np.append(True, text[1:] != text[:-1])
+    rank = np.cumsum(new)
+    keep = new & (rank - rank[first][np.cumsum(pair) - 1] < support)
+    total = np.zeros(len(ent), np.int64)
+    total[first] = np.add.reduceat(n, first)
+    return ent[keep], term[keep], text[keep], total[keep]
+
+
+def pair_counts(docs: DataFrame, entities: DataFrame, support: int, chunk: int, buffer: int = 1 << 20) -> DataFrame:
+    """(pass, entity, term, n_te, texts) over whole documents; entity null: the documents with any entity of the pass."""
+    def counted(ids):
+        bc = docs.sparkSession.sparkContext.broadcast(np.sort(ids))
+
+        def run(batches):
+            held, size = [], 0
+
+            def out():
+                e, w, x, n = _summed(*map(np.concatenate, zip(*held)), support)
+                return pa.RecordBatch.from_arrays([pa.array(e, mask=e == 0), pa.array(w), pa.array(x), pa.array(n)], ["entity", "term", "text", "n"])
+
+            for b in batches:
+                for r, t, spans, ent in _entity_docs(b.column("t"), bc.value):
+                    term, x = np.unique(_words(t, spans)[2].view(np.int64)), b.column("x")[r].as_py()
+                    for e in (0, *ent):
+                        held.append((np.full(len(term), e, np.int64), term, np.full(len(term), x, np.int64), np.ones(len(term), np.int64)))
+                        size += len(term)
+                        if size >= buffer:
+                            held, size = [_summed(*map(np.concatenate, zip(*held)), support)], 0
+                            if len(held[0][0]) >= buffer // 2:
+                                yield out()
+                                held = []
+            if held and sum(len(h[0]) for h in held):
+                yield out()
+        return _keyed(docs).select(F.xxhash64("t").alias("x"), "t").mapInArrow(run, "entity long, term long, text long, n long")
+
+    got = _union([counted(part.entity.to_numpy(np.int64)).withColumn("pass", F.lit(k))
+                  for k, part in enumerate(_parts(entities, "entity", chunk))])
+    return (got.groupBy("pass", "entity", "term", "text").agg(F.sum("n").alias("n"))
+            .groupBy("pass", "entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -138,11 +200,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _term_counts(docs: DataFrame, terms: DataFrame, chunk: int) -> DataFrame:
     """(term, n): documents with the term, over all documents; ``chunk`` terms are broadcast per pass."""
-    parts = max(1, -(-terms.count() // chunk))
-    out = None
-    for p in range(parts):
-        got = terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == p).toPandas().term.to_numpy(np.int64)
-        bc = docs.sparkSession.sparkContext.broadcast(np.sort(got.view(np.uint64)))
+    out = []
+    for got in _parts(terms, "term", chunk):
+        bc = docs.sparkSession.sparkContext.broadcast(np.sort(got.term.to_numpy(np.int64).view(np.uint64)))
 
         def run(batches, bc=bc):
             want = bc.value
@@ -161,33 +221,60 @@ def _term_counts(docs: DataFrame, terms: DataFrame, chunk: int) -> DataFrame:
                 k = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([tn.i64(want[k]), pa.array(n[k])], ["term", "n"])
 
-        part = docs.select(F.col("text").cast("string").alias("t")).mapInArrow(run, "term long, n long")
-        out = part if out is None else out.unionAll(part)
-    return out.groupBy("term").agg(F.sum("n").alias("n"))
+        out.append(docs.select(F.col("text").cast("string").alias("t")).mapInArrow(run, "term long, n long"))
+    return _union(out).groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing(docs: DataFrame, ctx: DataFrame, support: int, alpha: float, chunk: int) -> DataFrame:
+def disclosing(docs: DataFrame, support: int, alpha: float, chunk: int) -> DataFrame:
     """(entity, term) pairs whose co-occurrence exceeds the disclosure threshold."""
     from tabwright.session import cut_lineage
-    pair = (ctx.select("entity", "term", "text", "k1", "k2").distinct().groupBy("entity", "term", "text").agg(F.count(F.lit(1)).alias("c"))
-            .groupBy("entity", "term").agg(F.sum("c").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support))
-    pair = cut_lineage(pair)
-    n_e = ctx.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    n_t = _term_counts(docs, pair.select("term").distinct(), chunk)
+    n_e = cut_lineage(entity_counts(docs, support))
     total = F.lit(float(docs.count()))
-    pmi = F.log2(total * F.col("n_te") / (F.col("n") * F.col("n_e")))
-    return pair.join(n_e, "entity").join(n_t, "term").where(pmi >= alpha * F.log2(total / F.col("n_e"))).select("entity", "term")
 
+    def exceeds(n):
+        return F.log2(total * F.col("n_te") / (F.col(n) * F.col("n_e"))) >= alpha * F.log2(total / F.col("n_e"))
 
-def find_personal_data(docs: DataFrame, window: int = 8, support: int = 3, alpha: float = 0.9, chunk: int = 200_000,
-                       broadcast_rows: int = 100_000) -> DataFrame:
+    pairs = cut_lineage(pair_counts(docs, n_e, support, chunk))
+    # A word stands in at least as many documents as it does in those with an entity.
+    least = pairs.where("entity IS NULL").groupBy("term").agg(F.max("n_te").alias("least"))
+    pair = cut_lineage(pairs.where(F.col("entity").isNotNull() & (F.col("texts") >= support)).join(n_e, "entity").join(least, "term")
+                       .where(exceeds("least")).drop("pass", "least"))
+    n_t = _term_counts(docs, pair.select("term").distinct(), chunk)
+    return pair.join(n_t, "term").where(exceeds("n")).select("entity", "term")
+
+
+def term_spans(docs: DataFrame, pairs: DataFrame, chunk: int) -> DataFrame:
+    """k1, k2 (the row), terms: first and end of every occurrence of a word that discloses an entity of the document."""
+    def marked(pdf):
+        pdf = pdf.sort_values(["entity", "term"])
+        ent, first = np.unique(pdf.entity.to_numpy(np.int64), return_index=True)
+        bc = docs.sparkSession.sparkContext.broadcast((ent, np.append(first, len(pdf)), pdf.term.to_numpy(np.int64)))
+
+        def run(batches):
+            ids, first, terms = bc.value
+            for b in batches:
+                row, spans = [], []
+                for r, t, base, ent in _entity_docs(b.column("t"), ids):
+                    start, end, word = _words(t, base)
+                    at = np.searchsorted(ids, ent)
+                    hit = np.isin(word.view(np.int64), np.concatenate([terms[first[i]:first[i + 1]] for i in at]))
+                    if hit.any():
+                        row.append(r), spans.append([{"first": a, "end": z} for a, z in zip(start[hit].tolist(), end[hit].tolist())])
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("k1").take(at), b.column("k2").take(at), pa.array(
+                    spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))], ["k1", "k2", "terms"])
+        return _keyed(docs).select("k1", "k2", "t").mapInArrow(run, "k1 long, k2 long, terms array<struct<first:int,end:int>>")
+
+    return (_union([marked(part) for part in _parts(pairs, "entity", chunk)]).groupBy("k1", "k2")
+            .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms")))
+
+
+def find_personal_data(docs: DataFrame, support: int = 3, alpha: float = 0.9, chunk: int = 200_000,
+                       broadcast_spans: int = 500_000) -> DataFrame:
     """Per row: doc_id, counts by kind, base_sha256, spans (base and term) and the sanitised text."""
     from tabwright.session import cut_lineage
-    ctx = cut_lineage(contexts(docs, window))
-    bad = disclosing(docs, ctx, support, alpha, chunk)
-    extra = cut_lineage(ctx.join(bad, ["entity", "term"], "left_semi").select("k1", "k2", "first", "end").distinct()
-                        .groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("terms")))
-    if extra.count() <= broadcast_rows:                        # counted; beyond that a shuffle join
+    extra = cut_lineage(term_spans(docs, cut_lineage(disclosing(docs, support, alpha, chunk)), chunk))
+    if (extra.agg(F.sum(F.size("terms") + 1)).first()[0] or 0) <= broadcast_spans:        # counted; beyond that a shuffle join
         extra = F.broadcast(extra)
 
     def run(batches):

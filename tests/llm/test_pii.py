@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from tabwright.llm import pii as P
@@ -54,3 +55,61 @@ def test_words_that_give_an_entity_away(spark, rnd):
             assert not named                                   # copies of one text are no evidence
         assert (r.sanitised is None) == (t is None)
     assert P.find_personal_data(table(spark, rows).limit(0)).count() == 0
+
+
+def brute_terms(rows, support=3, alpha=0.9):
+    """Term spans of each row by plain counting over whole documents."""
+    seen, n_t, n_e, pair = [], {}, {}, {}
+    for _, t, _ in rows:
+        base = P.base_spans(t or "")
+        ent = {P._entity(t, *s) for s in base}
+        found = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t or "")]
+        free = [w for w in found if all(w[1] <= a or w[0] >= b for a, _, b in base)]
+        seen.append((ent, free))
+        for w in {w[2] for w in found}:
+            n_t[w] = n_t.get(w, 0) + 1
+        for e in ent:
+            n_e[e] = n_e.get(e, 0) + 1
+            for w in {w[2] for w in free}:
+                pair.setdefault((e, w), []).append(t)
+    bad = {(e, w) for (e, w), ts in pair.items() if len(set(ts)) >= support
+           and math.log2(len(rows) * len(ts) / (n_t[w] * n_e[e])) >= alpha * math.log2(len(rows) / n_e[e])}
+    return [[(a, z) for a, z, w in free if any((e, w) in bad for e in ent)] for ent, free in seen], bad
+
+
+def check_terms(spark, rows, **options):
+    want, bad = brute_terms(rows)
+    got = {r.doc_id: r.spans for r in P.find_personal_data(table(spark, rows), **options).collect()}
+    for (i, _, _), spans in zip(rows, want):
+        assert [s for s in got[i].split(",") if s.startswith("term")] == [f"term:{a}:{z}" for a, z in spans], i
+    return {w for _, w in bad}
+
+
+def entity_texts(rnd, seps):
+    """Letters whose head and foot name the same person, some words near, some far from the e-mail."""
+    join = lambda ws: "".join(w + rnd.choice(seps) for w in ws)
+    rows = []
+    for k in range(6):
+        for i in range(4):
+            far = join(words(rnd, rnd.randint(15, 40)))
+            rows.append((10 * k + i, join([f"Name{k}", *words(rnd, 3)]) + far + join([f"p{k}@x.org", f"4111 1111 1111 1111", f"near{k}"]) + far
+                         + join([f"street{k}", "regards", f"NEAR{k}"]), "s"))
+    rows += [(100 + i, join([*words(rnd, 40), "regards", f"near{i % 2}"]), "s") for i in range(80)]
+    return rows + [(900 + i, rows[0][1], "s") for i in range(3)]
+
+
+def test_words_at_any_distance(spark, rnd):
+    rows = entity_texts(rnd, [" "])
+    for chunk in (200_000, 3):
+        found = check_terms(spark, rows, chunk=chunk)
+        assert {"name3", "street3", "near3"} <= found and not {"regards", "near0"} & found
+
+
+def test_pairs_are_summed_in_any_order(rnd):
+    import numpy as np
+    rows = np.array([[rnd.randrange(3), rnd.randrange(4), rnd.randrange(6)] for _ in range(500)])
+    e, w, x, n = P._summed(*rows.T, np.ones(500, np.int64), 3)
+    for a in range(3):
+        for b in range(4):
+            of = rows[(rows[:, 0] == a) & (rows[:, 1] == b)]
+            assert n[(e == a) & (w == b)].sum() == len(of) and ((e == a) & (w == b)).sum() == min(3, len(set(of[:, 2])))
