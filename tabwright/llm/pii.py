@@ -16,11 +16,13 @@ count inside those documents has not ruled out.  Entities, words and disclosing
 ``chunk`` at a time, with as many passes as that takes.
 
 Null or empty text: no spans, base_sha256 of the empty string.  Null ids are kept.  Repeated rows get equal
-answers; rows are told apart by (doc_id, text).  Positions count code points.
+answers; rows are told apart by (doc_id, text).  Positions count code points.  Words are runs of Unicode letters
+and digits in every count.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -116,6 +118,21 @@ def _entity_docs(column: pa.Array, wanted: np.ndarray | None = None):
                 yield r, t, spans, ent
 
 
+@functools.cache
+def _alnum() -> np.ndarray:
+    """Per code point whether it belongs to a word, by the rule of _WORD."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
+def _letters(buf: np.ndarray) -> np.ndarray:
+    """Per byte of UTF-8 text whether its character belongs to a word."""
+    if not len(buf) or buf.max() < 128:
+        return tn.ALNUM[buf]
+    begin = np.flatnonzero((buf & 0xC0) != 0x80)
+    points = np.frombuffer(buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.repeat(_alnum()[points], np.diff(np.append(begin, len(buf))))
+
+
 def _parts(df: DataFrame, column: str, chunk: int):
     """The rows of ``df`` as arrays, dealt by ``column`` into parts of about ``chunk`` rows."""
     parts = max(1, -(-df.count() // chunk))
@@ -210,7 +227,7 @@ def _term_counts(docs: DataFrame, terms: DataFrame, chunk: int) -> DataFrame:
                 n = np.zeros(len(want), np.int64)
                 for lo, hi, buf, off in tn.text_blocks(b.column("t")):
                     low = tn.LOWER[buf]
-                    start, end, first = tn.words(low, off, ~tn.ALNUM)
+                    start, end, first = tn.spans(_letters(low), off)
                     if not len(start) or not len(want):
                         continue
                     h = tn.substring_hash(tn.prefix_sums(low), start, end)

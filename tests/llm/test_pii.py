@@ -113,3 +113,19 @@ def test_pairs_are_summed_in_any_order(rnd):
         for b in range(4):
             of = rows[(rows[:, 0] == a) & (rows[:, 1] == b)]
             assert n[(e == a) & (w == b)].sum() == len(of) and ((e == a) & (w == b)).sum() == min(3, len(set(of[:, 2])))
+
+
+def test_words_between_unicode_punctuation(spark, rnd):
+    """Quotes, dashes, no-break spaces and CJK punctuation part words in the corpus count too."""
+    seps = [" \u201c", "\u201d ", "\u2014", "\u00a0", "\u3001", "\u3002", "\u300c", "_", " \u00e9t\u00e9 ", "\u6771\u4eac\u3000"]
+    rows = entity_texts(rnd, seps)
+    found = check_terms(spark, rows)
+    assert {"name3", "street3", "near3"} <= found and not {"regards", "near0"} & found
+
+
+def test_one_rule_for_words():
+    import numpy as np
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    member = np.frombuffer("".join("1" if P._WORD.match(c) else "0" for c in text).encode(), np.uint8) == 49
+    buf = np.frombuffer(text.encode(), np.uint8)
+    assert (P._letters(buf)[(buf & 0xC0) != 0x80] == member).all() and (P._letters(buf[:128]) == member[:128]).all()
