@@ -9,7 +9,6 @@ global row number (no single-task window)."""
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import DataFrame
@@ -28,7 +27,6 @@ SPLITS = {
     "timeseries": (False, False), "walkthrough": (False, False), "walk_forward": (False, False),
     "walkforward": (False, False), "predefined": (False, False),
 }
-PAIR_SPLIT_LIMIT = 2_000_000   # leave-p-out style splits are combinatorial by definition
 
 
 def _order(key: str, shuffle: bool, seed: int, repeat: int = 0):
@@ -74,30 +72,49 @@ def stratified_kfold(df: DataFrame, key: str, label: str, n_splits: int = 5, shu
             .select(key, F.pmod(F.col("_tw_pos") - F.col("_tw_start"), F.lit(n_splits)).cast("int").alias("fold")))
 
 
-def group_kfold(df: DataFrame, key: str, group: str, n_splits: int = 5, driver_limit: int = 1_000_000) -> DataFrame:
-    """C3 — whole groups per fold; groups by size descending go to the lightest
-    fold (greedy, ties to the lowest fold).  Only the group-size table is
-    collected, guarded by ``driver_limit`` groups; above it, a distributed
-    serpentine assignment by size rank keeps folds balanced."""
+def _greedy_deal(sizes, n_splits: int):
+    """(size, position of its first group, [(start, folds)]) for (size, number of groups) in falling order of size.
+
+    The groups of one size go one by one to the lightest fold (ties to the lowest).  With load = level·size + rest, that
+    is the order of (level, rest, fold): the folds open at a level take turns, and only a fold's own level adds it to
+    them.  So a size has at most ``n_splits`` runs; the r-th group of a run goes to folds[r mod length]."""
+    load, before = [0] * n_splits, 0
+    for size, count in sizes:
+        at, runs, got = 0, [], [0] * n_splits
+        levels = sorted({x // size for x in load})
+        for i, level in enumerate(levels):
+            turn = sorted((f for f in range(n_splits) if load[f] // size <= level), key=lambda f: (load[f] % size, f))
+            n = count - at
+            if i + 1 < len(levels):
+                n = min(n, (levels[i + 1] - level) * len(turn))
+            runs.append((at, turn))
+            for j, f in enumerate(turn):
+                got[f] += n // len(turn) + (j < n % len(turn))
+            at += n
+            if at == count:
+                break
+        load = [x + size * g for x, g in zip(load, got)]
+        yield size, before, runs
+        before += count
+
+
+def group_kfold(df: DataFrame, key: str, group: str, n_splits: int = 5) -> DataFrame:
+    """C3 — whole groups per fold; groups by size descending (ties by name) go to
+    the lightest fold (greedy, ties to the lowest fold).  The driver gets the
+    number of groups per size, at most sqrt(2·rows) rows; groups are numbered
+    and given their fold in the tasks."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_tw_n"))
-    n_groups = sizes.count()
+    per_size = sizes.groupBy("_tw_n").agg(F.count(F.lit(1)).alias("c")).collect()
+    n_groups = sum(r["c"] for r in per_size)
     if n_groups < n_splits:
         raise ValueError(f"{n_groups} groups < {n_splits} folds")
-    if n_groups <= driver_limit:
-        rows = sorted(sizes.collect(), key=lambda r: (-r["_tw_n"], str(r[group])))
-        load = [0] * n_splits
-        assign = []
-        for r in rows:
-            f = min(range(n_splits), key=lambda i: (load[i], i))
-            load[f] += r["_tw_n"]
-            assign.append((r[group], f))
-        gt = df.schema[group].dataType.simpleString()
-        amap = df.sparkSession.createDataFrame(assign, f"{group} {gt}, fold int")
-    else:
-        ranked = global_row_number(sizes, [F.desc("_tw_n"), F.col(group)], "_tw_r")
-        r0, k = F.col("_tw_r") - 1, n_splits
-        serp = F.when(F.floor(r0 / k) % 2 == 0, r0 % k).otherwise(k - 1 - r0 % k)
-        amap = ranked.select(group, serp.cast("int").alias("fold"))
+    deal = df.sparkSession.createDataFrame(list(_greedy_deal(sorted((tuple(r) for r in per_size), reverse=True), n_splits)),
+                                           "_tw_n long, _tw_first long, _tw_runs array<struct<start:long,folds:array<int>>>")
+    ranked = global_row_number(sizes, [F.desc("_tw_n"), F.col(group).cast("string"), F.col(group)], "_tw_r")
+    r = F.col("_tw_r") - 1 - F.col("_tw_first")
+    amap = (ranked.join(F.broadcast(deal), "_tw_n").withColumn("_tw_r", r)
+            .withColumn("_tw_run", F.element_at(F.filter("_tw_runs", lambda x: x["start"] <= F.col("_tw_r")), -1))
+            .select(group, F.expr("_tw_run.folds[cast((_tw_r - _tw_run.start) % size(_tw_run.folds) AS int)]").alias("fold")))
     return df.select(key, group).join(amap, group).select(key, "fold")
 
 
@@ -142,16 +159,29 @@ def leave_one_out(df: DataFrame, key: str) -> DataFrame:
     return pos.select(key, (F.col("_tw_pos") - 1).cast("long").alias("fold"))
 
 
+def _combinations(items: DataFrame, column: str, p: int) -> DataFrame:
+    """(split_id, column): every p-combination of the rows, numbered in lexicographic order of their positions."""
+    if p < 1:
+        raise ValueError("p must be at least 1")
+    numbered = global_row_number(items.select(column), [F.col(column)], "_tw_pos").withColumn("_tw_pos", F.col("_tw_pos") - 1)
+    n = numbered.count()
+    rows = numbered.where(F.col("_tw_pos") <= n - p).select(F.col("_tw_pos").alias("_tw_c0"))
+    for i in range(1, p):
+        rows = rows.select("*", F.explode(F.sequence(F.col(f"_tw_c{i - 1}") + 1, F.lit(n - p + i).cast("long"))).alias(f"_tw_c{i}"))
+    rank = f"{math.comb(n, p) - 1}L"
+    for i in range(p):
+        after = "1L"
+        for t in range(1, p - i + 1):                          # C(n - 1 - c, p - i), whole at each step
+            after = f"({after} * ({n - t}L - _tw_c{i}) div {t})"
+        rank = f"{rank} - {after}"
+    return (rows.select(F.expr(rank).alias("split_id"), F.explode(F.array(*[f"_tw_c{i}" for i in range(p)])).alias("_tw_pos"))
+            .join(numbered, "_tw_pos").select("split_id", column))
+
+
 def leave_p_out(df: DataFrame, key: str, p: int = 2) -> DataFrame:
     """C5 — (split_id, key) test sets of every p-subset: C(n, p) splits by
-    definition; refused above ``PAIR_SPLIT_LIMIT`` splits."""
-    n = df.count()
-    if math.comb(n, p) > PAIR_SPLIT_LIMIT:
-        raise ValueError(f"leave-{p}-out on {n} rows gives {math.comb(n, p)} splits")
-    keys = [r[0] for r in df.select(key).orderBy(key).collect()]
-    rows = [(sid, k) for sid, combo in enumerate(itertools.combinations(keys, p)) for k in combo]
-    kt = df.schema[key].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"split_id long, {key} {kt}")
+    definition, formed in the tasks from numbered keys."""
+    return _combinations(df, key, p)
 
 
 def leave_one_group_out(df: DataFrame, key: str, group: str) -> DataFrame:
@@ -165,12 +195,7 @@ def leave_one_group_out(df: DataFrame, key: str, group: str) -> DataFrame:
 def leave_p_groups_out(df: DataFrame, key: str, group: str, p: int = 2) -> DataFrame:
     """C6 — (split_id, group) test groups of every p-combination of groups; join
     to rows on the group for membership."""
-    gs = sorted(r[0] for r in df.select(group).distinct().collect())
-    if math.comb(len(gs), p) > PAIR_SPLIT_LIMIT:
-        raise ValueError("too many group combinations")
-    gt = df.schema[group].dataType.simpleString()
-    rows = [(sid, g) for sid, combo in enumerate(itertools.combinations(gs, p)) for g in combo]
-    return df.sparkSession.createDataFrame(rows, f"split_id long, {group} {gt}")
+    return _combinations(df.select(group).distinct(), group, p)
 
 
 def repeated_kfold(df: DataFrame, key: str, n_splits: int = 5, n_repeats: int = 3, seed: int = 42,

@@ -80,3 +80,39 @@ def test_paired_test_and_bootstrap(spark):
     oof = spark.createDataFrame([(i, "c1", float(i), float(i) + 1) for i in range(30)],
                                 "row_key long, config string, y_true double, y_pred double")
     assert EV.cv_bias_bootstrap(oof, n_bootstrap=20).first()["bias_estimate"] == 0.0
+
+
+def test_group_kfold_is_the_plain_greedy_rule():
+    rnd = random.Random(3)
+    for _ in range(300):
+        k, sizes = rnd.randint(2, 6), [rnd.choice([1, 1, 2, 3, 7, rnd.randint(1, 90)]) for _ in range(rnd.randint(6, 60))]
+        sizes.sort(reverse=True)
+        load, want = [0] * k, []
+        for n in sizes:
+            want.append(min(range(k), key=lambda i: (load[i], i)))
+            load[want[-1]] += n
+        got = []
+        for n, first, runs in S._greedy_deal([(n, sizes.count(n)) for n in sorted(set(sizes), reverse=True)], k):
+            assert first == len(got)
+            for r in range(sizes.count(n)):
+                start, folds = [x for x in runs if x[0] <= r][-1]
+                got.append(folds[(r - start) % len(folds)])
+        assert got == want
+
+
+def test_group_kfold_has_one_rule_at_all_sizes(spark):
+    """A group of 300 000 rows beside a million of one row has a fold for itself, as it has beside a few."""
+    for n, hot in ((50, 20), (1_000_010, 300_000)):
+        df = spark.range(n + hot).selectExpr("id", f"greatest(id - {hot - 1}, 0) AS g")
+        got = {r.fold: r.n for r in S.group_kfold(df, "id", "g", 5).groupBy("fold").count().withColumnRenamed("count", "n").collect()}
+        assert got[0] == hot and sum(got.values()) == n + hot and max(list(got.values())[1:]) <= hot
+
+
+def test_leave_p_out_all_combinations(spark):
+    df = spark.createDataFrame([(k * 3, f"g{k % 5}") for k in range(9)], "id long, g string")
+    for p in (1, 2, 3, 4):
+        for out, c, items in ((S.leave_p_out(df, "id", p), "id", [k * 3 for k in range(9)]), (S.leave_p_groups_out(df, "id", "g", p), "g", [f"g{k}" for k in range(5)])):
+            assert out.columns == ["split_id", c]
+            assert sorted(map(tuple, out.collect())) == sorted((i, x) for i, combo in enumerate(itertools.combinations(items, p)) for x in combo)
+    assert S.leave_p_out(df.limit(1), "id", 2).count() == 0
+    assert S.leave_p_out(spark.range(2100), "id", 2).count() == 2100 * 2099       # more than two million splits
