@@ -173,3 +173,17 @@ def test_sampled_shap_efficiency_and_sage_null_feature(spark):
     assert max(abs(r["phi_c"]) for r in d) == 0.0  # unused feature
     s = {r["feature"]: r for r in X.sage(df, "id", ["a", "b", "c"], "y", pred, n_samples=4).collect()}
     assert s["c"]["sage_value"] == 0.0 and set(s) == {"a", "b", "c"}
+
+
+def test_rbf_width_comes_from_all_rows(spark):
+    """Mean squared distance of all pairs, equal rows included; a given gamma is used as it is."""
+    import numpy as np
+    rnd = np.random.default_rng(4)
+    x = np.concatenate([rnd.normal(size=(600, 3)) * [1, 5, 20], np.tile([[0.5, 9.0, -30.0]], (300, 1))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    _, gamma = L.rbf_threshold_pairs(df, "id", ["a", "b", "c"])
+    z = (x - x.mean(0)) / x.std(0)
+    d2 = ((z[:, None] - z[None]) ** 2).sum(-1)[np.triu_indices(len(z), 1)]
+    assert gamma == pytest.approx(1 / (2 * d2.mean()), rel=1e-9)
+    assert L.detect_leakage(df.where("id < 50"), "id", ["a", "b", "c"], gamma=2.0)["gamma"] == 2.0
+    assert L.rbf_threshold_pairs(df.limit(1), "id", ["a", "b"])[1] == 0.5
