@@ -79,8 +79,29 @@ def op10_warc(spark, sf):
     return round_trip(_table(spark, sf, "pages"))
 
 
+@_query
+def op11_conversation_repair(spark, sf):
+    from tabwright.llm.conversation_repair import damage_and_repair
+    return damage_and_repair(_table(spark, sf, "conversations"))
+
+
+@_query
+def op12_collocations(spark, sf):
+    from tabwright.llm.collocations import collocations
+    return collocations(_table(spark, sf, "documents"))
+
+
+@_query
+def op13_url_filter(spark, sf):
+    from tabwright.llm.url_filter import judge_urls
+    return judge_urls(_table(spark, sf, "pages"))
+
+
 def _oracles():
-    from tabwright.llm import line_dedup, warc
+    from tabwright.llm import collocations, conversation_repair, line_dedup, url_filter, warc
+    ORACLE["op11_conversation_repair"] = conversation_repair.ORACLE
+    ORACLE["op12_collocations"] = collocations.ORACLE
+    ORACLE["op13_url_filter"] = url_filter.ORACLE
     ORACLE["op8_line_dedup"] = line_dedup.ORACLE
     ORACLE["op10_warc"] = warc.ORACLE
 
