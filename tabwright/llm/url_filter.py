@@ -109,7 +109,7 @@ def grow(shapes: DataFrame, levels: int, max_literals: int) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", keep=("page_id",), levels: int = 4, max_literals: int = 256,
-               prior: float = 0.25, weight: float = 2.0, threshold: float = 0.5) -> DataFrame:
+               prior: float = 0.25, weight: float = 3.0, threshold: float = 0.5) -> DataFrame:
     """The ``keep`` columns, host, path, rule, verdict, and the template and its purity (share of blocks, smoothed)."""
     from tabwright.session import cut_lineage
     host, path = parts(pages[url_col].cast("string"))
@@ -136,7 +136,7 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", keep=("page_
     return urls.select(*keep, "host", "path", "rule", told.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
 
-def _oracle(levels: int = 4, max_literals: int = 256, prior: float = 0.25, weight: float = 2.0, threshold: float = 0.5) -> str:
+def _oracle(levels: int = 4, max_literals: int = 256, prior: float = 0.25, weight: float = 3.0, threshold: float = 0.5) -> str:
     """The same tree in SQL, a few expressions a level."""
     ranked = sorted(RULES, key=lambda r: (-len(r[0]) - len(r[1]), r))
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"

@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
 
@@ -70,8 +71,9 @@ def plain(urls, levels=4):
     for r, g in zip(rows, named):
         a[r[0], tuple(g)] += r[3] is not None
         b[r[0], tuple(g)] += r[3] == "block"
-    purity = {k: (b[k] + 0.5) / (a[k] + 2) for k in a}
-    return [(r[0], r[1], r[2], r[3] or ("block" if purity[r[0], tuple(g)] >= 0.5 else "allow"), "".join(g), round(purity[r[0], tuple(g)], 6))
+    purity = {k: (b[k] + 0.75) / (a[k] + 3) for k in a}
+    return [(r[0], r[1], r[2], r[3] or ("block" if purity[r[0], tuple(g)] >= 0.5 else "allow"), "".join(g),
+             float(Decimal(purity[r[0], tuple(g)]).quantize(Decimal("1e-6"), ROUND_HALF_UP)))
             for r, g in zip(rows, named)]
 
 
