@@ -5,10 +5,11 @@ carries its window as lead columns w0 … w4, padded with '' past the end; equal
 ``ROLLUP(lang, w0 … w4)`` of those counts gives the frequency of every shorter phrase: a phrase occurs where a window starts
 with it.
 
-A phrase of frequency ``min_count`` has no word and no pair of neighbours that is rarer, so two counts come first: words, then
-neighbouring pairs of frequent words.  A window ends before the first pair that isn't frequent, and windows of one word
-are not formed (words are counted already).  Both prunings go through bitmaps of at most ``BITS`` bits, whatever the size
-of the corpus; a false hit only leaves a window longer than need be, the counts stay exact.
+A phrase of frequency ``min_count`` holds no word, pair or triple of neighbours that is rarer.  So words are counted first, then
+hashes of pairs of frequent words, then hashes of triples of frequent pairs; a window ends where the next pair or triple isn't
+frequent, and windows of one word are not formed (words are counted already).  These prunings go through bitmaps of at
+most ``BITS`` bits, whatever the size of the corpus; a false hit only leaves a window longer than need be: pairs and longer
+phrases get their counts from the ROLLUP alone, which is exact.
 
 Per lang (null: ``und``): n = all word occurrences, a = f(phrase) ≥ min_count, and of the cuts of a phrase the one with the
 least floor(1000·a·n / (l·r)), ties to the shorter first part; products are 38-digit decimals.  A candidate goes when a
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tabwright.llm.textnum import LOWER, i64, mix, prefix_sums, spans, substring_hash, text_blocks
 
 BITS = 1 << 26                      # of a bitmap: 8 MB at most are broadcast
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 LONGEST = 5
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
@@ -40,6 +41,10 @@ _GAP[[0x20, 9]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _word_hash(buf, start, end, lang) -> np.ndarray:
+    return mix(substring_hash(prefix_sums(buf), start, end) + lang.astype(np.uint64) * _STEP)
+
+
 class _Words:
     """Words of one block: bytes, starts, ends, hashes (lang included), and whether the next word follows in the same piece."""
 
@@ -52,11 +57,24 @@ class _Words:
         self.follows = np.zeros(len(self.start), bool)
         if len(self.start):
             self.follows[:-1] = (row[1:] == row[:-1]) & (breaks[self.start[1:]] == breaks[self.end[:-1] - 1])
-        self.hash = mix(substring_hash(prefix_sums(self.buf), self.start, self.end) + self.lang.astype(np.uint64) * _STEP)
-
-    def pairs(self) -> np.ndarray:
-        """Hash of each word with the one after it (of the last word: of no use)."""
-        return mix(self.hash * np.uint64(3) + np.roll(self.hash, -1) * np.uint64(5) + _STEP)
+        self.hash = _word_hash(self.buf, self.start, self.end, self.lang)
+
+    def linked(self, frequent: list[np.ndarray]) -> list[np.ndarray]:
+        """Per m from 1 on: whether the m words from here on are in one piece and frequent, as far as bitmaps are given for m."""
+        out = [_hit(frequent[0], self.hash)]
+        for m in range(2, len(frequent) + 2):
+            both = out[-1] & np.roll(out[-1], -1) & (self.follows if m == 2 else True)
+            if m <= len(frequent):
+                both[both] = _hit(frequent[m - 1], self.run(m)[both])
+            out.append(both)
+        return out
+
+    def run(self, m: int) -> np.ndarray:
+        """Hash of each word with the m − 1 after it (of no use at the block's end)."""
+        h = self.hash
+        for j in range(1, m):
+            h = mix(h * np.uint64(3) + np.roll(self.hash, -j) * np.uint64(5) + _STEP)
+        return h
 
     def text(self, at: np.ndarray) -> pa.Array:
         """The words at these indices; '' for -1."""
@@ -69,18 +87,22 @@ class _Words:
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], codes: dict) -> Iterator[tuple[_Words, pa.Array]]:
-    """Words and the names of the langs of each block; ``codes`` numbers the langs alike in all tasks (by their hash)."""
+def _langs(column: pa.Array) -> tuple[np.ndarray, dict]:
+    """A number for each row's lang, alike in all tasks (a hash of its name), and the names of the numbers."""
+    lang = column.cast(pa.string()).fill_null("und").dictionary_encode()
+    codes = {}
+    for name in lang.dictionary.to_pylist():
+        raw = np.frombuffer(name.encode(), np.uint8)
+        codes[substring_hash(prefix_sums(raw), np.zeros(1, np.int64), np.full(1, len(raw)))[0]] = name
+    return np.array(list(codes), np.uint64)[lang.indices.to_numpy(zero_copy_only=False)], codes
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, dict]]:
+    """Words and the names of the langs of each block."""
     for batch in batches:
-        lang = batch.column(1).cast(pa.string()).fill_null("und").dictionary_encode()
-        names = lang.dictionary.to_pylist()
-        for name in names:
-            if name not in codes:
-                raw = np.frombuffer(name.encode(), np.uint8)
-                codes[name] = substring_hash(prefix_sums(raw), np.zeros(1, np.int64), np.full(1, len(raw)))[0]
-        number = np.array([codes[x] for x in names], np.uint64)[lang.indices.to_numpy(zero_copy_only=False)]
+        number, names = _langs(batch.column(1))
         for lo, hi, buf, off in text_blocks(batch.column(0), BLOCK):
-            yield _Words(buf, off, number[lo:hi]), {codes[x]: x for x in names}
+            yield _Words(buf, off, number[lo:hi]), names
 
 
 def _unique(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,35 +135,44 @@ def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
 
 
 def _count_words(batches):
-    codes: dict = {}
-    for w, names in _blocks(batches, codes):
+    for w, names in _blocks(batches):
         at, count = _unique(w.hash)
-        yield pa.record_batch([_names(w.lang[at], names), w.text(at), i64(w.hash[at]), pa.array(count.astype(np.int64))], ["lang", "word", "h", "c"])
+        yield pa.record_batch([_names(w.lang[at], names), w.text(at), pa.array(count.astype(np.int64))], ["lang", "word", "c"])
+
+
+def _hash_words(batches):
+    """(lang, word, f) with the hash that the word has in texts."""
+    for batch in batches:
+        number, _ = _langs(batch.column(0))
+        for lo, hi, buf, off in text_blocks(batch.column(1), BLOCK):
+            h = _word_hash(buf, off[:-1], off[1:], number[lo:hi])
+            part = batch.slice(lo, hi - lo)
+            yield pa.record_batch([part.column(0), part.column(1), i64(h), part.column(2)], ["lang", "phrase", "h", "f"])
 
 
-def _count_pairs(bitmap):
+def _count_runs(m, bitmaps):
+    """Hashes of the runs of m words whose shorter runs are all frequent."""
     def run(batches):
-        frequent = bitmap.value
-        codes: dict = {}
-        for w, _ in _blocks(batches, codes):
-            good = _hit(frequent, w.hash)
-            h = w.pairs()[w.follows & good & np.roll(good, -1)]
-            at, count = _unique(h)
+        frequent = [b.value for b in bitmaps]
+        for w, _ in _blocks(batches):
+            at, count = _unique(h := w.run(m)[w.linked(frequent)[m - 1]])
             yield pa.record_batch([i64(h[at]), pa.array(count.astype(np.int64))], ["h", "c"])
     return run
 
 
-def _count_windows(bitmap, longest):
+def _count_windows(bitmaps, longest):
     def run(batches):
-        frequent = bitmap.value
-        codes: dict = {}
-        for w, names in _blocks(batches, codes):
+        frequent = [b.value for b in bitmaps]
+        top = min(len(frequent), longest)                                # runs longer than the bitmaps know grow by those that they do
+        for w, names in _blocks(batches):
+            linked = w.linked(frequent)[:top]
             n = len(w.hash)
-            linked = w.follows & _hit(frequent, w.pairs())
-            end = np.where(linked, n, np.arange(n))                      # index of the last word of the run that a word stands in
-            end = np.minimum.accumulate(end[::-1])[::-1]
-            first = np.flatnonzero(linked)
-            size = np.minimum(end[first] - first + 1, longest)
+            size = np.zeros(n, np.int64)
+            for m in range(1, longest + 1):                              # a run of m words is a run of m - 1 words and a known one at its end
+                last = linked[m - 1] if m <= top else np.roll(linked[-1], top - m)
+                size[(size == m - 1) & last] = m
+            first = np.flatnonzero(size >= 2)
+            size = size[first]
             key = np.zeros(len(first), np.uint64)
             for j in range(longest):                                     # the window's hash, padding included
                 here = np.where(j < size, w.hash[np.minimum(first + j, n - 1)], np.uint64(j + 1)) if n else key
@@ -160,17 +191,17 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, longest: int = LONGEST,
     from tabwright.session import cut_lineage
     sc = docs.sparkSession.sparkContext
     texts = docs.select(docs[text_col].cast("string").alias("t"), docs[lang_col].cast("string").alias("l"))
-    words = (texts.mapInArrow(_count_words, "lang string, word string, h long, c long").groupBy("lang", "word", "h").agg(F.sum("c").alias("f")))
+    words = texts.mapInArrow(_count_words, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("f"))
     # rare words matter for n only: they go on as one row per lang
-    rare = F.col("f") < min_count
-    words = cut_lineage(words.groupBy("lang", F.when(~rare, F.col("word")).alias("phrase"), F.when(~rare, F.col("h")).alias("h")).agg(F.sum("f").alias("f")))
+    words = cut_lineage(words.groupBy("lang", F.when(F.col("f") >= min_count, F.col("word")).alias("phrase")).agg(F.sum("f").alias("f")))
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     single = words.where("phrase IS NOT NULL")
-    seen = sc.broadcast(_bitmap(single, "h"))
-    pairs = texts.mapInArrow(_count_pairs(seen), "h long, c long").groupBy("h").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
-    linked = sc.broadcast(_bitmap(cut_lineage(pairs.select("h")), "h"))
+    known = [sc.broadcast(_bitmap(cut_lineage(single.mapInArrow(_hash_words, "lang string, phrase string, h long, f long").select("h")), "h"))]
+    for m in range(2, min(3, longest) + 1):
+        runs = texts.mapInArrow(_count_runs(m, known), "h long, c long").groupBy("h").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
+        known = [*known, sc.broadcast(_bitmap(cut_lineage(runs.select("h")), "h"))]
     lead = [f"w{j}" for j in range(longest)]
-    windows = (texts.mapInArrow(_count_windows(linked, longest), "lang string, " + ", ".join(f"{c} string" for c in lead) + ", c long")
+    windows = (texts.mapInArrow(_count_windows(known, longest), "lang string, " + ", ".join(f"{c} string" for c in lead) + ", c long")
                .groupBy("lang", *lead).agg(F.sum("c").alias("c")))
     level = F.grouping_id()                                               # 2^k - 1: the last k columns are summed over
     sums = windows.rollup("lang", *lead).agg(F.sum("c").alias("f"), level.alias("out")).where(F.col("f") >= min_count)
