@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tabwright.llm.textnum import LOWER, i64, mix, prefix_sums, spans, substring_hash, text_blocks
 
 BITS = 1 << 26                      # of a bitmap: 8 MB at most are broadcast
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 LONGEST = 5
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
@@ -53,7 +53,7 @@ class _Words:
         self.start, self.end, first = spans(~_GAP[self.buf], off)
         row = np.repeat(np.arange(len(off) - 1), np.diff(first))
         self.lang = langs[row]
-        breaks = np.cumsum(_BREAK[self.buf])
+        breaks = np.cumsum(_BREAK[self.buf], dtype=np.int32)
         self.follows = np.zeros(len(self.start), bool)
         if len(self.start):
             self.follows[:-1] = (row[1:] == row[:-1]) & (breaks[self.start[1:]] == breaks[self.end[:-1] - 1])
