@@ -36,7 +36,7 @@ def r6(df: DataFrame) -> DataFrame:
 
 def _load_all():
     from tabwright.catalog import (q_profile, q_clean, q_features, q_prep, q_split,  # noqa: F401
-                                   q_evaluate, q_search, q_misc, q_more)
+                                   q_evaluate, q_misc, q_models, q_more)
 
 
 def queries() -> dict[str, Callable]:
