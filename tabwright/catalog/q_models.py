@@ -52,3 +52,57 @@ def q_skyline_3d(spark, sf):
 def q_skyline_4d(spark, sf):
     from tabwright.operators.search import skyline
     return skyline(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *FOUR), FOUR)
+
+
+def _gaps(num):
+    return f"""SELECT o_orderkey, CASE WHEN o_orderkey % 6 <> 0 THEN {num('o_totalprice')} / 5000 END AS price,
+       CASE WHEN o_orderkey % 5 <> 1 THEN {num('o_custkey')} END AS cust, {num('substr(o_orderpriority, 1, 1)')} * 10 AS prio FROM orders"""
+
+
+GAPPED = ("price", "cust", "prio")
+
+
+def _knn_sql(cols, k=5):
+    both = lambda c: f"(q.{c} IS NOT NULL AND d.{c} IS NOT NULL)"
+    count = " + ".join(f"{both(c)}::INT" for c in cols)
+    square = " + ".join(f"coalesce((q.{c} - d.{c}) * (q.{c} - d.{c}), 0)" for c in cols)
+    order = ", ".join(f"d{c} NULLS FIRST" for c in cols)
+    own, same = ", ".join(cols), lambda a, b: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cols)
+    sql = f"""
+WITH t AS ({_gaps(lambda x: f'({x})::DOUBLE')}),
+d AS (SELECT {own}, count(*) AS n FROM t GROUP BY {own}),
+q AS (SELECT {own} FROM d WHERE {' OR '.join(f'{c} IS NULL' for c in cols)})"""
+    for t in cols:
+        sql += f""",
+near_{t} AS (SELECT q.*, d.{t} AS val, d.n, {len(cols)}::DOUBLE / ({count}) * ({square}) AS dist, {', '.join(f'd.{c} AS d{c}' for c in cols)}
+             FROM q, d WHERE q.{t} IS NULL AND d.{t} IS NOT NULL AND {count} > 0),
+first_{t} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY {own} ORDER BY dist, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+              FROM (SELECT * FROM near_{t} QUALIFY row_number() OVER (PARTITION BY {own} ORDER BY dist, {order}) <= {k})),
+fill_{t} AS (SELECT {own}, sum(val * least(n, {k} - before)) / sum(least(n, {k} - before)) AS f FROM first_{t} WHERE before < {k} GROUP BY {own})"""
+    return sql + f"""
+SELECT o_orderkey, {', '.join(f'round(coalesce(t.{c}, fill_{c}.f, (SELECT avg({c}) FROM t)), 6) AS {c}' for c in cols)}
+FROM t {' '.join(f'LEFT JOIN fill_{c} ON {same("t", f"fill_{c}")}' for c in cols)}"""
+
+
+@register("knn_impute", _knn_sql(GAPPED))
+def q_knn_impute(spark, sf):
+    """E3 over orders with gaps in two columns, at times in both."""
+    from tabwright.operators.prep import Imputer
+    o = table(spark, sf, "orders")
+    num = lambda c: c.cast("double")
+    t = o.select("o_orderkey", F.when(F.col("o_orderkey") % 6 != 0, num(F.col("o_totalprice")) / 5000).alias("price"),
+                 F.when(F.col("o_orderkey") % 5 != 1, num(F.col("o_custkey"))).alias("cust"), (num(F.substring("o_orderpriority", 1, 1)) * 10).alias("prio"))
+    return r6(Imputer("knn").fit(t, GAPPED).transform(t))
+
+
+@register("cross_fit_target_encode", """
+WITH li AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice AS y, l_orderkey % 5 AS fold FROM lineitem),
+f AS (SELECT i AS fold, (SELECT avg(y) FROM li WHERE fold <> i) AS m, (SELECT var_pop(y) FROM li WHERE fold <> i) AS v FROM range(5) r(i)),
+e AS (SELECT f.fold, l_suppkey, count(*) AS n, avg(y) AS mc, var_pop(y) AS vc FROM li JOIN f ON f.fold <> li.fold GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, round(coalesce((e.n * f.v * e.mc + e.vc * f.m) / (e.n * f.v + e.vc), f.m), 4) AS l_suppkey_enc
+FROM li JOIN f USING (fold) LEFT JOIN e USING (fold, l_suppkey)""")
+def q_cross_fit_target(spark, sf):
+    from tabwright.operators.prep import cross_fit_target_encode
+    li = table(spark, sf, "lineitem").withColumn("fold", F.col("l_orderkey") % 5)
+    out = cross_fit_target_encode(li, ["l_suppkey"], "l_extendedprice", "fold")
+    return out.select("l_orderkey", "l_linenumber", F.round("l_suppkey_enc", 4).alias("l_suppkey_enc"))

@@ -20,6 +20,7 @@ from tabwright.functions import boundary as B
 from tabwright.functions.scalar import log_transform, periodic
 from tabwright.functions.stats import norm_ppf
 from tabwright.plans.ordering import exact_quantiles, global_row_number, stack_columns
+from tabwright.session import cut_lineage
 
 INLINE_CATEGORY_LIMIT = 256   # above this many categories a map is joined, not inlined
 
@@ -70,15 +71,18 @@ class ImputerModel(Model):
 
 @dataclass
 class Imputer:
-    """E1/E2 — mean | median | most_frequent | constant (unknown strategy → mean).
+    """E1/E2/E3 — mean | median | most_frequent | constant | knn (five neighbours; unknown strategy → mean).
 
     median is exact (value ladder); most_frequent ties go to the smallest value."""
     strategy: str = "mean"
     fill_value: object = None
     add_indicator: bool = False
 
-    def fit(self, df: DataFrame, columns) -> ImputerModel:
+    def fit(self, df: DataFrame, columns) -> Model:
         columns = list(columns)
+        if self.strategy == "knn":
+            from tabwright.plans.knn_impute import KnnImputer
+            return KnnImputer(add_indicator=self.add_indicator).fit(df, columns)
         s = self.strategy if self.strategy in ("mean", "median", "most_frequent", "constant") else "mean"
         types = B.field_types(df)
         if s == "constant":
@@ -466,6 +470,36 @@ def fit_target_encoder(df: DataFrame, columns, target: str) -> MapModel:
     return _map_model(tables, {c: [(c, "enc")] for c in columns}, {c: gm for c in columns}, columns)
 
 
+def cross_fit_target_encode(df: DataFrame, columns, target: str, fold: str, suffix: str = "_enc") -> DataFrame:
+    """E15, training side — every row gets the encoding learnt from the other folds (column ``fold``), so its own
+    target never reaches it.  One aggregate per column holds n, Σ and Σ² (centred on the overall mean) per category and
+    fold; total minus fold gives what the other folds say, the same for the mean and variance of all rows.  A category
+    that only this fold has, and a null, get the mean of the other folds.  Rows with a null target are encoded too."""
+    columns = list(columns)
+    centre = df.agg(F.avg(_v(target))).first()[0] or 0.0
+    y = _v(target) - F.lit(centre)
+    sums = [F.count(y).alias("n"), F.coalesce(F.sum(y), F.lit(0.0)).alias("s"), F.coalesce(F.sum(y * y), F.lit(0.0)).alias("q")]
+    less = lambda c: (F.col(f"t.{c}") - F.coalesce(F.col(f"f.{c}"), F.lit(0))).alias(c)
+    mean, var = F.col("s") / F.col("n"), F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))
+    base = df.select(F.col(fold).alias("_tw_f"), *[F.col(c).cast("string").alias(f"_tw_{i}") for i, c in enumerate(columns)], _v(target).alias(target))
+    folds = cut_lineage(base.groupBy("_tw_f").agg(*sums))                              # one row per fold
+    everyone = folds.agg(*[F.sum(c).alias(c) for c in "nsq"])
+    rest = folds.alias("f").crossJoin(F.broadcast(everyone.alias("t"))).select("f._tw_f", *[less(c) for c in "nsq"])      # one row per fold
+    rest = rest.select("_tw_f", mean.alias("_tw_m"), var.alias("_tw_v"))
+    out = df.join(F.broadcast(rest.withColumnRenamed("_tw_f", "_tw_g")), F.col(fold).eqNullSafe(F.col("_tw_g")), "left")
+    for i, c in enumerate(columns):
+        cells = cut_lineage(base.where(F.col(f"_tw_{i}").isNotNull()).groupBy(F.col(f"_tw_{i}").alias("value"), "_tw_f").agg(*sums))
+        total = cells.groupBy("value").agg(*[F.sum(x).alias(x) for x in "nsq"])
+        other = (cells.alias("f").join(total.alias("t"), "value").select("value", F.col("f._tw_f").alias("_tw_f"), *[less(x) for x in "nsq"])
+                 .where("n > 0").select(F.col("value").alias("_tw_k"), F.col("_tw_f").alias("_tw_h"), F.col("n").alias("_tw_n"), mean.alias("_tw_mc"), var.alias("_tw_vc")))
+        out = out.join(cut_lineage(other), (F.col(c).cast("string") == F.col("_tw_k")) & F.col(fold).eqNullSafe(F.col("_tw_h")), "left")
+        weight = F.col("_tw_n") * F.col("_tw_v") + F.col("_tw_vc")
+        lam = F.when(weight == 0, F.lit(1.0)).otherwise(F.col("_tw_n") * F.col("_tw_v") / weight)
+        enc = F.coalesce(lam * F.col("_tw_mc") + (1 - lam) * F.col("_tw_m"), F.col("_tw_m")) + F.lit(centre)
+        out = out.withColumn(c + suffix, enc).drop("_tw_k", "_tw_h", "_tw_n", "_tw_mc", "_tw_vc")
+    return out.drop("_tw_g", "_tw_m", "_tw_v")
+
+
 def fit_binary_encoder(df: DataFrame, columns) -> MapModel:
     """E16 — binary digits of the (1-based, sorted) ordinal code; unknown → zeros."""
     columns = list(columns)
