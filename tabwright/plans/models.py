@@ -109,6 +109,98 @@ def _mlp(features="features", label="label", weight=None, **kw):
     return _SizedMlp(features, label, list(kw.get("hidden", (32,))), kw.get("maxIter", 200))
 
 
+def _extra(task):
+    def f(features="features", label="label", weight=None, **kw):
+        from tabwright.plans.extra_trees import ExtraTrees
+        return ExtraTrees(task, features, label, **kw)
+    return f
+
+
+def _greedy_forest(task):
+    def f(features="features", label="label", weight=None, **kw):
+        from tabwright.plans import rgf
+        return (rgf.GreedyForestRegressor if task == "regression" else rgf.GreedyForestClassifier)(features, label, **kw)
+    return f
+
+
+@dataclass
+class _OnColumns:
+    """A learner over named columns, given a vector column: its entries become columns for the fit and the prediction.
+    ``learn(df, key, columns, label)`` gives a model whose ``transform`` adds ``prediction``; ``key`` is a hash of the row."""
+    learn: object
+    features: str
+    label: str
+    names: tuple = ()
+    model: object = None
+
+    def _spread(self, df):
+        from pyspark.ml.functions import vector_to_array
+        from pyspark.sql import functions as F
+        x = vector_to_array(self.features)
+        return df.withColumns({c: F.get(x, F.lit(i)) for i, c in enumerate(self.names)} | {"_tw_key": F.xxhash64(x)})
+
+    def fit(self, df):
+        from pyspark.ml.functions import vector_to_array
+        from pyspark.sql import functions as F
+        n = df.agg(F.max(F.size(vector_to_array(self.features)))).first()[0]
+        if n is None:
+            raise ValueError("no rows to learn from")
+        on = _OnColumns(self.learn, self.features, self.label, tuple(f"_tw_x{i}" for i in range(n)))
+        on.model = self.learn(on._spread(df), "_tw_key", list(on.names), self.label)
+        return on
+
+    def transform(self, df):
+        return self.model.transform(self._spread(df)).drop(*self.names, "_tw_key")
+
+
+def _on_columns(learn):
+    def f(features="features", label="label", weight=None, **kw):
+        return _OnColumns(lambda df, key, cols, y: learn(df, key, cols, y, **kw), features, label)
+    return f
+
+
+def _linear_tree(df, key, cols, y, **kw):
+    from tabwright.plans.linear_tree import LinearTreeRegressor
+    return LinearTreeRegressor(**kw).fit(df, cols, y)
+
+
+def _linear_forest(df, key, cols, y, **kw):
+    from tabwright.plans.linear_tree import LinearForestRegressor
+    return LinearForestRegressor(**kw).fit(df, key, cols, y)
+
+
+def _linear_boost(df, key, cols, y, **kw):
+    from tabwright.plans.linear_tree import LinearBoostRegressor
+    return LinearBoostRegressor(**kw).fit(df, cols, y)
+
+
+def _pls(df, key, cols, y, **kw):
+    from tabwright.plans.linear_models import fit_pls
+    return fit_pls(df, cols, y, **kw)
+
+
+def _bayesian_ridge(df, key, cols, y, **kw):
+    from tabwright.plans.linear_models import fit_bayesian_ridge
+    return fit_bayesian_ridge(df, cols, y, **kw)
+
+
+@dataclass
+class _AdaBoost:
+    features: str
+    label: str
+    options: dict
+
+    def fit(self, df):
+        from tabwright.plans.selection import adaboost_classifier
+        return adaboost_classifier(df, label=self.label, **self.options)
+
+
+def _adaboost(features="features", label="label", weight=None, **kw):
+    if features != "features":
+        raise ValueError("adaboost reads the vector column 'features'")
+    return _AdaBoost(features, label, kw)
+
+
 REGISTRY = {s.key + "/" + s.task: s for s in [
     ModelSpec("linear", "regression", _lin(), ("linear", "default")),
     ModelSpec("ridge", "regression", _lin(1.0, 0.0), ("linear", "default")),
@@ -131,6 +223,17 @@ REGISTRY = {s.key + "/" + s.task: s for s in [
     ModelSpec("gaussian_nb", "classification", _nb("gaussian"), ("probabilistic",)),
     ModelSpec("bernoulli_nb", "classification", _nb("bernoulli"), ("probabilistic",)),
     ModelSpec("mlp", "classification", _mlp, ("neural",)),
+    ModelSpec("bagging", "classification", _tree(C.RandomForestClassifier, numTrees=20, featureSubsetStrategy="all", bootstrap=True, seed=42), ("ensemble",)),
+    ModelSpec("extra_trees", "regression", _extra("regression"), ("tree", "ensemble")),
+    ModelSpec("extra_trees", "classification", _extra("classification"), ("tree", "ensemble")),
+    ModelSpec("rgf", "regression", _greedy_forest("regression"), ("tree", "ensemble")),
+    ModelSpec("rgf", "classification", _greedy_forest("classification"), ("tree", "ensemble"), "one-vs-rest"),
+    ModelSpec("linear_tree", "regression", _on_columns(_linear_tree), ("tree", "linear")),
+    ModelSpec("linear_forest", "regression", _on_columns(_linear_forest), ("tree", "linear", "ensemble")),
+    ModelSpec("linear_boost", "regression", _on_columns(_linear_boost), ("tree", "linear", "ensemble")),
+    ModelSpec("pls", "regression", _on_columns(_pls), ("linear",)),
+    ModelSpec("bayesian_ridge", "regression", _on_columns(_bayesian_ridge), ("linear", "probabilistic")),
+    ModelSpec("adaboost", "classification", _adaboost, ("ensemble",), "SAMME over decision stumps"),
 ]}
 
 
