@@ -106,3 +106,26 @@ def q_cross_fit_target(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("fold", F.col("l_orderkey") % 5)
     out = cross_fit_target_encode(li, ["l_suppkey"], "l_extendedprice", "fold")
     return out.select("l_orderkey", "l_linenumber", F.round("l_suppkey_enc", 4).alias("l_suppkey_enc"))
+
+
+@register("onehot_many_levels", """
+WITH levels AS (SELECT o_custkey::VARCHAR AS value, row_number() OVER (ORDER BY o_custkey::VARCHAR) AS p, count(*) OVER () AS k
+                FROM (SELECT DISTINCT o_custkey FROM orders))
+SELECT o_orderkey, (k - 1)::INT AS size, CASE WHEN p = 1 THEN k - 1 ELSE p - 2 END::DOUBLE AS code
+FROM orders JOIN levels ON value = o_custkey::VARCHAR""")
+def q_onehot_many(spark, sf):
+    """E13 beyond the inline limit: the position that is set in each order's vector."""
+    from tabwright.operators.prep import OneHotEncoder
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    model = OneHotEncoder().fit(o, ["o_custkey"])
+    return model.codes(o, "o_custkey", "code").select("o_orderkey", F.lit(model.sizes["o_custkey"]).alias("size"), "code")
+
+
+@register("stratified_group_kfold", """
+SELECT o_custkey, 1::BIGINT AS n_folds, count(*) AS n FROM orders GROUP BY o_custkey""")
+def q_stratified_group_kfold(spark, sf):
+    """C4: every group whole in one fold."""
+    from tabwright.operators.split import stratified_group_kfold
+    o = table(spark, sf, "orders")
+    got = stratified_group_kfold(o, "o_orderkey", "o_custkey", "o_orderstatus").join(o.select("o_orderkey", "o_custkey"), "o_orderkey")
+    return got.groupBy("o_custkey").agg(F.count_distinct("fold").alias("n_folds"), F.count(F.lit(1)).alias("n"))

@@ -367,21 +367,79 @@ class OneHotModel(Model):
         return out
 
 
+@dataclass
+class WideOneHotModel(Model):
+    """One-hot columns as they are, plus a sparse vector ``<column>_onehot`` for each column of many levels: the level's
+    position comes from a dictionary by a join, so levels are neither collected nor inlined.  Unknown levels and nulls
+    are zero vectors, as is the first level if it is dropped."""
+    dense: OneHotModel
+    tables: dict           # column -> DataFrame(value string, code double); code < size
+    sizes: dict            # column -> length of its vector
+    inputs: list = field(default_factory=list)
+
+    def codes(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` with the position of the row's level in the vector; its length stands for none."""
+        t = self.tables[column].select(F.col("value").alias("_tw_k"), F.col("code").alias("_tw_c"))
+        got = df.join(t, F.col(column).cast("string") == F.col("_tw_k"), "left")
+        return got.withColumn(name, F.coalesce("_tw_c", F.lit(float(self.sizes[column])))).drop("_tw_k", "_tw_c")
+
+    def transform(self, df: DataFrame, keep_other: bool = True) -> DataFrame:
+        from pyspark.ml.feature import OneHotEncoder as Indicator
+        out, wide = df, list(self.tables)
+        for c in wide:
+            out = self.codes(out, c, f"_tw_at_{c}")
+        spark = df.sparkSession
+        for c in wide:
+            top = spark.createDataFrame([(float(self.sizes[c] - 1),)], f"`_tw_at_{c}` double")
+            out = Indicator(inputCol=f"_tw_at_{c}", outputCol=f"{c}_onehot", handleInvalid="keep", dropLast=True).fit(top).transform(out)
+        ex = self.dense.exprs(out)
+        names = [f"{c}_onehot" for c in wide]
+        rest = [x for x in df.columns if x not in self.inputs and x not in ex and x not in names] if keep_other else []
+        return out.select(*rest, *[e.alias(n) for n, e in ex.items()], *names)
+
+
 @dataclass
 class OneHotEncoder:
     """E13 — sorted levels, drop first (or none), unknown → all zeros;
     ``max_categories`` keeps the most frequent (ties by value) and buckets the
-    rest as ``infrequent``."""
+    rest as ``infrequent``, the last position.  Above ``INLINE_CATEGORY_LIMIT``
+    levels a column becomes one sparse vector (:class:`WideOneHotModel`)."""
     drop: str | None = "first"
     max_categories: int | None = None
 
-    def fit(self, df: DataFrame, columns) -> OneHotModel:
+    def _wide(self, levels: DataFrame, c: str) -> tuple[DataFrame, int]:
+        """(value, code) of the levels of one column and the length of the vector."""
+        mine = levels.where(F.col("col_name") == c)
+        if self.max_categories:
+            many = mine.count()
+            by_count = global_row_number(mine, [F.desc("n"), "value"], "_tw_r")
+            kept = by_count.where(F.col("_tw_r") < self.max_categories) if many > self.max_categories else by_count
+        else:
+            kept = mine
+        skip = 1 if self.drop == "first" else 0
+        codes = global_row_number(kept, ["value"], "_tw_p").select("value", (F.col("_tw_p") - 1 - skip).cast("double").alias("code"))
+        size = kept.count() - skip
+        if self.max_categories and many > self.max_categories:
+            codes = codes.unionAll(by_count.where(F.col("_tw_r") >= self.max_categories).select("value", F.lit(float(size)).alias("code")))
+            size += 1
+        return cut_lineage(codes.where(F.col("code") >= 0)), size
+
+    def fit(self, df: DataFrame, columns) -> Model:
         columns = list(columns)
-        lv = category_levels(df, columns, with_counts=True)
+        every = cut_lineage(stack_columns(df, columns, value_type="string").groupBy("col_name", "value").agg(F.count(F.lit(1)).alias("n")))
+        many = {r["col_name"]: r["count"] for r in every.groupBy("col_name").count().collect()}
+        wide = [c for c in columns if many.get(c, 0) > INLINE_CATEGORY_LIMIT]
+        if wide:
+            narrow = [c for c in columns if c not in wide]
+            found = {c: self._wide(every, c) for c in wide}
+            return WideOneHotModel(self.fit(df, narrow) if narrow else OneHotModel({}, self.drop == "first", {}, []),
+                                   {c: t for c, (t, _) in found.items()}, {c: n for c, (_, n) in found.items()}, columns)
+        lv = {c: [] for c in columns}
+        for r in every.collect():                       # at most INLINE_CATEGORY_LIMIT rows a column
+            lv[r["col_name"]].append((r["value"], r["n"]))
+        lv = {c: sorted(v) for c, v in lv.items()}
         levels, infrequent = {}, {}
         for c, pairs in lv.items():
-            if len(pairs) > INLINE_CATEGORY_LIMIT:
-                raise ValueError(f"{c}: {len(pairs)} categories — use an ordinal/target encoder")
             if self.max_categories and len(pairs) > self.max_categories:
                 top = sorted(pairs, key=lambda p: (-p[1], p[0]))[: self.max_categories - 1]
                 keep = sorted(p[0] for p in top)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions import boundary as B
+from tabwright.session import cut_lineage
 from tabwright.plans.ordering import global_row_number
 
 # Registry of split names and their requirements.
@@ -118,39 +119,52 @@ def group_kfold(df: DataFrame, key: str, group: str, n_splits: int = 5) -> DataF
     return df.select(key, group).join(amap, group).select(key, "fold")
 
 
-def stratified_group_kfold(df: DataFrame, key: str, group: str, label: str, n_splits: int = 5,
-                           driver_limit: int = 1_000_000) -> DataFrame:
-    """C4 — greedy over groups (largest first): put each group in the fold whose
-    class distribution stays closest to the overall one (sum of squared share
-    gaps), ties to the lightest fold.  Collected table: (group, class) counts."""
-    counts = df.groupBy(group, F.col(label).cast("string").alias("_tw_y")).agg(F.count(F.lit(1)).alias("n"))
-    if counts.count() > driver_limit:
-        raise ValueError("too many (group, class) cells for the greedy assignment")
-    rows = counts.collect()
-    classes = sorted({r["_tw_y"] for r in rows})
-    per = {}
-    for r in rows:
-        per.setdefault(r[group], {})[r["_tw_y"]] = r["n"]
-    total = {c: sum(p.get(c, 0) for p in per.values()) for c in classes}
-    N = sum(total.values())
-    fold_c = [{c: 0 for c in classes} for _ in range(n_splits)]
-    assign = []
-    for g, p in sorted(per.items(), key=lambda kv: (-sum(kv[1].values()), str(kv[0]))):
-        best = None
+def stratified_group_kfold(df: DataFrame, key: str, group: str, label: str, n_splits: int = 5) -> DataFrame:
+    """C4 — whole groups per fold, every fold's class shares close to the overall ones.
+
+    Groups with the same class counts are one kind.  Of a kind's groups, numbered by name, each fold gets the same
+    number in turn; the fewer than ``n_splits`` left over go, kinds by falling size, to the fold that then leaves the
+    classes spread most evenly over the folds (least mean deviation; ties to the lightest, then the lowest fold).  The driver gets
+    one row per kind; groups are numbered and given their fold in the tasks.  A null label is a class."""
+    counts = df.groupBy(group, F.col(label).cast("string").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    groups = cut_lineage(counts.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("y", "n"))).alias("_tw_kind"), F.sum("n").alias("_tw_n")))
+    kinds = [([(x["y"], x["n"]) for x in r["_tw_kind"]], r["c"]) for r in groups.groupBy("_tw_kind").agg(F.count(F.lit(1)).alias("c")).collect()]
+    classes = sorted({y for kind, _ in kinds for y, _ in kind}, key=lambda y: (y is not None, y))
+    at = {y: i for i, y in enumerate(classes)}
+    overall = [0] * len(classes)
+    for kind, c in kinds:
+        for y, n in kind:
+            overall[at[y]] += c * n
+    load, deal = [[0] * len(classes) for _ in range(n_splits)], []
+
+    def spread(fold, kind):
+        """Mean over the classes of the standard deviation, over the folds, of a class's share in each."""
+        added = {at[y]: n for y, n in kind}
+        out = 0.0
+        for j, all_of in enumerate(overall):
+            part = [(load[f][j] + (added.get(j, 0) if f == fold else 0)) / all_of for f in range(n_splits)]
+            m = sum(part) / n_splits
+            out += math.sqrt(sum((x - m) ** 2 for x in part) / n_splits)
+        return round(out / len(overall), 12)
+    for kind, c in sorted(kinds, key=lambda k: (-sum(n for _, n in k[0]), [(at[y], n) for y, n in k[0]])):
+        each, left = divmod(c, n_splits)
+        folds = []
         for f in range(n_splits):
-            cand = {c: fold_c[f][c] + p.get(c, 0) for c in classes}
-            m = sum(cand.values())
-            gap = sum((cand[c] / m - total[c] / N) ** 2 for c in classes)
-            score = (gap, sum(fold_c[f].values()), f)
-            if best is None or score < best[0]:
-                best = (score, f)
-        f = best[1]
-        for c in classes:
-            fold_c[f][c] += p.get(c, 0)
-        assign.append((g, f))
-    gt = df.schema[group].dataType.simpleString()
-    amap = df.sparkSession.createDataFrame(assign, f"{group} {gt}, fold int")
-    return df.select(key, group).join(amap, group).select(key, "fold")
+            for y, n in kind:
+                load[f][at[y]] += each * n
+        for _ in range(left):
+            f = min(range(n_splits), key=lambda f: (spread(f, kind), sum(load[f]), f))  # noqa: B023
+            folds.append(f)
+            for y, n in kind:
+                load[f][at[y]] += n
+        deal.append((kind, each * n_splits, folds))
+    table = df.sparkSession.createDataFrame(deal, "_tw_kind array<struct<y:string,n:bigint>>, _tw_even long, _tw_rest array<int>")
+    ranked = global_row_number(groups, ["_tw_kind", F.col(group).cast("string"), F.col(group)], "_tw_r")
+    start = ranked.groupBy("_tw_kind").agg(F.min("_tw_r").alias("_tw_first"))
+    pos = F.col("_tw_r") - F.col("_tw_first")
+    fold = F.when(pos < F.col("_tw_even"), F.pmod(pos, F.lit(n_splits)).cast("int")).otherwise(F.get("_tw_rest", (pos - F.col("_tw_even")).cast("int")))
+    amap = ranked.join(table.join(start, "_tw_kind"), "_tw_kind").select(F.col(group).alias("_tw_g"), fold.alias("fold"))
+    return df.select(key, group).join(cut_lineage(amap), F.col(group).eqNullSafe(F.col("_tw_g"))).select(key, "fold")
 
 
 def leave_one_out(df: DataFrame, key: str) -> DataFrame:

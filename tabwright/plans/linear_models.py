@@ -101,6 +101,36 @@ def fit_bayesian_ridge(df: DataFrame, features, target: str, n_iter: int = 300,
     return LinearExprModel(feats, coef, float(my - mx @ coef))
 
 
+def fit_ard(df: DataFrame, features, target: str, n_iter: int = 300, tol: float = 1e-3, alpha_1=1e-6, alpha_2=1e-6,
+            lambda_1=1e-6, lambda_2=1e-6, prune_above: float = 1e4) -> LinearExprModel:
+    """M10 — automatic relevance determination: a precision per coefficient, updated by the evidence; coefficients whose
+    precision reaches ``prune_above`` are 0 from then on.  All rounds work on the centred statistics of one aggregate."""
+    feats = list(features)
+    n, mx, my, S, sxy, syy = sufficient_stats(df, feats, target)
+    alpha, lam, keep, coef = 1.0 / (syy / n + np.finfo(float).eps), np.ones(len(feats)), np.ones(len(feats), bool), np.zeros(len(feats))
+
+    def posterior():
+        cov = np.linalg.pinv(np.diag(lam[keep]) + alpha * S[np.ix_(keep, keep)], hermitian=True)
+        out = np.zeros(len(feats))
+        out[keep] = alpha * cov @ sxy[keep]
+        return cov, out
+    for _ in range(n_iter):
+        cov, now = posterior()
+        sse = max(float(syy - 2 * now @ sxy + now @ S @ now), 0.0)
+        known = 1.0 - lam[keep] * np.diag(cov)                      # how far the data, not the prior, fix each coefficient
+        lam[keep] = (known + 2 * lambda_1) / (now[keep] ** 2 + 2 * lambda_2)
+        alpha = (n - known.sum() + 2 * alpha_1) / (sse + 2 * alpha_2)
+        keep = lam < prune_above
+        now[~keep] = 0.0
+        done = np.abs(coef - now).sum() < tol
+        coef = now
+        if done or not keep.any():
+            break
+    if keep.any():
+        coef = posterior()[1]
+    return LinearExprModel(feats, coef, float(my - mx @ coef))
+
+
 def iterative_impute(df: DataFrame, columns, n_iter: int = 10) -> DataFrame:
     """E4 — round-robin regression imputation: every round, for each column with
     NULLs, fit OLS on the other columns (one aggregate per column: the

@@ -184,6 +184,11 @@ def _bayesian_ridge(df, key, cols, y, **kw):
     return fit_bayesian_ridge(df, cols, y, **kw)
 
 
+def _ard(df, key, cols, y, **kw):
+    from tabwright.plans.linear_models import fit_ard
+    return fit_ard(df, cols, y, **kw)
+
+
 @dataclass
 class _AdaBoost:
     features: str
@@ -233,6 +238,7 @@ REGISTRY = {s.key + "/" + s.task: s for s in [
     ModelSpec("linear_boost", "regression", _on_columns(_linear_boost), ("tree", "linear", "ensemble")),
     ModelSpec("pls", "regression", _on_columns(_pls), ("linear",)),
     ModelSpec("bayesian_ridge", "regression", _on_columns(_bayesian_ridge), ("linear", "probabilistic")),
+    ModelSpec("ard", "regression", _on_columns(_ard), ("linear", "probabilistic")),
     ModelSpec("adaboost", "classification", _adaboost, ("ensemble",), "SAMME over decision stumps"),
 ]}
 
