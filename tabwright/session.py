@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -18,6 +19,7 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",     # a checkpoint goes with the last frame that reads it
 }
 
 
@@ -64,3 +66,12 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what superseded frames hold on disk, between the turns of an iteration.
+
+    Spark's cleaner removes the shuffle files and checkpoints of frames that nothing refers to any more, but only
+    learns of them when Python and the driver's JVM collect garbage, which a short loop seldom makes them do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
