@@ -27,6 +27,8 @@ part in nothing and get their set size and a null component.  Repeated rows are
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -232,6 +234,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, k: int, pct:
     return pairs
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """Each list as a copy of its own, so that a batch goes once its last unit is done."""
+    off = column.offsets.to_numpy()
+    flat = column.values.to_numpy()
+    return [flat[i:j].copy() for i, j in zip(off[:-1], off[1:])]
+
+
 def _block_pairs(members: DataFrame, points: DataFrame, pct: int) -> DataFrame:
     """Pairs of different components that share a block and that the blocks' R-trees can't rule out.
 
@@ -270,7 +279,7 @@ def _block_pairs(members: DataFrame, points: DataFrame, pct: int) -> DataFrame:
                 a, b = a + i, b + j
                 most = np.minimum(vec[a], vec[b]).sum(1, dtype=np.int64)
                 for k in np.flatnonzero(_possible(n[a], n[b], most, pct)):
-                    if not sigs[a[k]].isdisjoint(sigs[b[k]]):
+                    if np.isin(sigs[a[k]], sigs[b[k]], assume_unique=True).any():
                         yield min(v[a[k]], v[b[k]]), max(v[a[k]], v[b[k]])
 
     def run(batches):
@@ -279,9 +288,9 @@ def _block_pairs(members: DataFrame, points: DataFrame, pct: int) -> DataFrame:
         def done():
             if sum(len(x[1]) for x in held) > 1:
                 cols = [np.concatenate(x) for x in zip(*(h[:5] for h in held))]
-                ab = list(probe(*cols, [set(x) for h in held for x in h[5]]))
-                for i in range(0, len(ab), 50_000):
-                    a, b = zip(*ab[i:i + 50_000])
+                found = probe(*cols, [x for h in held for x in h[5]])
+                while ab := list(itertools.islice(found, 50_000)):
+                    a, b = zip(*ab)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             held.clear()
 
@@ -289,7 +298,7 @@ def _block_pairs(members: DataFrame, points: DataFrame, pct: int) -> DataFrame:
             if not b.num_rows:
                 continue
             hub, lo, hi, *rest = (b.column(c).to_numpy() for c in ("hub", "lo", "hi", "c", "v", "label", "n"))
-            vec, sigs = _points(b.column("vec").to_pylist()), b.column("sigs").to_pylist()
+            vec, sigs = _points(b.column("vec").to_pylist()), _lists(b.column("sigs"))
             edge = np.flatnonzero((hub[1:] != hub[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             for i, j in zip([0, *edge], [*edge, len(hub)]):
                 now = (hub[i], lo[i], hi[i])
@@ -313,7 +322,8 @@ def _two_heavy(named: DataFrame) -> bool:
 def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) per row."""
     from tabwright.plans.components import component_labels
-    from tabwright.session import cut_lineage
+    from tabwright.session import cut_lineage, release
+    spark = docs.sparkSession
     rows = cut_lineage(_documents(docs, k))
     points = (rows.where("_n > 0 and _id is not null").groupBy(F.col("_set").alias("v"))
               .agg(F.min("_id").alias("id"), F.min("_n").alias("n"), F.min("_vec").alias("vec")))
@@ -321,6 +331,7 @@ def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows:
     points = cut_lineage(points.join(block.select("v").distinct(), "v", "left_semi"))       # the others link with nothing
     links, label, turn = None, None, 0
     while True:
+        release(spark)                                         # signatures and the turns before are written anew by now
         named = block.withColumn("label", F.col("v")) if label is None else block.join(
             label, block.v == label.id, "left").select("sig", "v", F.coalesce("component", "v").alias("label"))
         open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
@@ -347,6 +358,7 @@ def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows:
         named = named.drop("label").join(label, F.col("v") == label.id, "left").select("sig", "v", F.coalesce("component", "v").alias("label"))
         open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
         named = cut_lineage(named.join(open_, "sig", "left_semi"))
+    release(spark)
     rest = _block_pairs(named, points, pct)
     more = _verified(docs, cut_lineage(rest), points, k, pct, broadcast_rows)
     if more.limit(1).count():
@@ -367,7 +379,10 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, pct: int = 80, broadcast_r
     """One document of each component stays, that with the smallest doc_id; rows that repeat that id stay as they are."""
     from tabwright.session import cut_lineage
     comp = link_components(docs, k, pct, broadcast_rows)
-    gone = cut_lineage(comp.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    gone = cut_lineage(comp.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
     if gone.count() <= broadcast_rows:                         # counted; beyond that a shuffle join
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
