@@ -114,10 +114,10 @@ WITH levels AS (SELECT o_custkey::VARCHAR AS value, row_number() OVER (ORDER BY
 SELECT o_orderkey, (k - 1)::INT AS size, CASE WHEN p = 1 THEN k - 1 ELSE p - 2 END::DOUBLE AS code
 FROM orders JOIN levels ON value = o_custkey::VARCHAR""")
 def q_onehot_many(spark, sf):
-    """E13 beyond the inline limit: the position that is set in each order's vector."""
+    """E13 as sparse vectors: the position that is set in each order's vector."""
     from tabwright.operators.prep import OneHotEncoder
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    model = OneHotEncoder().fit(o, ["o_custkey"])
+    model = OneHotEncoder(inline_limit=0).fit(o, ["o_custkey"])
     return model.codes(o, "o_custkey", "code").select("o_orderkey", F.lit(model.sizes["o_custkey"]).alias("size"), "code")
 
 

@@ -402,10 +402,11 @@ class WideOneHotModel(Model):
 class OneHotEncoder:
     """E13 — sorted levels, drop first (or none), unknown → all zeros;
     ``max_categories`` keeps the most frequent (ties by value) and buckets the
-    rest as ``infrequent``, the last position.  Above ``INLINE_CATEGORY_LIMIT``
+    rest as ``infrequent``, the last position.  Above ``inline_limit``
     levels a column becomes one sparse vector (:class:`WideOneHotModel`)."""
     drop: str | None = "first"
     max_categories: int | None = None
+    inline_limit: int = INLINE_CATEGORY_LIMIT
 
     def _wide(self, levels: DataFrame, c: str) -> tuple[DataFrame, int]:
         """(value, code) of the levels of one column and the length of the vector."""
@@ -428,14 +429,14 @@ class OneHotEncoder:
         columns = list(columns)
         every = cut_lineage(stack_columns(df, columns, value_type="string").groupBy("col_name", "value").agg(F.count(F.lit(1)).alias("n")))
         many = {r["col_name"]: r["count"] for r in every.groupBy("col_name").count().collect()}
-        wide = [c for c in columns if many.get(c, 0) > INLINE_CATEGORY_LIMIT]
+        wide = [c for c in columns if many.get(c, 0) > self.inline_limit]
         if wide:
             narrow = [c for c in columns if c not in wide]
             found = {c: self._wide(every, c) for c in wide}
             return WideOneHotModel(self.fit(df, narrow) if narrow else OneHotModel({}, self.drop == "first", {}, []),
                                    {c: t for c, (t, _) in found.items()}, {c: n for c, (_, n) in found.items()}, columns)
         lv = {c: [] for c in columns}
-        for r in every.collect():                       # at most INLINE_CATEGORY_LIMIT rows a column
+        for r in every.collect():                       # at most inline_limit rows a column
             lv[r["col_name"]].append((r["value"], r["n"]))
         lv = {c: sorted(v) for c, v in lv.items()}
         levels, infrequent = {}, {}
