@@ -39,7 +39,7 @@ def test_stages(spark, rnd, tmp_path):
     ids = lambda x: sorted(r.doc_id for r in x)
     want = {r[0] for r in rows if r[0] not in toxic and not (1000 <= r[0] < 2000 and r[0] - 1000 in toxic)}
     assert len(set(ids(outs[0])) ^ want) <= 4
-    lines = {r[0]: r[4] for r in line_brute([(r.doc_id, r.text, r.source) for r in outs[0]], 10, 0.5)}
+    lines = {r[0]: r[4] for r in line_brute([(r.doc_id, r.text, r.source) for r in outs[0]], 10)}
     assert {r.doc_id: r.text for r in outs[1]} == lines and any("subscribe" in (r.text or "") for r in outs[0])
     near = near_brute([(r.doc_id, r.text, None) for r in outs[1]], 5, 80)
     assert ids(outs[2]) == sorted(r[0] for r in near if r[0] == r[2])
