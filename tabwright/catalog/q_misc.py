@@ -113,6 +113,48 @@ def q_parego(spark, sf):
     return r6(out.select("c_custkey", "parego"))
 
 
+_PAREGO_WEIGHTS = [(0.2, 0.5, 0.3), (0.6, 0.1, 0.3), (0.6, 0.1, 0.3), (0.1, 0.1, 0.8)]
+
+
+def _parego_sql():
+    """The picks one after the other: each weight's least score among the keys not picked before."""
+    score = lambda w: (f"greatest({w[0]} * f0, {w[1]} * f1, {w[2]} * f2) + 0.05::DOUBLE * "
+                       f"({w[0]}::DOUBLE * f0 + {w[1]}::DOUBLE * f1 + {w[2]}::DOUBLE * f2)")
+    ctes = ["b AS (SELECT min(l_extendedprice) AS e0, max(l_extendedprice) AS e1 FROM lineitem)",
+            "f AS (SELECT l_orderkey * 10 + l_linenumber AS line, 1.0::DOUBLE - (l_extendedprice - e0) / (e1 - e0) AS f0, "
+            "(l_quantity - 1.0::DOUBLE) / 49.0::DOUBLE AS f1, 1.0::DOUBLE - l_discount / 0.1::DOUBLE AS f2 FROM lineitem, b)",
+            "g AS (SELECT line, min(f0) AS f0, min(f1) AS f1, min(f2) AS f2 FROM f GROUP BY 1 HAVING count(*) = 1)"]
+    for i, w in enumerate(_PAREGO_WEIGHTS):
+        before = " AND ".join(f"line NOT IN (SELECT line FROM p{j})" for j in range(i)) or "TRUE"
+        ctes.append(f"p{i} AS (SELECT {i + 1} AS weight_no, line, {score(w)} AS score FROM g WHERE {before} ORDER BY score, line LIMIT 1)")
+    return f"WITH {', '.join(ctes)} SELECT weight_no, line, round(score, 6) AS score FROM (" \
+        + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(len(_PAREGO_WEIGHTS))) + ")"
+
+
+@register("parego_suggest", _parego_sql())
+def q_parego_suggest(spark, sf):
+    from tabwright.operators.surrogate import parego_select
+    li = table(spark, sf, "lineitem").withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    once = li.groupBy("line").agg(*[F.min(c).alias(c) for c in ("l_extendedprice", "l_quantity", "l_discount")],
+                                  F.count(F.lit(1)).alias("n")).where("n = 1")
+    price = li.agg(F.min("l_extendedprice"), F.max("l_extendedprice")).first()
+    names = ["l_extendedprice", "l_quantity", "l_discount"]
+    return r6(parego_select(once, dict(zip(names, ("max", "min", "max"))),
+                            {"l_extendedprice": tuple(price), "l_quantity": (1.0, 50.0), "l_discount": (0.0, 0.1)},
+                            [dict(zip(names, w)) for w in _PAREGO_WEIGHTS], "line"))
+
+
+@register("surrogate_suggest")
+def q_surrogate_suggest(spark, sf):
+    from tabwright.operators.surrogate import parego_suggest, suggest
+    li = table(spark, sf, "lineitem")
+    parts = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("l_quantity"),
+                                            (F.col("p_partkey") % 11 / 100).alias("l_discount"))
+    one = suggest(li, parts, ["l_quantity", "l_discount"], "l_extendedprice", n=5, kind="ucb", key="p_partkey")
+    many = parego_suggest(li, parts, ["l_quantity", "l_discount"], {"l_extendedprice": "max", "l_tax": "min"}, n=5, key="p_partkey")
+    return one.select(F.lit("ucb").alias("kind"), "p_partkey").unionByName(many.select(F.lit("parego").alias("kind"), "p_partkey"))
+
+
 @register("degeneracy_labels", """
 SELECT o_orderkey, o_orderpriority, (dense_rank() OVER (ORDER BY first_key) - 1) AS label FROM orders
 JOIN (SELECT o_orderpriority AS p, min(o_orderkey) AS first_key FROM orders GROUP BY 1) ON p = o_orderpriority""")

@@ -1,9 +1,8 @@
-"""Surrogate-model suggestion (F14, O5, O12) and the genetic inverse search.
+"""Surrogate-model suggestion (F14, O5, O6, O12) and the genetic inverse search.
 
-The Gaussian-process surrogate is fitted on the *observations* (bounded by
-``max_observations``; a numpy Cholesky on the driver), shipped to the
-executors as a broadcast value, and every *candidate* is scored there in Arrow
-batches (``mapInPandas``) — the candidate set may be arbitrarily large.
+The surrogate is a Bayesian linear model on random Fourier features (:mod:`tabwright.plans.fourier`): any number of
+observations is one distributed aggregate, and the candidates are scored in Arrow batches, so both tables may be
+arbitrarily large.
 """
 
 from __future__ import annotations
@@ -16,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions import boundary as B
-
-MAX_OBSERVATIONS = 2000
+from tabwright.plans.fourier import FourierSurrogate, fit_fourier, predict_fourier
 
 
 def _phi(z):
@@ -54,104 +52,120 @@ def acquisition_values(mu, sigma, kind="ei", best=0.0, xi=0.01, kappa=2.0, lo=No
 def acquisition(df: DataFrame, mu: str, sigma: str, kind="ei", best=0.0, xi=0.01, kappa=2.0, lo=None, hi=None,
                 objective="maximize", name: str = "acquisition") -> DataFrame:
     """F14 as a vectorised pandas UDF column (no erf in Spark SQL)."""
-    import pandas as pd
-
     @F.pandas_udf(T.DoubleType())
-    def acq(m: pd.Series, s: pd.Series) -> pd.Series:
+    def acq(m, s):
+        import pandas as pd
         return pd.Series(acquisition_values(m.to_numpy(), s.to_numpy(), kind, best, xi, kappa, lo, hi, objective))
     return df.withColumn(name, acq(B.as_double(mu), B.as_double(sigma)))
 
 
-class GaussianProcess:
-    """RBF-kernel GP on standardised inputs/targets (observations on the driver)."""
-
-    def __init__(self, length_scale: float | None = None, noise: float = 1e-6):
-        self.length_scale = length_scale
-        self.noise = noise
-
-    def fit(self, X: np.ndarray, y: np.ndarray):
-        self.xm, self.xs = X.mean(0), X.std(0)
-        self.xs[self.xs == 0] = 1.0
-        self.ym, self.ys = float(y.mean()), float(y.std() or 1.0)
-        Z = (X - self.xm) / self.xs
-        if self.length_scale is None:
-            d = np.sqrt(((Z[:, None, :] - Z[None, :, :]) ** 2).sum(-1))
-            med = np.median(d[np.triu_indices(len(Z), 1)]) if len(Z) > 1 else 1.0
-            self.length_scale = float(med) if med > 0 else 1.0
-        K = self._k(Z, Z) + self.noise * np.eye(len(Z))
-        self.L = np.linalg.cholesky(K)
-        self.alpha = np.linalg.solve(self.L.T, np.linalg.solve(self.L, (y - self.ym) / self.ys))
-        self.Z = Z
-        return self
-
-    def _k(self, A, Bm):
-        d2 = ((A[:, None, :] - Bm[None, :, :]) ** 2).sum(-1)
-        return np.exp(-0.5 * d2 / self.length_scale ** 2)
-
-    def predict(self, X: np.ndarray):
-        Zs = (X - self.xm) / self.xs
-        ks = self._k(Zs, self.Z)
-        mu = ks @ self.alpha
-        v = np.linalg.solve(self.L, ks.T)
-        var = np.clip(1.0 - (v * v).sum(0), 0.0, None)
-        return mu * self.ys + self.ym, np.sqrt(var) * self.ys
-
-
-def fit_surrogate(observed: DataFrame, features, target: str, max_observations: int = MAX_OBSERVATIONS,
-                  **kw) -> GaussianProcess:
-    n = observed.count()
-    if n > max_observations:
-        raise ValueError(f"{n} observations exceed the surrogate limit {max_observations}")
-    pdf = observed.select(*[B.as_double(c).alias(c) for c in features], B.as_double(target).alias("_y")).toPandas().dropna()
-    return GaussianProcess(**kw).fit(pdf[list(features)].to_numpy(), pdf["_y"].to_numpy())
-
-
-def score_with_surrogate(cands: DataFrame, gp: GaussianProcess, features, kind="ei", best=None, objective="maximize",
+def fit_surrogate(observed: DataFrame, features, target: str, **kw) -> FourierSurrogate:
+    return fit_fourier(observed, features, [target], **kw)[0]
+
+
+def score_with_surrogate(cands: DataFrame, model: FourierSurrogate, features, kind="ei", best=None, objective="maximize",
                          **acq_kw) -> DataFrame:
-    """O5 — distributed mu / sigma / acquisition for every candidate."""
-    feats = list(features)
-    sc = cands.sparkSession.sparkContext
-    bgp = sc.broadcast(gp)
-    best = best if best is not None else 0.0
-    schema = T.StructType(cands.schema.fields + [T.StructField(n, T.DoubleType()) for n in ("mu", "sigma", "acquisition")])
-
-    def run(batches):
-        g = bgp.value
-        for pdf in batches:
-            X = pdf[feats].astype("float64").to_numpy()
-            mu, s = g.predict(X) if len(pdf) else (np.array([]), np.array([]))
-            pdf["mu"], pdf["sigma"] = mu, s
-            pdf["acquisition"] = acquisition_values(mu, s, kind, best, objective=objective, **acq_kw) if len(pdf) else []
-            yield pdf
-    return cands.mapInPandas(run, schema)
+    """O5 — distributed mu / sigma / acquisition for every candidate (null where a feature is null)."""
+    got = predict_fourier(cands, [model], features, [("mu", "sigma")])
+    got = acquisition(got, "mu", "sigma", kind, 0.0 if best is None else best, objective=objective, **acq_kw)
+    return got.withColumn("acquisition", F.when(F.col("mu").isNotNull(), F.col("acquisition")))
 
 
 def suggest(observed: DataFrame, cands: DataFrame, features, target: str, n: int = 5, kind: str = "ei",
-            objective: str = "maximize", strategy: str = "top_n", key: str = "grid_index", **acq_kw) -> DataFrame:
-    """O5 — batch suggestion: ``top_n`` by acquisition, or ``kriging_believer``
-    (take the best, add its predicted mean as an observation, refit, repeat)."""
+            objective: str = "maximize", strategy: str = "top_n", key: str = "grid_index", model_options: dict | None = None,
+            **acq_kw) -> DataFrame:
+    """O5 — batch suggestion of ``n`` candidates; equal acquisitions go by the smaller ``key``.
+
+    * ``top_n``: the highest acquisitions.
+    * ``kriging_believer``: take the best, add its predicted mean as an observation (a rank-one step), repeat.
+    * ``doe_then_bo``: 3n candidates spread by maximin distance, of these the n highest acquisitions.
+    * ``bo_then_doe``: the 3n highest acquisitions, of these n spread by maximin distance.
+    """
+    from tabwright.operators.reduce import maximin_selection
     feats = list(features)
-    ys = observed.agg(F.max(B.as_double(target)) if objective == "maximize" else F.min(B.as_double(target))).first()[0]
-    gp = fit_surrogate(observed, feats, target)
-    if strategy == "top_n":
-        s = score_with_surrogate(cands, gp, feats, kind, ys, objective, **acq_kw)
-        return s.orderBy(F.desc("acquisition"), key).limit(n)
-    if strategy != "kriging_believer":
+    up = objective == "maximize"
+    best = observed.agg((F.max if up else F.min)(B.as_double(target))).first()[0]
+    model = fit_surrogate(observed, feats, target, **(model_options or {}))
+    if strategy == "doe_then_bo":
+        cands = cands.where(F.col(key).isin(maximin_selection(cands, key, feats, min(3 * n, cands.count()))))
+    elif strategy not in ("top_n", "kriging_believer", "bo_then_doe"):
         raise ValueError(f"unknown strategy: {strategy}")
-    obs = observed.select(*[B.as_double(c).alias(c) for c in feats], B.as_double(target).alias(target)).toPandas().dropna()
+    if strategy != "kriging_believer":
+        top = score_with_surrogate(cands, model, feats, kind, best, objective, **acq_kw) \
+            .orderBy(F.desc("acquisition"), key).limit(n if strategy != "bo_then_doe" else 3 * n)
+        if strategy != "bo_then_doe":
+            return top
+        rows = top.collect()                                                            # 3n rows
+        few = cands.sparkSession.createDataFrame(rows, top.schema) if rows else top
+        return few.where(F.col(key).isin(maximin_selection(few, key, feats, min(n, len(rows))) if rows else []))
     picked = []
     for _ in range(n):
-        s = score_with_surrogate(cands.where(~F.col(key).isin(picked)) if picked else cands, gp, feats, kind, ys,
-                                 objective, **acq_kw)
-        top = s.orderBy(F.desc("acquisition"), key).limit(1).first()
+        top = score_with_surrogate(cands.where(~F.col(key).isin(picked)) if picked else cands, model, feats, kind, best,
+                                   objective, **acq_kw).where(F.col("mu").isNotNull()).orderBy(F.desc("acquisition"), key).limit(1).first()
         if top is None:
             break
         picked.append(top[key])
-        obs.loc[len(obs)] = [top[c] for c in feats] + [top["mu"]]
-        gp = GaussianProcess().fit(obs[feats].to_numpy(), obs[target].to_numpy())
+        best = (max if up else min)(best, top["mu"])
+        model = model.believe([float(top[c]) for c in feats], top["mu"])
     return cands.where(F.col(key).isin(picked))
 
 
+def dirichlet_weights(n: int, objectives, seed: int = 42) -> list[dict]:
+    """``n`` weight vectors, uniform on the simplex."""
+    rng = np.random.RandomState(seed)
+    return [dict(zip(objectives, map(float, rng.dirichlet(np.ones(len(objectives)))))) for _ in range(n)]
+
+
+def parego_select(predicted: DataFrame, objectives: dict, bounds: dict, weights: list[dict], key: str, rho: float = 0.05) -> DataFrame:
+    """O6 — one candidate per weight vector, in the order of ``weights``: the least max(w·f) + ρ Σ w·f among those not
+    taken before (then the smallest ``key``), f being the column scaled to 0..1 by ``bounds`` and turned round if maximised.
+
+    Every weight's best ``len(weights)`` candidates are enough to settle who was taken before; they come from one pass
+    (each task keeps that many per weight before anything is shuffled).  Candidates with a null objective are left out.
+    ``objectives`` maps column → 'min' | 'max', ``bounds`` column → (low, high).  Returns weight_no (from 1), key, score."""
+    scaled = []
+    for c, d in objectives.items():
+        lo, hi = bounds[c]
+        f = (B.as_double(c) - F.lit(float(lo))) / F.lit(float(hi - lo) if hi - lo >= 1e-9 else 1.0)
+        scaled.append((f if d == "min" else F.lit(1.0) - f).alias(f"f{len(scaled)}"))
+    f = predicted.select(F.col(key).alias("key"), *scaled).dropna()
+    scores = []
+    for w in weights:
+        terms = [F.lit(float(w[c])) * F.col(f"f{i}") for i, c in enumerate(objectives)]
+        total = terms[0]
+        for t in terms[1:]:
+            total = total + t
+        scores.append((F.greatest(*terms) if len(terms) > 1 else terms[0]) + F.lit(float(rho)) * total)
+    per = f.select("key", F.posexplode(F.array(*scores)).alias("weight_no", "score"))
+    rank = F.row_number().over(Window.partitionBy("weight_no").orderBy("score", "key"))
+    rows = per.withColumn("_tw_r", rank).where(F.col("_tw_r") <= len(weights)).orderBy("weight_no", "_tw_r").collect()
+    taken, out = set(), []
+    for no in range(len(weights)):
+        for r in rows:                                                                  # at most len(weights)² rows
+            if r["weight_no"] == no and r["key"] not in taken:
+                taken.add(r["key"])
+                out.append((no + 1, r["key"], r["score"]))
+                break
+    schema = T.StructType([T.StructField("weight_no", T.IntegerType()), T.StructField(key, predicted.schema[key].dataType),
+                           T.StructField("score", T.DoubleType())])
+    return predicted.sparkSession.createDataFrame(out, schema)
+
+
+def parego_suggest(observed: DataFrame, cands: DataFrame, features, objectives: dict, n: int = 5, rho: float = 0.05,
+                   weights: list[dict] | None = None, key: str = "grid_index", seed: int = 42, **model_options) -> DataFrame:
+    """O6 — ``n`` candidates for several objectives (column → 'min' | 'max'): one surrogate per objective from one shared
+    Gram matrix, Dirichlet weight vectors unless ``weights`` are given, predictions scaled by the observed range of each
+    objective.  Returns weight_no, key, score, the features and the predicted objectives."""
+    from tabwright.session import cut_lineage
+    names = list(objectives)
+    models = fit_fourier(observed, features, names, **model_options)
+    seen = observed.agg(*[f(B.as_double(c)).alias(k + c) for c in names for k, f in (("lo_", F.min), ("hi_", F.max))]).first()
+    bounds = {c: (seen["lo_" + c], seen["hi_" + c]) for c in names}
+    pred = cut_lineage(predict_fourier(cands.select(key, *features), models, features, [(c, None) for c in names]))
+    chosen = parego_select(pred, objectives, bounds, weights or dirichlet_weights(n, names, seed), key, rho)
+    return pred.join(F.broadcast(chosen), key).select("weight_no", key, "score", *features, *names)
+
+
 def genetic_search(spark, space, predict, n_pop: int = 200, generations: int = 20, seed: int = 42,
                    mutation_rate: float = 0.1, eta: float = 20.0, direction: str = "maximize") -> DataFrame:
     """O4 — tournament selection, SBX crossover (η), Gaussian mutation (10 % of

@@ -226,7 +226,7 @@ def suggest_experiments(observed: DataFrame, features, target: str, n: int = 5,
                         method: str = "random_lhs", n_max: int = 10_000, kind: str = "ptr", target_range=None,
                         objective: str = "maximize", seed: int = 42) -> DataFrame:
     """O12 — space from the observed table → user bounds → candidates →
-    constraints (one pass) → GP surrogate → top n.  The default target range
+    constraints (one pass) → surrogate → top n.  The default target range
     for PTR is the observed quartiles of the target."""
     from tabwright.operators.constrain import apply_constraints
     from tabwright.operators.search import generate_candidates, space_from_table
