@@ -468,6 +468,14 @@ def q_linear_tree(spark, sf):
     return m.transform(li).select("l_orderkey", "l_linenumber", "l_extendedprice", "prediction")
 
 
+@register("linear_tree_classes")
+def q_linear_tree_classes(spark, sf):
+    from tabwright.plans.linear_tree_classes import LinearTreeClassifier
+    li = table(spark, sf, "lineitem").withColumn("flag", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2))
+    m = LinearTreeClassifier(max_depth=2).fit(li, ["l_quantity", "l_discount", "l_tax"], "flag")
+    return m.transform(li).select("l_orderkey", "l_linenumber", "flag", "prediction")
+
+
 # --- exact k-nearest neighbours (M7, J6) --------------------------------------------
 _KNN_SQL = """(SELECT query, neighbor, dist, rank FROM (
   SELECT query, neighbor, dist, row_number() OVER (PARTITION BY query ORDER BY dist, neighbor) AS rank FROM (

@@ -46,6 +46,13 @@ def _ridge(zz: np.ndarray, zy: np.ndarray, yy: float, lam: float):
     return beta, max(float(sse), 0.0)
 
 
+def quantile_edges(data: DataFrame, features, max_bins: int) -> list[list[float]]:
+    """Candidate thresholds: approximate quantile edges per feature (bounded: p × max_bins)."""
+    probs = [i / max_bins for i in range(1, max_bins)]
+    row = data.agg(*[F.percentile_approx(c, probs, 10000).alias(f"e{j}") for j, c in enumerate(features)]).first()
+    return [sorted(set(row[f"e{j}"] or [])) for j in range(len(features))]
+
+
 @dataclass
 class LinearTreeRegressor:
     max_depth: int = 5
@@ -75,10 +82,7 @@ class LinearTreeRegressor:
         w = weight if weight is not None else F.lit(1.0)
         data = df.select(*[B.as_double(c).alias(c) for c in self.features], y.alias("_y"), w.cast("double").alias("_w")) \
             .where(F.col("_y").isNotNull() & (F.col("_w") > 0))
-        # candidate thresholds: approximate quantile edges per feature (bounded: p × max_bins)
-        probs = [i / self.max_bins for i in range(1, self.max_bins)]
-        edges_row = data.agg(*[F.percentile_approx(c, probs, 10000).alias(f"e{j}") for j, c in enumerate(self.features)]).first()
-        edges = [sorted(set(edges_row[f"e{j}"] or [])) for j in range(p)]
+        edges = quantile_edges(data, self.features, self.max_bins)
         z = [F.lit(1.0)] + [F.coalesce(F.col(c), F.lit(0.0)) for c in self.features]
         q = p + 1
         self.nodes = {0: _Node(0, 0)}

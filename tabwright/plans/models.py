@@ -174,6 +174,21 @@ def _linear_boost(df, key, cols, y, **kw):
     return LinearBoostRegressor(**kw).fit(df, cols, y)
 
 
+def _linear_tree_classes(df, key, cols, y, **kw):
+    from tabwright.plans.linear_tree_classes import LinearTreeClassifier
+    return LinearTreeClassifier(**kw).fit(df, cols, y)
+
+
+def _linear_forest_classes(df, key, cols, y, **kw):
+    from tabwright.plans.linear_tree_classes import LinearForestClassifier
+    return LinearForestClassifier(**kw).fit(df, key, cols, y)
+
+
+def _linear_boost_classes(df, key, cols, y, **kw):
+    from tabwright.plans.linear_tree_classes import LinearBoostClassifier
+    return LinearBoostClassifier(**kw).fit(df, cols, y)
+
+
 def _pls(df, key, cols, y, **kw):
     from tabwright.plans.linear_models import fit_pls
     return fit_pls(df, cols, y, **kw)
@@ -236,6 +251,9 @@ REGISTRY = {s.key + "/" + s.task: s for s in [
     ModelSpec("linear_tree", "regression", _on_columns(_linear_tree), ("tree", "linear")),
     ModelSpec("linear_forest", "regression", _on_columns(_linear_forest), ("tree", "linear", "ensemble")),
     ModelSpec("linear_boost", "regression", _on_columns(_linear_boost), ("tree", "linear", "ensemble")),
+    ModelSpec("linear_tree", "classification", _on_columns(_linear_tree_classes), ("tree", "linear"), "logistic leaves"),
+    ModelSpec("linear_forest", "classification", _on_columns(_linear_forest_classes), ("tree", "linear", "ensemble")),
+    ModelSpec("linear_boost", "classification", _on_columns(_linear_boost_classes), ("tree", "linear", "ensemble")),
     ModelSpec("pls", "regression", _on_columns(_pls), ("linear",)),
     ModelSpec("bayesian_ridge", "regression", _on_columns(_bayesian_ridge), ("linear", "probabilistic")),
     ModelSpec("ard", "regression", _on_columns(_ard), ("linear", "probabilistic")),
