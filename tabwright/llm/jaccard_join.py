@@ -28,6 +28,7 @@ part in nothing and get their set size and a null component.  Repeated rows are
 from __future__ import annotations
 
 import itertools
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,24 @@ from pyspark.sql import functions as F
 from tabwright.llm import textnum as tn
 
 COORDS, LEAF, CELL = 256, 64, 1024
+BATCH_ROWS = 2000
 SETTLED, HEAVY = 0.02, 256
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
+@contextmanager
+def _batches_of(spark, rows: int):
+    """Arrow batches of at most ``rows`` rows for the jobs inside.  A pair carries two whole sets: at Spark's 10 000 rows a
+    batch of them takes tens of MB, in the worker and beside the heap of its executor, for every running task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shingle_sets(column: pa.Array, k: int):
     """(row, sorted distinct shingle hashes) of every text."""
     for lo, hi, buf, off in tn.text_blocks(column):
@@ -319,8 +334,8 @@ def _two_heavy(named: DataFrame) -> bool:
     return heavy.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
 
 
-def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) per row."""
+def _linked(docs: DataFrame, k: int, pct: int, broadcast_rows: int):
+    """Rows with their sets (_id, _n, _set, _vec), and (id, component) of the linked sets or None; neither has Python work left."""
     from tabwright.plans.components import component_labels
     from tabwright.session import cut_lineage, release
     spark = docs.sparkSession
@@ -364,6 +379,13 @@ def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows:
     if more.limit(1).count():
         links = more if links is None else links.unionAll(more)
         label = component_labels(links, "a", "b")
+    return rows, label
+
+
+def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows: int = 500_000) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) per row."""
+    with _batches_of(docs.sparkSession, BATCH_ROWS):
+        rows, label = _linked(docs, k, pct, broadcast_rows)
     out = rows.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), "_set")
     first = rows.where("_n > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("first"))
     if label is not None:
