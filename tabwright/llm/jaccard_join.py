@@ -241,10 +241,11 @@ def _compared(pairs: DataFrame, sets: DataFrame, pct: int, short: bool) -> DataF
 
 def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, k: int, pct: int, broadcast_rows: int) -> DataFrame:
     """The pairs that link: first by half tokens, which move half the bytes and rule most out, then by whole ones."""
-    from tabwright.session import cut_lineage
+    from tabwright.session import cut_lineage, release
     for short in (True, False):
-        ends = pairs.select(F.col("a").alias("v")).unionAll(pairs.select("b")).distinct().join(points.select("v", "id"), "v")
-        sets = _sets(docs, cut_lineage(ends), k, broadcast_rows, short)
+        release(docs.sparkSession)
+        ends = cut_lineage(pairs.select(F.col("a").alias("v")).unionAll(pairs.select("b")).distinct().join(points.select("v", "id"), "v"))
+        sets = _sets(docs, ends, k, broadcast_rows, short)
         pairs = cut_lineage(_compared(pairs, sets, pct, short).distinct())
     return pairs
 
@@ -374,8 +375,8 @@ def _linked(docs: DataFrame, k: int, pct: int, broadcast_rows: int):
         open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
         named = cut_lineage(named.join(open_, "sig", "left_semi"))
     release(spark)
-    rest = _block_pairs(named, points, pct)
-    more = _verified(docs, cut_lineage(rest), points, k, pct, broadcast_rows)
+    rest = cut_lineage(_block_pairs(named, points, pct))       # only the written frame is kept: a name for the other would
+    more = _verified(docs, rest, points, k, pct, broadcast_rows)                        # hold on to its shuffle files
     if more.limit(1).count():
         links = more if links is None else links.unionAll(more)
         label = component_labels(links, "a", "b")
