@@ -234,10 +234,11 @@ def repeated_spans(texts: DataFrame, length: int, gap: int) -> DataFrame:
     """(key, a, b): byte ranges whose every byte is covered by a repeated string; ``texts``: key, t, at (samples)."""
     from tabwright.session import cut_lineage
     ctx = cut_lineage(_contexts(texts, length, gap))
-    group = ctx.groupBy("both").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("rep"))
-    ctx2 = ctx.join(group, "both")
+    # written and without the contexts that stand once, so that the join deals both sides and can split a context that many texts share
+    group = cut_lineage(ctx.groupBy("both").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("rep")).where("n > 1"))
+    ctx2 = ctx.join(group, "both", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     twin = ctx2.where("n > 1").select("key", (F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.col("right")).alias("b"))
-    reps = cut_lineage(ctx2.where("key = rep.key and pos = rep.pos").select("key", "pos", "name", "name_l", "left", "right", "n").distinct())
+    reps = cut_lineage(ctx2.where("n = 1 or (key = rep.key and pos = rep.pos)").select("key", "pos", "name", "name_l", "left", "right", "n").distinct())
     # a name that only one representative bears has nothing to be compared with
     shared = reps.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("name")
     reps = cut_lineage(reps.join(shared, "name", "left_semi"))
@@ -261,7 +262,7 @@ def repeated_spans(texts: DataFrame, length: int, gap: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, gap: int = 128) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_kept (bytes that stay) of every row."""
     from tabwright.session import checkpoint_dir, cut_lineage
     if not GRAM + gap < length - gap:
         raise ValueError("gap must stay under half the length")
@@ -294,4 +295,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, gap: int = 128) -> DataFr
     zero = F.lit(0).cast("long")
     return whole.join(done, "key", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
-        F.coalesce("sha", "all").alias("kept_sha256"))
+        F.coalesce("sha", "all").alias("kept_sha256"), (F.col("n_bytes") - F.coalesce("n_removed", zero)).alias("n_kept"))

@@ -21,7 +21,9 @@ def brute(texts, k):
 
 def compare(spark, rows, k, gap):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
-    got = sorted((-1 if r.doc_id is None else r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in remove_repeats(df, k, gap).collect())
+    out = remove_repeats(df, k, gap).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in out)
+    assert all(r.n_kept == r.n_bytes - r.n_removed for r in out)
     want = sorted(zip([-1 if i is None else i for i, _ in rows], brute([t for _, t in rows], k)))
     assert got == want
     return sum(w[1][1] > 0 for w in want)
