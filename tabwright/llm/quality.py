@@ -3,7 +3,8 @@
 Everything is DataFrame functions.  Signals come from one scan; each rule turns them into a vote (good, bad or
 none).  The votes' joint counts are a table of at most 3^8 patterns, whatever the number of documents; EM over
 that table fits, per rule, how often a vote is right on good and on bad documents, and the share of good
-documents.  A document's verdict is the posterior probability that it is good, as one column expression of its
+documents, over the documents that the base rule leaves open: those it rejects need no verdict, and being mostly of one
+kind they would teach the rules that kind of junk alone.  A document's verdict is the posterior probability that it is good, as one column expression of its
 votes, instead of requiring that all rules pass.
 
 Null text counts as empty: no words, every count 0, base_failed.  Repeated rows are judged alike; the other
@@ -75,15 +76,18 @@ def votes() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, tolerance: float = 1e-9) -> tuple[float, list[tuple[float, float]]]:
+def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, tolerance: float = 1e-9,
+          most: float = 0.999) -> tuple[float, list[tuple[float, float]]]:
     """EM over (votes, count) rows: log odds of good, and per rule the log odds that a good / a bad vote adds.
 
-    Accuracies start at 0.8.  On good documents they stay in [0.99, 0.999]: the bad thresholds are wide, and without that
+    The start is a good document that passes every rule and a bad one that fails one of them, whatever the number of
+    documents.  Accuracies on good documents stay in [0.99, 0.999]: the bad thresholds are wide, and without that
     bound a rarer kind of junk is explained as good documents on which one rule errs.  On bad documents, most of
     which fail one rule and pass the others, they may fall to 0.02: a good vote then says next to nothing, a bad
-    vote still counts."""
+    vote still counts.  ``most`` is their upper bound there: at 0.5 a good vote adds 0.7 at most, so that a rule which
+    finds the commonest kind of junk can't clear by its good vote what another rule finds."""
     rules = len(patterns[0][0]) if patterns else 0
-    prior, acc = 0.8, [[0.8, 0.8] for _ in range(rules)]          # right on good documents, right on bad ones
+    prior, acc = 0.8, [[0.99, min(1 / rules, most)] for _ in range(rules)]    # right on good documents, right on bad ones
     odds = lambda: (math.log(prior / (1 - prior)), [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in acc])
     last = None
     for _ in range(rounds):
@@ -98,7 +102,7 @@ def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, tolera
             for c in (0, 1):
                 w = [(p if c == 0 else 1 - p) * n for p, (v, n) in zip(post, patterns) if v[j]]
                 right = [(p if c == 0 else 1 - p) * n for p, (v, n) in zip(post, patterns) if v[j] == (1 if c == 0 else -1)]
-                acc[j][c] = min(0.999, max((0.99, 0.02)[c], (sum(right) + 0.8) / (sum(w) + 1)))
+                acc[j][c] = min((0.999, most)[c], max((0.99, 0.02)[c], (sum(right) + 0.8) / (sum(w) + 1)))
         now = [prior, *[x for a in acc for x in a]]
         if last and max(abs(x - y) for x, y in zip(now, last)) < tolerance:
             break
@@ -113,12 +117,12 @@ def judge(docs: DataFrame, min_words: int = 10, max_repeat_pct: int = 20, thresh
     seen = signals(docs).withColumns({f"_v_{k}": F.when(bad, -1).when(good, 1).otherwise(0) for k, (good, bad) in rules.items()})
     seen = cut_lineage(seen.drop("_n_lines", "_upper", "_letters", "_ends", "_digits"))
     names = [f"_v_{k}" for k in rules]
-    table = seen.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).collect()      # at most 3^8 rows
-    start, per = learn([(tuple(r[c] for c in names), r["n"]) for r in table])
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
+    table = seen.where(~failed).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).collect()      # at most 3^8 rows
+    start, per = learn([(tuple(r[c] for c in names), r["n"]) for r in table], most=0.5)
     z = F.lit(start)
     for c, (good, bad) in zip(names, per):
         z = z + F.when(F.col(c) == 1, F.lit(good)).when(F.col(c) == -1, F.lit(bad)).otherwise(0.0)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     p = 1 / (1 + F.exp(-z))
     return seen.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
                        (~failed & (p >= threshold)).alias("kept"), p.alias("p_good"))

@@ -51,6 +51,17 @@ def test_em_finds_the_planted_accuracies(rnd):
         assert 1 - 0.995 * 2.718281828 ** -good == pytest.approx(a, abs=0.1) and bad < 0 < good
 
 
+@pytest.mark.parametrize("times", [1, 12])
+def test_rejected_share_does_not_hang_on_size(spark, rnd, times):
+    good = [" ".join(w + ("." if k % 9 == 8 else "") for k, w in enumerate(words(rnd, rnd.randint(40, 90)))) for _ in range(170 * times)]
+    loops = [("LOOP OF WORDS IN CAPITALS " * 15).strip() for _ in range(20 * times)]                   # left to the base rule
+    junk = [" ".join(w + ("%#" if k % 3 else ".") for k, w in enumerate(words(rnd, 50))) for _ in range(12 * times)]
+    got = Q.judge(table(spark, [(i, t, "s") for i, t in enumerate([*good, *loops, *junk])])).collect()
+    kept = {r.doc_id for r in got if r.kept}
+    assert kept == set(range(len(good)))
+    assert sum(r.base_failed for r in got) == len(loops)
+
+
 def test_no_python_on_the_executors(spark):
     plan = Q.signals(table(spark, [(1, "a", "s")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
