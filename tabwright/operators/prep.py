@@ -191,20 +191,34 @@ def _yj(x: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def _bc(x: Column, lam: float) -> Column:
-    return (F.pow(x, lam) - 1.0) / lam if abs(lam) > 1e-12 else F.log(x)
+def _power(method: str, x: Column, lam: float, side: int, centre: float) -> Column:
+    """The transform for a fixed λ, up to a linear map that standardising takes out again.
+
+    On a column of one sign the transform is (exp(e·u) − 1)/e of a logarithm u, which drowns in rounding where u is large
+    against its spread (years, ids, prices with an offset); taken about the mean of u it keeps its digits at any λ."""
+    if side == 0:
+        return _yj(x, lam)
+    u = F.log(x) if method == "box-cox" else F.log1p(F.abs(x))
+    e = lam if side > 0 else 2.0 - lam
+    flat = abs(e) <= 1e-12
+    inside = side * (u - F.lit(centre) if flat else F.expm1(e * (u - F.lit(centre))) / e)
+    if method == "box-cox":
+        return inside
+    k = F.lit(-e * centre)
+    beyond = _yj(x, lam) * F.exp(k) + side * (F.lit(-centre) if flat else F.expm1(k) / e)
+    return F.when(x * side >= 0, inside).otherwise(beyond)
 
 
 @dataclass
 class PowerModel(Model):
     method: str
     lambdas: dict
+    centres: dict
     moments: dict
     inputs: list = field(default_factory=list)
 
     def exprs(self, df):
-        f = _yj if self.method == "yeo-johnson" else _bc
-        return {c: (f(_v(c), self.lambdas[c]) - F.lit(self.moments[c][0])) / F.lit(self.moments[c][1])
+        return {c: (_power(self.method, _v(c), self.lambdas[c], *self.centres[c]) - F.lit(self.moments[c][0])) / F.lit(self.moments[c][1])
                 for c in self.inputs}
 
 
@@ -212,9 +226,10 @@ class PowerModel(Model):
 class PowerTransformer:
     """E9 — Yeo-Johnson / Box-Cox, λ by maximum likelihood, then standardised.
 
-    λ search: every pass evaluates a grid of λ for all columns in ONE aggregate
-    (Σψ, Σψ², Σ log-Jacobian per λ); the grid is refined around the best λ
-    for ``passes`` rounds.  Box-Cox needs strictly positive data (raises)."""
+    λ search: every pass evaluates a grid of λ for all open columns in ONE aggregate (one centred variance per λ).  While
+    the best λ lies at an end of its bracket the bracket moves on and widens, so λ has no bounds; then it is refined
+    for ``passes`` rounds.  A column without two different values keeps λ = 1.  Box-Cox needs strictly positive data
+    (raises)."""
     method: str = "yeo-johnson"
     grid: int = 21
     passes: int = 4
@@ -225,44 +240,45 @@ class PowerTransformer:
         columns = list(columns)
         if self.method not in ("yeo-johnson", "box-cox"):
             raise ValueError(self.method)
+        log = (lambda x: F.log(x)) if self.method == "box-cox" else (lambda x: F.signum(x) * F.log1p(F.abs(x)))
+        seen = _wide(df, {f"{k}{i}": f(_v(c)) for i, c in enumerate(columns) for k, f in (
+            ("lo", F.min), ("hi", F.max), ("n", F.count), ("u", lambda x: F.avg(log(x))))})
+        stats = {c: tuple(seen[f"{k}{i}"] for k in ("lo", "hi", "n", "u")) for i, c in enumerate(columns)}
         if self.method == "box-cox":
-            mins = _wide(df, {c: F.min(_v(c)) for c in columns})
-            bad = [c for c in columns if mins[c] is not None and mins[c] <= 0]
+            bad = [c for c in columns if stats[c][0] is not None and stats[c][0] <= 0]
             if bad:
                 raise ValueError(f"box-cox needs strictly positive data: {bad}")
-        f = _yj if self.method == "yeo-johnson" else _bc
-        ranges = {c: (self.lo, self.hi) for c in columns}
-        best = {c: 1.0 for c in columns}
-        for _ in range(self.passes):
-            grids = {c: [lo + (hi - lo) * i / (self.grid - 1) for i in range(self.grid)] for c, (lo, hi) in ranges.items()}
-            aggs = {}
-            for ci, c in enumerate(columns):
-                x = _v(c)
-                jac = (F.signum(x) * F.log1p(F.abs(x))) if self.method == "yeo-johnson" else F.log(x)
-                aggs[f"j{ci}"] = F.sum(jac)
-                aggs[f"n{ci}"] = F.count(x)
-                for gi, lam in enumerate(grids[c]):
-                    t = f(x, lam)
-                    aggs[f"s{ci}_{gi}"] = F.sum(t)
-                    aggs[f"q{ci}_{gi}"] = F.sum(t * t)
-            r = _wide(df, aggs)
-            for ci, c in enumerate(columns):
-                n = r[f"n{ci}"] or 0
-                if n < 2:
-                    continue
-                scores = []
-                for gi, lam in enumerate(grids[c]):
-                    s, q = r[f"s{ci}_{gi}"], r[f"q{ci}_{gi}"]
-                    var = max(q / n - (s / n) ** 2, 1e-300)
-                    scores.append(-n / 2.0 * math.log(var) + (lam - 1.0) * r[f"j{ci}"])
+        best, centres, todo = {c: 1.0 for c in columns}, {c: (0, 0.0) for c in columns}, {}
+        for c, (lo, hi, n, u) in stats.items():
+            if n:
+                side = 1 if self.method == "box-cox" or lo >= 0 else -1 if hi <= 0 else 0
+                centres[c] = (side, side * u)
+                if lo < hi:
+                    todo[c] = (self.lo, self.hi, self.passes)
+        while todo:
+            grids = {c: [lo + (hi - lo) * i / (self.grid - 1) for i in range(self.grid)] for c, (lo, hi, _) in todo.items()}
+            r = _wide(df, {f"v{ci}_{gi}": F.var_pop(_power(self.method, _v(c), lam, *centres[c]))
+                           for ci, c in enumerate(grids) for gi, lam in enumerate(grids[c])})
+            for ci, c in enumerate(grids):
+                (lo, hi, left), grid, (side, _), (_, _, n, u) = todo.pop(c), grids[c], centres[c], stats[c]
+                scores = []                  # per row; on one sign the Jacobian cancels against the centre
+                for gi, lam in enumerate(grid):
+                    v = r[f"v{ci}_{gi}"]
+                    fine = v is not None and math.isfinite(v) and v > 0
+                    scores.append((-0.5 * math.log(v) + ((lam - 1.0) * u if side == 0 else 0.0)) if fine else -math.inf)
                 gi = max(range(len(scores)), key=lambda i: scores[i])
-                best[c] = grids[c][gi]
-                step = grids[c][1] - grids[c][0]
-                ranges[c] = (best[c] - step, best[c] + step)
-        mom = _wide(df, {**{f"{c}__m": F.avg(f(_v(c), best[c])) for c in columns},
-                         **{f"{c}__s": F.stddev_pop(f(_v(c), best[c])) for c in columns}})
+                if scores[gi] == -math.inf:
+                    continue
+                best[c], step, edge = grid[gi], grid[1] - grid[0], gi in (0, self.grid - 1)
+                if edge and left == self.passes:
+                    back, on = (hi - lo) / 2, 2 * (hi - lo)          # half a bracket back, so that it can't end at the other end
+                    todo[c] = (best[c] - on, best[c] + back, left) if gi == 0 else (best[c] - back, best[c] + on, left)
+                elif left > 1:
+                    todo[c] = (best[c] - step, best[c] + step, left - 1)
+        done = {c: _power(self.method, _v(c), best[c], *centres[c]) for c in columns}
+        mom = _wide(df, {**{f"{c}__m": F.avg(e) for c, e in done.items()}, **{f"{c}__s": F.stddev_pop(e) for c, e in done.items()}})
         moments = {c: (mom[f"{c}__m"] or 0.0, mom[f"{c}__s"] or 1.0) for c in columns}
-        return PowerModel(self.method, best, moments, columns)
+        return PowerModel(self.method, best, centres, moments, columns)
 
 
 @dataclass
