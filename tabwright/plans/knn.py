@@ -1,23 +1,29 @@
-"""Exact k-nearest neighbours without all pairs.
-
-Points are ordered along one unit direction u (the first principal axis):
-projection is 1-Lipschitz, so |uᵀa − uᵀb| ≤ ‖a − b‖.  Every point gets a
-distributed global position in that order; a query's candidates are the
-reference points within ±h positions (an equi-join on position, so a hot
-region never lands in one task), its k-th candidate distance is D, and the
-answer is *proved* complete when the projection gaps to the first points
-outside the band exceed D.  Unproved queries repeat with 2h.  Ties in
-distance are broken by key.  Duplicated vectors are handled like any point.
+"""Exact k-nearest neighbours in blocks.
+
+Points are ordered along one unit direction u (the first principal axis): projection is 1-Lipschitz, so
+|uᵀa − uᵀb| ≤ ‖a − b‖.  Runs of ``block`` positions form blocks.  Round 1 scores every block against itself; a query's
+k-th distance D found there bounds its answer.  Round 2 pairs each query with the blocks whose range of projections comes
+within D of its own (where the data have no such gaps, with all of them), block against block, so a task holds two blocks
+whatever the number of rows.  A pair of blocks is scored by one matrix product; only pairs that its rounding can't exclude
+get the exact distance, summed dimension by dimension: the product is in single precision, in double where that excludes
+too little.  Ties in distance are broken by key.  Of equal vectors in a block 2k are enough.  Rows without a whole vector are neither queries nor neighbours.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.plans.ordering import global_row_number
 
+_TILE = 4_000_000                          # distances held at once
+_EXACT = 4_000_000                         # coordinates of exactly compared pairs held at once
+
 
 def _dot(arr_col, vec):
     lit = F.array(*[F.lit(float(x)) for x in vec])
@@ -35,116 +41,156 @@ def _principal_axis(df: DataFrame, vec: str, dim: int) -> np.ndarray:
     return u / (np.linalg.norm(u) or 1.0)
 
 
-def _block_search(banded: DataFrame, cand_side: DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
-    """Round 2 scored block against block: queries are cut into blocks of
-    ``block`` positions, each is paired with the candidate blocks its band
-    touches, and every (query block, candidate block) cogroup — at most
-    ``block`` × ``block`` points — is scored in numpy and keeps its own top k.
-    A final per-query window keeps the k best of those (≤ k per block).
-    Distances are summed dimension by dimension, in the same order as the
-    column expression of round 1."""
-    qt = banded.schema["query"].dataType.simpleString()
-    nt = cand_side.schema["neighbor"].dataType.simpleString()
-    q = banded.select("query", "_qv", ((F.col("_qpos") - 1) / block).cast("long").alias("_qb"),
-                      F.explode(F.sequence(((F.col("_lo") - 1) / block).cast("long"),
-                                           ((F.col("_hi") - 1) / block).cast("long"))).alias("_cb"))
-    pairs = q.select(F.col("_qb").alias("_pqb"), F.col("_cb").alias("_pcb")).distinct()
-    c = (cand_side.select("neighbor", "_cv", ((F.col("_cpos") - 1) / block).cast("long").alias("_ccb"))
-         .join(pairs, F.col("_ccb") == F.col("_pcb"))
-         .select("neighbor", "_cv", F.col("_pqb").alias("_qb"), F.col("_pcb").alias("_cb")))
-
-    def score(qdf, cdf):
-        import pandas as pd
-        if len(qdf) == 0 or len(cdf) == 0:
-            return pd.DataFrame({"query": [], "neighbor": [], "dist": []})
-        Q = np.stack(qdf["_qv"].to_numpy()).astype(float)
-        C = np.stack(cdf["_cv"].to_numpy()).astype(float)
-        acc = np.zeros((len(Q), len(C)))
-        for d in range(Q.shape[1]):
-            diff = Q[:, d][:, None] - C[:, d][None, :]
-            acc += diff * diff
-        dist = np.sqrt(acc)
-        qid = qdf["query"].to_numpy()
-        nid = cdf["neighbor"].to_numpy()
-        if exclude_self:
-            dist[qid[:, None] == nid[None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(nid, dist.shape), dist), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(Q)), order.shape[1])
-        cols = order.ravel()
-        dd = dist[rows, cols]
-        keep = np.isfinite(dd)
-        return pd.DataFrame({"query": qid[rows][keep], "neighbor": nid[cols][keep], "dist": dd[keep]})
-
-    top = (q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb"))
-           .applyInPandas(score, f"query {qt}, neighbor {nt}, dist double"))
-    w = Window.partitionBy("query").orderBy("dist", "neighbor")
-    return top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _matrix(column, dim: int) -> np.ndarray:
+    return np.asarray(pc.list_flatten(column).fill_null(np.nan)).astype(float).reshape(-1, dim)
+
+
+def _few_copies(c: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows of ``c`` (ordered by key) that can be among the k nearest of any query: of equal vectors the first 2k, each
+    key k times at most, so that k are left when a query's own key is passed over."""
+    def place(group):
+        order = np.argsort(group, kind="stable")
+        new = np.r_[True, np.diff(group[order]) != 0] if len(group) else np.zeros(0, bool)
+        at = np.empty(len(group), int)
+        at[order] = np.arange(len(group)) - np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
+        return at
+    same = np.unique(np.ascontiguousarray(c + 0.0).view(f"V{c.shape[1] * 8}").ravel(), return_inverse=True)[1]
+    keep = np.flatnonzero(place(same * (int(ids.max(initial=0)) + 1) + ids) < k)
+    return keep[place(same[keep]) < 2 * k]
+
+
+def _nearest(q: np.ndarray, c: np.ndarray, own: np.ndarray, ids: np.ndarray, limit: np.ndarray, k: int):
+    """(row of q, row of c, distance): the k nearest rows of ``c`` (ordered by key) to each row of ``q``, those within
+    ``limit`` only.  A row of c whose ``ids`` is the query's ``own`` is passed over."""
+    keep = _few_copies(c, ids, k)
+    c, ids = c[keep], ids[keep]
+    middle = c.mean(0) if len(c) else 0.0
+    at, to = q - middle, c - middle
+    qq, cc = (at * at).sum(1), (to * to).sum(1)
+    most = cc.max(initial=0.0)
+    hold = k + int(np.bincount(ids).max(initial=0))                     # so many rows hold k beside any one key
+    step, out = max(1, _TILE // max(1, len(c))), []
+
+    def products(kind):
+        """‖x − c‖² ≤ t as x·c − ‖c‖²/2 ≥ (‖x‖² − t)/2, by one product of rows with one more column each."""
+        return np.c_[at, np.ones(len(at))].astype(kind), np.ascontiguousarray(np.c_[to, cc / -2].T.astype(kind))
+
+    def slack(kind):
+        return 8.0 * (q.shape[1] + 8) * float(np.finfo(kind).eps)
+
+    quick = products(np.float32) if max(most, qq.max(initial=0.0)) < 1e30 else None
+    fine = None
+    for i in range(0, len(q), step):
+        x, part, few = q[i:i + step], slice(i, i + step), False
+        top = limit[part] ** 2 * (1 + 1e-12)
+        if quick is not None and np.isfinite(top).all():
+            near = quick[0][part] @ quick[1] >= ((qq[part] - top - slack(np.float32) * (qq[part] + most)) / 2)[:, None].astype(np.float32)
+            few = np.count_nonzero(near) <= 16 * k * len(x)
+        if not few:
+            fine = fine or products(float)
+            score = fine[0][part] @ fine[1]
+            loose = slack(float) * (qq[part] + most)
+            least = (qq[part] - top - loose) / 2
+            near = score >= least[:, None]
+            if np.count_nonzero(near) > 16 * k * len(x) and len(c) > hold:
+                least = np.maximum(least, np.partition(score, len(c) - hold, axis=1)[:, len(c) - hold] - loose)
+                near = score >= least[:, None]
+        row, col = np.divmod(np.flatnonzero(near), max(1, len(c)))
+        other = own[i + row] != ids[col]
+        row, col = row[other], col[other]
+        dist = np.empty(len(row))
+        for j in range(0, len(row), some := max(1, _EXACT // q.shape[1])):
+            gap = x[row[j:j + some]] - c[col[j:j + some]]
+            acc = np.zeros(len(gap))
+            for d in range(gap.shape[1]):
+                acc += gap[:, d] * gap[:, d]
+            dist[j:j + some] = np.sqrt(acc)
+        order = np.lexsort((col, dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        first = np.searchsorted(row, np.arange(len(x)))
+        best = np.flatnonzero(np.arange(len(row)) - first[row] < k) if len(row) else np.zeros(0, int)
+        out.append((i + row[best], keep[col[best]], dist[best]))
+    return [np.concatenate([o[j] for o in out]) if out else np.zeros(0, int) for j in range(3)]
+
+
+def _score(q: pa.Table, c: pa.Table, dim: int, k: int, exclude_self: bool, limit: np.ndarray):
+    """:func:`_nearest` of two tables (id, v); rows of ``c`` in the order of their ids."""
+    order = pc.sort_indices(c.column("id"), null_placement="at_start")
+    both = pa.chunked_array(q.column("id").chunks + c.column("id").take(order).chunks, c.schema.field("id").type)
+    codes = np.asarray(pc.fill_null(pc.rank(both, tiebreaker="dense"), 0)).astype(int) if len(both) else np.zeros(0, int)
+    own = codes[:q.num_rows] if exclude_self else np.full(q.num_rows, -1)
+    row, col, dist = _nearest(_matrix(q.column("v"), dim), _matrix(c.column("v"), dim)[np.asarray(order)], own,
+                              codes[q.num_rows:], limit, k)
+    return row, np.asarray(order)[col] if len(col) else col, dist
 
 
 def knn(reference: DataFrame, queries: DataFrame, key: str, vec: str, k: int = 5, h0: int = 32,
-        exclude_self: bool = False, sample_size: int = 1000, block: int = 256) -> DataFrame:
+        exclude_self: bool = False, sample_size: int = 1000, block: int | None = None) -> DataFrame:
     """(query, neighbor, dist, rank) — the exact k nearest reference points of
     every query (Euclidean on the ``vec`` array column).
 
-    Round 1 searches ±h0 positions and proves most queries complete.  For the
-    others, the k-th distance D of round 1 bounds the answer: a bounded,
-    position-ordered sample of projections (≤ ``sample_size`` values) gives
-    for each query a band [L, R] that provably contains every point with
-    |uᵀx − uᵀq| ≤ D, and round 2 searches exactly that band — two rounds,
-    exact, no all-pairs step except where the data leave no other choice."""
+    A block has ``block`` positions (by default as many as make four blocks a task, at most 4 million coordinates),
+    at least 2 · ``h0`` + 1 and never so few that there are more than ``sample_size`` blocks of a million rows.  To the
+    driver comes one row per block."""
     from tabwright.session import cut_lineage
-    dim = len(reference.select(vec).first()[0])
+    spark = reference.sparkSession
+    name = "`" + key.replace("`", "``") + "`"
+    out = f"query {queries.select(name).schema[0].dataType.simpleString()}, neighbor {reference.select(name).schema[0].dataType.simpleString()}, dist double"
+    first = reference.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v")).first()
+    if first is None:
+        return spark.createDataFrame([], out + ", rank int")
+    dim = len(first["v"])
     u = _principal_axis(reference, vec, dim)
-    ref = reference.select(F.col(key).alias("_id"), F.col(vec).cast("array<double>").alias("_v"), F.lit(1).alias("_is_ref"))
+    full = (F.size(F.col(vec)) == dim) & F.forall(F.col(vec), lambda x: x.isNotNull() & ~F.isnan(x))
+    whole = lambda d: d.where(full).where(F.col(key).isNotNull() if exclude_self or d is queries else F.lit(True))
+    ref = whole(reference).select(F.col(key).alias("id"), F.col(vec).alias("v"), F.lit(1).alias("_is_ref"))
     if queries is reference:
         pts = ref.withColumn("_is_q", F.lit(1))
     else:
-        qry = queries.select(F.col(key).alias("_id"), F.col(vec).cast("array<double>").alias("_v"), F.lit(0).alias("_is_ref"))
-        pts = ref.unionByName(qry).withColumn("_is_q", 1 - F.col("_is_ref"))
-    pts = pts.withColumn("_p", _dot(F.col("_v"), u))
-    pos = global_row_number(pts, ["_p", "_is_ref", "_id"], "_pos").select("_id", "_v", "_p", "_pos", "_is_ref", "_is_q")
-    cand_side = pos.where(F.col("_is_ref") == 1).select(F.col("_pos").alias("_cpos"), F.col("_id").alias("neighbor"),
-                                                         F.col("_v").alias("_cv"))
-    todo = pos.where(F.col("_is_q") == 1).select(F.col("_id").alias("query"), F.col("_v").alias("_qv"),
-                                                  F.col("_p").alias("_qp"), F.col("_pos").alias("_qpos"))
-    dist = F.sqrt(F.aggregate(F.zip_with("_qv", "_cv", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                              lambda acc, x: acc + x))
-
-    def search(frame, lo, hi):
-        c = frame.select("*", F.explode(F.sequence(lo, hi)).alias("_cpos")).join(cand_side, "_cpos")
-        if exclude_self:
-            c = c.where(F.col("neighbor") != F.col("query"))
-        c = c.select("query", "neighbor", dist.alias("dist"), "_qp", "_qpos")
-        w = Window.partitionBy("query").orderBy("dist", "neighbor")
-        return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    # round 1: fixed band, proof by the projection gaps just outside it
-    top = cut_lineage(search(todo, F.col("_qpos") - h0, F.col("_qpos") + h0))
-    kth = top.groupBy("query", "_qp", "_qpos").agg(F.max("dist").alias("_D"), F.count(F.lit(1)).alias("_m"))
-    edge = pos.select(F.col("_pos").alias("_epos"), F.col("_p").alias("_ep"))
-    chk = (kth.withColumn("_lpos", F.col("_qpos") - h0 - 1).withColumn("_hpos", F.col("_qpos") + h0 + 1)
-           .join(edge.withColumnRenamed("_epos", "_lpos").withColumnRenamed("_ep", "_lp"), "_lpos", "left")
-           .join(edge.withColumnRenamed("_epos", "_hpos").withColumnRenamed("_ep", "_hp"), "_hpos", "left"))
-    gap = F.least(F.coalesce(F.col("_qp") - F.col("_lp"), F.lit(float("inf"))),
-                  F.coalesce(F.col("_hp") - F.col("_qp"), F.lit(float("inf"))))
-    everything = F.col("_lp").isNull() & F.col("_hp").isNull()
-    ok = cut_lineage(chk.select("query", F.when(F.col("_m") >= k, F.col("_D")).alias("_D"),
-                                (everything | ((F.col("_m") >= k) & (gap > F.col("_D")))).alias("_ok")))
-    done = top.join(ok.where("_ok").select("query"), "query", "left_semi").select("query", "neighbor", "dist", "rank")
-    rest = todo.join(ok.where(~F.col("_ok")).select("query", "_D"), "query")
-    if rest.limit(1).count() == 0:
-        return done
-    # round 2: band from a bounded sample of (projection, position), sorted
-    n = pos.agg(F.max("_pos")).first()[0]
-    step = max(1, n // sample_size)
-    smp = pos.where(((F.col("_pos") - 1) % step == 0) | (F.col("_pos") == n)).select("_p", "_pos").orderBy("_pos").collect()
-    arr = F.array(*[F.struct(F.lit(float(r["_p"])).alias("p"), F.lit(int(r["_pos"])).alias("pos")) for r in smp])
-    D = F.coalesce(F.col("_D"), F.lit(float("inf")))
-    left = F.array_max(F.transform(F.filter(arr, lambda x: x["p"] < F.col("_qp") - D), lambda x: x["pos"]))
-    right = F.array_min(F.transform(F.filter(arr, lambda x: x["p"] > F.col("_qp") + D), lambda x: x["pos"]))
-    banded = rest.withColumn("_lo", F.coalesce(left, F.lit(1))).withColumn("_hi", F.coalesce(right, F.lit(n)))
-    more = _block_search(banded, cand_side, k, exclude_self, block).select("query", "neighbor", "dist", "rank")
-    return done.unionByName(more)
+        pts = ref.unionByName(whole(queries).select(F.col(key).alias("id"), F.col(vec).alias("v"), F.lit(0).alias("_is_ref")))
+        pts = pts.withColumn("_is_q", 1 - F.col("_is_ref"))
+    pts = pts.withColumn("p", _dot(F.col("v").cast("array<double>"), u))
+    pos = global_row_number(pts, ["p", "_is_ref", "id"], "_pos")
+    n = pos.count()
+    if block is None:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        most = max(256, min(8192, 4_000_000 // max(1, dim)))
+        block = min(most, max(256, math.ceil(n / max(1.0, 2 * math.sqrt(tasks)))))
+    block = max(block, 2 * h0 + 1, math.ceil(min(n, 1_000_000) / sample_size))
+    pos = pos.withColumn("b", ((F.col("_pos") - 1) / block).cast("int"))
+    refs = pos.where("_is_ref = 1")
+    elem = pos.schema["v"].dataType.simpleString()
+    kt = pos.schema["id"].dataType.simpleString()
+
+    # round 1: each block against itself bounds its queries' k-th distance
+    def bound(points):
+        q, c = points.filter(pc.equal(points.column("_is_q"), 1)), points.filter(pc.equal(points.column("_is_ref"), 1))
+        got = np.full(q.num_rows, np.inf)
+        if q.num_rows and c.num_rows:
+            row, _, dist = _score(q, c, dim, k, exclude_self, got)
+            count = np.bincount(row, minlength=q.num_rows)
+            last = np.cumsum(count) - 1
+            got = np.where(count >= k, dist[np.maximum(last, 0)] if len(dist) else np.inf, np.inf)
+        return q.select(["id", "v", "b", "p"]).append_column("d", pa.array(got, pa.float64()))
+    bounded = cut_lineage(pos.groupBy("b").applyInArrow(bound, f"id {kt}, v {elem}, b int, p double, d double"))
+
+    # round 2: every block that may hold something as near
+    ranges = refs.groupBy("b").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).orderBy("b").collect()
+    spans = F.array(*[F.struct(F.lit(r["b"]).alias("b"), F.lit(float(r["lo"])).alias("lo"), F.lit(float(r["hi"])).alias("hi")) for r in ranges])
+    reach = F.col("d") + 1e-9 * (F.col("d") + F.abs("p")) + 1e-300
+    meets = F.filter(spans, lambda s: (s["lo"] - F.col("p") <= reach) & (F.col("p") - s["hi"] <= reach))
+    parted = bounded.select("id", "v", "d", F.col("b").alias("qb"), F.explode(F.transform(meets, lambda s: s["b"])).alias("cb"))
+    pairs = cut_lineage(bounded.select(F.col("b").alias("qb"), F.explode(F.transform(meets, lambda s: s["b"])).alias("cb")).distinct())
+    cands = refs.select("id", "v", F.col("b").alias("cb")).join(pairs, "cb").select("id", "v", "qb", "cb")
+
+    def score(q, c):
+        if not (q.num_rows and c.num_rows):
+            return pa.table({"query": q.column("id").slice(0, 0), "neighbor": c.column("id").slice(0, 0), "dist": pa.array([], pa.float64())})
+        row, col, dist = _score(q, c, dim, k, exclude_self, np.asarray(q.column("d")))
+        return pa.table({"query": q.column("id").take(pa.array(row)), "neighbor": c.column("id").take(pa.array(col)), "dist": pa.array(dist)})
+    top = parted.groupBy("qb", "cb").cogroup(cands.groupBy("qb", "cb")).applyInArrow(score, out)
+    w = Window.partitionBy("query").orderBy("dist", "neighbor")
+    return top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_self(df: DataFrame, key: str, vec: str, k: int = 5, **kw) -> DataFrame:
