@@ -259,11 +259,10 @@ def _coalition_rows(df: DataFrame, key: str, features, background: DataFrame, n_
 
     For every explained row and sample m: one background row z (hash of
     (key, m) onto a dense background index — an equi-join, no product) and
-    one random feature order (hash rank per (key, m, feature)).  For every
-    feature j two rows are emitted: ``x+j`` takes from x the features ranked
-    before j and j itself, ``x−j`` only those before j; the rest come from z.
-    Along one order the contributions telescope, so per sample they add up
-    to f(x) − f(z) exactly."""
+    one random feature order (hash rank per (key, m, feature)), in one row:
+    ``_tw_x_`` and ``_tw_z_`` hold the values, ``_tw_r_`` each feature's place
+    (from 0).  Along one order the contributions telescope, so per sample they
+    add up to f(x) − f(z) exactly."""
     from tabwright.plans.ordering import global_row_number
     feats = list(features)
     keys = _row_keys(key)
@@ -279,18 +278,29 @@ def _coalition_rows(df: DataFrame, key: str, features, background: DataFrame, n_
     rows = rows.withColumn("_tw_m", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     rows = rows.withColumn("_tw_bi", F.pmod(F.xxhash64(*kc, F.col("_tw_m"), F.lit(seed)), F.lit(n_bg)) + 1)
     pairs = rows.join(bg, "_tw_bi")
-    for i, c in enumerate(feats):
-        pairs = pairs.withColumn(f"_tw_r_{c}", F.struct(F.xxhash64(*kc, F.col("_tw_m"), F.lit(seed), F.lit(c)),
-                                                        F.lit(i)))
-    design = F.array(*[F.struct(F.lit(j).alias("f"), F.lit(s).alias("side")) for j in feats for s in (1, 0)])
-    ex = pairs.withColumn("_tw_d", F.explode(design))
-    out = [*kc, *[F.col(k) for k in keep], F.col("_tw_m"), F.col("_tw_d.f").alias("_tw_feature"),
-           F.col("_tw_d.side").alias("_tw_side")]
-    for c in feats:
-        rank_j = F.coalesce(*[F.when(F.col("_tw_d.f") == j, F.col(f"_tw_r_{j}")) for j in feats])
-        take_x = (F.col(f"_tw_r_{c}") < rank_j) | ((F.col("_tw_d.f") == c) & (F.col("_tw_d.side") == 1))
-        out.append(F.when(take_x, F.col(f"_tw_x_{c}")).otherwise(F.col(f"_tw_z_{c}")).alias(c))
-    return ex.select(*out)
+    ranks = {c: F.struct(F.xxhash64(*kc, F.col("_tw_m"), F.lit(seed), F.lit(c)), F.lit(i)) for i, c in enumerate(feats)}
+    place = [sum(((ranks[o] < ranks[c]).cast("int") for o in feats if o != c), F.lit(0)).alias(f"_tw_r_{c}") for c in feats]
+    return pairs.select(*keys, *keep, "_tw_m", *[f"_tw_{s}_{c}" for c in feats for s in "xz"], *place)
+
+
+def _prefix_predictions(design: DataFrame, features, predict) -> DataFrame:
+    """``design`` with ``_tw_p0`` … ``_tw_p<n>``: the prediction when the first j features of the row's order come from
+    the explained row and the rest from the background.  A row keeps all of its predictions: nothing is regrouped."""
+    feats = list(features)
+    for j in range(len(feats) + 1):
+        now = design.withColumns({c: F.when(F.col(f"_tw_r_{c}") < j, F.col(f"_tw_x_{c}")).otherwise(F.col(f"_tw_z_{c}")) for c in feats})
+        design = predict(now).withColumnRenamed("prediction", f"_tw_p{j}")
+    return design
+
+
+def _at_place(c: str, n: int, value):
+    """``value(j)`` for the place j that feature ``c`` has in the row's order."""
+    return F.coalesce(*[F.when(F.col(f"_tw_r_{c}") == j, value(j)) for j in range(n)])
+
+
+def _difference(a, b):
+    """a − b; of a null and a value, the value counts."""
+    return F.coalesce(a - b, a, -b)
 
 
 def sampled_shap(df: DataFrame, key: str, features, predict, background: DataFrame | None = None,
@@ -298,14 +308,15 @@ def sampled_shap(df: DataFrame, key: str, features, predict, background: DataFra
     """I4 (any model) — ``key`` is a column or a list of columns; rows that share
     a key get a row of values each.  Permutation-sampling Shapley values with a marginal
     (background) imputer.  ``predict`` maps a frame with the feature columns
-    to a frame with ``prediction``; all rows × samples × features × 2 are
-    scored in one job and folded back with ONE groupBy on the key."""
+    to a frame with ``prediction`` beside its other columns; all rows ×
+    samples are scored in one job, the features + 1 coalitions of an order one
+    after the other in the same row, and folded back with ONE groupBy on the key."""
     feats = list(features)
     design = _coalition_rows(df, key, feats, df if background is None else background, n_samples, seed)
-    scored = predict(design)
-    signed = F.when(F.col("_tw_side") == 1, F.col("prediction")).otherwise(-F.col("prediction"))
-    return scored.groupBy(*_row_keys(key)).agg(*[(F.sum(F.when(F.col("_tw_feature") == c, signed)) / F.lit(float(n_samples)))
-                                     .alias(f"phi_{c}") for c in feats]).drop(_COPY)
+    scored = _prefix_predictions(design, feats, predict)
+    gain = lambda j: _difference(F.col(f"_tw_p{j + 1}"), F.col(f"_tw_p{j}"))
+    return scored.groupBy(*_row_keys(key)).agg(*[(F.sum(_at_place(c, len(feats), gain)) / F.lit(float(n_samples))).alias(f"phi_{c}")
+                                                 for c in feats]).drop(_COPY)
 
 
 def sage(df: DataFrame, key: str, features, target: str, predict, background: DataFrame | None = None,
@@ -316,16 +327,18 @@ def sage(df: DataFrame, key: str, features, target: str, predict, background: Da
     feats = list(features)
     design = _coalition_rows(df, key, feats, df if background is None else background, n_samples, seed,
                              keep=[target])
-    scored = predict(design)
+    scored = _prefix_predictions(design, feats, predict)
     y = F.col(target).cast("double")
-    if loss == "mse":
-        ls = (y - F.col("prediction")) * (y - F.col("prediction"))
-    elif loss == "mae":
-        ls = F.abs(y - F.col("prediction"))
-    else:
+    if loss not in ("mse", "mae"):
         raise ValueError(f"unknown loss {loss}")
-    per = scored.groupBy(*_row_keys(key), "_tw_m", "_tw_feature").agg(
-        F.sum(F.when(F.col("_tw_side") == 0, ls).otherwise(-ls)).alias("_tw_gain"))
+
+    def off(j):
+        gap = y - F.col(f"_tw_p{j}")
+        return gap * gap if loss == "mse" else F.abs(gap)
+    # a row per feature is summed up where it is made
+    gains = [F.struct(F.lit(c).alias("_tw_feature"), _at_place(c, len(feats), lambda j: _difference(off(j), off(j + 1))).alias("_tw_gain"))
+             for c in feats]
+    per = scored.select(F.inline(F.array(*gains)))
     out = per.groupBy(F.col("_tw_feature").alias("feature")).agg(
         F.avg("_tw_gain").alias("sage_value"),
         (F.stddev_samp("_tw_gain") / F.sqrt(F.count(F.lit(1)))).alias("std_error"))
