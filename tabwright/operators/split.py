@@ -48,6 +48,12 @@ def _kfold_of_position(pos, n, k):
     return F.when(p0 < big, F.floor(p0 / (q + 1))).otherwise(r + F.floor((p0 - big) / max(q, 1))).cast("int")
 
 
+def _row_sized(folds: DataFrame) -> DataFrame:
+    """A table with a row per input row, joined by a shuffle, each task holding its share of it: Spark judges it by the
+    compressed file that its key comes from, far too small, and would send every key through the driver to all executors."""
+    return folds.hint("shuffle_hash")
+
+
 def kfold(df: DataFrame, key: str, n_splits: int = 5, shuffle: bool = True, seed: int = 42) -> DataFrame:
     """C1 — (key, fold): contiguous blocks of the (hash-shuffled) key order."""
     B.require_key(df, key)
@@ -57,7 +63,7 @@ def kfold(df: DataFrame, key: str, n_splits: int = 5, shuffle: bool = True, seed
     if n < n_splits:
         raise ValueError(f"cannot split {n} rows into {n_splits} folds")
     pos = _positions(df.select(key), key, _order(key, shuffle, seed))
-    return pos.select(key, _kfold_of_position(F.col("_tw_pos"), n, n_splits).alias("fold"))
+    return _row_sized(pos.select(key, _kfold_of_position(F.col("_tw_pos"), n, n_splits).alias("fold")))
 
 
 def stratified_kfold(df: DataFrame, key: str, label: str, n_splits: int = 5, shuffle: bool = True,
@@ -69,8 +75,8 @@ def stratified_kfold(df: DataFrame, key: str, label: str, n_splits: int = 5, shu
     base = df.select(key, F.col(label).cast("string").alias("_tw_y"))
     pos = _positions(base, key, [F.col("_tw_y")] + _order(key, shuffle, seed))
     start = pos.groupBy("_tw_y").agg(F.min("_tw_pos").alias("_tw_start"))
-    return (pos.join(F.broadcast(start), "_tw_y")
-            .select(key, F.pmod(F.col("_tw_pos") - F.col("_tw_start"), F.lit(n_splits)).cast("int").alias("fold")))
+    return _row_sized(pos.join(F.broadcast(start), "_tw_y")
+                      .select(key, F.pmod(F.col("_tw_pos") - F.col("_tw_start"), F.lit(n_splits)).cast("int").alias("fold")))
 
 
 def _greedy_deal(sizes, n_splits: int):

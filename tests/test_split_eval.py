@@ -116,3 +116,12 @@ def test_leave_p_out_all_combinations(spark):
             assert sorted(map(tuple, out.collect())) == sorted((i, x) for i, combo in enumerate(itertools.combinations(items, p)) for x in combo)
     assert S.leave_p_out(df.limit(1), "id", 2).count() == 0
     assert S.leave_p_out(spark.range(2100), "id", 2).count() == 2100 * 2099       # more than two million splits
+
+
+@pytest.mark.parametrize("make", [lambda df: S.kfold(df, "id", 5), lambda df: S.stratified_kfold(df, "id", "y", 5)])
+def test_fold_tables_are_not_sent_through_the_driver(spark, make):
+    df = _ids(spark)
+    joined = df.join(make(df).withColumnRenamed("fold", "part"), "id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin [id" not in plan
+    assert joined.count() == 100
