@@ -125,3 +125,25 @@ def test_fold_tables_are_not_sent_through_the_driver(spark, make):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "BroadcastHashJoin [id" not in plan
     assert joined.count() == 100
+
+
+def test_fold_scores_are_computed_once_and_right(spark):
+    from tabwright.plans.cv import fold_ols_scores
+    rnd = random.Random(5)
+    rows = [(i % 4, rnd.random() if i % 7 else None, rnd.random(), rnd.random() if i % 11 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "fold int, a double, b double, y double")
+    out = fold_ols_scores(df, "fold", ["a", "b"], "y")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    got = {(r["model"], r["split_id"]): (r["score"], r["r2"], r["n_test"]) for r in out.collect()}
+    want = {}
+    for m, j in (("a", 1), ("b", 2)):
+        ok = [(r[0], r[j], r[3]) for r in rows if r[j] is not None and r[3] is not None]
+        for k in range(4):
+            x, y = np.array([r[1:] for r in ok if r[0] != k]).T
+            b, a = np.polyfit(x, y, 1)
+            x, y = np.array([r[1:] for r in ok if r[0] == k]).T
+            e = y - (a + b * x)
+            want[m, k] = (np.sqrt((e * e).mean()), 1 - (e * e).sum() / ((y - y.mean()) ** 2).sum(), len(x))
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
