@@ -121,3 +121,19 @@ def test_parego_suggest_shares_one_gram(spark):
     assert all(r["b"] > 0 for r in got)
     first = G.parego_suggest(df, cands, ["a", "b"], {"y": "max", "z": "min"}, weights=[{"y": 0.0, "z": 1.0}]).first()
     assert abs(first["a"]) < 0.6
+
+
+def test_parego_select_keeps_a_few_candidates_a_task(spark, monkeypatch):
+    rng = np.random.RandomState(4)
+    v = np.round(rng.rand(400, 2), 2)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "k long, p double, q double")
+    weights = [{"p": 0.5, "q": 0.5}, {"p": 0.5, "q": 0.5}, {"p": 0.9, "q": 0.1}]
+    monkeypatch.setattr(G, "Window", None)                  # a window would sort every candidate of every weight
+    got = [(r["weight_no"], r["k"]) for r in G.parego_select(df, {"p": "min", "q": "max"}, {"p": (0, 1), "q": (0, 1)}, weights, "k").orderBy("weight_no").collect()]
+    want, taken = [], set()
+    for no, w in enumerate(weights):
+        f = [(w["p"] * r[0], w["q"] * (1.0 - r[1])) for r in v]
+        best = min((max(x) + 0.05 * sum(x), i) for i, x in enumerate(f) if i not in taken)[1]
+        taken.add(best)
+        want.append((no + 1, best))
+    assert got == want
