@@ -59,3 +59,34 @@ def test_other_table_indicator_and_empty(spark):
         assert [got[i][f"missingindicator_{c}"] for c in COLS] == [float(x is None) for x in clean[i]]
     assert model.transform(make([])).collect() == []
     assert [r.a for r in KnnImputer().fit(make([]), COLS).transform(make([[None, 1.0, 2.0, 3.0]])).collect()] == [None]
+
+
+def test_a_query_looks_into_few_boxes():
+    import numpy as np
+    from tabwright.plans.knn_impute import _Boxes
+    rnd = np.random.RandomState(1)
+    x = np.c_[rnd.lognormal(5, 2, 20_000), rnd.randint(0, 5, 20_000) * 10.0]
+    tree = _Boxes.of(x[::10], 10)                                   # cuts from a tenth of the donors
+    leaf = tree.first[tree.around(x)]
+    some = [x[leaf == i] for i in range(leaf.max() + 1)]
+    assert max(map(len, some)) < 600
+    tree.fill(np.arange(len(some)), np.array([s.min(0) for s in some]), np.array([s.max(0) for s in some]), np.array([len(s) for s in some]))
+    limit = np.full(300, 4.0)
+    asked = [(r, i) for rows, i in tree.within(x[:300], limit) for r in rows]
+    assert len(asked) < 300 * 5                                      # of some 200 boxes; rings around 256 pivots took one per pivot
+    for r in range(300):
+        near = np.flatnonzero(((x - x[r]) ** 2).sum(1) <= 4.0)
+        assert {(r, i) for i in leaf[near]} <= set(asked)
+    node = tree.around(np.array([[-1e9, 1e9]]), 700)                 # the lowest node that holds that many
+    assert tree.n[node[0]] >= 700
+
+
+def test_a_box_that_many_ask_for(spark, monkeypatch):
+    from tabwright.plans import knn_impute
+    monkeypatch.setattr(knn_impute, "QUERIES", 16)
+    rnd = random.Random(3)
+    rows = [[rnd.choice([1.0, 2.0]), None, rnd.random(), rnd.random()] for _ in range(150)] + [[1.0, rnd.random(), None, None] for _ in range(40)]
+    df = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)], SCHEMA).repartition(3)
+    got = {r.id: r for r in KnnImputer(3).fit(df, COLS).transform(df).collect()}
+    for i, want in enumerate(plain(rows, rows, 3)):
+        assert all(math.isclose(got[i][c], w, rel_tol=1e-9, abs_tol=1e-9) for c, w in zip(COLS, want))
