@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tabwright.functions.scalar import cap_polymer, has_polymer_marker, ionisation_state, spin_arguments
 from tabwright.plans.ordering import global_row_number
+from tabwright.session import cut_lineage, release
 
 T_REF = 298.15
 
@@ -184,41 +185,131 @@ def exact_duplicate_groups(sets: DataFrame, key: str) -> DataFrame:
     return s.join(reps, "_tw_sorted").select(key, "rep")
 
 
+_COORDS, _BEFORE, _CELL = 64, 8, 512
+
+
+def _meeting_rows(threshold: float, unique: int):
+    """Rows (rank, sid, n, pos, vec, before) of the prefix tokens of each set that others have too: its size, the token's
+    place, the set as counts of tokens in 64 groups and the eight prefix tokens ahead of this one."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            off, flat = b.column("r").offsets.to_numpy(), b.column("r").values.to_numpy()
+            out = [[], [], [], [], [], []]
+            for sid, i, j in zip(b.column("sid").to_pylist(), off[:-1], off[1:]):
+                r, n = flat[i:j], int(j - i)
+                first, last = int(np.searchsorted(r, unique)), n - math.ceil(threshold * n - 1e-9) + 1
+                if first >= last:
+                    continue
+                c = np.bincount(r % _COORDS, minlength=_COORDS)
+                vec = (c if c.max() <= 255 else np.full(_COORDS, 255)).astype(np.uint8).tobytes()   # all 255 rules nothing out
+                pos = np.arange(first, last)
+                ahead = np.concatenate([np.full(_BEFORE, -1), r[first:last]]).astype(np.int64)
+                ahead = np.lib.stride_tricks.sliding_window_view(ahead, _BEFORE)[:-1]
+                for col, val in zip(out, (r[first:last], np.full(len(pos), sid), np.full(len(pos), n), pos + 1,
+                                          [vec] * len(pos), [x.tobytes() for x in ahead])):
+                    col.append(val)
+            if out[0]:
+                yield pa.record_batch([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])),
+                                       pa.array(np.concatenate(out[2]).astype(np.int32)), pa.array(np.concatenate(out[3]).astype(np.int32)),
+                                       pa.array([x for v in out[4] for x in v], pa.binary()), pa.array([x for v in out[5] for x in v], pa.binary())],
+                                      ["rank", "sid", "n", "pos", "vec", "before"])
+    return run
+
+
+def _may_reach(threshold: float):
+    """Of pairs that meet in a token, those that can reach the threshold by their group counts, at the first token they share."""
+    import numpy as np
+    import pyarrow as pa
+    rows = lambda col, kind: np.frombuffer(b"".join(col.to_pylist()), kind).reshape(len(col), -1)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            most = np.minimum(rows(b.column("va"), np.uint8), rows(b.column("vb"), np.uint8)).sum(1, dtype=np.int64)
+            n = b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()
+            ok = ((1 + threshold) * most >= threshold * n - 1e-6) | (most >= 255 * _COORDS)
+            at = np.flatnonzero(ok)
+            x, y = (rows(b.column(c).take(pa.array(at)), np.int64) if len(at) else np.zeros((0, _BEFORE)) for c in ("ba", "bb"))
+            again = np.zeros(len(at), bool)                                  # met at an earlier token already
+            for i in range(_BEFORE):
+                again |= ((x[:, i, None] == y) & (y >= 0)).any(1)
+            at = pa.array(at[~again])
+            yield pa.record_batch([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
+    return run
+
+
+def _verified_pairs(cand: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs that reach the threshold.  Sets are dealt into cells by size, and a set goes to a pair of
+    cells once, however many of its pairs lie there."""
+    import numpy as np
+    import pyarrow as pa
+    sets = sets.withColumn("k", F.floor(F.log(F.size("r").cast("double")) / math.log(1.25)).cast("int"))
+    many = sets.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / _CELL).cast("int").alias("cells"))               # a row per size class
+    cell = sets.join(F.broadcast(many), "k").select("sid", (F.col("k") * (1 << 24) + F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")).alias("cell"), "r")
+    where = cell.select("sid", "cell")
+    pairs = (cand.join(where.withColumnsRenamed({"sid": "a", "cell": "ca"}), "a").join(where.withColumnsRenamed({"sid": "b", "cell": "cb"}), "b"))
+    pairs = cut_lineage(pairs)
+    need = pairs.select(F.col("ca").alias("x"), F.col("cb").alias("y"), F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sent = need.join(sets.select("sid", "r"), "sid")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = right.column("r").combine_chunks()
+        off, flat = r.offsets.to_numpy(), r.values.to_numpy()
+        of = {s: flat[i:j] for s, i, j in zip(right.column("sid").to_pylist(), off[:-1], off[1:])}
+        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+        sim = np.zeros(len(a))
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            x, y = of[x], of[y]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            sim[i] = both / (len(x) + len(y) - both)
+        ok = sim >= threshold
+        return pa.table([pa.array(a[ok]), pa.array(b[ok]), pa.array(sim[ok])], ["a", "b", "jaccard"])
+    return pairs.groupBy("ca", "cb").cogroup(sent.groupBy("x", "y")).applyInArrow(compare, "a long, b long, jaccard double")
+
+
 def jaccard_threshold_pairs(sets: DataFrame, key: str, threshold: float) -> DataFrame:
     """J7 — exact pairs of *distinct* token sets with Jaccard ≥ threshold
     (Tanimoto on sets), id_a < id_b over set representatives.
 
     Prefix filtering: tokens are ordered globally from rare to frequent; two
     sets with J ≥ τ must share a token among each one's first
-    |s| − ⌈τ|s|⌉ + 1 tokens.  Candidates are generated only on shared prefix
-    tokens (rare tokens, so no hot key is expanded), filtered by the size
-    bound τ|a| ≤ |b| ≤ |a|/τ, de-duplicated with a map-side combined
-    ``groupBy`` and verified on the whole sets.  Exact copies are collapsed
-    first (see :func:`exact_duplicate_groups`), so a group of copies never
-    produces all its pairs."""
+    |s| − ⌈τ|s|⌉ + 1 tokens.  Sets meet in shared prefix tokens and are judged
+    there, before anything is shuffled: by the size bound τ|a| ≤ |b| ≤ |a|/τ, by
+    the place of the token in both, by counts of tokens in 64 groups, whose summed
+    minima bound the overlap, and by whether they met at an earlier token.  What is
+    left goes to the sets themselves, a set once per pair of cells.  Exact copies are collapsed
+    first, so a group of copies never produces all its pairs.  Tokens are told apart by 64-bit hashes."""
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
-    reps = exact_duplicate_groups(sets, key)
-    uniq = sets.join(reps.where(F.col(key) == F.col("rep")).select(key), key)
-    uniq = uniq.where(F.size("tokens") > 0)
-    freq = uniq.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("_f"))
-    order = global_row_number(freq, ["_f", "tok"], "_tw_rank").select("tok", "_tw_rank")
-    ex = uniq.select(key, F.explode("tokens").alias("tok"), F.size("tokens").alias("_n")).join(order, "tok")
-    w = Window.partitionBy(key).orderBy("_tw_rank")
-    ex = ex.withColumn("_tw_pos", F.row_number().over(w))
-    plen = F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n")) + 1
-    pref = ex.where(F.col("_tw_pos") <= plen).select(key, "_tw_rank", "_n")
-    a = pref.select(F.col(key).alias("id_a"), "_tw_rank", F.col("_n").alias("_na"))
-    b = pref.select(F.col(key).alias("id_b"), "_tw_rank", F.col("_n").alias("_nb"))
-    cand = (a.join(b, "_tw_rank").where(F.col("id_a") < F.col("id_b"))
-            .where((F.col("_nb") >= F.lit(threshold) * F.col("_na")) & (F.col("_na") >= F.lit(threshold) * F.col("_nb")))
-            .groupBy("id_a", "id_b").agg(F.lit(1).alias("_o")))
-    ta = uniq.select(F.col(key).alias("id_a"), F.col("tokens").alias("_ta"))
-    tb = uniq.select(F.col(key).alias("id_b"), F.col("tokens").alias("_tb"))
-    v = cand.join(ta, "id_a").join(tb, "id_b")
-    inter = F.size(F.array_intersect("_ta", "_tb"))
-    sim = inter / (F.size("_ta") + F.size("_tb") - inter)
-    return v.select("id_a", "id_b", sim.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    spark = sets.sparkSession
+    hashed = sets.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(F.transform("tokens", lambda x: F.xxhash64(x)))).alias("t"))
+    uniq = hashed.where(F.size("t") > 0).groupBy("t").agg(F.min("id").alias("id")).where(F.col("id").isNotNull())
+    uniq = cut_lineage(uniq.withColumn("sid", F.monotonically_increasing_id()))
+    ex = uniq.select("sid", F.explode("t").alias("tok"))
+    freq = ex.groupBy("tok").agg(F.count(F.lit(1)).alias("_f"))
+    order = cut_lineage(global_row_number(freq, ["_f", "tok"], "rank").select("tok", "rank", "_f"))
+    unique = order.where("_f > 1").agg(F.min("rank")).first()[0]
+    ids = uniq.select("sid", "id")
+    ranks = cut_lineage(ex.join(order.select("tok", "rank"), "tok").groupBy("sid").agg(F.sort_array(F.collect_list("rank")).alias("r")))
+    release(spark)
+    meet = ranks.mapInArrow(_meeting_rows(threshold, (1 << 62) if unique is None else unique),
+                            "rank long, sid long, n int, pos int, vec binary, before binary").repartition("rank")
+    side = lambda c: meet.select("rank", *[F.col(x).alias(y + c) for x, y in (("sid", ""), ("n", "n"), ("pos", "p"), ("vec", "v"), ("before", "b"))])
+    most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    met = (side("a").join(side("b").hint("merge"), "rank").where(F.col("a") < F.col("b"))
+           .where((F.col("nb") >= F.lit(threshold) * F.col("na") - 1e-9) & (F.col("na") >= F.lit(threshold) * F.col("nb") - 1e-9))
+           .where(F.lit(1 + threshold) * most >= F.lit(threshold) * (F.col("na") + F.col("nb")) - 1e-6))
+    cand = cut_lineage(met.select("a", "b", "na", "nb", "va", "vb", "ba", "bb").mapInArrow(_may_reach(threshold), "a long, b long").distinct())
+    release(spark)
+    some = ranks.join(cand.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
+    got = _verified_pairs(cand, some, threshold)
+    name = lambda c: ids.select(F.col("sid").alias(c), F.col("id").alias("i" + c))
+    got = got.join(name("a"), "a").join(name("b"), "b").where(F.col("ia") != F.col("ib"))
+    return got.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "jaccard")
 
 
 def max_similarity_to_reference(cands: DataFrame, ref: DataFrame, key: str, threshold: float) -> DataFrame:
