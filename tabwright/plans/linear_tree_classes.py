@@ -115,6 +115,20 @@ def fit_leaves(rows: DataFrame, n_features: int, counts: dict, alpha: float, max
     return fits
 
 
+def node_of(nodes: dict, X: np.ndarray) -> np.ndarray:
+    """The leaf of each row, by the splits of ``nodes``; a missing value goes right."""
+    at, todo = np.zeros(len(X), int), [(0, np.arange(len(X)))]
+    while todo:
+        nid, rows = todo.pop()
+        nd = nodes[nid]
+        if nd.feature < 0:
+            at[rows] = nid
+        else:
+            left = X[rows, nd.feature] <= nd.threshold
+            todo += [(nd.left, rows[left]), (nd.right, rows[~left])]
+    return at
+
+
 def _gini(c: np.ndarray) -> float:
     n = c.sum()
     return float(n - (c @ c) / n) if n > 0 else 0.0
@@ -202,18 +216,37 @@ class LinearTreeClassifier:
 
     def _class_counts(self, data, edges, frontier, K):
         """Class weights per bin: node → feature → (bins × classes)."""
-        bins = []
-        for j, c in enumerate(self.features):
-            b = F.lit(0)
-            for e in edges[j]:                                                      # a null is in the last bin: it goes right
-                b = b + F.coalesce((F.col(c) > F.lit(e)).cast("int"), F.lit(1))
-            bins.append(F.struct(F.lit(j).alias("j"), b.alias("b")))
-        ex = data.withColumn("_node", self._route(F.lit)).where(F.col("_node").isin(frontier)) \
-            .select("_node", F.inline(F.array(*bins)), "_y", "_w")
-        sums = [F.sum(F.when(F.col("_y") == F.lit(float(k)), F.col("_w")).otherwise(0.0)).alias(f"c{k}") for k in range(K)]
+        rows = data.select(*[F.col(c).alias(f"z{i}") for i, c in enumerate(self.features)], "_y", "_w")
+        nodes, names, sizes = self.nodes, frontier, [len(e) + 1 for e in edges]
+        cuts = [np.asarray(e, float) for e in edges]
+
+        def sums(batches):
+            import pandas as pd
+            from pyspark import TaskContext
+            total = {}
+            for pdf in batches:
+                V = pdf.to_numpy(float)
+                X, y, w = V[:, :-2], V[:, -2], V[:, -1]
+                at = node_of(nodes, X)
+                bins = [np.searchsorted(e, X[:, j]) for j, e in enumerate(cuts)]    # a null is in the last bin: it goes right
+                known = (y >= 0) & (y < K) & (y == np.floor(y))
+                for nid in names:
+                    rows = at == nid
+                    if rows.any():
+                        rows &= known
+                        cell = [b[rows] * K + y[rows].astype(int) for b in bins]
+                        got = np.concatenate([np.bincount(c, w[rows], n * K) for c, n in zip(cell, sizes)])
+                        total[nid] = total.get(nid, 0) + got
+            if total:
+                yield pd.DataFrame({"leaf": list(total), "part": TaskContext.get().partitionId(), "row": list(total.values())})
+
+        kinds = "leaf int, part int, row array<double>"
+        parts = rows.mapInPandas(sums, kinds).withColumn("part", (F.col("part") / FAN_IN).cast("int"))
+        some = parts.groupBy("leaf", "part").applyInPandas(_added(["leaf", "part"]), kinds)
         out = {}
-        for r in ex.groupBy("_node", "j", "b").agg(*sums).collect():
-            out.setdefault(r["_node"], {}).setdefault(r["j"], np.zeros((len(edges[r["j"]]) + 1, K)))[r["b"]] = [r[f"c{k}"] for k in range(K)]
+        for r in some.groupBy("leaf").applyInPandas(_added(["leaf"]), "leaf int, row array<double>").collect():
+            per = np.split(np.array(r["row"]), np.cumsum([n * K for n in sizes])[:-1])
+            out[r["leaf"]] = {j: c.reshape(n, K) for j, (c, n) in enumerate(zip(per, sizes))}
         return out
 
     def _best_split(self, per_f, edges, total):

@@ -104,3 +104,22 @@ def test_registry_keys(spark, key, options):
     vec = df.select("id", array_to_vector(F.array("a", "b")).alias("features"), F.col("y").alias("label"), "y")
     got = M.get_model(key, "classification", **options).fit(vec).transform(vec)
     assert accuracy(got) > 0.7 and not [c for c in got.columns if c.startswith("_tw")]
+
+
+def test_class_counts_are_added_in_tasks(spark):
+    rng = np.random.default_rng(4)
+    X = np.c_[rng.normal(size=500).round(1), rng.integers(0, 4, 500)].astype(float)
+    X[rng.random(500) < 0.1, 0] = np.nan
+    y, w = rng.integers(0, 3, 500).astype(float), rng.random(500).round(2) + 0.1
+    rows = [(None if np.isnan(a) else float(a), float(b), float(t), float(v)) for (a, b), t, v in zip(X, y, w)]
+    data = spark.createDataFrame(rows, "a double, b double, _y double, _w double").repartition(5)
+    m = L.LinearTreeClassifier(features=["a", "b"], nodes={0: L._Node(0, 0, 0, 0.3, 1, 2), 1: L._Node(1, 1), 2: L._Node(2, 1)})
+    edges = [[-1.0, 0.0, 0.3, 1.2], [0.0, 1.0, 2.0]]
+    got = m._class_counts(data, edges, [2], 3)
+    right = ~(X[:, 0] <= 0.3)
+    assert list(got) == [2] and list(L.node_of(m.nodes, X)) == [2 if r else 1 for r in right]
+    for j, e in enumerate(edges):
+        want = np.zeros((len(e) + 1, 3))
+        for x, t, v in zip(X[right, j], y[right], w[right]):
+            want[len(e) if np.isnan(x) else sum(x > c for c in e), int(t)] += v
+        np.testing.assert_allclose(got[2][j], want)
