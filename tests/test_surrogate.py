@@ -137,3 +137,24 @@ def test_parego_select_keeps_a_few_candidates_a_task(spark, monkeypatch):
         taken.add(best)
         want.append((no + 1, best))
     assert got == want
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_lists_of_targets_share_one_gram(spark, monkeypatch, gaps):
+    from tabwright.plans import fourier
+    rng = np.random.RandomState(6)
+    X = rng.rand(1500, 2)
+    rows = [(float(a), float(b), float(a - b), None if gaps and i % 9 == 0 else float(a * b)) for i, (a, b) in enumerate(X)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, z double").repartition(3)
+    made, plain = [], fourier.gram
+    monkeypatch.setattr(fourier, "gram", lambda *args: made.append(1) or plain(*args))
+    (one,), both = fourier.fit_fourier_sets(df, ["a", "b"], [["y"], ["y", "z"]], n_features=24)
+    assert len(made) == (2 if gaps else 1)
+    basis = both[1].basis
+    want = [fourier.fit_fourier(df, ["a", "b"], s, n_features=24) for s in (["y"], ["y", "z"])]
+    for got, m in zip([one, *both], want[0] + want[1]):
+        assert (got.length, got.noise) == (m.length, m.noise)
+        np.testing.assert_allclose(got.predict(X[:50]), m.predict(X[:50]), rtol=1e-6, atol=1e-9)
+    if not gaps:                                                     # the blocks' sums are those of all rows at once
+        E = np.hstack([basis(X, one.length), np.ones((len(X), 1))])
+        np.testing.assert_allclose((one.precision - np.eye(25)) * one.noise, E.T @ E, rtol=1e-8, atol=1e-8)
