@@ -309,6 +309,14 @@ def jaccard_threshold_pairs(sets: DataFrame, key: str, threshold: float) -> Data
     got = _verified_pairs(cand, some, threshold)
     name = lambda c: ids.select(F.col("sid").alias(c), F.col("id").alias("i" + c))
     got = got.join(name("a"), "a").join(name("b"), "b").where(F.col("ia") != F.col("ib"))
+    often = hashed.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and id is not null").select("id")
+    if often.limit(1).count():                                               # c rows of one set and key stand for c² on their side
+        same = hashed.join(often, "id", "left_semi").groupBy("id", "t").agg(F.count(F.lit(1)).alias("c")).join(uniq, ["id", "t"])
+        times = cut_lineage(same.select("sid", (F.col("c") * F.sum("c").over(Window.partitionBy("id"))).alias("m")))
+        for c in ("a", "b"):
+            got = got.join(times.select(F.col("sid").alias(c), F.col("m").alias("m" + c)), c, "left")
+        many = F.coalesce("ma", F.lit(1)) * F.coalesce("mb", F.lit(1))
+        got = got.withColumn("_o", F.explode(F.array_repeat(F.lit(1), many.cast("int"))))
     return got.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "jaccard")
 
 
