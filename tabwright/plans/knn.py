@@ -171,7 +171,8 @@ def knn(reference: DataFrame, queries: DataFrame, key: str, vec: str, k: int = 5
             count = np.bincount(row, minlength=q.num_rows)
             last = np.cumsum(count) - 1
             got = np.where(count >= k, dist[np.maximum(last, 0)] if len(dist) else np.inf, np.inf)
-        return q.select(["id", "v", "b", "p"]).append_column("d", pa.array(got, pa.float64()))
+        v = q.column("v").cast(pa.list_(q.schema.field("v").type.value_type))                # the schema allows null elements
+        return pa.table([q.column("id"), v, q.column("b"), q.column("p"), pa.array(got, pa.float64())], ["id", "v", "b", "p", "d"])
     bounded = cut_lineage(pos.groupBy("b").applyInArrow(bound, f"id {kt}, v {elem}, b int, p double, d double"))
 
     # round 2: every block that may hold something as near
