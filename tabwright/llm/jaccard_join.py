@@ -4,10 +4,11 @@ A document's set holds its distinct k-word shingles (with fewer words, the whole
 when 100·|A∩B| ≥ pct·|A∪B|.  Equal sets are one class from the start; a class is known by its smallest doc_id.
 
 1. Hash the tokens into groups.  Linked sets differ in at most D = (100 − pct)·|A|/pct tokens, |A| the smaller size.
-   With D + 3 groups at least three groups hold the same tokens on both sides, so sets of one size class meet in
-   the signature of such a group; a signature of an empty group is only given by sets with three empty groups,
-   because all others have a shared group that isn't empty.  No linked pair is missed, and a common passage alone
-   hardly ever fills a group.  (An R-tree over the whole table prunes nothing here: the counts of unrelated
+   With D + 3 + S groups at least S + 3 groups hold the same tokens on both sides, so sets of one size class meet in
+   the signatures of such groups; a signature of an empty group is only given by sets with three empty groups, so
+   that linked sets have S + 1 signatures in common at least.  Each set then leaves out its S most frequent ones:
+   in one order of all signatures, the rarest that two linked sets share stands behind S others in both.  No linked
+   pair is missed, and a common shingle or passage that fills a group of its own brings few sets together.  (An R-tree over the whole table prunes nothing here: the counts of unrelated
    documents of one size lie closer together in every coordinate than the threshold allows pairs to differ, so
    its boxes all overlap.  It therefore indexes each block of sets that share a group.)
 2. Contraction: in turns, each set is tried against one other set of its blocks that lies outside its component.  A
@@ -19,6 +20,8 @@ when 100·|A∩B| ≥ pct·|A∪B|.  Equal sets are one class from the start; a
    set size, packed into leaves whose box is the coordinate maxima with the least and largest size.  Leaf pairs,
    then pairs of points of different components, are bounded by summed coordinate minima; what survives and shares
    a block is verified on the sets.  Large hubs are dealt into cells, and pairs of cells to different tasks.
+4. Verification: a pair is first judged by bitmaps of one to two bits a token.  A bit that only one side has stands
+   for a token that only that side has, which bounds what both can share; the pairs left are judged by whole sets.
 
 Null text or no words: empty set, n_shingles 0, linked with nothing.  A null doc_id names no class: such rows take
 part in nothing and get their set size and a null component.  Repeated rows are one class.  Sets are compared by
@@ -32,33 +35,38 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm import textnum as tn
 
 COORDS, LEAF, CELL = 256, 64, 1024
-BATCH_ROWS = 2000
+BATCH_ROWS, BATCH_BYTES, BLOCK_BYTES = 2000, 4 << 20, 250_000
+SPARE = 16
 SETTLED, HEAVY = 0.02, 256
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
 @contextmanager
-def _batches_of(spark, rows: int):
-    """Arrow batches of at most ``rows`` rows for the jobs inside.  A pair carries two whole sets: at Spark's 10 000 rows a
-    batch of them takes tens of MB, in the worker and beside the heap of its executor, for every running task."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def _batches_of(spark, rows: int, size: int):
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes for the jobs inside.  A pair carries two whole sets: at
+    Spark's 10 000 rows a batch of them takes tens of MB, and hundreds where the sets are large, in the worker and beside
+    the heap of its executor, for every running task."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in most}
+    for key, n in most.items():
+        now = int(before[key]) if before[key].lstrip("-").isdigit() else 0       # bytes may carry a unit
+        spark.conf.set(key, str(min(n, now) if now > 0 else n))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, n in before.items():
+            spark.conf.set(key, n)
 
 
 def shingle_sets(column: pa.Array, k: int):
     """(row, sorted distinct shingle hashes) of every text."""
-    for lo, hi, buf, off in tn.text_blocks(column):
+    for lo, hi, buf, off in tn.text_blocks(column, BLOCK_BYTES):
         low = tn.LOWER[buf]
         start, end, first = tn.words(low, off)
         h = tn.substring_hash(tn.prefix_sums(low), start, end) if len(start) else np.zeros(0, np.uint64)
@@ -102,23 +110,30 @@ def size_classes(pct: int, top: int = 1 << 40) -> list[int]:
 _EDGES: dict[int, np.ndarray] = {}
 
 
+def _differ(k: int, bounds: list[int], pct: int) -> int:
+    """Tokens by which linked sets of size class k differ at most."""
+    return (100 - pct) * (bounds[k + 1] - 1) // pct
+
+
 def signatures(u: np.ndarray, bounds: list[int], pct: int) -> np.ndarray:
-    """Group signatures of one set in the scheme of its size class and, near its lower bound, of the class below."""
+    """Group signatures of one set in the scheme of its size class and, near its lower bound, of the class below; the
+    lowest bit tells which of the two."""
     n, out = len(u), []
     own = int(np.searchsorted(bounds, n, "right")) - 1
     cum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tn.mix(u))])
     for k in (own, own - 1):
         if k < 0 or (k < own and n * pct > 100 * (bounds[own] - 1)):
             continue
-        d = (100 - pct) * (bounds[k + 1] - 1) // pct
+        d = _differ(k, bounds, pct)
         if d == 0:                                             # linked sets of this class are equal
             continue
-        g = d + 3
+        g = d + 3 + d // SPARE
         if g not in _EDGES:
             _EDGES[g] = np.array([(i << 64) // g for i in range(1, g)], np.uint64)
         at = np.concatenate([[0], np.searchsorted(u, _EDGES[g]), [n]])
         size = np.diff(at).astype(np.uint64)
         sig = tn.mix(tn.mix(cum[at[1:]] - cum[at[:-1]] + size * _C[0]) + np.arange(k << 32, (k << 32) + g, dtype=np.uint64) * _C[1])
+        sig = (sig & ~np.uint64(1)) | np.uint64(k & 1)
         out.append(sig if (size == 0).sum() >= 3 else sig[size > 0])
     return np.concatenate(out) if out else u[:0]
 
@@ -186,6 +201,24 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "v").mapInArrow(run, "sig long, v long")
 
 
+def _rarest(block: DataFrame, points: DataFrame, pct: int) -> DataFrame:
+    """``block`` (sig, v) without the most frequent signatures of each set, as many as its size class can spare.
+
+    Signatures that one set alone has are gone by now; they are the rarest, so the others keep their places."""
+    from tabwright.session import cut_lineage
+    bounds = size_classes(pct)
+    spare = [_differ(k, bounds, pct) // SPARE for k in range(len(bounds) - 1)]
+    own = F.expr(f"size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b <= n))")              # from 1
+    pick = lambda k: F.when(k >= 1, F.element_at(F.lit(spare), F.greatest(k, F.lit(1)))).otherwise(0)
+    low = points.select("v", own.alias("k")).select("v", F.pmod(F.col("k") - 1, F.lit(2)).alias("bit"), pick(F.col("k")).alias("of_own"),
+                                                    pick(F.col("k") - 1).alias("of_below"))
+    often = cut_lineage(block.groupBy("sig").agg(F.count(F.lit(1)).alias("often")))     # written, so that the join can split a frequent one
+    ranked = block.join(often, "sig").withColumn("side", F.col("sig").bitwiseAND(F.lit(1).cast("long")))
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("v", "side").orderBy(F.desc("often"), "sig")))
+    return (ranked.join(low, "v").where(F.col("place") > F.when(F.col("side") == F.col("bit"), F.col("of_own")).otherwise(F.col("of_below")))
+            .select("sig", "v"))
+
+
 def _possible(na, nb, most, pct: int):
     """Whether sets of these sizes with at most so many common tokens can link."""
     return ((100 + pct) * most >= pct * (na + nb)) | (most >= 255 * COORDS)
@@ -208,39 +241,64 @@ def _bounded(pairs: DataFrame, points: DataFrame, pct: int) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
+def bitmap(u: np.ndarray) -> np.ndarray:
+    """The set as bits, one to two a token: bit h mod 2^p of every token h."""
+    bits = np.zeros(max(64, 1 << (len(u) - 1).bit_length()), bool)
+    bits[(u & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def most_common(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
+    """A bound on the tokens that sets of n and m tokens have in common, from their bitmaps."""
+    while len(x) > len(y):                                         # the longer one folds onto the bits of the other
+        x = x[:len(x) // 2] | x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] | y[len(y) // 2:]
+    both = x & y
+    common = int(np.bitwise_count(both).sum(dtype=np.int64))
+    return min(n + common - int(np.bitwise_count(x).sum(dtype=np.int64)), m + common - int(np.bitwise_count(y).sum(dtype=np.int64)))
+
+
 def _sets(docs: DataFrame, ids: DataFrame, k: int, broadcast_rows: int, short: bool) -> DataFrame:
-    """(v, set) of the given (v, id) representatives, as 8-byte tokens or their upper 4 bytes; ids are broadcast only
+    """(v, n, set) of the given (v, id) representatives, the set as 8-byte tokens or as a bitmap; ids are broadcast only
     when counted to be few."""
     ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
 
     def run(batches):
         for b in batches:
-            sets = [((u >> np.uint64(32)).astype(np.uint32) if short else u).tobytes() for _, u in shingle_sets(b.column("t"), k)]
-            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(sets, pa.binary())], ["v", "set"])
+            n, sets = [], []
+            for _, u in shingle_sets(b.column("t"), k):
+                n.append(len(u))
+                sets.append((bitmap(u) if short and len(u) else u).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], ["v", "n", "set"])
     return (docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
-            .join(ids, "id").select("v", "t").mapInArrow(run, "v long, set binary"))
+            .join(ids, "id").select("v", "t").mapInArrow(run, "v long, n long, set binary"))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, pct: int, short: bool) -> DataFrame:
-    """The pairs that link; with short tokens, those that may link (never fewer)."""
+    """The pairs that link; by bitmaps, those that may link (never fewer)."""
     def run(batches):
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
-            for r, (x, y) in enumerate(zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())):
-                x, y = (np.frombuffer(z, np.uint32 if short else np.uint64) for z in (x, y))
-                n, m = len(x), len(y)
-                if short:                                          # tokens that became equal may hide a common one each
-                    x, y = np.unique(x), np.unique(y)
-                both = len(x) + len(y) - len(np.union1d(x, y)) + min(n - len(x), m - len(y))
+            for r, (n, m, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")))):
+                x, y = (np.frombuffer(z, np.uint8 if short else np.uint64) for z in (x, y))
+                if not n or not m:                                 # another row of the same doc_id, without words
+                    both = 0
+                elif short:
+                    both = most_common(x, y, n, m)
+                else:
+                    x, y = (x, y) if n <= m else (y, x)
+                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 ok[r] = (100 + pct) * both >= pct * (n + m)
             ok = pa.array(ok)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
-    side = lambda c: sets.select(F.col("v").alias(c), F.col("set").alias("s" + c))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    side = lambda c: sets.select(F.col("v").alias(c), F.col("n").alias("n" + c), F.col("set").alias("s" + c))
+    return (pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
+            .mapInArrow(run, "a long, b long"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, k: int, pct: int, broadcast_rows: int) -> DataFrame:
-    """The pairs that link: first by half tokens, which move half the bytes and rule most out, then by whole ones."""
+    """The pairs that link: first by bitmaps, which move a fiftieth of the bytes and rule most out, then by whole sets."""
     from tabwright.session import cut_lineage, release
     for short in (True, False):
         release(docs.sparkSession)
@@ -345,6 +403,7 @@ def _linked(docs: DataFrame, k: int, pct: int, broadcast_rows: int):
               .agg(F.min("_id").alias("id"), F.min("_n").alias("n"), F.min("_vec").alias("vec")))
     block = cut_lineage(_shared(_signatures(docs, k, pct)))
     points = cut_lineage(points.join(block.select("v").distinct(), "v", "left_semi"))       # the others link with nothing
+    block = cut_lineage(_rarest(block, points, pct))
     links, label, turn = None, None, 0
     while True:
         release(spark)                                         # signatures and the turns before are written anew by now
@@ -385,7 +444,7 @@ def _linked(docs: DataFrame, k: int, pct: int, broadcast_rows: int):
 
 def link_components(docs: DataFrame, k: int = 4, pct: int = 85, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) per row."""
-    with _batches_of(docs.sparkSession, BATCH_ROWS):
+    with _batches_of(docs.sparkSession, BATCH_ROWS, BATCH_BYTES):
         rows, label = _linked(docs, k, pct, broadcast_rows)
     out = rows.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), "_set")
     first = rows.where("_n > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("first"))

@@ -109,3 +109,59 @@ def test_stage_and_empty(spark, rnd):
     want = [r for r in brute([(r.doc_id, r.text, None) for r in docs.collect()], 5, 80) if r[0] is None or r[0] == r[2]]
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in want)
     assert J.link_components(docs.limit(0)).count() == 0
+
+
+def test_frequent_signatures_are_left_out(spark):
+    """Sets with a common passage meet far less often, while linked ones still meet."""
+    import numpy as np
+    rng, bounds = np.random.default_rng(3), J.size_classes(80)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    passage = draw(60)
+    sets = [np.unique(np.concatenate([passage, draw(int(rng.integers(520, 560)))])) for _ in range(80)]
+    sets += [np.unique(np.concatenate([rng.permutation(u)[:-30], draw(20)])) for u in sets[:30]]
+    block = {}
+    for v, u in enumerate(sets):
+        for s in J.signatures(u, bounds, 80).view(np.int64).tolist():
+            block.setdefault(s, set()).add(v)
+    block = {s: m for s, m in block.items() if len(m) > 1}
+    meet = lambda rows: {(a, b) for m in rows.values() for a in m for b in m if a < b}
+    points = spark.createDataFrame([(v, len(u)) for v, u in enumerate(sets)], "v long, n long")
+    kept = {}
+    for r in J._rarest(spark.createDataFrame([(s, v) for s, m in block.items() for v in m], "sig long, v long"), points, 80).collect():
+        kept.setdefault(r.sig, set()).add(r.v)
+    before, after = meet(block), meet(kept)
+    linked = {(a, b) for a, b in before if 180 * len(np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]))}
+    assert linked == {(v, 80 + v) for v in range(30)}
+    assert linked <= after <= before and len(after) < len(before) / 4
+
+
+def test_bitmaps_bound_what_sets_share():
+    import numpy as np
+    rng, ruled_out = np.random.default_rng(4), 0
+    for n in (1, 5, 63, 64, 65, 300, 5000):
+        u = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0, 0.3, 0.9, 1):
+            w = np.unique(np.concatenate([u[rng.random(len(u)) < share], rng.integers(0, 1 << 63, max(1, n // 5)).astype(np.uint64)]))
+            most, both = J.most_common(J.bitmap(u), J.bitmap(w), len(u), len(w)), len(np.intersect1d(u, w))
+            assert both <= most <= min(len(u), len(w))
+    for _ in range(50):
+        u, w = (np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64)) for _ in range(2))
+        ruled_out += 180 * J.most_common(J.bitmap(u), J.bitmap(w), len(u), len(w)) < 80 * (len(u) + len(w))
+    assert ruled_out == 50
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    def nbytes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["id"])
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    with J._batches_of(spark, 50, 100_000):
+        assert [spark.conf.get(k) for k in keys] == ["50", "100000"]
+        rows = spark.range(400, numPartitions=1).selectExpr("id", "repeat('x', 20000) t")
+        sizes = rows.mapInArrow(nbytes, "id long").collect()
+        assert max(r.id for r in sizes) < 200_000
+    assert [spark.conf.get(k) for k in keys] == before
