@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from tabwright.llm import textnum as tn
 
 BITS = 20
+#: A worker keeps what a block or a slice once took, for its later tasks as well.
+BLOCK_BYTES, SLICE_ROWS = 250_000, 500
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct feature indices) of every text in the column."""
     mask = np.uint64((1 << BITS) - 1)
-    for lo, hi, buf, off in tn.text_blocks(column):
+    for lo, hi, buf, off in tn.text_blocks(column, BLOCK_BYTES):
         low = tn.LOWER[buf]
         start, end, first = tn.words(low, off, ~tn.ALNUM)
         h = tn.substring_hash(tn.prefix_sums(low), start, end) if len(start) else np.zeros(0, np.uint64)
@@ -147,7 +149,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fit
         dense = np.zeros(1 << BITS)
         dense[i] = v
         cut = np.log(threshold / (1 - threshold))
-        for b in batches:
+        for b in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             if b0 is None:
                 yield b
                 continue

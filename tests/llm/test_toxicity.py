@@ -47,3 +47,20 @@ def test_nothing_to_learn(spark):
     assert {r.score for r in T.score_toxicity(docs, lab).collect()} == {0.0}
     assert T.drop_toxic(docs, lab).count() == 2
     assert T.score_toxicity(docs.limit(0), lab).count() == 0
+
+
+def test_scoring_takes_little_memory():
+    """Features of many texts at once need no more than those of a small block of them."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from tabwright.llm import textnum as tn
+    from tabwright.llm import toxicity as T
+    text = pa.array([" ".join(f"w{(i * 7919 + j * 104729) % 5000}" for j in range(300)) for i in range(2000)])
+    sum(len(x) for _, x in T.features(text.slice(0, 10)))
+    tn._POW[0], tn._POW[1] = tn._POW[0][:1], tn._POW[1][:1]
+    tracemalloc.start()
+    rows = [r for r, _ in T.features(text)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == list(range(2000)) and most < 30e6
