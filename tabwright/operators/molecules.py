@@ -185,90 +185,220 @@ def exact_duplicate_groups(sets: DataFrame, key: str) -> DataFrame:
     return s.join(reps, "_tw_sorted").select(key, "rep")
 
 
-_COORDS, _BEFORE, _CELL = 64, 8, 512
+_BITS, _BEFORE, _LIST = 2048, 4, 4096               # most bits of a sketch, tokens looked back on, sets of a list
+_CELL = 1 << 19                                      # tokens of a cell
+_BLOCK, _SLICE = 1 << 17, 1 << 13                    # pairs judged at a time, tokens compared at a time
+
+
+def _ceil(x):
+    import numpy as np
+    return np.ceil(x - 1e-9).astype(np.int64)
 
 
 def _meeting_rows(threshold: float, unique: int):
     """Rows (rank, sid, n, pos, vec, before) of the prefix tokens of each set that others have too: its size, the token's
-    place, the set as counts of tokens in 64 groups and the eight prefix tokens ahead of this one."""
+    place, a sketch of the set and the four prefix tokens ahead of this one.  The sketch has 64 to 2048 bits by size; each says
+    whether an odd number of tokens fall on it, so every bit that differs is a token that one of two sets lacks."""
     import numpy as np
     import pyarrow as pa
 
+    def binary(data, ends):
+        off = np.concatenate([[0], ends]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+
+    def rows(b):
+        off = b.column("r").offsets.to_numpy().astype(np.int64)
+        flat, off = b.column("r").values.to_numpy()[off[0]:off[-1]], off - off[0]
+        n = np.diff(off)
+        at = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(flat)) - off[at]
+        first = np.bincount(at[flat < unique], minlength=len(n))
+        take = np.flatnonzero((place >= first[at]) & (place <= (n - _ceil(threshold * n))[at]))
+        if not len(take):
+            return
+        wide = np.clip(1 << np.frexp(np.maximum(n - 1, 1).astype(np.float64))[1].astype(np.int64), 64, _BITS)
+        odd = np.bincount(at * _BITS + flat % wide[at], minlength=len(n) * _BITS).reshape(-1, _BITS) & 1
+        vec = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little")
+        ahead = take[:, None] - np.arange(_BEFORE, 0, -1)
+        there = ahead >= (off[:-1] + first)[at[take], None]
+        before = np.where(there, flat[np.where(there, ahead, 0)], -1).astype(np.int64)
+        at = at[take]
+        has = np.arange(_BITS // 8) < (wide // 8)[at, None]
+        yield pa.record_batch([pa.array(flat[take]), b.column("sid").take(pa.array(at)), pa.array(n[at].astype(np.int32)), pa.array((place[take] + 1).astype(np.int32)),
+                               binary(vec[at][has], np.cumsum((wide // 8)[at])), binary(before, np.arange(1, len(at) + 1) * before.strides[0])],
+                              ["rank", "sid", "n", "pos", "vec", "before"])
+
     def run(batches):
-        for b in batches:
-            off, flat = b.column("r").offsets.to_numpy(), b.column("r").values.to_numpy()
-            out = [[], [], [], [], [], []]
-            for sid, i, j in zip(b.column("sid").to_pylist(), off[:-1], off[1:]):
-                r, n = flat[i:j], int(j - i)
-                first, last = int(np.searchsorted(r, unique)), n - math.ceil(threshold * n - 1e-9) + 1
-                if first >= last:
-                    continue
-                c = np.bincount(r % _COORDS, minlength=_COORDS)
-                vec = (c if c.max() <= 255 else np.full(_COORDS, 255)).astype(np.uint8).tobytes()   # all 255 rules nothing out
-                pos = np.arange(first, last)
-                ahead = np.concatenate([np.full(_BEFORE, -1), r[first:last]]).astype(np.int64)
-                ahead = np.lib.stride_tricks.sliding_window_view(ahead, _BEFORE)[:-1]
-                for col, val in zip(out, (r[first:last], np.full(len(pos), sid), np.full(len(pos), n), pos + 1,
-                                          [vec] * len(pos), [x.tobytes() for x in ahead])):
-                    col.append(val)
-            if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])),
-                                       pa.array(np.concatenate(out[2]).astype(np.int32)), pa.array(np.concatenate(out[3]).astype(np.int32)),
-                                       pa.array([x for v in out[4] for x in v], pa.binary()), pa.array([x for v in out[5] for x in v], pa.binary())],
-                                      ["rank", "sid", "n", "pos", "vec", "before"])
+        for batch in batches:
+            ends = np.cumsum(batch.column("r").value_lengths().to_numpy().astype(np.int64))
+            part = (ends >> 17) + np.arange(batch.num_rows) // 1000                                 # about 131,072 tokens, 1,000 sets at a time
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if j > i:
+                    yield from rows(batch.slice(i, j - i))
     return run
 
 
+def _words(col):
+    """Sketches of any length as rows of 64-bit words, and those rows folded to 1, 2, 4 … words."""
+    import numpy as np
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
+    out = np.zeros((len(col), _BITS // 8), np.uint8)
+    out[np.arange(_BITS // 8) < np.diff(off)[:, None]] = np.frombuffer(col.buffers()[2], np.uint8)[off[0]:off[-1]]
+    return out.view(np.uint64), (np.diff(off) // 8).astype(np.int64)
+
+
+def _befores(col):
+    import numpy as np
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.uint8)[off[0]:off[-1]].view(np.int64).reshape(len(col), _BEFORE)
+
+
+def _judge(threshold: float, n, vec, width, before):
+    """A function that keeps those of the pairs (x, y) that can reach the threshold by their sketches, at the first token they share."""
+    import numpy as np
+    folded = {}
+
+    def fold(w):
+        if w not in folded:
+            folded[w] = np.bitwise_xor.reduce(vec.reshape(len(vec), -1, w), axis=1)
+        return folded[w]
+
+    def judged(x, y):
+        for i in range(_BEFORE - 1, -1, -1):                                 # met at an earlier token already
+            t = before[x, i]
+            ok = ~(((t[:, None] == before[y]) & (t[:, None] >= 0)).any(1))
+            x, y = x[ok], y[ok]
+        most, least, ok = (1 - threshold) / (1 + threshold) * (n[x] + n[y]) + 1e-6, np.minimum(width[x], width[y]), np.zeros(len(x), bool)
+        for w in np.unique(least).tolist():
+            at = np.flatnonzero(least == w)
+            f = fold(w)
+            ok[at] = np.bitwise_count(f[x[at]] ^ f[y[at]]).sum(1, dtype=np.int64) <= most[at]
+        return x[ok], y[ok]
+    return judged
+
+
 def _may_reach(threshold: float):
-    """Of pairs that meet in a token, those that can reach the threshold by their group counts, at the first token they share."""
+    """Of pairs that meet in a token, those that can reach the threshold by their sketches, at the first token they share."""
     import numpy as np
     import pyarrow as pa
-    rows = lambda col, kind: np.frombuffer(b"".join(col.to_pylist()), kind).reshape(len(col), -1)
 
     def run(batches):
+        for b in batches:
+            (va, wa), (vb, wb) = _words(b.column("va")), _words(b.column("vb"))
+            n = np.concatenate([b.column(c).to_numpy() for c in ("na", "nb")]).astype(np.int64)
+            before = np.concatenate([_befores(b.column(c)) for c in ("ba", "bb")])
+            x, _ = _judge(threshold, n, np.concatenate([va, vb]), np.concatenate([wa, wb]), before)(np.arange(b.num_rows), np.arange(b.num_rows) + b.num_rows)
+            yield b.select(["a", "b"]).take(pa.array(x))
+    return run
+
+
+def _cell(sid, n, cell: int):
+    """Sets of a size class that follow one another by their smallest hash share a cell of ``cell`` tokens and 1,024 sets at most."""
+    import numpy as np
+    k = np.frexp(n.astype(np.float64))[1].astype(np.int64)                   # n < 2^k
+    return (k << 56) + (sid >> np.clip(cell.bit_length() - 1 - k, 0, 10))
+
+
+def _meeting_pairs(threshold: float, cell: int):
+    """Pairs (a, b, ca, cb) of the sets in a list that can reach the threshold, with their cells.  The rows come by list and
+    side and, in it, by size, so that a set's partners by the size bound lie in one run; pairs are judged in blocks by the
+    token's place, by whether they met at an earlier token and by their sketches."""
+    import numpy as np
+    import pyarrow as pa
+
+    def arrays(b):
+        v = {c: b.column(c).to_numpy().astype(np.int64) for c in ("rank", "tile", "side", "sid", "n", "pos")}
+        v["vec"], v["width"] = _words(b.column("vec"))
+        return v | {"before": _befores(b.column("before"))}
+
+    def lists(v):
+        """The pairs of whole lists, a block at a time."""
+        size, side, n, pos = len(v["sid"]), v["side"], v["n"], v["pos"]
+        new = np.ones(size, bool)
+        new[1:] = (np.diff(v["rank"]) != 0) | (np.diff(v["tile"]) != 0)
+        part = new.copy()
+        part[1:] |= np.diff(side) != 0
+        group, code = np.cumsum(new), np.cumsum(part)
+        wide = int(n.max()) + 2
+        key, top = code * wide + n, np.minimum(np.floor((n + 1e-6) / threshold), wide - 1).astype(np.int64)
+        end = np.searchsorted(code, code, "right")                           # where the other side of the list begins
+        cross = (v["tile"] >> 20) != (v["tile"] & 0xFFFFF)
+        other = cross & (side == 0) & (end < size) & (group[np.minimum(end, size - 1)] == group)
+        low = np.where(cross, np.searchsorted(key, (code + 1) * wide + _ceil(threshold * n)), np.arange(1, size + 1))
+        high = np.searchsorted(key, np.where(cross, code + 1, code) * wide + top, "right")
+        much = np.where(cross & ~other, 0, np.maximum(high - low, 0))
+        upto = np.cumsum(much)
+        judged = _judge(threshold, n, v["vec"], v["width"], v["before"])
+        for s in range(0, int(upto[-1]), _BLOCK):
+            at = np.arange(s, min(s + _BLOCK, int(upto[-1])))
+            x = np.searchsorted(upto, at, "right")
+            y = low[x] + at - (upto - much)[x]
+            most = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
+            ok = (1 + threshold) * most >= threshold * (n[x] + n[y]) - 1e-6
+            x, y = judged(x[ok], y[ok])
+            if len(x):
+                turned = v["sid"][x] > v["sid"][y]
+                x, y = np.where(turned, y, x), np.where(turned, x, y)
+                a, b = v["sid"][x], v["sid"][y]
+                yield pa.record_batch([pa.array(c) for c in (a, b, _cell(a, n[x], cell), _cell(b, n[y], cell))], ["a", "b", "ca", "cb"])
+
+    def run(batches):
+        kept = None
         for b in batches:
             if not b.num_rows:
                 continue
-            most = np.minimum(rows(b.column("va"), np.uint8), rows(b.column("vb"), np.uint8)).sum(1, dtype=np.int64)
-            n = b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()
-            ok = ((1 + threshold) * most >= threshold * n - 1e-6) | (most >= 255 * _COORDS)
-            at = np.flatnonzero(ok)
-            x, y = (rows(b.column(c).take(pa.array(at)), np.int64) if len(at) else np.zeros((0, _BEFORE)) for c in ("ba", "bb"))
-            again = np.zeros(len(at), bool)                                  # met at an earlier token already
-            for i in range(_BEFORE):
-                again |= ((x[:, i, None] == y) & (y >= 0)).any(1)
-            at = pa.array(at[~again])
-            yield pa.record_batch([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
+            v = arrays(b)
+            if kept is not None:
+                v = {c: np.concatenate([kept[c], v[c]]) for c in v}
+            last = int(np.flatnonzero((v["rank"] != v["rank"][-1]) | (v["tile"] != v["tile"][-1])).max(initial=-1)) + 1
+            kept = {c: x[last:].copy() for c, x in v.items()}                # the last list may go on in the next batch
+            if last:
+                yield from lists({c: x[:last] for c, x in v.items()})
+        if kept is not None:
+            yield from lists(kept)
     return run
 
 
+def _overlaps(of, flat, a, b):
+    """The number of tokens that the sets ``a`` and ``b`` (places of sets) share; ``flat`` has the tokens, ``of`` their set."""
+    import numpy as np
+    _, token, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often > 1
+    token, of = (np.cumsum(shared) - 1)[token[shared[token]]], of[shared[token]]
+    both, order = np.zeros(len(a), np.int64), np.argsort(token, kind="stable")
+    token, of = token[order], of[order]
+    for low in range(0, int(shared.sum()), _SLICE):                          # a bit per set and token of the slice
+        i, j = np.searchsorted(token, [low, low + _SLICE])
+        width = -(-min(_SLICE, int(shared.sum()) - low) // 64) * 64
+        bits = np.zeros((int(max(a.max(), b.max())) + 1, width), bool)
+        bits[of[i:j], token[i:j] - low] = True
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        step = max(1, (1 << 18) // bits.shape[1])
+        for s in range(0, len(a), step):
+            both[s:s + step] += np.bitwise_count(bits[a[s:s + step]] & bits[b[s:s + step]]).sum(1, dtype=np.int64)
+    return both
+
+
 def _verified_pairs(cand: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs that reach the threshold.  Sets are dealt into cells by size, and a set goes to a pair of
-    cells once, however many of its pairs lie there."""
+    """(a, b, jaccard) of the pairs that reach the threshold.  A set goes to a pair of cells once, however many of its pairs
+    lie there."""
     import numpy as np
     import pyarrow as pa
-    sets = sets.withColumn("k", F.floor(F.log(F.size("r").cast("double")) / math.log(1.25)).cast("int"))
-    many = sets.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / _CELL).cast("int").alias("cells"))               # a row per size class
-    cell = sets.join(F.broadcast(many), "k").select("sid", (F.col("k") * (1 << 24) + F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")).alias("cell"), "r")
-    where = cell.select("sid", "cell")
-    pairs = (cand.join(where.withColumnsRenamed({"sid": "a", "cell": "ca"}), "a").join(where.withColumnsRenamed({"sid": "b", "cell": "cb"}), "b"))
-    pairs = cut_lineage(pairs)
-    need = pairs.select(F.col("ca").alias("x"), F.col("cb").alias("y"), F.explode(F.array("a", "b")).alias("sid")).distinct()
+    need = cand.select(F.col("ca").alias("x"), F.col("cb").alias("y"), F.explode(F.array("a", "b")).alias("sid")).distinct()
     sent = need.join(sets.select("sid", "r"), "sid")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         r = right.column("r").combine_chunks()
-        off, flat = r.offsets.to_numpy(), r.values.to_numpy()
-        of = {s: flat[i:j] for s, i, j in zip(right.column("sid").to_pylist(), off[:-1], off[1:])}
+        off, flat, sid = r.offsets.to_numpy(), r.values.to_numpy(), right.column("sid").to_numpy()
         a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
-        sim = np.zeros(len(a))
-        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-            x, y = of[x], of[y]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            sim[i] = both / (len(x) + len(y) - both)
+        n, order = np.diff(off).astype(np.int64), np.argsort(sid)
+        x, y = (order[np.searchsorted(sid, c, sorter=order)] for c in (a, b))
+        both = _overlaps(np.repeat(np.arange(len(n)), n), flat[off[0]:off[-1]], x, y)
+        sim = both / (n[x] + n[y] - both)
         ok = sim >= threshold
         return pa.table([pa.array(a[ok]), pa.array(b[ok]), pa.array(sim[ok])], ["a", "b", "jaccard"])
-    return pairs.groupBy("ca", "cb").cogroup(sent.groupBy("x", "y")).applyInArrow(compare, "a long, b long, jaccard double")
+    return cand.groupBy("ca", "cb").cogroup(sent.groupBy("x", "y")).applyInArrow(compare, "a long, b long, jaccard double")
 
 
 def jaccard_threshold_pairs(sets: DataFrame, key: str, threshold: float) -> DataFrame:
@@ -279,31 +409,37 @@ def jaccard_threshold_pairs(sets: DataFrame, key: str, threshold: float) -> Data
     sets with J ≥ τ must share a token among each one's first
     |s| − ⌈τ|s|⌉ + 1 tokens.  Sets meet in shared prefix tokens and are judged
     there, before anything is shuffled: by the size bound τ|a| ≤ |b| ≤ |a|/τ, by
-    the place of the token in both, by counts of tokens in 64 groups, whose summed
-    minima bound the overlap, and by whether they met at an earlier token.  What is
-    left goes to the sets themselves, a set once per pair of cells.  Exact copies are collapsed
+    the place of the token in both, by whether they met at an earlier token and by
+    sketches, whose differing bits bound the overlap.  The list of a token with more than ``_LIST`` sets is dealt into chunks, each pair of which is a list of its own.  What is
+    left goes to the sets themselves, a set once per pair of cells; sets are numbered by size class and smallest hash,
+    which near copies mostly share, so that their pairs lie in few cells.  Exact copies are collapsed
     first, so a group of copies never produces all its pairs.  Tokens are told apart by 64-bit hashes."""
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
     spark = sets.sparkSession
-    hashed = sets.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(F.transform("tokens", lambda x: F.xxhash64(x)))).alias("t"))
+    hashed = sets.select(F.col(key).alias("id"), F.sort_array(F.array_distinct(F.transform("tokens", lambda x: F.xxhash64(x)))).alias("t"))
     uniq = hashed.where(F.size("t") > 0).groupBy("t").agg(F.min("id").alias("id")).where(F.col("id").isNotNull())
+    near = [F.floor(F.log2(F.size("t"))), F.element_at("t", 1), F.col("id")]
+    uniq = uniq.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), *near).sortWithinPartitions(*near)
     uniq = cut_lineage(uniq.withColumn("sid", F.monotonically_increasing_id()))
     ex = uniq.select("sid", F.explode("t").alias("tok"))
     freq = ex.groupBy("tok").agg(F.count(F.lit(1)).alias("_f"))
     order = cut_lineage(global_row_number(freq, ["_f", "tok"], "rank").select("tok", "rank", "_f"))
     unique = order.where("_f > 1").agg(F.min("rank")).first()[0]
+    unique = (1 << 62) if unique is None else unique
     ids = uniq.select("sid", "id")
     ranks = cut_lineage(ex.join(order.select("tok", "rank"), "tok").groupBy("sid").agg(F.sort_array(F.collect_list("rank")).alias("r")))
     release(spark)
-    meet = ranks.mapInArrow(_meeting_rows(threshold, (1 << 62) if unique is None else unique),
-                            "rank long, sid long, n int, pos int, vec binary, before binary").repartition("rank")
-    side = lambda c: meet.select("rank", *[F.col(x).alias(y + c) for x, y in (("sid", ""), ("n", "n"), ("pos", "p"), ("vec", "v"), ("before", "b"))])
-    most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    met = (side("a").join(side("b").hint("merge"), "rank").where(F.col("a") < F.col("b"))
-           .where((F.col("nb") >= F.lit(threshold) * F.col("na") - 1e-9) & (F.col("na") >= F.lit(threshold) * F.col("nb") - 1e-9))
-           .where(F.lit(1 + threshold) * most >= F.lit(threshold) * (F.col("na") + F.col("nb")) - 1e-6))
-    cand = cut_lineage(met.select("a", "b", "na", "nb", "va", "vb", "ba", "bb").mapInArrow(_may_reach(threshold), "a long, b long").distinct())
+    n = F.size("r")
+    listed = ranks.select(F.explode(F.slice("r", F.lit(1), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))).alias("rank")).where(F.col("rank") >= unique)
+    long = listed.groupBy("rank").agg(F.ceil(F.count(F.lit(1)) / _LIST).cast("int").alias("c")).where("c > 1")      # few: total / _LIST at most
+    meet = ranks.mapInArrow(_meeting_rows(threshold, unique), "rank long, sid long, n int, pos int, vec binary, before binary")
+    meet = meet.join(F.broadcast(long), "rank", "left").withColumn("_c", F.coalesce("c", F.lit(1)))
+    meet = meet.withColumn("_i", F.pmod(F.xxhash64("sid"), F.col("_c"))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    tile = F.shiftleft(F.least("_i", "_j").cast("long"), 20) + F.greatest("_i", "_j")
+    meet = meet.select("rank", tile.alias("tile"), (F.col("_i") > F.col("_j")).cast("int").alias("side"), "sid", "n", "pos", "vec", "before")
+    meet = meet.repartition("rank", "tile").sortWithinPartitions("rank", "tile", "side", "n")
+    cand = cut_lineage(meet.mapInArrow(_meeting_pairs(threshold, _CELL), "a long, b long, ca long, cb long").distinct())
     release(spark)
     some = ranks.join(cand.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
     got = _verified_pairs(cand, some, threshold)
