@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions import boundary as B
+from tabwright.session import cut_lineage, release
 
 
 def linear_shap(df: DataFrame, coefficients: dict, keep=(), means: dict | None = None) -> DataFrame:
@@ -247,47 +248,87 @@ def tree_rules(model, feature_names, df: DataFrame | None = None) -> DataFrame:
 
 
 _COPY = "_tw_copy_no"
+_TUPLES = 1 << 18                                    # distinct feature rows of a background that is sent to every task
+_TASK_ROWS = 1 << 17                                 # rows whose samples a task folds without spilling
 
 
 def _row_keys(key) -> list:
     return [*([key] if isinstance(key, str) else key), _COPY]
 
 
-def _coalition_rows(df: DataFrame, key: str, features, background: DataFrame, n_samples: int,
-                    seed: int, keep=()) -> DataFrame:
+def _scored_as(rows: DataFrame, features, side: str, place: int, predict) -> DataFrame:
+    """``rows`` with the prediction of the values ``_tw_<side>_`` as ``_tw_p<place>``; as they are without ``predict``."""
+    if predict is None:
+        return rows
+    return predict(rows.withColumns({c: F.col(f"_tw_{side}_{c}") for c in features})).select(*rows.columns, F.col("prediction").alias(f"_tw_p{place}"))
+
+
+def _background_rows(background: DataFrame, features, seed: int, predict=None) -> tuple[DataFrame, int, int | None]:
+    """(rows, number, width): the background in hash order, its rows numbered from 1, with the values ``_tw_z_`` and their
+    prediction ``_tw_p0``.  Equal feature rows are interchangeable and follow one another: if there are at most ``_TUPLES``
+    distinct ones, a row stands for the numbers ``_tw_from`` to ``_tw_to`` and comes once per bin ``_tw_bin`` of ``width``
+    numbers that these reach into, two bins a row on average; otherwise a row has its number ``_tw_bi`` and width is None."""
+    from tabwright.plans.ordering import global_row_number
+    feats = list(features)
+    code = F.xxhash64(*[F.col(c) for c in feats], F.lit(seed))
+
+    def valued(rows, *more):
+        return _scored_as(rows.select(*more, *[B.as_double(c).alias(f"_tw_z_{c}") for c in feats]), feats, "z", 0, predict)
+    if background.agg(F.approx_count_distinct(code)).first()[0] <= _TUPLES:
+        kinds = background.select(*feats).groupBy(*feats).agg(F.count(F.lit(1)).alias("_tw_n"))
+        kinds = cut_lineage(kinds.withColumn("_tw_h", code))
+        to = F.sum("_tw_n").over(Window.orderBy("_tw_h", *feats).rowsBetween(Window.unboundedPreceding, 0))      # few rows
+        kinds = kinds.withColumn("_tw_to", to).withColumn("_tw_from", F.col("_tw_to") - F.col("_tw_n") + 1)
+        n, many = kinds.agg(F.coalesce(F.sum("_tw_n"), F.lit(0)), F.count(F.lit(1))).first()
+        width = max(1, n // max(1, many))
+        bins = F.sequence(F.floor(F.col("_tw_from") / width), F.floor(F.col("_tw_to") / width))
+        return valued(kinds, "_tw_from", "_tw_to").withColumn("_tw_bin", F.explode(bins)), n, width
+    # a copy number spreads a hot feature row over partitions
+    bg = background.select(*feats).withColumn("_tw_copy", F.monotonically_increasing_id())
+    bg = global_row_number(bg, [code] + [F.col(c) for c in feats] + ["_tw_copy"], "_tw_bi")
+    return valued(bg, "_tw_bi"), bg.count(), None
+
+
+def _coalition_rows(df: DataFrame, key: str, features, background, n_samples: int,
+                    seed: int, keep=(), predict=None) -> DataFrame:
     """Permutation-sampling design shared by I4 (sampled) and I8.
 
     For every explained row and sample m: one background row z (hash of
-    (key, m) onto a dense background index — an equi-join, no product) and
+    (key, m) onto a dense background index — a join, no product) and
     one random feature order (hash rank per (key, m, feature)), in one row:
     ``_tw_x_`` and ``_tw_z_`` hold the values, ``_tw_r_`` each feature's place
     (from 0).  Along one order the contributions telescope, so per sample they
-    add up to f(x) − f(z) exactly."""
-    from tabwright.plans.ordering import global_row_number
+    add up to f(x) − f(z) exactly.  With ``predict``, f(z) is in ``_tw_p0`` and f(x) in ``_tw_p<n>``, scored once for all samples of
+    a row.  ``background`` is a frame or what ``_background_rows`` made of one; if it has few distinct rows, the design stays
+    in the partitions that the keys have."""
     feats = list(features)
+    bg, n_bg, width = _background_rows(background, feats, seed, predict) if isinstance(background, DataFrame) else background
     keys = _row_keys(key)
     kc = [F.col(k) for k in keys]
+    if n_bg > _TASK_ROWS:                            # given in full, so that no task gets more rows by Spark's merging of small ones
+        df = df.repartition(max(-(-n_bg // _TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys[:-1])
     # rows that share a key stay apart by a number among them
     df = df.withColumn(_COPY, F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy(*feats, *keep)))
-    # equal feature rows are interchangeable: a copy number spreads a hot one over partitions
-    bg = background.select(*feats).withColumn("_tw_copy", F.monotonically_increasing_id())
-    bg = global_row_number(bg, [F.xxhash64(*[F.col(c) for c in feats], F.lit(seed))] + [F.col(c) for c in feats] + ["_tw_copy"], "_tw_bi")
-    n_bg = bg.count()
-    bg = bg.select(F.col("_tw_bi"), *[B.as_double(c).alias(f"_tw_z_{c}") for c in feats])
     rows = df.select(*keys, *keep, *[B.as_double(c).alias(f"_tw_x_{c}") for c in feats])
+    rows = _scored_as(rows, feats, "x", len(feats), predict)
     rows = rows.withColumn("_tw_m", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     rows = rows.withColumn("_tw_bi", F.pmod(F.xxhash64(*kc, F.col("_tw_m"), F.lit(seed)), F.lit(n_bg)) + 1)
-    pairs = rows.join(bg, "_tw_bi")
+    if width is None:
+        pairs = rows.join(bg, "_tw_bi")
+    else:
+        pairs = rows.withColumn("_tw_bin", F.floor(F.col("_tw_bi") / width)).join(F.broadcast(bg), "_tw_bin")
+        pairs = pairs.where((F.col("_tw_bi") >= F.col("_tw_from")) & (F.col("_tw_bi") <= F.col("_tw_to")))
     ranks = {c: F.struct(F.xxhash64(*kc, F.col("_tw_m"), F.lit(seed), F.lit(c)), F.lit(i)) for i, c in enumerate(feats)}
     place = [sum(((ranks[o] < ranks[c]).cast("int") for o in feats if o != c), F.lit(0)).alias(f"_tw_r_{c}") for c in feats]
-    return pairs.select(*keys, *keep, "_tw_m", *[f"_tw_{s}_{c}" for c in feats for s in "xz"], *place)
+    return pairs.select(*keys, *keep, "_tw_m", *[f"_tw_{s}_{c}" for c in feats for s in "xz"],
+                        *(["_tw_p0", f"_tw_p{len(feats)}"] if predict else []), *place)
 
 
 def _prefix_predictions(design: DataFrame, features, predict) -> DataFrame:
     """``design`` with ``_tw_p0`` … ``_tw_p<n>``: the prediction when the first j features of the row's order come from
     the explained row and the rest from the background.  A row keeps all of its predictions: nothing is regrouped."""
     feats = list(features)
-    for j in range(len(feats) + 1):
+    for j in (j for j in range(len(feats) + 1) if f"_tw_p{j}" not in design.columns):
         now = design.withColumns({c: F.when(F.col(f"_tw_r_{c}") < j, F.col(f"_tw_x_{c}")).otherwise(F.col(f"_tw_z_{c}")) for c in feats})
         design = predict(now).withColumnRenamed("prediction", f"_tw_p{j}")
     return design
@@ -309,14 +350,25 @@ def sampled_shap(df: DataFrame, key: str, features, predict, background: DataFra
     a key get a row of values each.  Permutation-sampling Shapley values with a marginal
     (background) imputer.  ``predict`` maps a frame with the feature columns
     to a frame with ``prediction`` beside its other columns; all rows ×
-    samples are scored in one job, the features + 1 coalitions of an order one
-    after the other in the same row, and folded back with ONE groupBy on the key."""
-    feats = list(features)
-    design = _coalition_rows(df, key, feats, df if background is None else background, n_samples, seed)
-    scored = _prefix_predictions(design, feats, predict)
+    samples are scored, the coalitions of an order one after the other in the
+    same row, and folded back with ONE groupBy on the key.  With few distinct background rows nothing but the rows
+    themselves is shuffled; otherwise the samples of all rows are, in ``n_samples`` slices of the keys one after the other, so
+    that the files of one slice, not those of all samples, are held at a time."""
+    feats, keys = list(features), _row_keys(key)
+    bg = _background_rows(df if background is None else background, feats, seed, predict)
     gain = lambda j: _difference(F.col(f"_tw_p{j + 1}"), F.col(f"_tw_p{j}"))
-    return scored.groupBy(*_row_keys(key)).agg(*[(F.sum(_at_place(c, len(feats), gain)) / F.lit(float(n_samples))).alias(f"phi_{c}")
-                                                 for c in feats]).drop(_COPY)
+
+    def folded(rows):
+        scored = _prefix_predictions(_coalition_rows(rows, key, feats, bg, n_samples, seed, predict=predict), feats, predict)
+        return scored.groupBy(*keys).agg(*[(F.sum(_at_place(c, len(feats), gain)) / F.lit(float(n_samples))).alias(f"phi_{c}") for c in feats]).drop(_COPY)
+    if bg[2] is not None:
+        return folded(df)
+    out = None
+    for i in range(n_samples):
+        part = cut_lineage(folded(df.where(F.pmod(F.xxhash64(*keys[:-1]), F.lit(n_samples)) == i)))
+        out = part if out is None else out.unionAll(part)
+        release(df.sparkSession)
+    return out
 
 
 def sage(df: DataFrame, key: str, features, target: str, predict, background: DataFrame | None = None,
@@ -326,7 +378,7 @@ def sage(df: DataFrame, key: str, features, target: str, predict, background: Da
     imputer), averaged over all rows; mean and standard error per feature."""
     feats = list(features)
     design = _coalition_rows(df, key, feats, df if background is None else background, n_samples, seed,
-                             keep=[target])
+                             keep=[target], predict=predict)
     scored = _prefix_predictions(design, feats, predict)
     y = F.col(target).cast("double")
     if loss not in ("mse", "mae"):
