@@ -208,7 +208,7 @@ def _meeting_rows(threshold: float, unique: int):
 
     def rows(b):
         off = b.column("r").offsets.to_numpy().astype(np.int64)
-        flat, off = b.column("r").values.to_numpy()[off[0]:off[-1]], off - off[0]
+        flat, off = b.column("r").values.to_numpy()[off[0]:off[-1]].astype(np.int64), off - off[0]
         n = np.diff(off)
         at = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(flat)) - off[at]
@@ -410,9 +410,11 @@ def jaccard_threshold_pairs(sets: DataFrame, key: str, threshold: float) -> Data
     |s| − ⌈τ|s|⌉ + 1 tokens.  Sets meet in shared prefix tokens and are judged
     there, before anything is shuffled: by the size bound τ|a| ≤ |b| ≤ |a|/τ, by
     the place of the token in both, by whether they met at an earlier token and by
-    sketches, whose differing bits bound the overlap.  The list of a token with more than ``_LIST`` sets is dealt into chunks, each pair of which is a list of its own.  What is
-    left goes to the sets themselves, a set once per pair of cells; sets are numbered by size class and smallest hash,
-    which near copies mostly share, so that their pairs lie in few cells.  Exact copies are collapsed
+    sketches, whose differing bits bound the overlap.  The list of a token with
+    more than ``_LIST`` sets is dealt into chunks, each pair of which is a list of
+    its own.  What is left goes to the sets themselves, a set once per pair of
+    cells; sets are numbered by size class and smallest hash, which near copies
+    mostly share, so that their pairs lie in few cells.  Exact copies are collapsed
     first, so a group of copies never produces all its pairs.  Tokens are told apart by 64-bit hashes."""
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
@@ -422,17 +424,27 @@ def jaccard_threshold_pairs(sets: DataFrame, key: str, threshold: float) -> Data
     near = [F.floor(F.log2(F.size("t"))), F.element_at("t", 1), F.col("id")]
     uniq = uniq.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), *near).sortWithinPartitions(*near)
     uniq = cut_lineage(uniq.withColumn("sid", F.monotonically_increasing_id()))
+    release(spark)                                                           # the sets are on disk once more in two shuffles
+    ids, times = cut_lineage(uniq.select("sid", "id")), None
+    often = hashed.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and id is not null").select("id")
+    if often.limit(1).count():                                               # c rows of one set and key stand for c² on their side
+        same = hashed.join(often, "id", "left_semi").groupBy("id", "t").agg(F.count(F.lit(1)).alias("c")).join(uniq, ["id", "t"])
+        times = cut_lineage(same.select("sid", (F.col("c") * F.sum("c").over(Window.partitionBy("id"))).alias("m")))
     ex = uniq.select("sid", F.explode("t").alias("tok"))
     freq = ex.groupBy("tok").agg(F.count(F.lit(1)).alias("_f"))
     order = cut_lineage(global_row_number(freq, ["_f", "tok"], "rank").select("tok", "rank", "_f"))
-    unique = order.where("_f > 1").agg(F.min("rank")).first()[0]
-    unique = (1 << 62) if unique is None else unique
-    ids = uniq.select("sid", "id")
-    ranks = cut_lineage(ex.join(order.select("tok", "rank"), "tok").groupBy("sid").agg(F.sort_array(F.collect_list("rank")).alias("r")))
+    unique, most = order.agg(F.min(F.when(F.col("_f") > 1, F.col("rank"))), F.max("rank")).first()
+    unique, kind = (1 << 62) if unique is None else unique, "int" if (most or 0) < 1 << 31 else "long"
+    release(spark)
+    ranks = ex.join(order.select("tok", F.col("rank").cast(kind)), "tok").groupBy("sid").agg(F.sort_array(F.collect_list("rank")).alias("r"))
+    ranks = cut_lineage(ranks)
+    del uniq, ex, freq, order, hashed, often
+    same = None
     release(spark)
     n = F.size("r")
     listed = ranks.select(F.explode(F.slice("r", F.lit(1), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))).alias("rank")).where(F.col("rank") >= unique)
-    long = listed.groupBy("rank").agg(F.ceil(F.count(F.lit(1)) / _LIST).cast("int").alias("c")).where("c > 1")      # few: total / _LIST at most
+    long = cut_lineage(listed.groupBy("rank").agg(F.ceil(F.count(F.lit(1)) / _LIST).cast("int").alias("c")).where("c > 1"))     # few: total / _LIST at most
+    release(spark)                                                           # by now Spark's own events hold the shuffles of ``ranks`` no more
     meet = ranks.mapInArrow(_meeting_rows(threshold, unique), "rank long, sid long, n int, pos int, vec binary, before binary")
     meet = meet.join(F.broadcast(long), "rank", "left").withColumn("_c", F.coalesce("c", F.lit(1)))
     meet = meet.withColumn("_i", F.pmod(F.xxhash64("sid"), F.col("_c"))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
@@ -440,15 +452,13 @@ def jaccard_threshold_pairs(sets: DataFrame, key: str, threshold: float) -> Data
     meet = meet.select("rank", tile.alias("tile"), (F.col("_i") > F.col("_j")).cast("int").alias("side"), "sid", "n", "pos", "vec", "before")
     meet = meet.repartition("rank", "tile").sortWithinPartitions("rank", "tile", "side", "n")
     cand = cut_lineage(meet.mapInArrow(_meeting_pairs(threshold, _CELL), "a long, b long, ca long, cb long").distinct())
+    del meet
     release(spark)
     some = ranks.join(cand.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
     got = _verified_pairs(cand, some, threshold)
     name = lambda c: ids.select(F.col("sid").alias(c), F.col("id").alias("i" + c))
     got = got.join(name("a"), "a").join(name("b"), "b").where(F.col("ia") != F.col("ib"))
-    often = hashed.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and id is not null").select("id")
-    if often.limit(1).count():                                               # c rows of one set and key stand for c² on their side
-        same = hashed.join(often, "id", "left_semi").groupBy("id", "t").agg(F.count(F.lit(1)).alias("c")).join(uniq, ["id", "t"])
-        times = cut_lineage(same.select("sid", (F.col("c") * F.sum("c").over(Window.partitionBy("id"))).alias("m")))
+    if times is not None:
         for c in ("a", "b"):
             got = got.join(times.select(F.col("sid").alias(c), F.col("m").alias("m" + c)), c, "left")
         many = F.coalesce("ma", F.lit(1)) * F.coalesce("mb", F.lit(1))
